@@ -209,19 +209,20 @@ def blocks_of(benchmark: DataFrame, text: str = "text", most: int = BLOCK_BYTES)
         yield ids, texts
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """The columns of ``docs`` (without ``text``, unless kept) and ``_words`` (its words), ``_hits`` (a bit for each word, set where a window covers it) and ``_items`` (items with a window in it, once each)."""
-    spark, names = docs.sparkSession, docs.columns
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc (the columns of ``docs`` in a struct), n_words, hits (a bit for each word, set where a window covers it; null
+    where none is) and items (test items with a window in it, once each)."""
+    spark = docs.sparkSession
 
-    def scan(ids, texts, last):
+    def scan(ids, texts):
         block = spark.sparkContext.broadcast((ids, texts))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = TestSuffixes(*block.value, window)
             for batch in batches:
-                column = blobs(batch.column(batch.schema.get_field_index("_text")))
+                column = blobs(batch.column(0).field(text))
+                old_hits, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
                 counts, bits, items = [], [], []
-                old_hits, old_items = batch.column(batch.schema.get_field_index("_hits")), batch.column(batch.schema.get_field_index("_items"))
                 for a, b in runs_of_rows(column, SHARD_BYTES):
                     words = Words(column.slice(a, b - a))
                     suffix, place = occurrences(words, tests)
@@ -234,31 +235,21 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
                     counts += words.count.tolist()
                     for r in range(b - a):
                         f, n = int(words.first[r]), int(words.count[r])
-                        own = [tests.ids[i] for i in by_row[1, edges[r] : edges[r + 1]]]
-                        before = old_hits[a + r].as_py()
-                        packed = np.packbits(hit[f : f + n]) if own else np.zeros(0, np.uint8)
-                        if before:
-                            was = np.frombuffer(before, np.uint8)
-                            packed = packed | was if own else was
-                        bits.append(packed.tobytes())
-                        items.append(sorted({*own, *(old_items[a + r].as_py() or [])}))
-                columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                columns |= {"_words": pa.array(counts, pa.int64()), "_hits": pa.array(bits, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
-                if last and not keep_text:
-                    columns.pop("_text")
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                        own = {tests.ids[i] for i in by_row[1, edges[r] : edges[r + 1]]}
+                        new, was = np.packbits(hit[f : f + n]) if own else None, old_hits[a + r]
+                        if new is not None and was is not None:
+                            new |= np.frombuffer(was, np.uint8)
+                        bits.append(new.tobytes() if new is not None else was)
+                        items.append(sorted(own | set(old_items[a + r])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc", "n_words", "hits", "items"])
 
         return work
 
-    out = docs.withColumns({"_text": F.col(text), "_words": F.lit(0).cast("long"), "_hits": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
-    out = out.drop(text)
-    passes = list(blocks_of(benchmark, "text", block_bytes)) or [([], [])]
-    for i, (ids, texts) in enumerate(passes):
-        last = i == len(passes) - 1
-        schema = out.drop("_text").schema if last and not keep_text else out.schema
-        out = out.mapInArrow(scan(ids, texts, last), schema)
-    out = out.withColumnRenamed("_text", text)
-    return out.select(*[n for n in names if n in out.columns], "_words", "_hits", "_items")
+    out = docs.select(F.struct(*docs.columns).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    passes = 0
+    for ids, texts in blocks_of(benchmark, "text", block_bytes):
+        out, passes = out.mapInArrow(scan(ids, texts), out.schema), passes + 1
+    return out if passes else out.mapInArrow(scan([], []), out.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -272,7 +263,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).field("doc_id"), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "n_words", "n_hit", "items"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counted = got.mapInArrow(bits, f"doc_id {id_type}, n_words long, n_hit long, items array<string>")
@@ -309,5 +300,4 @@ def locations(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs``, columns unchanged, without the rows that hold a window of a test item."""
-    got = with_hits(docs, benchmark, text, window, keep_text=True)
-    return got.filter(F.size("_items") == 0).select(*docs.columns)
+    return with_hits(docs, benchmark, text, window).filter(F.size("items") == 0).select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -136,16 +136,16 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, n_shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
     """The mix as documents: for each epoch in which a row is drawn, a row with the columns of ``docs`` whose text is the
     drawn words. An epoch that takes all of a row's words keeps its text as it is."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     laid, sources = laid_out(docs, "text")
     drawn = draws(sources, block_words, n_shards, seed).select("src", "index", "epoch")
     got = pieces(laid, block_words).join(drawn, ["src", "index"]).groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    whole = laid.select("row", "size").join(got, "row").select(F.col("row").alias("_row"), "size", "spans")
-    words = F.split(F.regexp_replace(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("_words", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), " ")
     n_taken = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["b"] - s["a"])
-    text = F.when(n_taken == F.col("size"), F.col("text")).otherwise(some)
-    out = marked.join(whole, "_row").withColumn("_words", F.when(n_taken < F.col("size"), words)).withColumn("text", text)
+    whole = laid.select("row", "size").join(got, "row").select("row", "spans", (n_taken == F.col("size")).alias("all"))
+    words = F.split(F.regexp_replace("doc.text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("words", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), " ")
+    out = marked.join(whole, "row").withColumn("words", F.when(~F.col("all"), words)).withColumn("text", F.when(F.col("all"), F.col("doc.text")).otherwise(some))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -38,7 +38,7 @@ def cases():
 
 def test_against_brute_force_in_one_and_many_blocks(spark):
     docs, items = cases()
-    d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, item_id string, _n int").coalesce(1)
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, item_id string, items int").coalesce(1)
     b = spark.createDataFrame(items, "item_id long, text string")
     for size in (1, 60, 1 << 24):
         got = decontaminate.contamination(d, b, block_bytes=size).collect()
