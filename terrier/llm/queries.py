@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from terrier.llm import decontaminate, language, mixing, sharding, simhash
+from terrier.llm import decontaminate, language, mixing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
+    "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -61,3 +66,44 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """,
 }
+
+
+def _quality_sql() -> str:
+    """The quality rules in DuckDB: the same counts from lists, the same sums and distances."""
+    q = quality
+    lists = " ".join(f"WHEN {k!r} THEN {ws!r}" for k, ws in q.COMMON_WORDS.items())
+    left = ["array_to_string(w, '')"]
+    for c in q.CLASSES:
+        left.append(f"regexp_replace({left[-1]}, '{c}', '', 'g')")
+    classes = [f"length({a}) - length({b})" for a, b in zip(left, left[1:], strict=False)] + [f"length({left[-1]})"]
+
+    def distance(p: str, r: str, n: int) -> str:
+        terms = []
+        for i in range(1, n + 1):
+            a, b = f"{p}[{i}] / greatest(list_sum({p}), 1.0)", f"{r}[{i}] / greatest(list_sum({r}), 1.0)"
+            terms += [f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0.0 END" for x in (f"({a})", f"({b})")]
+        return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0.0))"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lined AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+spots AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM spots),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY r),
+listed AS (SELECT r, doc_id, lang, w, CASE lang {lists} ELSE {q.OTHER_WORDS!r} END AS k FROM d),
+counted AS (SELECT r, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, [{', '.join(f'CAST({c} AS DOUBLE)' for c in classes)}] AS c,
+  list_transform(k, lambda x: CAST(len(list_filter(w, lambda y: y = x)) AS DOUBLE)) AS o FROM listed),
+commons AS (SELECT *, list_append(o, n_words - list_sum(o)) AS m FROM counted),
+refs AS (SELECT lang AS ref_lang, [{', '.join(f'sum(c[{i}])' for i in range(1, q.N_CLASSES + 1))}] AS rc, [{', '.join(f'sum(m[{i}])' for i in range(1, q.N_WORDS + 1))}] AS rm FROM commons GROUP BY lang),
+judged AS (SELECT doc_id, n_words, word_chars, CAST(c[{q.SYMBOLS_AT + 1}] AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+  {distance('c', 'rc', q.N_CLASSES)} AS cd, {distance('m', 'rm', q.N_WORDS)} AS wd
+  FROM commons JOIN refs ON lang IS NOT DISTINCT FROM ref_lang JOIN lined USING (r) LEFT JOIN repeats USING (r)),
+failed AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM judged)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {q.LEAST_WORDS_FOR_CLASSES} AND cd > {q.MOST_CLASS_DISTANCE}) AND NOT (n_words >= {q.LEAST_WORDS_FOR_WORDS} AND wd > {q.MOST_WORD_DISTANCE}) AS kept,
+  round(cd, 4) AS class_distance, round(wd, 4) AS word_distance
+FROM failed
+"""
+
+
+ORACLES["op10_quality"] = _quality_sql()
