@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from terrier.llm import decontaminate, language, mixing, quality, sharding, simhash, urls
+from terrier.llm import decontaminate, language, mixing, pii, quality, sharding, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(_table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_urls": op4_urls,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
