@@ -129,7 +129,8 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS,
     """
     laid, sources = laid_out(docs, text, weights)
     times = draws(sources, block_words, n_shards, seed).groupBy("src", "index").agg(F.count("*").alias("times"))
-    used = pieces(laid, block_words).join(times, ["src", "index"]).groupBy("row").agg(F.sum((F.col("b") - F.col("a")) * F.col("times")).alias("taken"))
+    # planned by the size of the source table, draws would be broadcast
+    used = pieces(laid, block_words).join(times.hint("merge"), ["src", "index"]).groupBy("row").agg(F.sum((F.col("b") - F.col("a")) * F.col("times")).alias("taken"))
     return laid.join(used, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -139,11 +140,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, n_shards: i
     marked = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     laid, sources = laid_out(docs, "text")
     drawn = draws(sources, block_words, n_shards, seed).select("src", "index", "epoch")
-    got = pieces(laid, block_words).join(drawn, ["src", "index"]).groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    got = pieces(laid, block_words).join(drawn.hint("merge"), ["src", "index"]).groupBy("row", "epoch").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
     n_taken = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["b"] - s["a"])
     whole = laid.select("row", "size").join(got, "row").select("row", "spans", (n_taken == F.col("size")).alias("all"))
     words = F.split(F.regexp_replace("doc.text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
     some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("words", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), " ")
+    some = F.when(F.col("words").isNotNull(), some)  # two uses keep the split out of the lambda, where it would run for each span
     out = marked.join(whole, "row").withColumn("words", F.when(~F.col("all"), words)).withColumn("text", F.when(F.col("all"), F.col("doc.text")).otherwise(some))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
