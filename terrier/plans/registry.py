@@ -1,4 +1,4 @@
-"""The queries over the given tables and their SQL counterparts."""
+"""The queries over the given tables, each with the DuckDB SQL it is held against."""
 
 from __future__ import annotations
 
@@ -8,3 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a function (spark, sf_dir) under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer splits than there are cores; a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+from terrier.plans import deeds, register, scans  # noqa: E402, F401  they fill the two tables
