@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrier.llm import decontaminate, language, mixing, sharding, simhash
 from terrier.llm.shared import stored
+from terrier.session import ship
 
 #: A document is rejected if no learned language codes it better than its plain bytes, or none is likelier than the rest together.
 MOST_BITS_PER_BYTE = 8.0
@@ -17,6 +18,7 @@ BROADCAST_IDS = 500_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without a letter, or like none of the languages, go."""
+    ship(spark)
     got = language.predicted(docs, language.model_of(docs))
     told = (F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE) & (F.col("score") >= LEAST_SCORE)
     return got.filter(told).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
@@ -24,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the row of smallest doc_id (of rows that share it, the first)."""
+    ship(spark)
     placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     prints = stored(simhash.with_fingerprints(placed, keep=("doc_id", "row")), "prints")
     keyed = prints.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row").alias("doc_id"), "fp")
@@ -36,11 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    ship(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as the mix draws them: a row for each epoch that takes words of a document."""
+    ship(spark)
     return mixing.mixed_documents(docs)
 
 
