@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrier.llm.language import Table, grams, seen
@@ -55,9 +55,9 @@ def counted(data: np.ndarray, starts: np.ndarray, table: Table, n: int) -> tuple
 def sampled(docs: DataFrame, labels: DataFrame, text: str, rows: int) -> DataFrame:
     """(text, fold, insult, contempt, toxic) of up to ``rows`` labelled rows of each label, those of smallest hash. Equal texts share a fold."""
     said = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     have = docs.filter(F.col(text).isNotNull()).select("doc_id").distinct()
-    picked = said.join(have, "doc_id", "left_semi").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("doc_id", "toxic")
+    known = said.join(have, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.filter("toxic = 0").limit(rows).union(known.filter("toxic = 1").limit(rows))
 
     def word(ws: tuple[str, ...]) -> Column:
         return ((F.col("toxic") == 1) & F.col("text").rlike(rf"(?i)\b({'|'.join(ws)})\b")).cast("int")
