@@ -221,7 +221,8 @@ def grouped(prints: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     placed = member.join(nodes, "fp")
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = placed.join(least, "root").select("fp", "component_id")
-    label = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table, so the last join stands alone and a fingerprint that many rows share can be split
+    label = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "labels")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
