@@ -127,3 +127,59 @@ FROM failed
 
 
 ORACLES["op10_quality"] = _quality_sql()
+
+
+def _urls_sql() -> str:
+    """The URL filters in DuckDB: the same edges, the rounds unrolled."""
+    u = urls
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def parts(url: str) -> tuple[str, str]:
+        rest = f"substring({url}, instr({url}, '://') + 3)"
+        has = f"coalesce(instr({url}, '://'), 0) > 0"
+        return f"CASE WHEN {has} THEN {lower.format(f"regexp_extract({rest}, '^[^/?#]*')")} ELSE '' END", f"CASE WHEN {has} THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+
+    host, path = parts("url")
+    link_host, _ = parts("(':' || link)")
+    rules = sorted(u.RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN" for h, p, _ in rules]
+    rule = "CASE " + " ".join(f"{f} '{h + p}'" for f, (h, p, _) in zip(fits, rules, strict=True)) + " END"
+    verdict = "CASE " + " ".join(f"{f} '{v}'" for f, (_, _, v) in zip(fits, rules, strict=True)) + " END"
+    rounds = "".join(
+        f""", r{i} AS MATERIALIZED (SELECT s.kind, s.host, {u.DAMPING} * coalesce(g.got, 0) + {round(1 - u.DAMPING, 10)} * s.start AS rank FROM s LEFT JOIN
+        (SELECT r.kind, w.dst AS host, sum(r.rank * w.share) AS got FROM {f'r{i - 1}' if i > 1 else '(SELECT kind, host, start AS rank FROM s)'} r JOIN w ON r.kind = w.kind AND r.host = w.src GROUP BY ALL) g ON s.kind = g.kind AND s.host = g.host)"""
+        for i in range(1, u.ROUNDS + 1)
+    )
+    return rf"""
+WITH p AS MATERIALIZED (SELECT page_id, {host} AS host, {path} AS path, html FROM pages),
+d AS MATERIALIZED (SELECT page_id, host, path, {rule} AS rule, {verdict} AS ruled FROM p),
+found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z]+:)?(//[^\s"''<>]+)', 1)) AS link FROM p),
+linked AS (SELECT src, {link_host} AS dst FROM found),
+hosts AS (SELECT DISTINCT host FROM p WHERE host <> ''),
+family AS (SELECT c.host AS child, h.host AS host FROM hosts c JOIN hosts h ON instr(c.host, '.') > 0 AND substring(c.host, instr(c.host, '.') + 1) = h.host),
+e AS MATERIALIZED (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, 1 AS n FROM linked WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT child, host, 1 FROM family UNION ALL SELECT host, child, 1 FROM family) GROUP BY ALL),
+nodes AS (SELECT host FROM hosts UNION SELECT src FROM e UNION SELECT dst FROM e),
+seeds AS (SELECT 'trust' AS kind, host, (SELECT count(*) FROM d WHERE d.host = nodes.host AND ruled = 'allow') AS seed FROM nodes UNION ALL SELECT 'distrust', host, (SELECT count(*) FROM d WHERE d.host = nodes.host AND ruled = 'block') FROM nodes),
+s AS MATERIALIZED (SELECT kind, host, CAST(seed AS DOUBLE) / greatest(sum(seed) OVER (PARTITION BY kind), 1) AS start FROM seeds),
+ways AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
+w AS MATERIALIZED (SELECT kind, src, dst, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY kind, src) AS share FROM ways){rounds},
+scaled AS (SELECT kind, host, rank / CASE WHEN sum(rank) OVER (PARTITION BY kind) = 0 THEN 1.0 ELSE sum(rank) OVER (PARTITION BY kind) END * (SELECT count(*) FROM nodes) AS rank FROM r{u.ROUNDS}),
+scores AS (SELECT host, round(sum(rank) FILTER (WHERE kind = 'trust'), 6) AS trust, round(sum(rank) FILTER (WHERE kind = 'distrust'), 6) AS distrust FROM scaled GROUP BY host)
+SELECT page_id, d.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust > {u.LEAST_DISTRUST} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
+FROM d LEFT JOIN scores ON d.host = scores.host
+"""
+
+
+#: CRC-32 byte by byte from its table, which DuckDB builds from the polynomial.
+_SHARDS_SQL = f"""
+WITH RECURSIVE steps AS (SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+body AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+hexes AS (SELECT r, doc_id, octet_length(x) + 1 AS size, list_transform(regexp_extract_all(hex(x), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs FROM body),
+sums AS (SELECT doc_id, size, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295) AS text_crc32 FROM hexes, crc),
+laid AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS i FROM sums),
+cut AS (SELECT *, CAST((2 * start + size) * {sharding.SHARDS} // (2 * total) AS INT) AS shard FROM laid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(i - min(i) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM cut
+"""
+
+ORACLES |= {"op4_urls": _urls_sql(), "op8_sharding": _SHARDS_SQL}
