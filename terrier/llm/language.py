@@ -29,7 +29,11 @@ ORDER = 4
 SAMPLE_ROWS = 400
 #: Most languages that are learned, the most frequent first.
 MOST_LANGUAGES = 200
+#: Most rows of all languages together: with more languages than ten, each has fewer.
+SAMPLE_TOTAL = 4_000
 RUN_BYTES = 2 << 20
+#: Code lengths (bytes times languages) that are held at once.
+STEP_CELLS = 8 << 20
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -140,16 +144,29 @@ class Model:
             below_keys, below = keys, bits
         self.fallback = np.float32(8.0)
 
-    def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Bits of each row in each language; the leading space of a row is context only."""
+    def code_lengths(self, data: np.ndarray, starts: np.ndarray, step: int = STEP_CELLS) -> np.ndarray:
+        """Bits of each row in each language; the leading space of a row is context only. Long rows are coded piece by piece."""
+        n = len(self.languages)
+        step = max(self.order + 1, step // max(n, 1))
+        total = np.zeros((len(starts) - 1, n))
+        for a in range(0, len(data), step):
+            lo, hi = max(0, a - self.order), min(len(data), a + step)
+            own = np.clip(starts - lo, 0, hi - lo)
+            open_ = np.arange(lo, hi) >= a
+            first = starts[:-1][np.diff(starts) > 0]
+            open_[first[(first >= a) & (first < hi)] - lo] = False
+            cost = self._costs(data[lo:hi], own, open_)
+            sums = np.concatenate((np.zeros((1, n)), np.cumsum(cost, axis=0, dtype=np.float64)))
+            total += sums[own[1:]] - sums[own[:-1]]
+        return total
+
+    def _costs(self, data: np.ndarray, starts: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Bits of each byte that is open."""
         cost = np.zeros((len(data), len(self.languages)), np.float32)
-        open_ = np.ones(len(data), bool)
-        open_[starts[:-1][np.diff(starts) > 0]] = False
         for k in range(self.order, -1, -1):
             packed, at = grams(data, starts, k + 1)
-            if k < self.order:
-                own = open_[at]
-                packed, at = packed[own], at[own]
+            own = open_[at]
+            packed, at = packed[own], at[own]
             row = self.runs[k].find(packed)
             hit = row >= 0
             cost[at[hit]] += self.bits[k][row[hit]]
@@ -160,15 +177,24 @@ class Model:
                 known = context >= 0
                 cost[at[miss][known]] += self.escapes[k][context[known]]
         cost[open_] += self.fallback
-        sums = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)))
-        return sums[starts[1:]] - sums[starts[:-1]]
+        return cost
 
 
 def sampled(docs: DataFrame, text: str, lang: str, rows: int) -> DataFrame:
-    """Up to ``rows`` labelled rows of each language, those of smallest hash; ids first, then the texts of these ids."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    """Up to ``rows`` labelled rows of each language, those of smallest hash; ids first, then the texts of these ids.
+
+    A language's count says below which hash twice ``rows`` are to be expected, so few more than are wanted are ranked
+    in one place, however many the language has.
+    """
     ids = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h")).distinct()
-    picked = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("doc_id", "lang")
+    counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = min(rows, max(20, SAMPLE_TOTAL // max(len(counts), 1)))
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, min(1.0, (2 * rows + 100) / r["count"])).otherwise(share)
+    likely = ids.filter(F.pmod("h", F.lit(1 << 32)) < share * float(1 << 32))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "doc_id")
+    picked = likely.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("doc_id", "lang")
     labelled = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
     # at most rows x MOST_LANGUAGES ids
     return labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")

@@ -58,6 +58,8 @@ def test_code_lengths_against_plain_trees(spark):
     tests = ["the mother", "la mère ÉTÉ", "", "a", "zz the é", "日本語 text", "1234 !!", "THE   CAT\n\nsat", "d'où × ×"]
     data, starts = language.seen(pa.array([t.encode() for t in tests], pa.large_binary()))
     got = model.code_lengths(data, starts)
+    for step in (1, 20, 33):
+        assert model.code_lengths(data, starts, step) == pytest.approx(got, abs=1e-6)
     assert model.languages == ["aa", "bb", "cc"]
     for t, bits in zip(tests, got, strict=True):
         assert list(bits) == pytest.approx([plain_bits(plain_trees(train[x], language.ORDER), t) for x in model.languages], abs=1e-3)
