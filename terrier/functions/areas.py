@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrier.functions.text import decomposed, fold_numerals, let, strip, to_number
+from terrier.functions.text import decomposed, fold_numerals, let, strip, to_number, unless_empty
 from terrier.functions.values import UNIT_SQUARE_METRES, UNIT_WORDS
 
 _NUMBER = r"(\p{Nd}+(?:\.\p{Nd}+)?)"
@@ -15,7 +15,7 @@ _NUMBER = r"(\p{Nd}+(?:\.\p{Nd}+)?)"
 
 def _amount(text: Column, words: list[str]) -> Column:
     """The first number before the first of ``words`` that has one before it."""
-    found = [F.when(F.contains(text, F.lit(w)), F.nullif(F.regexp_extract(text, rf"(?U){_NUMBER}\s*\Q{w}\E", 1), F.lit(""))) for w in map(decomposed, words)]
+    found = [F.when(F.contains(text, F.lit(w)), unless_empty(F.regexp_extract(text, rf"(?U){_NUMBER}\s*\Q{w}\E", 1))) for w in map(decomposed, words)]
     return to_number(F.coalesce(*found), "double")
 
 
@@ -39,7 +39,7 @@ def parse_area(text: Column, state: Column) -> Column:
 
     def read(low: Column) -> Column:
         amounts = F.array(*[_amount(low, words) for words in UNIT_WORDS.values()])
-        bare = to_number(F.nullif(F.regexp_extract(low, _NUMBER, 1), F.lit("")), "double")
+        bare = to_number(unless_empty(F.regexp_extract(low, _NUMBER, 1)), "double")
         return let(F.struct(amounts.alias("of"), bare.alias("bare"), strip(text).alias("raw"), key.alias("key")), told)
 
     def told(x: Column) -> Column:
@@ -49,5 +49,5 @@ def parse_area(text: Column, state: Column) -> Column:
         metres = let(total, lambda t: F.when(t > 0, F.round(t, 2)))
         return F.struct(x["raw"].alias("raw_text"), F.coalesce(*amounts.values(), x["bare"]).alias("value"), unit.alias("unit"), metres.alias("sq_meters"))
 
-    found = F.when(F.coalesce(text, F.lit("")) != "", let(fold_numerals(F.lower(strip(text))), read)).otherwise(none)
+    found = F.when(F.coalesce(text, F.lit("")) != "", let(F.lower(strip(text)), lambda low: let(fold_numerals(low), read))).otherwise(none)
     return found

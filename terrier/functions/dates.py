@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrier.functions.text import decomposed, fold_numerals, let, strip, to_number
+from terrier.functions.text import decomposed, first_of, fold_numerals, let, strip, to_number
 from terrier.functions.values import DAY_SUFFIXES, MONTHS
 
 _NUMERIC = r"(\p{Nd}{1,2})[/\-.](\p{Nd}{1,2})[/\-.](\p{Nd}{4})"
@@ -40,10 +40,11 @@ def _named(text: Column) -> Column:
     def read(m: Column) -> Column:
         day = number(rf"(?iuU)(\p{{Nd}}{{1,2}})\s*(?:{suffix})?\s*", m["name"], "")
         near = number("(?iuU)", m["name"], r"\s*(\p{Nd}{4})")
-        return _iso(F.coalesce(F.nullif(near, F.lit(0)), broad), m["code"], day)
+        year = let(near, lambda n: F.when(n != 0, n).otherwise(broad))
+        return _iso(year, m["code"], day)
 
     there = let(F.lower(text), lambda low: F.filter(months, lambda m: F.contains(low, m["name"])))
-    return F.get(F.filter(F.transform(there, read), lambda d: d.isNotNull()), 0)
+    return first_of(there, "string", read)
 
 
 def parse_date(text: Column) -> Column:

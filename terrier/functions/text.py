@@ -43,8 +43,17 @@ def fold_numerals(text: Column) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it; it also keeps large expressions out of generated code."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """``body`` of a value that is computed once, however often the body uses it; it also keeps large expressions out of generated code.
+
+    It is the last step of a fold over nothing. Taking the first element of a mapped list would do as well, but asks for
+    the type of all that it nests each time.
+    """
+    return F.aggregate(F.expr("cast(array() as array<int>)"), value, lambda x, _: x, body)
+
+
+def first_of(items: Column, kind: str, read: Callable[[Column], Column]) -> Column:
+    """What ``read`` (of type ``kind``) gives for the first item that gives something; those after it aren't read."""
+    return F.aggregate(items, F.lit(None).cast(kind), lambda found, x: F.coalesce(found, read(x)))
 
 
 def folded(term: str) -> str:
@@ -53,7 +62,12 @@ def folded(term: str) -> str:
 
 def to_number(digits: Column, kind: str) -> Column:
     """Digits of any script as a number; null if they aren't one."""
-    return F.when(_beyond_ascii(digits), F.translate(digits, _ALL_FROM, _ALL_TO)).otherwise(digits).try_cast(kind)
+    return let(digits, lambda d: F.when(_beyond_ascii(d), F.translate(d, _ALL_FROM, _ALL_TO)).otherwise(d).try_cast(kind))
+
+
+def unless_empty(value: Column) -> Column:
+    """The text, or null for an empty one."""
+    return let(value, lambda v: F.when(v != "", v))
 
 
 def strip(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrier.functions.areas import parse_area
 from terrier.functions.dates import parse_date
-from terrier.functions.text import SPACE, decomposed, fold_numerals, folded, let, lines, literal_list, normalise_indic, strip_edges
+from terrier.functions.text import SPACE, decomposed, first_of, fold_numerals, folded, let, lines, literal_list, normalise_indic, strip_edges, unless_empty
 from terrier.functions.values import ANCHORS, AREA_HINTS, GUARDIANS, NOT_NUMBERS
 
 ENGINE = "terrier_rules"
@@ -55,14 +55,13 @@ def value_after(x: Column, anchors: Column) -> Column:
         rest = F.regexp_replace(rest, rf"(?U)^[:|\-—={SPACE}ঃ]+", "")
         return strip_edges(F.regexp_replace(rest, r"(?s)[|\n;].*$", ""))
 
-    there = F.filter(anchors, lambda t: F.contains(x["low"], t))
-    return F.get(F.filter(F.transform(there, behind), lambda v: v != ""), 0)
+    return first_of(anchors, "string", lambda t: F.when(F.contains(x["low"], t), unless_empty(behind(t))))
 
 
 def _number(value: Column, pattern: str) -> Column:
     """The first number in an anchored value, the whole value if it has none; null where the value can't be one."""
     bad = "|".join(map(decomposed, NOT_NUMBERS))
-    found = let(fold_numerals(value), lambda norm: F.coalesce(F.nullif(F.regexp_extract(norm, pattern, 1), F.lit("")), norm))
+    found = let(fold_numerals(value), lambda norm: F.coalesce(unless_empty(F.regexp_extract(norm, pattern, 1)), norm))
     return let(found, lambda x: F.when(value.isNotNull() & ~F.lower(x).rlike(bad), F.struct(x.alias("value"), value.alias("raw"))))
 
 
@@ -93,6 +92,18 @@ SURVEY = r"(\p{Nd}+(?:[/-]\p{Nd}+)*[a-zA-Z]?)"
 KHATA = r"(\p{Nd}+(?:[/-]\p{Nd}+)*)"
 
 
+#: What each field's reader gives.
+KINDS = {
+    "survey": "struct<value:string,raw:string>",
+    "khata": "struct<value:string,raw:string>",
+    "owner": "struct<name:string,guardian:string>",
+    "area": "struct<area:struct<raw_text:string,value:double,unit:string,sq_meters:double>,base:double>",
+    "registered": "struct<raw:string,iso:string>",
+    "issued": "struct<raw:string,iso:string>",
+    "village": "string",
+}
+
+
 def readers(state: Column) -> dict:
     """For each field, what a line and its anchors yield; null if nothing."""
     after = lambda read: lambda x, t: let(value_after(x, t), read)
@@ -122,7 +133,7 @@ def first_in_lines(df: DataFrame, state: Column, lexicon: dict = ANCHORS) -> Dat
     fields = {}
     for field, read in readers(state).items():
         likely = "_counted" if field in ("area", "registered", "issued") else "_lines"
-        fields[field] = F.get(F.filter(F.transform(likely, _with(read, F.col(anchors[field]))), lambda v: v.isNotNull()), 0)
+        fields[field] = first_of(F.col(likely), KINDS[field], _with(read, F.col(anchors[field])))
     return df.withColumns(fields).drop("_lines", "_counted", *anchors.values())
 
 
