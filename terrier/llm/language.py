@@ -229,7 +229,7 @@ def trained(labelled: DataFrame, order: int = ORDER) -> Model:
 
 
 def has_letter(body: bytes) -> bool:
-    return bool(_LETTER.search(body.decode()))
+    return bool(_LETTER.search(body.decode(errors="replace")))
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

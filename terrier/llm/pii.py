@@ -146,7 +146,7 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
                     if not spell[i] and b"dot" not in body:
                         rows.append((0, 0, 0, 0, [], []))
                         continue
-                    t = body.decode()
+                    t = body.decode(errors="replace")
                     base = base_spans(t)
                     own = []
                     for span in candidates(t, base):

@@ -17,7 +17,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 def job_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
