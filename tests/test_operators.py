@@ -133,3 +133,10 @@ def test_stream(spark, tmp_path):
     ingest.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
     got = {r.id: (r.status, r.certificate.survey_number and r.certificate.survey_number.value) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {1: ("DIGITIZED", "5/1"), 2: ("FAILED", None)}
+
+
+def test_arrivals(spark):
+    rows = [(1, "DIGITIZED", "2024-01-01 01:00:00"), (2, "DIGITIZED", "2024-01-01 23:00:00"), (3, "FAILED", "2024-01-02 01:00:00")]
+    df = spark.createDataFrame(rows, "id long, status string, at string").withColumn("arrived", F.to_timestamp("at"))
+    got = {(str(r.window.start.date()), r.status): r.n for r in ingest.arrivals(df).collect()}
+    assert got == {("2024-01-01", "DIGITIZED"): 2, ("2024-01-02", "FAILED"): 1}
