@@ -81,7 +81,9 @@ def scanned(column: pa.LargeBinaryArray) -> list[list[tuple[int, int, int, bytes
         lo, hi = int(offsets[row]), int(offsets[row + 1])
         a, b = inner
         d, c = digits[b] - digits[a], letters[b] - letters[a]
-        label = -1 if kind == 3 else int(d > 0 and c > 0) if kind < 3 else 0
+        label = int(d > 0 and c > 0) if kind < 3 else 0
+        if kind == 3 and data[max(a - 1, lo)] != 64:
+            label = -1
         if kind == 2 and label == 1 and b - a < 32:
             label = -1
         found[row].append((int(start), int(end), kind, _windows(data, lo, hi, a, b), label))
@@ -243,7 +245,7 @@ def secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFr
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_confirmed (base spans the network accepts) of every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind; those the network adds are last by kind.
-    Labelled findings are the base spans, a secret if letters and digits mix in it, and harmless long words. Null and
+    Labelled findings are the base spans, secrets if letters and digits mix in them, and as harmless ones long words and hosts behind an @. Null and
     empty texts have no span; repeated rows are judged alike; an empty table gives no row; other columns are ignored.
     """
     rows = stored(found_in(docs, text), "found")
