@@ -13,8 +13,11 @@ _SHIPPED = "spark.terrier.shipped"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session, unless their PYTHONPATH has it."""
-    if ROOT in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))) or spark.conf.get(_SHIPPED, None):
+    """Give the workers of a local master this package, once a session, unless their PYTHONPATH has it.
+
+    On a cluster the package comes with the job (``--py-files`` or the executors' PYTHONPATH), and nothing is written here.
+    """
+    if not spark.sparkContext.master.startswith("local") or ROOT in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))) or spark.conf.get(_SHIPPED, None):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "terrier.zip")
     with zipfile.ZipFile(path, "w") as z:
