@@ -135,7 +135,7 @@ def _script_sql(text: str) -> str:
 
 @query(f"WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_script_sql('t')} SELECT doc_id, script, lang AS told_lang, script_confidence FROM told")
 def script_detect(spark, sf_dir):
-    d = with_script(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    d = with_script(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
     return d.select("doc_id", "script", F.col("lang").alias("told_lang"), "script_confidence")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrier.operators import words
-from terrier.plans.registry import query, table
+from terrier.plans.registry import query, spread, table
 
 #: Word i of document d in pass p has confidence (37 i + 11 d + 7 p) mod 101 - 1; line ends are blank words.
 WORDS = r"""t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'single' WHEN doc_id % 3 = 1 THEN 'left' ELSE 'right' END AS section, regexp_split_to_array(replace(text, chr(10), '  '), ' ') AS ws FROM documents),
@@ -18,7 +18,7 @@ b AS (SELECT doc_id, section, text, CASE WHEN text = '' THEN 0.0 ELSE confidence
 
 
 def recognised(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     i = F.col("doc_id")
     section = F.when(i % 3 == 0, "single").when(i % 3 == 1, "left").otherwise("right")
     e = d.select("doc_id", section.alias("section"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("  ")), " ")).alias("at", "text"))
