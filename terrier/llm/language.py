@@ -197,7 +197,9 @@ def sampled(docs: DataFrame, text: str, lang: str, rows: int) -> DataFrame:
     picked = likely.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("doc_id", "lang")
     labelled = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
     # at most rows x MOST_LANGUAGES ids
-    return labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")
+    found = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").filter("text is not null")
+    # an id that many rows share counts once
+    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def trained(labelled: DataFrame, order: int = ORDER) -> Model:
