@@ -12,8 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]"
-
 
 def job_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
