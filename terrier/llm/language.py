@@ -7,7 +7,8 @@ whole text has the shortest exact code wins.
 
 The trees of all languages are merged into one table for each order: for a (context, byte) that any language has
 seen, the code lengths in all languages, escapes included. A byte is looked up in the longest order first, so most
-bytes cost one lookup.
+bytes cost one lookup. Many languages are merged ``GROUP`` by ``GROUP``, so that tables grow with the languages
+and not with their square; a language's code doesn't depend on which others it is merged with.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,10 +29,12 @@ from terrier.llm.shared import blobs, flat, runs_of_rows, stored
 ORDER = 4
 #: Most labelled rows of a language that the trees are counted on; which ones, a hash of doc_id decides.
 SAMPLE_ROWS = 400
-#: Most languages that are learned, the most frequent first.
-MOST_LANGUAGES = 200
-#: Most rows of all languages together: with more languages than ten, each has fewer.
-SAMPLE_TOTAL = 4_000
+#: Rows of all languages together: with more languages than ten, each has fewer, but ``LEAST_ROWS`` or what it has.
+SAMPLE_TOTAL, LEAST_ROWS = 4_000, 20
+#: Languages whose trees are merged into one table, and groups that a worker holds at once.
+GROUP, HELD_GROUPS = 8, 4
+#: Sampled ids up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
 RUN_BYTES = 2 << 20
 #: Code lengths (bytes times languages) that are held at once.
 STEP_CELLS = 8 << 20
@@ -180,6 +184,36 @@ class Model:
         return cost
 
 
+class Models:
+    """The models of all languages, a broadcast for each group of them in order of name."""
+
+    def __init__(self, languages: list[str], groups: list[Broadcast]):
+        self.languages, self.groups = languages, groups
+
+    def each(self) -> Iterator[Model]:
+        for group in self.groups:
+            yield group.value
+            if len(self.groups) > HELD_GROUPS:
+                group.__dict__.pop("_value", None)  # else the worker would keep all groups; it is read again from its file
+
+    def code_lengths(self, data: np.ndarray, starts: np.ndarray, step: int = STEP_CELLS) -> np.ndarray:
+        """Bits of each row in each language."""
+        return np.concatenate([np.zeros((len(starts) - 1, 0)), *[m.code_lengths(data, starts, step) for m in self.each()]], axis=1)
+
+    def best(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language of the shortest code of each row, its bits and its share of probability; groups are summed up one by one."""
+        rows = len(starts) - 1
+        at, least, total, first = np.zeros(rows, np.int64), np.full(rows, np.inf), np.zeros(rows), 0
+        for model in self.each():
+            bits = model.code_lengths(data, starts)
+            own = bits.min(axis=1)
+            at = np.where(own < least, first + bits.argmin(axis=1), at)
+            now = np.minimum(least, own)
+            total = total * np.exp2(np.maximum(now - least, -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(axis=1)
+            least, first = now, first + len(model.languages)
+        return at, least, 1 / total
+
+
 def sampled(docs: DataFrame, text: str, lang: str, rows: int) -> DataFrame:
     """Up to ``rows`` labelled rows of each language, those of smallest hash; ids first, then the texts of these ids.
 
@@ -187,59 +221,63 @@ def sampled(docs: DataFrame, text: str, lang: str, rows: int) -> DataFrame:
     in one place, however many the language has.
     """
     ids = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h")).distinct()
-    counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    rows = min(rows, max(20, SAMPLE_TOTAL // max(len(counts), 1)))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, (2 * rows + 100) / r["count"])).otherwise(share)
-    likely = ids.filter(F.pmod("h", F.lit(1 << 32)) < share * float(1 << 32))
+    counts = stored(ids.groupBy("lang").count(), "languages")
+    n_languages = counts.count()
+    rows = min(rows, max(LEAST_ROWS, SAMPLE_TOTAL // max(n_languages, 1)))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(2 * rows + 100) / F.col("count")).alias("share"))
+    likely = ids.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 32)) < F.col("share") * float(1 << 32)).select("doc_id", "lang", "h")
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "doc_id")
     picked = likely.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("doc_id", "lang")
     labelled = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # at most rows x MOST_LANGUAGES ids
-    found = labelled.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").filter("text is not null")
+    few = rows * n_languages <= BROADCAST_IDS
+    found = labelled.join(F.broadcast(picked) if few else picked, ["doc_id", "lang"], "left_semi").filter("text is not null")
     # an id that many rows share counts once
     return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
-def trained(labelled: DataFrame, order: int = ORDER) -> Model:
-    """The model of rows (text, lang): byte runs are counted in tasks and summed by key; the driver gets the sums of the bounded sample."""
-    few = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r.lang for r in few.collect())
+def trained(labelled: DataFrame, order: int = ORDER) -> Models:
+    """The models of rows (text, lang): byte runs are counted in tasks and summed by key; the driver gets the sums of one group of languages at a time."""
+    spark = labelled.sparkSession
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    place = spark.sparkContext.broadcast({lang: i for i, lang in enumerate(languages)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = blobs(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
+            texts, langs = blobs(batch.column(0)), np.array([place.value[x] for x in batch.column(1).to_pylist()], np.int32)
             for lang in np.unique(langs):
                 own = texts.take(pa.array(np.flatnonzero(langs == lang)))
                 for a, b in runs_of_rows(own, RUN_BYTES):
                     data, starts = seen(own.slice(a, b - a))
                     for k in range(order + 1):
                         keys, n = np.unique(grams(data, starts, k + 1)[0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "run", "n"])
-
-    summed = labelled.select("text", "lang").mapInArrow(count, "lang string, k int, run long, n long").groupBy("lang", "k", "run").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()
-    counts = {}
-    for i, lang in enumerate(languages):
-        for k in range(order + 1):
-            own = got[(got["lang"] == lang) & (got["k"] == k)]
-            keys = own["run"].to_numpy(np.int64).view(np.uint64)
-            sort = np.argsort(keys)
-            counts[i, k] = keys[sort], own["n"].to_numpy(np.int64)[sort]
-    return Model(languages, counts, order)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "run", "n"])
+
+    summed = labelled.select("text", "lang").mapInArrow(count, "lang int, k int, run long, n long").groupBy("lang", "k", "run").agg(F.sum("n").alias("n"))
+    if len(languages) > GROUP:
+        summed = stored(summed, "runs")
+    groups = []
+    for first in range(0, len(languages), GROUP):
+        names = languages[first : first + GROUP]
+        got = summed.filter(F.col("lang").between(first, first + len(names) - 1)).toPandas()
+        counts = {}
+        for i in range(len(names)):
+            for k in range(order + 1):
+                own = got[(got["lang"] == first + i) & (got["k"] == k)]
+                keys = own["run"].to_numpy(np.int64).view(np.uint64)
+                sort = np.argsort(keys)
+                counts[i, k] = keys[sort], own["n"].to_numpy(np.int64)[sort]
+        groups.append(spark.sparkContext.broadcast(Model(names, counts, order)))
+    return Models(languages, groups)
 
 
 def has_letter(body: bytes) -> bool:
     return bool(_LETTER.search(body.decode(errors="replace")))
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predicted(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
     """doc (the columns of ``docs`` in a struct), lang_pred, score and bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         names = [*model.languages, UNKNOWN]
         for batch in batches:
             texts, langs, scores, rates = blobs(batch.column(0).field(text)), [], [], []
@@ -250,10 +288,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 plain = np.diff(lettered) > 0
                 ok = plain | np.array([not p and has_letter(run[i].as_py()) for i, p in enumerate(plain)], bool)
                 if model.languages:
-                    bits = model.code_lengths(data, starts)
-                    best = bits.argmin(axis=1)
-                    least = bits.min(axis=1)
-                    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+                    best, least, score = model.best(data, starts)
                     rate = least / np.maximum(np.diff(starts) - 1, 1)
                 else:
                     best, score, rate, ok = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a), np.zeros(b - a, bool)
@@ -272,8 +307,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def model_of(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """The model learned from ``docs``, only from rows that are not held out and have a text and a language."""
+def model_of(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Models:
+    """The models learned from ``docs``, only from rows that are not held out and have a text and a language."""
     return trained(stored(sampled(docs.filter(~held_out(F.col("doc_id"))), text, lang, rows), "sample"))
 
 

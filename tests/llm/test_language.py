@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -86,3 +87,22 @@ def test_odd_rows_and_empty_tables(spark):
     assert language.languages(spark.createDataFrame([], schema)).count() == 0
     unlabelled = language.languages(spark.createDataFrame([(1, "the cat", None, "")], schema)).collect()
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(210):
+        letters = [chr(0x4E00 + 40 * i + j) for j in range(12)]  # each language has letters of its own
+        text = lambda: " ".join("".join(rng.choices(letters, k=4)) for _ in range(12))
+        rows += [(1000 * i + j, text(), f"l{i:03}") for j in range(8 if i < 200 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.languages(docs).collect()}
+    assert len(got) == len(rows)
+    assert [i for i, _, lang in rows if got[i].lang_pred != lang] == []
+    # groups summed up one by one agree with all code lengths at once
+    model = language.trained(docs.select("text", "lang"))
+    data, starts = language.seen(pa.array([t.encode() for _, t, _ in rows[::100]], pa.large_binary()))
+    bits, (best, least, score) = model.code_lengths(data, starts), model.best(data, starts)
+    assert len(model.languages) == bits.shape[1] == 210 and list(best) == list(bits.argmin(axis=1)) and list(least) == list(bits.min(axis=1))
+    assert list(score) == pytest.approx([1 / sum(2 ** max(min(b) - x, -1000) for x in b) for b in bits.tolist()])
