@@ -7,18 +7,19 @@ histogram to tell isn't judged by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrier.llm.shared import stored
 
-# Common function words of the languages, the most frequent first; other languages get five of each.
+# Common function words of four languages, the most frequent first; other languages get their own most frequent ones from the documents.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "was", "on", "with", "as", "by", "be", "this", "are", "at", "from"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour", "est", "par", "qui", "dans", "avec", "sur", "pas", "au"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "nicht", "dem", "ein", "eine", "als"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "no", "su", "una", "para", "es", "al", "lo"],
 }
+#: The list for other languages in the SQL, which knows no list from the documents.
 OTHER_WORDS = list(dict.fromkeys(w for k in range(8) for ws in COMMON_WORDS.values() for w in ws[k : k + 1]))[:20]
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,6 +32,8 @@ MIN_WORDS, MOST_REPEATED = 50, 50
 #: Distances above which a document is dropped, and the fewest words for the histogram to be held against it.
 MOST_CLASS_DISTANCE, LEAST_WORDS_FOR_CLASSES = 0.35, 50
 MOST_WORD_DISTANCE, LEAST_WORDS_FOR_WORDS = 0.3, 100
+#: Languages without a fixed list up to which their words are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 
 def _shares(counts: Column) -> Column:
@@ -49,11 +52,32 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms (lists of counts) of every row."""
+def in_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """doc_id, lang, text and its words."""
     d = docs.select("doc_id", F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.select("doc_id", "lang", "text", F.split(F.btrim("text", F.lit(SPACES)), r"[\x20\x09-\x0D]+").alias("words"))
-    d = d.select("doc_id", "lang", "text", F.when(F.element_at("words", 1) == "", F.array().cast("array<string>")).otherwise(F.col("words")).alias("words"))
+    return d.select("doc_id", "lang", "text", F.when(F.element_at("words", 1) == "", F.array().cast("array<string>")).otherwise(F.col("words")).alias("words"))
+
+
+def learned_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """_lang and learned, the most frequent words over all its rows, of each language without a fixed list (null is one); ties by code points."""
+    other = F.coalesce(~F.col(lang).isin(list(COMMON_WORDS)), F.lit(True))
+    counts = in_words(docs.filter(other), text, lang).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
+    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    top = counts.withColumn("n", F.row_number().over(order)).filter(F.col("n") < N_WORDS)
+    return top.groupBy(F.col("lang").alias("_lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("learned"))
+
+
+def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """doc_id, lang, the base counts and the two histograms (lists of counts) of every row."""
+    learned = stored(learned_words(docs, text, lang), "words")
+    n_learned = learned.count()
+    d = in_words(docs, text, lang)
+    if n_learned:
+        few = n_learned <= BROADCAST_LANGUAGES
+        d = d.join(F.broadcast(learned) if few else learned, d["lang"].eqNullSafe(learned["_lang"]), "left").drop("_lang")
+    else:
+        d = d.withColumn("learned", F.lit(None).cast("array<string>"))
     # what is left of the words' characters after each class
     d = d.withColumn("left0", F.array_join("words", ""))
     for i, c in enumerate(CLASSES):
@@ -61,7 +85,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     sizes = [F.length(f"left{i}") for i in range(N_CLASSES)]
     classes = F.array(*[(sizes[i] - sizes[i + 1]).cast("double") for i in range(N_CLASSES - 1)], sizes[-1].cast("double"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws} | set(OTHER_WORDS))
+    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     windows = F.when(
         F.size("words") >= 3,
         F.transform(F.expr("slice(words, 1, size(words) - 2)"), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))),
@@ -74,13 +98,15 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
         (sizes[SYMBOLS_AT] - sizes[SYMBOLS_AT + 1]).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         classes.alias("classes"),
-        F.filter("words", lambda w: w.isin(every)).alias("common"),
+        F.when(F.col("learned").isNull(), F.filter("words", lambda w: w.isin(every))).otherwise(F.filter("words", lambda w: F.array_contains("learned", w))).alias("common"),
+        "learned",
         windows.alias("windows"),
     )
     lists = F.lit(None).cast("array<string>")
     for k, ws in COMMON_WORDS.items():
         lists = F.when(F.col("lang") == k, F.array(*map(F.lit, ws))).otherwise(lists)
-    listed = F.coalesce(lists, F.array(*map(F.lit, OTHER_WORDS)))
+    # a language without words has no list
+    listed = F.coalesce(lists, F.col("learned"), F.array().cast("array<string>"))
     d = d.select(
         "doc_id",
         "lang",
@@ -100,7 +126,8 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     reach = F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.lit(3)), F.lit(3)))
     repeated = F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
     counts = F.transform("listed", lambda k: (F.size("common") - F.size(F.array_remove("common", k))).cast("double"))
-    d = d.withColumn("counts", counts)
+    # a language may have fewer words than the list has places
+    d = d.withColumn("counts", F.concat(counts, F.array_repeat(F.lit(0.0), F.lit(N_WORDS - 1) - F.size("listed"))))
     rest = F.col("n_words") - F.aggregate("counts", F.lit(0.0), lambda s, x: s + x)
     return d.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "classes", F.concat("counts", F.array(rest)).alias("commons"))
 

@@ -70,3 +70,22 @@ def test_given_tables_against_sql_and_labels(spark):
 
 def test_empty_table(spark):
     assert q.quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_other_languages_have_their_own_words(spark):
+    common = "и в не на я быть он с что а по это она этот к но они мы весь который".split()
+    good = lambda i: " ".join(common[(i + j // 2) % 20] if j % 2 else f"слово{(7 * i + j) % 90}" for j in range(200))
+    junk = " ".join(f"слово{j}" for j in range(200))
+    rows = [(100 * k + i, good(i), lang) for k, lang in enumerate(("ru", None)) for i in range(60)]
+    rows += [(901, junk, "ru"), (902, junk, None), (903, "раз два", "xx"), (904, None, "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in q.quality(docs).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, r in got.items() if not r.kept} == {901, 902, 903, 904}
+    assert min(got[i].word_distance for i in (901, 902)) > q.MOST_WORD_DISTANCE
+    assert not got[901].base_failed and got[903].word_distance == got[904].word_distance == 0
+    for k, lang in ((901, "ru"), (902, None)):
+        own = [t.split() for _, t, x in rows if x == lang]
+        top = [w for w, _ in sorted(Counter(w for t in own for w in t).items(), key=lambda x: (-x[1], x[0]))[:20]]
+        lists = [[t.count(w) for w in top] + [sum(w not in top for w in t)] for t in own]
+        assert got[k].word_distance == pytest.approx(plain_distance(lists[-1], [sum(x) for x in zip(*lists, strict=True)]), abs=1e-4)
