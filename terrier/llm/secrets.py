@@ -1,7 +1,7 @@
 """Secret scans: a character convolutional network over every candidate and what surrounds it.
 
-Base patterns find assignments, access keys and hexadecimal runs. Candidates are these and every other long token
-with a digit. The network reads windows of bytes: 24 before the candidate, then 40 from it, and for a longer one
+Base patterns find assignments, access keys and hexadecimal runs. Candidates are these and every long token
+that isn't all within one of them. The network reads windows of bytes: 24 before the candidate, then 40 from it, and for a longer one
 more windows that cover all of it; a candidate's score is that of its likeliest window. It is trained in numpy
 on labelled findings (a bounded sample), calibrated on a part that was held out, and its threshold is the
 largest that still recalls ``RECALL`` of that part's secrets. What it accepts is added to the base spans.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ def _class(spec: str) -> np.ndarray:
 
 
 _TOKEN, _HEX, _UPPER, _DIGIT = _class("[A-Za-z0-9+/_.=-]"), _class("[0-9a-f]"), _class("[A-Z0-9]"), _class("[0-9]")
-_LETTER = _class("[A-Za-z]")
+_LETTER, _LOWER, _CAPITAL = _class("[A-Za-z]"), _class("[a-z]"), _class("[A-Z]")
 
 
 def _runs(inside: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +71,26 @@ def _windows(data: np.ndarray, lo: int, hi: int, start: int, end: int) -> bytes:
 
 
 def scanned(column: pa.LargeBinaryArray) -> list[list[tuple[int, int, int, bytes, int]]]:
-    """For each row its findings (start, kind, end, windows, label), sorted: kind 0 to 2 base, 3 another candidate, 4 only an example
-    of a harmless token; label 1 a secret, 0 harmless, -1 unknown. Places are code points."""
+    """For each row its findings (start, kind, end, windows, label), sorted: kind 0 to 2 base, 3 another candidate;
+    label 1 a secret, 0 harmless, -1 unknown. Places are code points."""
     data, offsets = flat(column)
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     digits, letters = np.concatenate(([0], np.cumsum(_DIGIT[data]))), np.concatenate(([0], np.cumsum(_LETTER[data])))
+    inner_capital = np.zeros(len(data), bool)
+    inner_capital[1:] = _CAPITAL[data[1:]] & _LETTER[data[:-1]]
+    lowers, capitals = np.concatenate(([0], np.cumsum(_LOWER[data]))), np.concatenate(([0], np.cumsum(inner_capital)))
     cuts, found = offsets[1:-1], [[] for _ in range(len(column))]
 
-    def note(row, start, kind, end, inner):
+    def note(row, start, kind, end, inner, example=False):
         lo, hi = int(offsets[row]), int(offsets[row + 1])
         a, b = inner
         d, c = digits[b] - digits[a], letters[b] - letters[a]
-        label = int(d > 0 and c > 0) if kind < 3 else 0
-        if kind == 3 and data[max(a - 1, lo)] != 64:
-            label = -1
+        # capitals within lower case: a random key, or only a name in code
+        mixed = d == 0 and lowers[b] > lowers[a] and capitals[b] > capitals[a + 1]
+        if kind < 3:
+            label = 1 if d > 0 and c > 0 else -1 if mixed else 0
+        else:
+            label = 0 if (data[max(a - 1, lo)] == 64 if d else example and not mixed) else -1
         if kind == 2 and label == 1 and b - a < 32:
             label = -1
         found[row].append((int(start), int(end), kind, _windows(data, lo, hi, a, b), label))
@@ -109,11 +116,13 @@ def scanned(column: pa.LargeBinaryArray) -> list[list[tuple[int, int, int, bytes
                     o = int(offsets[row])
                     note(row, o + m.start(), 0, o + m.end(), (o + m.start(2), o + m.end(2)))
     starts, ends = _runs(_TOKEN[data], cuts, 16)
-    some = digits[ends] > digits[starts]
-    example = ~some & (points[starts] % 61 == 0)
-    for row, a, b, is_candidate in zip(rows_of(starts)[some | example], starts[some | example].tolist(), ends[some | example].tolist(), some[some | example], strict=True):
-        if not any(a < e and s < b for s, e, k, _, _ in found[row] if k < 3):
-            note(row, a, 3 if is_candidate else 4, b, (a, b))
+    base = [sorted((s, e) for s, e, *_ in own) for own in found]
+    reach = [np.maximum.accumulate([e for _, e in own]) if own else () for own in base]
+    examples = points[starts] % 61 == 0
+    for row, a, b, example in zip(rows_of(starts), starts.tolist(), ends.tolist(), examples.tolist(), strict=True):
+        within = bisect_right(base[row], (a, len(data))) - 1
+        if within < 0 or reach[row][within] < b:
+            note(row, a, 3, b, (a, b), example)
     out = []
     for row, own in enumerate(found):
         zero = points[offsets[row]]
@@ -221,6 +230,22 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
+def without_digits(windows: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Copies of the windows in whose candidate capitals stand within lower case, with a letter for each digit of the candidate and nothing around it:
+    a random key may have no digit, and nothing outside an assignment announces it."""
+    at = np.arange(WINDOW)
+    x = windows[:, 1:]
+    inside = (at >= BEFORE) & (at < BEFORE + windows[:, :1].astype(np.int64))
+    inner = inside[:, 1:] & inside[:, :-1] & _CAPITAL[x[:, 1:]] & _LETTER[x[:, :-1]]
+    mixed = inner.any(axis=1) & (inside & _LOWER[x]).any(axis=1)
+    out = windows[mixed].copy()
+    out[:, 1:][~inside[mixed]] = 0
+    digit = inside[mixed] & _DIGIT[out[:, 1:]]
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)
+    out[:, 1:][digit] = np.random.default_rng(seed).choice(letters, int(digit.sum()))
+    return out
+
+
 def trained(findings: DataFrame, sample: int = SAMPLE) -> Network:
     """The network for rows (doc_id, start, windows, label); it accepts nothing where one of the labels is missing."""
     net, x, y = Network(), [], []
@@ -232,8 +257,12 @@ def trained(findings: DataFrame, sample: int = SAMPLE) -> Network:
     held = np.arange(len(y)) % 4 == 0
     if min((y[part] == label).sum() for part in (held, ~held) for label in (0, 1)) == 0:
         return net
-    net.fit(x[~held], y[~held])
-    net.calibrate(net.raw(x[held]), y[held])
+    parts = []
+    for part in (~held, held):
+        more = without_digits(x[part][y[part] == 1])
+        parts.append((np.concatenate((x[part], more)), np.concatenate((y[part], np.ones(len(more), y.dtype)))))
+    net.fit(*parts[0])
+    net.calibrate(net.raw(parts[1][0]), parts[1][1])
     return net
 
 
@@ -245,7 +274,7 @@ def secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFr
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_confirmed (base spans the network accepts) of every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind; those the network adds are last by kind.
-    Labelled findings are the base spans, secrets if letters and digits mix in them, and as harmless ones long words and hosts behind an @. Null and
+    Labelled findings are the base spans, secrets if letters and digits mix in them, and as harmless ones long words and hosts behind an @; letters in mixed case are neither. Null and
     empty texts have no span; repeated rows are judged alike; an empty table gives no row; other columns are ignored.
     """
     rows = stored(found_in(docs, text), "found")
@@ -253,7 +282,7 @@ def secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFr
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[f for f in fs if f["kind"] < 4] for fs in batch.column(1).to_pylist()]
+            own = batch.column(1).to_pylist()
             counts, windows = [], []
             for fs in own:
                 for f in fs:

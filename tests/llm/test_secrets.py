@@ -76,3 +76,20 @@ def test_gradients_and_recall():
     net.calibrate(net.raw(x[1::2]), y[1::2])
     p = net.chance(net.raw(x[1::2]))
     assert ((p >= net.threshold) == y[1::2]).mean() > 0.95
+
+
+def test_every_long_token_is_scored(spark):
+    key = "qWzXvBnMkLpOiUyTrEwQ"
+    text = f"see {key} and 0123456789abcdef_{key} or password={key} of unquestionablynesses"
+    got = secrets.scanned(pa.array([text.encode()], pa.large_binary()))[0]
+    spans = [(text[a:b], k) for a, k, b, _, _ in got]
+    assert spans == [(key, 3), ("0123456789abcdef", 2), (f"0123456789abcdef_{key}", 3), (f"password={key}", 0), ("unquestionablynesses", 3)]
+    assert [y for _, k, _, _, y in got if k == 0] == [-1] and got[0][4] == -1
+    rng = random.Random(6)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(i, f"a password: {pick(both + '0123456789', 24)} here, token = {pick('0123456789abcdef', 40)}") for i in range(150)]
+    rows += [(1000 + i, f"of {pick('abcdefghijklmnopqrstuvwxyz', 20)} words {pick('abcdefghijklmnopqrstuvwxyz', 9)}-{pick('abcdefghijklmnopqrstuvwxyz', 9)}") for i in range(8000)]
+    rows += [(10000 + i, f"key {pick(both, 24)} given") for i in range(20)]
+    found = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("network:4:28" in found[10000 + i] for i in range(20)) >= 15
