@@ -93,3 +93,11 @@ def test_every_long_token_is_scored(spark):
     rows += [(10000 + i, f"key {pick(both, 24)} given") for i in range(20)]
     found = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("network:4:28" in found[10000 + i] for i in range(20)) >= 15
+
+
+def test_examples_do_not_depend_on_neighbouring_rows():
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(16)) for _ in range(3)).encode() for _ in range(400)]
+    together = secrets.scanned(pa.array(texts, pa.large_binary()))
+    assert together == [secrets.scanned(pa.array([t], pa.large_binary()))[0] for t in texts]
+    assert 5 <= sum(f[4] == 0 for own in together for f in own) <= 50
