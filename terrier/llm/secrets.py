@@ -216,7 +216,7 @@ class Network:
                     self.p[k] = self.p[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt's sigmoid on held-out scores; the threshold is the largest that recalls ``recall`` of the secrets, one half at least."""
+        """Platt's sigmoid on held-out scores; the threshold is the largest that recalls ``recall`` of the secrets."""
         soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -226,7 +226,7 @@ class Network:
             a, b = (a, b) - np.linalg.solve(hessian, [(e * z).sum(), e.sum()])
         self.slope, self.shift = float(a), float(b)
         held = np.sort(self.chance(z[y == 1]))
-        self.threshold = max(0.5, float(held[int(np.floor((1 - recall) * len(held)))]))
+        self.threshold = float(held[int(np.floor((1 - recall) * len(held)))])
 
     def chance(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))

@@ -101,3 +101,11 @@ def test_examples_do_not_depend_on_neighbouring_rows():
     together = secrets.scanned(pa.array(texts, pa.large_binary()))
     assert together == [secrets.scanned(pa.array([t], pa.large_binary()))[0] for t in texts]
     assert 5 <= sum(f[4] == 0 for own in together for f in own) <= 50
+
+
+def test_threshold_recalls_even_where_scores_overlap():
+    rng = np.random.default_rng(1)
+    z, y = np.concatenate((rng.normal(0.3, 1, 500), rng.normal(0, 1, 500))), np.repeat([1, 0], 500)
+    net = secrets.Network()
+    net.calibrate(z, y)
+    assert (net.chance(z[y == 1]) >= net.threshold).mean() >= secrets.RECALL
