@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from terrier.functions.values import NOT_FOLDED, ZEROS
 
-#: What Python calls white space; Java's \\s under (?U) lacks four of them.
-SPACE = r"\s\x1c-\x1f"
+#: What Python calls white space.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 EDGES = " :|-—=ঃ"
 
@@ -72,7 +72,7 @@ def unless_empty(value: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_edges(text: Column) -> Column:

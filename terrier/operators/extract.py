@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrier.functions.areas import parse_area
 from terrier.functions.dates import parse_date
-from terrier.functions.text import SPACE, decomposed, first_of, fold_numerals, folded, let, lines, literal_list, normalise_indic, strip_edges, unless_empty
+from terrier.functions.text import WHITE, decomposed, first_of, fold_numerals, folded, let, lines, literal_list, normalise_indic, strip_edges, unless_empty
 from terrier.functions.values import ANCHORS, AREA_HINTS, GUARDIANS, NOT_NUMBERS
 
 ENGINE = "terrier_rules"
@@ -52,8 +52,10 @@ def value_after(x: Column, anchors: Column) -> Column:
 
     def behind(t: Column) -> Column:
         rest = strip_edges(F.substring(x["line"], F.instr(x["low"], t) + F.length(t), F.length(x["line"])))
-        rest = F.regexp_replace(rest, rf"(?U)^[:|\-—={SPACE}ঃ]+", "")
-        return strip_edges(F.regexp_replace(rest, r"(?s)[|\n;].*$", ""))
+        rest = F.ltrim(rest, F.lit(":|-—=ঃ" + WHITE))
+        for end in "|\n;":
+            rest = F.substring_index(rest, end, 1)
+        return strip_edges(rest)
 
     return first_of(anchors, "string", lambda t: F.when(F.contains(x["low"], t), unless_empty(behind(t))))
 
@@ -157,7 +159,8 @@ def certificates(df: DataFrame, key: str, text: str = "raw_text", lang: Column |
     state, district = state if state is not None else none, district if district is not None else none
     kind = F.coalesce(document_type if document_type is not None else none, F.lit("other"))
     ocr = F.coalesce(ocr_confidence if ocr_confidence is not None else F.lit(None).cast("double"), F.lit(80.0)).cast("double")
-    ents = F.col(entities) if entities else F.lit(None).cast("array<struct<text:string,label:string,confidence:double>>")
+    # an empty text has an empty certificate, whatever a model says of it
+    ents = F.when(F.length(text) > 0, F.col(entities)) if entities else F.lit(None).cast("array<struct<text:string,label:string,confidence:double>>")
     d = df.select(F.col(key).alias("key"), F.col(text).alias("text"), lang.alias("lang"), script.alias("script"), state.alias("state"), district.alias("district"), kind.alias("kind"), ocr.alias("ocr"), ents.alias("ents"))
     d = d.withColumn("lines", lines(normalise_indic(F.coalesce("text", F.lit("")), F.col("lang"))))
     d = first_in_lines(d, F.col("state"), lexicon)

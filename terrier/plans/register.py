@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrier.functions.text import chunks, lines, megabytes, title_from_filename, type_label
+from terrier.functions.text import chunks, decompose, lines, megabytes, title_from_filename, type_label
 from terrier.operators import catalog
 from terrier.plans.registry import query, table
-from terrier.sources.uploads import accepted_type
+from terrier.sources.uploads import accepted_type, stored_name, table_schema
 
 TYPES = ["sale_deed", "patta", "mutation", "encumbrance", "gift_deed", "lease", "survey_map", "other"]
 STATUSES = ["PENDING", "PROCESSING", "DIGITIZED", "FAILED"]
@@ -59,13 +59,48 @@ def doc_point_lookup(spark, sf_dir):
     return catalog.one(register(spark, sf_dir), 42).select("id", "title", "original_filename", "ocr_confidence")
 
 
+def _labelled(spark, sf_dir):
+    """Labels as changes, two of each: a first one, and a later one that must win."""
+    p = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return p.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("at"))
+
+
 @query(f"""WITH {REGISTER}, p AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
-SELECT id, title, CASE WHEN toxic IS NULL THEN status WHEN toxic = 1 THEN 'FAILED' ELSE status END AS status, CASE WHEN toxic IS NULL THEN district ELSE NULL END AS district, CASE WHEN quality IS NULL THEN state WHEN toxic = 1 THEN 'Q' || quality ELSE state END AS state FROM r LEFT JOIN p ON id = doc_id""")
+SELECT id, title, CASE WHEN toxic IS NULL THEN status WHEN toxic = 1 THEN 'FAILED' ELSE status END AS status, CASE WHEN toxic IS NULL THEN district ELSE NULL END AS district, CASE WHEN quality IS NULL THEN state WHEN toxic = 1 THEN 'Q' || quality ELSE state END AS state, toxic IS NOT NULL AS touched FROM r LEFT JOIN p ON id = doc_id""")
 def doc_patch(spark, sf_dir):
-    p = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    fields = F.when(F.col("toxic") == 1, F.array(F.lit("status"), F.lit("district"), F.lit("state"))).otherwise(F.array(F.lit("district")))
-    p = p.select("id", fields.alias("set_fields"), F.lit("FAILED").alias("status"), F.lit(None).cast("string").alias("district"), F.concat(F.lit("Q"), F.col("quality")).alias("state"), F.lit("unset").alias("title"))
-    return catalog.patched(register(spark, sf_dir), p).select("id", "title", "status", "district", "state")
+    fields = F.when(F.col("at") == 1, F.array(F.lit("title"), F.lit("status"))).when(F.col("toxic") == 1, F.array(F.lit("status"), F.lit("district"), F.lit("state"))).otherwise(F.array(F.lit("district")))
+    p = _labelled(spark, sf_dir).select("id", "at", fields.alias("set_fields"), F.when(F.col("at") == 2, "FAILED").otherwise("first").alias("status"), F.lit(None).cast("string").alias("district"), F.concat(F.lit("Q"), F.col("quality")).alias("state"), F.lit("unset").alias("title"))
+    r = register(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    return catalog.patched(r, p).select("id", "title", "status", "district", "state", (F.col("updated_at") > F.col("created_at")).alias("touched"))
+
+
+@query(f"WITH {REGISTER} SELECT id, CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'PROCESSING' ELSE status END AS status FROM r")
+def doc_start(spark, sf_dir):
+    return catalog.started(register(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))).select("id", "status")
+
+
+@query(f"WITH {REGISTER} SELECT id, title FROM r WHERE coalesce(title, original_filename, parcel_identifier, district, raw_text) IS NOT NULL")
+def doc_search_blank(spark, sf_dir):
+    return catalog.search(register(spark, sf_dir), "ALL", "ALL", " \t ").select("id", "title")
+
+
+@query(f"""WITH {REGISTER} SELECT id, title, original_filename, CAST(NULL AS VARCHAR) AS file_name, file_path, CAST(NULL AS BIGINT) AS file_size, CAST(NULL AS VARCHAR) AS mime_type, document_type, parcel_identifier, district, state, status, processed_file_path,
+CAST(NULL AS VARCHAR) AS detected_language, CAST(NULL AS VARCHAR) AS detected_script, raw_text, ocr_confidence, CAST('7/' || id AS VARCHAR) AS survey, strftime(TIMESTAMP '2024-01-01' + to_hours(hour), '%Y-%m-%d %H') AS created, true AS never_updated, CAST(20 AS BIGINT) AS n_columns FROM r""")
+def doc_rows(spark, sf_dir):
+    """Rows as a list answers with them; of the certificate, the survey number."""
+    survey = F.struct(F.concat(F.lit("7/"), F.col("id")).alias("value"))
+    r = register(spark, sf_dir)
+    made = F.from_json(F.to_json(F.struct(survey.alias("survey_number"))), table_schema()["extracted_data"].dataType)
+    d = catalog.rows(r.withColumn("extracted_data", made))
+    n = len(d.columns)
+    return d.select(*[c for c in d.columns if c not in ("extracted_data", "created_at", "updated_at")], F.col("extracted_data.survey_number.value").alias("survey"), F.date_format("created_at", "yyyy-MM-dd HH").alias("created"), F.col("updated_at").isNull().alias("never_updated"), F.lit(n).cast("long").alias("n_columns"))
+
+
+@query(f"""WITH {REGISTER} SELECT id, CASE WHEN id % 3 = 0 THEN 'V' || id ELSE '—' END AS village, CASE WHEN id % 2 = 0 THEN 'D' || id WHEN coalesce(district, '') <> '' THEN district ELSE '—' END AS district, CASE WHEN id % 5 <> 0 THEN 'Goa' ELSE '—' END AS state FROM r""")
+def preview_location(spark, sf_dir):
+    i, none = F.col("id"), F.lit(None).cast("string")
+    r = register(spark, sf_dir)
+    return r.select("id", catalog.location_label(F.when(i % 3 == 0, F.concat(F.lit("V"), i))).alias("village"), catalog.location_label(F.when(i % 2 == 0, F.concat(F.lit("D"), i)).otherwise(""), F.col("district")).alias("district"), catalog.location_label(none, F.col("state")).alias("state"))
 
 
 @query(f"WITH {REGISTER} SELECT id, title FROM r WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
@@ -76,8 +111,8 @@ def doc_delete(spark, sf_dir):
 @query(f"""WITH {REGISTER}, p AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
 SELECT id, CASE WHEN quality IS NULL THEN status WHEN toxic = 1 OR quality = 0 THEN 'FAILED' ELSE 'DIGITIZED' END AS status, CASE WHEN toxic = 0 AND quality = 0 THEN 0 WHEN toxic = 0 THEN 4 ELSE length(raw_text) END AS n FROM r LEFT JOIN p ON id = doc_id""")
 def doc_write_back(spark, sf_dir):
-    p = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    p = p.select("id", F.when(F.col("toxic") == 1, "no text").alias("error"), F.when(F.col("quality") == 1, "read").otherwise("").alias("raw_text"))
+    first = F.col("at") == 1
+    p = _labelled(spark, sf_dir).select("id", "at", F.when(first | (F.col("toxic") == 1), "no text").alias("error"), F.when(first, "too early").when(F.col("quality") == 1, "read").otherwise("").alias("raw_text"))
     return catalog.written_back(register(spark, sf_dir), p).select("id", "status", F.length("raw_text").cast("long").alias("n"))
 
 
@@ -132,14 +167,28 @@ def upload_validate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", accepted_type(mime, name).alias("accepted"), title_from_filename(name).alias("title"))
 
 
-@query("""WITH u AS (SELECT p_partkey, p_name, p_size FROM part) SELECT 1000000 + p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || '.pdf' END AS title, 'patta' AS document_type, 'PENDING' AS status, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Pune' END AS district FROM u
+@query("""WITH u AS (SELECT p_partkey, p_name, p_size FROM part) SELECT 1000000 + p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_name WHEN 2 THEN p_name || chr(9) || 'x' ELSE p_name || '.pdf' END AS title, 'patta' AS document_type, 'PENDING' AS status, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Pune' END AS district FROM u
 UNION ALL SELECT doc_id, 'Doc ' || doc_id, (['sale_deed', 'patta', 'mutation', 'encumbrance', 'gift_deed', 'lease', 'survey_map', 'other'])[doc_id % 8 + 1], (['PENDING', 'PROCESSING', 'DIGITIZED', 'FAILED'])[doc_id % 4 + 1], lang FROM documents""")
 def doc_insert(spark, sf_dir):
     size, none = F.col("p_size"), F.lit(None).cast("string")
-    new = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000).alias("id"), F.when(size % 2 == 0, F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))).otherwise(" ").alias("title"), F.concat("p_name", F.lit(".pdf")).alias("original_filename"), F.lit("PATTA").alias("document_type"), none.alias("parcel_identifier"), F.when(size % 3 == 0, "").when(size % 3 == 1, "   ").otherwise(" Pune ").alias("district"), none.alias("state"))
+    title = F.when(size % 4 == 0, F.concat(F.lit("  "), F.col("p_name"), F.lit("\n"))).when(size % 4 == 2, F.concat(F.lit("\t\u3000"), F.col("p_name"), F.lit("\tx\r\n"))).when(size % 4 == 1, "\t\n ").otherwise("")
+    new = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000).alias("id"), title.alias("title"), F.concat("p_name", F.lit(".pdf")).alias("original_filename"), F.lit("PATTA").alias("document_type"), none.alias("parcel_identifier"), F.when(size % 3 == 0, "").when(size % 3 == 1, " \n\t ").otherwise("\tPune \n").alias("district"), none.alias("state"))
     return catalog.inserted(register(spark, sf_dir), new).select("id", "title", "document_type", "status", "district")
 
 
+@query("""SELECT event_id, sha256(event_type || event_id) || CASE event_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.png' ELSE '' END AS file_name FROM events""")
+def upload_stored_name(spark, sf_dir):
+    k = F.col("event_id") % 4
+    content = F.concat("event_type", F.col("event_id")).cast("binary")
+    mime, name = F.when(k == 0, "application/pdf").when(k == 2, "image/png").otherwise("text/plain"), F.when(k == 1, "scan.v2.JPEG").otherwise("scan")
+    return table(spark, sf_dir, "events").select("event_id", stored_name(F.sha2(content, 256), mime, name).alias("file_name"))
+
+
+@query("""SELECT c_custkey, 'a' || chr(2479) || chr(2492) || c_name || chr(2465) || chr(2492) || chr(2325) || chr(2364) || 'é' AS text FROM customer""")
+def nukta_decompose(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", decompose(F.concat(F.lit("a\u09df"), F.col("c_name"), F.lit("\u09dc\u0958é"))).alias("text"))
+
+
 @query("""WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS i FROM documents) SELECT doc_id, CAST(i // 500 AS INT) AS n, substring(text, i + 1, 500) AS chunk FROM c""")
 def text_chunks_500(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("n", "chunk"))

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrier.functions.values import FILE_TYPES, MOST_FILE_BYTES, OTHER_EXTENSIONS
 
-TABLE_SCHEMA = """id BIGINT, title STRING, original_filename STRING, file_name STRING, file_path STRING, file_size BIGINT, mime_type STRING, document_type STRING,
+#: What a certificate holds, as ``operators.extract.certificates`` makes it.
+CERTIFICATE = """STRUCT<owners: ARRAY<STRUCT<name: STRING, relation: STRING, guardian_name: STRING, raw: STRING, confidence: DOUBLE>>,
+survey_number: STRUCT<value: STRING, raw: STRING, confidence: DOUBLE, source: STRING>, khata_number: STRUCT<value: STRING, raw: STRING, confidence: DOUBLE, source: STRING>,
+area_extent: STRUCT<raw: STRING, value: DOUBLE, unit: STRING, sq_meters: DOUBLE, confidence: DOUBLE>,
+registration_date: STRUCT<value: STRING, raw: STRING, confidence: DOUBLE>, issue_date: STRUCT<value: STRING, raw: STRING, confidence: DOUBLE>,
+location: STRUCT<village: STRING, district: STRING, state: STRING>, document_type: STRING, detected_language: STRING, detected_script: STRING,
+overall_confidence: DOUBLE, verification_status: STRING, extraction_engine: STRING>"""
+TABLE_SCHEMA = f"""id BIGINT, title STRING, original_filename STRING, file_name STRING, file_path STRING, file_size BIGINT, mime_type STRING, document_type STRING,
 parcel_identifier STRING, district STRING, state STRING, status STRING, processed_file_path STRING, detected_language STRING, detected_script STRING, raw_text STRING,
-ocr_confidence DOUBLE, created_at TIMESTAMP, updated_at TIMESTAMP"""
+ocr_confidence DOUBLE, extracted_data {CERTIFICATE}, created_at TIMESTAMP, updated_at TIMESTAMP"""
+
+
+def table_schema() -> StructType:
+    return StructType.fromDDL(TABLE_SCHEMA)
 
 
 def extension(name: Column) -> Column:

@@ -140,3 +140,62 @@ def test_arrivals(spark):
     df = spark.createDataFrame(rows, "id long, status string, at string").withColumn("arrived", F.to_timestamp("at"))
     got = {(str(r.window.start.date()), r.status): r.n for r in ingest.arrivals(df).collect()}
     assert got == {("2024-01-01", "DIGITIZED"): 2, ("2024-01-02", "FAILED"): 1}
+
+
+def test_inserts_strip_all_white_space_and_starts_take_keys(spark):
+    docs = register(spark)
+    up = spark.createDataFrame([(10, "\t\n", "a.pdf", "PATTA", "\u3000", "", None), (11, "\tP1\n", "b.pdf", "Lease", None, "\tX\r", "S")], "id long, title string, original_filename string, document_type string, parcel_identifier string, district string, state string")
+    got = {r.id: r for r in catalog.inserted(docs, up).collect()}
+    assert (got[10].title, got[10].parcel_identifier, got[10].district, got[10].status) == ("a.pdf", "", None, "PENDING")
+    assert (got[11].title, got[11].district, got[11].document_type) == ("P1", "X", "lease")
+    keys = spark.createDataFrame([(1,), (1,), (None,), (77,)], "id long")
+    assert {r.id: r.status for r in catalog.started(docs, keys).collect()} == {i: "PROCESSING" if i == 1 else "PENDING" for i in range(6)}
+    assert catalog.started(docs, keys, auto_process=False) is docs
+
+
+def test_of_several_changes_the_last_counts(spark):
+    docs = register(spark)
+    patch = spark.createDataFrame([(1, ["title"], "late", 5), (1, ["title"], "early", 1), (2, ["title"], "a", 3), (2, ["title"], "b", 3)], "id long, set_fields array<string>, title string, at int")
+    got = {r.id: r.title for r in catalog.patched(docs, patch).collect()}
+    assert len(got) == 6 and catalog.patched(docs, patch).count() == 6 and (got[1], got[2]) == ("late", "b")
+    result = spark.createDataFrame([(0, "x", None, 1), (0, "", None, 2), (3, "t", None, 9), (3, "t", "broke", 1)], "id long, raw_text string, error string, at int")
+    back = catalog.written_back(docs, result)
+    assert back.count() == 6 and {r.id: r.status for r in back.collect() if r.id in (0, 3)} == {0: "FAILED", 3: "DIGITIZED"}
+
+
+def test_rows_have_the_columns_of_the_table(spark):
+    d = catalog.rows(register(spark))
+    assert d.columns == uploads.table_schema().names and len(d.columns) == 20
+    made = certificates(spark.createDataFrame([(1, "Survey No: 5")], "id long, raw_text string"), "id").select("certificate").schema[0].dataType
+    assert made.simpleString() == uploads.table_schema()["extracted_data"].dataType.simpleString()
+
+
+def test_table_is_made_and_dropped(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS t_deeds LOCATION 'file://{tmp_path}/db'")
+    uploads.create_table(spark, "t_deeds.documents")
+    uploads.create_table(spark, "t_deeds.documents")
+    assert spark.table("t_deeds.documents").columns == uploads.table_schema().names
+    uploads.drop_table(spark, "t_deeds.documents")
+    assert not spark.catalog.tableExists("t_deeds.documents")
+    spark.sql("DROP DATABASE t_deeds")
+
+
+def test_blank_words_are_any_white_space(spark):
+    w = spark.createDataFrame([(1, "single", 4, 0, i, t, 90.0) for i, t in enumerate(["a", "\t", " b\n", "\u3000", None, "c"])], "doc_id int, section string, psm int, psm_ord int, i int, text string, conf double")
+    assert words.passes(w).first().text == "a\nb\nc"
+
+
+def test_pages_take_their_own_sections_and_modes(spark):
+    rows = [(1, "left", 4, 0, "short", 50.0), (1, "left", 6, 0, "longer text", 60.0), (1, "left", 11, 0, "a mode that left has not, though longer", 99.0), (1, "right", 11, 0, "right text", 80.0), (1, "single", 4, 0, "not asked for at all", 10.0), (2, "single", 4, 0, "one", 70.0), (2, "left", 4, 0, "no", 70.0)]
+    w = spark.createDataFrame(rows, "doc_id long, section string, psm int, i int, text string, conf double")
+    pages = spark.createDataFrame([(1, 2, None), (2, 1, "Kerala"), (3, 2, "")], "doc_id long, columns int, state string")
+    got = {r.doc_id: tuple(r)[1:] for r in words.recognised(w, pages).collect()}
+    left, right = words.SECTIONS.values()
+    assert got[1] == (f"{left}\nlonger text\n\n{right}\nright text", 70.0, "en", "Latin", "English")
+    assert got[2] == ("one", 70.0, "en", "Latin", "English (Malayalam Jurisdiction)") and got[3] == ("", 0.0, "en", "Latin", "English")
+
+
+def test_entities_of_an_empty_text_are_left_out(spark):
+    ents = "array(named_struct('text', 'Asha', 'label', 'PER', 'confidence', 0.9D))"
+    df = spark.createDataFrame([(1, ""), (2, None)], "id int, raw_text string").withColumn("ents", F.expr(ents))
+    assert all(r.certificate.owners == [] for r in certificates(df, "id", entities="ents").collect())
