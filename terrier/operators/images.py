@@ -104,6 +104,53 @@ def laid_out(images: DataFrame) -> DataFrame:
     return staged(images, work, "id long, regions array<struct<region_type:string,bbox:array<int>,ord:int>>")
 
 
+#: The steps of a page's clean-up in their order, each with the name that is noted where it was applied.
+STEPS = ("resize", "stamps", "illumination", "denoise", "contrast", "skew", "borders", "binarize")
+#: How applied steps are called; a page is always loaded and brought to size.
+STEP_NAMES = {"illumination": "illumination_normalization", "denoise": "bilateral_denoise", "contrast": "clahe_contrast_enhancement", "borders": "scanner_border_cleaning", "binarize": "otsu_binarization"}
+LEAST_SKEW = 0.2
+
+
+def cleaned(page: np.ndarray, plugged: dict[str, Callable], wanted: tuple[str, ...] = STEPS) -> tuple[np.ndarray, int, float, list[str]]:
+    """(page, stamps, skew angle, names of the applied steps) after the steps of ``wanted``, in the order of ``STEPS``.
+
+    ``plugged`` has the functions of steps that need an image library: page to page, but ``stamps`` gives a number, ``skew`` an
+    angle and ``deskew`` (page, angle) a page. A step without its function is left out and not noted; size and borders need none.
+    """
+    stamps, angle, names = 0, 0.0, ["load_and_rasterize"]
+    for step in (s for s in STEPS if s in wanted or s == "resize"):
+        if step == "resize":
+            page = shrunk(page)
+            names.append("dimension_normalization")
+        elif step == "borders":
+            page = margins_whitened(page)
+            names.append(STEP_NAMES[step])
+        elif step == "stamps" and step in plugged:
+            stamps = int(plugged[step](page))
+            names += [f"detected_{stamps}_stamps"] * (stamps > 0)
+        elif step == "skew" and step in plugged:
+            angle = float(plugged[step](page))
+            if abs(angle) >= LEAST_SKEW and "deskew" in plugged:
+                page = plugged["deskew"](page, angle)
+                names.append(f"deskew_{angle:.2f}deg")
+        elif step in plugged:
+            page = plugged[step](page)
+            names.append(STEP_NAMES[step])
+    return page, stamps, angle, names
+
+
+def processed(images: DataFrame, plugged: dict[str, Callable] | None = None, wanted: tuple[str, ...] = STEPS) -> DataFrame:
+    """(id, height, width, content, stamps, skew_angle, applied_steps, error) of rows (id, height, width, content): the cleaned pages as a
+    column of bytes, to be written as a table beside the originals. A page that can't be read keeps its id and says why."""
+
+    def work(row: pd.Series) -> dict:
+        page = np.frombuffer(row["content"], np.uint8).reshape(row["height"], row["width"])
+        page, stamps, angle, names = cleaned(page, plugged or {}, wanted)
+        return {"id": row["id"], "height": page.shape[0], "width": page.shape[1], "content": np.ascontiguousarray(page).tobytes(), "stamps": stamps, "skew_angle": angle, "applied_steps": names}
+
+    return staged(images, work, "id long, height int, width int, content binary, stamps int, skew_angle double, applied_steps array<string>")
+
+
 def with_entities(docs: DataFrame, text: str, model: Callable[[], Callable[[str], list[dict]]], column: str = "entities") -> DataFrame:
     """``docs`` with the entities (text, label, confidence) that a model finds in chunks of 500 characters.
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrier.functions.scripts import with_language
+from terrier.functions.text import strip
+
 #: The headers of the two columns' sections.
 SECTIONS = {"left": "--- REGISTRATION ENDORSEMENT ---", "right": "--- PROPERTY SCHEDULE & DEED BODY ---"}
+#: The recogniser's modes for each section, in the order in which they are tried.
+MODES = {"left": (4, 6), "right": (4, 6, 11), "single": (4, 6, 11)}
 
 
 def passes(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "section", "psm", "psm_ord")) -> DataFrame:
@@ -16,7 +21,7 @@ def passes(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "section", "psm"
     feeds; confidence is the mean of what was kept, to 2 places, 0 if nothing was.
     """
     order = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clean = F.trim(F.coalesce("text", F.lit("")))
+    clean = strip(F.coalesce("text", F.lit("")))
     placed = words.select(*keys, "i", "conf", clean.alias("word")).withColumn("line", F.sum(F.when(F.col("word") == "", 1).otherwise(0)).over(order))
     kept = (F.col("word") != "") & (F.col("conf") > 0)
     lines = placed.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(F.when(kept, F.struct("i", "word")))).alias("ws"), F.sum(F.when(kept, F.col("conf"))).alias("c"), F.count_if(kept).alias("n"))
@@ -42,3 +47,22 @@ def documents(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     full = F.col("text") != ""
     out = sections.groupBy(key).agg(F.sort_array(F.collect_list(F.when(full, F.struct(rank.alias("r"), body.alias("t"))))).alias("s"), F.avg(F.when(full, F.col("confidence"))).alias("c"))
     return out.select(key, F.array_join(F.transform("s", lambda x: x["t"]), "\n\n").alias("text"), F.coalesce(F.round("c", 2), F.lit(0.0)).alias("confidence"))
+
+
+def recognised(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, text, confidence, language_code, script, language_name) of every row of ``pages`` (doc_id, columns, state).
+
+    ``words`` (doc_id, section, psm, i, text, conf) are what a recogniser read. A page of two columns or more takes its sections
+    left and right, any other one its section single; each section takes the modes of ``MODES`` and the best of them. Words of
+    other sections and modes are left out. A page without words has an empty text, confidence 0 and English.
+    """
+    order = F.lit(None).cast("int")
+    for section, modes in MODES.items():
+        for at, psm in enumerate(modes):
+            order = F.when((F.col("section") == section) & (F.col("psm") == psm), at).otherwise(order)
+    asked = F.when(F.col("columns") >= 2, F.col("section").isin("left", "right")).otherwise(F.col("section") == "single")
+    own = words.withColumn("psm_ord", order).filter("psm_ord is not null").join(pages.select("doc_id", "columns"), "doc_id").filter(asked)
+    texts = documents(best_passes(passes(own)))
+    whole = pages.select("doc_id", "state").join(texts, "doc_id", "left").withColumns({"text": F.coalesce("text", F.lit("")), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    told = with_language(whole.withColumnRenamed("confidence", "_ocr"), "text", "state")
+    return told.select("doc_id", "text", F.col("_ocr").alias("confidence"), "language_code", "script", "language_name")

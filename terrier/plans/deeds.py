@@ -123,6 +123,50 @@ def anchor_village(spark, sf_dir):
     return found.select("k.c_custkey", F.col("certificate.location.village").alias("village"), F.col("certificate.location.district").alias("district"))
 
 
+def _case(key, cases):
+    """The text of the case that the key picks."""
+    return F.element_at(F.array(*[F.lit(c[0]) for c in cases]), (key % len(cases) + 1).cast("int"))
+
+
+def _want(key: str, values: list) -> str:
+    return f"([{', '.join('NULL' if v is None else repr(v) for v in values)}])[{key} % {len(values)} + 1]"
+
+
+#: Texts at the edges of dates, and what must be read: blank, out of range, no calendar, the last year of several, a month inside a word.
+DATE_CASES = [("", None, None), (" \t", None, None), (None, None, None), ("31/02/2010", "31/02/2010", "2010-02-31"), ("32/01/2010", "32/01/2010", None), ("45/45/2010 or 3 march 2011", "45/45/2010 or 3 march 2011", "2011-03-03"), ("7/8/20101", "7/8/20101", "2010-08-07"), ("1/2/1799", "1/2/1799", None), ("28th march, 2001", "28th march, 2001", "2001-03-28"), ("in 1950, 5th may; copy of 1999", "in 1950, 5th may; copy of 1999", "1999-05-05"), ("40 march 2001, 4 may 2002", "40 march 2001, 4 may 2002", "2002-05-04"), ("no date 12", "no date 12", None)]
+
+
+@query(f"SELECT c_custkey, {_want('c_custkey', [c[1] for c in DATE_CASES])} AS raw, {_want('c_custkey', [c[2] for c in DATE_CASES])} AS iso FROM customer")
+def date_edge_cases(spark, sf_dir):
+    d = parse_date(_case(F.col("c_custkey"), DATE_CASES))
+    return table(spark, sf_dir, "customer").select("c_custkey", d["raw"].alias("raw"), d["iso"].alias("iso"))
+
+
+#: Texts at the edges of areas in the default table: no unit, no number, a unit's word inside a longer one, a thousands separator, nothing but zero.
+AREA_CASES = [("12.5 of land", 12.5, "Unspecified Unit", None), ("no number", None, "Unspecified", None), ("5 century", 5.0, "cent", 202.35), ("1,200 acre", 200.0, "acre", 809372.0), ("0 acre", 0.0, "acre", None), ("3 are", 3.0, "are", 3.0), ("", None, None, None)]
+
+
+@query(f"SELECT c_custkey, {_want('c_custkey', [c[1] for c in AREA_CASES])}::DOUBLE AS area_value, {_want('c_custkey', [c[2] for c in AREA_CASES])} AS area_unit, {_want('c_custkey', [c[3] for c in AREA_CASES])}::DOUBLE AS sq_meters FROM customer")
+def area_edge_cases(spark, sf_dir):
+    a = parse_area(_case(F.col("c_custkey"), AREA_CASES), F.lit("Karnataka"))
+    return table(spark, sf_dir, "customer").select("c_custkey", a["value"].alias("area_value"), a["unit"].alias("area_unit"), a["sq_meters"].alias("sq_meters"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Clerk ' || o_custkey WHEN 1 THEN 'Entity ' || o_custkey END AS owner, CASE o_orderkey % 4 WHEN 0 THEN 'Pattadar / Khatedar' WHEN 1 THEN 'Named Person / Party' END AS relation,
+CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS issued, CASE o_orderkey % 4 WHEN 0 THEN 'Town ' || o_custkey WHEN 1 THEN 'Place ' || o_custkey END AS village, o_orderkey % 4 < 2 AS located, CASE WHEN o_orderkey % 4 < 2 THEN 'bn' ELSE 'en' END AS lang_read, 'patta' AS kind FROM orders""")
+def certificate_edge_cases(spark, sf_dir):
+    """An issue date beside a registration date, entities where lines have nothing, and texts that are empty or null."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    full = F.concat(F.lit("Owner Name: Clerk "), c, F.lit("\nMouza: Town "), c, F.lit("\nDated: 1/1/1990\nIssue Date: "), F.date_format("o_orderdate", "d.M.yyyy"), F.lit(" | office"))
+    text = F.when(k == 0, full).when(k == 1, "plain words of nothing").when(k == 2, "")
+    entity = lambda t, label, n: F.struct(F.concat(F.lit(t), c).alias("text"), F.lit(label).alias("label"), F.lit(n).alias("confidence"))
+    found = F.array(entity("Org ", "ORG", 0.99), entity("Entity ", "PER", 0.9), entity("Other ", "PER", 0.95), entity("Place ", "LOC", 0.8))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("raw_text"), found.alias("found"))
+    got = certificates(o, "o_orderkey", lang=F.lit("bn"), script=F.lit("Bengali"), document_type=F.lit("patta"), entities="found")
+    x, owner = F.col("certificate"), F.get("certificate.owners", 0)
+    return got.select("o_orderkey", owner["name"].alias("owner"), owner["relation"].alias("relation"), x["issue_date"]["value"].alias("issued"), x["location"]["village"].alias("village"), x["location"].isNotNull().alias("located"), x["detected_language"].alias("lang_read"), x["document_type"].alias("kind"))
+
+
 def _script_sql(text: str) -> str:
     counts = {s: f"length(regexp_replace({text}, '[^\\x{{{lo:04x}}}-\\x{{{hi:04x}}}]', '', 'g'))" if s != "Latin" else f"length(regexp_replace({text}, '[^A-Za-z]', '', 'g'))" for s, (lo, hi, _, _) in SCRIPTS.items()}
     names = ", ".join(f"{c} AS n{i}" for i, c in enumerate(counts.values()))
@@ -151,6 +195,15 @@ def script_detect_indic(spark, sf_dir):
     return with_script(table(spark, sf_dir, "customer").select("c_custkey", text.alias("t")), "t").select("c_custkey", "script", "lang", "script_confidence")
 
 
+#: Digits and full stops of a script count as its letters; others don't.
+DIGIT_CASES = [("১২৩", "Bengali"), ("१२ ab", "Devanagari"), ("12345 !?", "Latin"), ("।।", "Devanagari"), ("abcdefghijklmnopq ১", "Latin"), ("٣٤٥٦٧", "Urdu_Arabic")]
+
+
+@query(f"SELECT c_custkey, {_want('c_custkey', [c[1] for c in DIGIT_CASES])} AS script FROM customer")
+def script_of_digits(spark, sf_dir):
+    return with_script(table(spark, sf_dir, "customer").select("c_custkey", _case(F.col("c_custkey"), DIGIT_CASES).alias("t")), "t").select("c_custkey", "script")
+
+
 #: States as people write them, and the language that must be found (None: none).
 SAID = [("West Bengal", "bn", "Bengali"), (" KARNATAKA ", "kn", "Kannada"), ("New Delhi", "hi", "Hindi"), ("a", "kn", "Kannada"), ("  ", "kn", "Kannada"), ("", None, None), ("Kerala State", "ml", "Malayalam"), ("goa", "kok", "Konkani"), ("pradesh", "te", "Telugu"), ("Atlantis", None, None), ("Bihar", "hi", "Hindi"), ("Maharashtra", "mr", "Marathi")]
 

@@ -44,3 +44,18 @@ def test_entities(spark):
         raise OSError("no model")
 
     assert all(r.entities == [] for r in images.with_entities(df, "t", broken).collect())
+
+
+def test_steps_run_in_order_and_are_noted(spark):
+    p = page()
+    p[:8] = 0
+    plugged = {"binarize": lambda x: np.where(x > 128, 255, 0).astype(np.uint8), "skew": lambda x: 1.5, "deskew": lambda x, a: x.T, "stamps": lambda x: 2, "contrast": lambda x: x}
+    made, stamps, angle, names = images.cleaned(p, plugged)
+    assert names == ["load_and_rasterize", "dimension_normalization", "detected_2_stamps", "clahe_contrast_enhancement", "deskew_1.50deg", "scanner_border_cleaning", "otsu_binarization"]
+    assert (stamps, angle, made.shape) == (2, 1.5, (300, 400)) and set(np.unique(made)) == {0, 255}
+    assert images.cleaned(p, plugged | {"skew": lambda x: 0.1}, ("skew",))[3] == ["load_and_rasterize", "dimension_normalization"]
+    rows = [(1, 400, 300, p.tobytes()), (2, 9, 9, b"short")]
+    got = {r.id: r for r in images.processed(spark.createDataFrame(rows, "id long, height int, width int, content binary")).collect()}
+    assert (got[1].height, got[1].width, len(got[1].content), got[1].error) == (400, 300, 120_000, None)
+    assert got[1].applied_steps[-1] == "scanner_border_cleaning" and bytes(got[1].content[:300]) == b"\xff" * 300
+    assert "ValueError" in got[2].error and got[2].applied_steps is None
