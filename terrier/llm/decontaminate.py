@@ -1,13 +1,15 @@
 """Benchmark decontamination by suffix arrays over training shards.
 
-Every shard of training text (a bounded run of rows inside a task) gets a suffix array over its words. All
-suffixes of the test items are binary-searched in it: the range of a suffix's first ``WINDOW`` words gives
-every verbatim occurrence and its place, the neighbours of the insertion point give the longest match. The
-test side goes to the tasks in blocks of at most ``BLOCK_BYTES``, one pass for each block; hits are carried along
-with the row, so any number of blocks needs no shuffle.
-
-A suffix of a shard is in its array only if its first words are those of some test suffix (three words, or all of a
-shorter item): no other can hold a window, and an array then holds a small part of the words.
+Every shard of training text (a bounded run of rows inside a task) gets a suffix array over all its words, made by prefix
+doubling: suffixes in the order of their words, told apart to the length of the longest test item. The windows of the test
+items are binary-searched in it, each distinct one once: the range of suffixes that begin with a window is every place where it
+stands word for word. A test suffix whose window stands in the shard is then searched at its full length; the neighbours of
+the place where it belongs share most words with it, which gives its longest verbatim match and where that is.
+
+A row goes to its shard once and brings back its hits, so the training side is never shuffled. The test side is dealt into
+blocks of at most ``BLOCK_BYTES`` by a global prefix sum of sizes; a block is broadcast for one pass. One block, the usual case,
+is a single pass; with more, each pass writes the rows it hit and its broadcast is dropped, so neither the driver nor a worker
+ever holds two blocks.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from terrier.llm.shared import blobs, flat, runs_of_rows
+from terrier.llm.prefix import with_prefix
+from terrier.llm.shared import blobs, flat, runs_of_rows, stored
 
 WINDOW = 10
-SEED_WORDS = 3
 #: Bytes of test text that one pass broadcasts.
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
@@ -34,8 +37,13 @@ _WORD = np.ones(256, bool)
 _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
+#: A row's longest match: words, the place in the row, the item and the place in the item; null where nothing is hit.
+MATCH = "struct<words:long,word:long,item:string,item_word:long>"
+_MATCH = pa.struct([("words", pa.int64()), ("word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
@@ -43,13 +51,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _P, np.uint64))
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
 
 
 class Words:
-    """The words of a run of texts: lower-cased bytes, starts, ends, the row of each, and a 64-bit hash of each."""
+    """The words of a run of texts: lower-cased bytes, starts, ends, the row of each, a 64-bit hash of each and of any run of them."""
 
     def __init__(self, column: pa.LargeBinaryArray):
         data, offsets = flat(column)
@@ -67,237 +75,348 @@ class Words:
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         self.first = np.searchsorted(self.row, np.arange(len(offsets) - 1))
         self.count = np.diff(np.append(self.first, len(self.starts)))
+        #: Words from each word to the end of its row.
+        self.left = (self.first + self.count)[self.row] - np.arange(len(self.row))
         sizes = self.ends - self.starts
         self.hash = np.zeros(len(sizes), np.uint64)
         if len(sizes):
             with np.errstate(over="ignore"):
                 at = np.arange(len(data)) - np.repeat(np.append(0, self.starts), np.diff(np.concatenate(([0], self.starts, [len(data)]))))
                 at[~inside[:-1]] = 0
-                part = (self.data.astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()) + 1)[at]
+                part = (self.data.astype(np.uint64) + np.uint64(1)) * _powers(_P, int(sizes.max()) + 1)[1:][at]
                 part[~inside[:-1]] = 0
                 self.hash = _mixed(np.add.reduceat(part, self.starts))
 
-    def left(self) -> np.ndarray:
-        """Words from each word to the end of its row."""
-        return (self.first + self.count)[self.row] - np.arange(len(self.row))
+    def runs(self) -> None:
+        """Sums from which the hash of any run of words follows; made when the first search asks for it."""
+        if not hasattr(self, "sums"):
+            with np.errstate(over="ignore"):
+                self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash * _powers(_P, len(self.hash))[:-1])))
+                self.back = _powers(_P_INVERSE, len(self.hash))
+
+    def run(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[at + n] - self.sums[at]) * self.back[at]
 
     def text(self, at: int, n: int) -> bytes:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[at : at + n], self.ends[at : at + n], strict=True))
 
 
-def _seed(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            out = _mixed(out * _P + words[at + k] + np.uint64(n))
-    return out
-
-
 class TestSuffixes:
     """The suffixes of a block of test items, as a search needs them."""
 
-    def __init__(self, ids: list[str], texts: list[bytes], window: int = WINDOW):
+    def __init__(self, ids: list[str | None], texts: list[bytes], window: int = WINDOW):
         self.ids = ids
         self.words = w = Words(pa.array(texts, pa.large_binary()))
-        left = w.left()
+        w.runs()
         whole = w.count[w.row] < window
         #: Only a suffix that holds a window is searched: of an item shorter than a window, the item itself.
-        self.at = np.flatnonzero(np.where(whole, left == w.count[w.row], left >= window)) if len(left) else np.zeros(0, np.int64)
-        self.size = np.minimum(left[self.at], window)
+        self.at = np.flatnonzero(np.where(whole, w.left == w.count[w.row], w.left >= window))
+        self.size = np.minimum(w.left[self.at], window)
         self.item = w.row[self.at]
-        padded = np.append(w.hash, np.zeros(window, np.uint64))
-        self.keys = np.stack([np.where(k < self.size, padded[self.at + k], np.uint64(0)) for k in range(window)], axis=1) if len(self.at) else np.zeros((0, window), np.uint64)
-        #: Of test suffixes with the same window, the first stands for all.
-        _, self.same = np.unique(np.column_stack((self.keys, self.size.astype(np.uint64))), axis=0, return_inverse=True)
-        self.seeds = {n: np.unique(_seed(padded, self.at[np.minimum(self.size, SEED_WORDS) == n], n)) for n in range(1, SEED_WORDS + 1)}
+        #: Equal windows are searched once: ``one`` is a suffix for each, ``members`` by ``bounds`` the suffixes that begin with it.
+        keys = np.stack((w.run(self.at, self.size), self.size.astype(np.uint64)), axis=1)
+        _, self.one, same = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+        same = same.reshape(-1)
+        self.members = np.argsort(same, kind="stable")
+        self.bounds = np.searchsorted(same[self.members], np.arange(len(self.one) + 1))
+        #: Equal suffixes stand for each other; the first by item and place is searched.
+        ends = np.stack((w.run(self.at, w.left[self.at]), w.left[self.at].astype(np.uint64)), axis=1)
+        self.whole = np.sort(np.unique(ends, axis=0, return_index=True)[1])
+        self.longest = int(w.left[self.at].max()) if len(self.at) else 0
         self.window = window
+        #: The suffixes in the order of their words, and which of them is preferred: by item (one without an id last), then by place.
+        array = suffix_array(w, self.longest + 1)
+        self.array = array[np.isin(array, self.at)]
+        by_id = sorted(range(len(self.at)), key=lambda s: (ids[self.item[s]] is None, ids[self.item[s]] or "", self.at[s] - w.first[self.item[s]]))
+        self.rank = np.empty(len(self.at), np.int64)
+        self.rank[by_id] = np.arange(len(self.at))
+        self._texts: dict[int, bytes] = {}
+
+    def window_text(self, suffix: int) -> bytes:
+        if suffix not in self._texts:
+            self._texts[suffix] = self.words.text(int(self.at[suffix]), int(self.size[suffix]))
+        return self._texts[suffix]
+
 
+def suffix_array(words: Words, depth: int) -> np.ndarray:
+    """Places of all suffixes of a shard in the order of their first ``depth`` words (by hash; the end of a row comes first).
 
-def _filter(seeds: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << 20, bool)
-    bits[(seeds >> np.uint64(44)).astype(np.int64)] = True
-    return bits
+    Prefix doubling: suffixes are ranked by one word, two, four and so on; a round sorts only those that still tie.
+    """
+    n = len(words.hash)
+    _, rank = np.unique(words.hash, return_inverse=True)
+    order = np.argsort(rank, kind="stable")
+    new = np.append(True, rank[order][1:] != rank[order][:-1])[:n]
+    step, open_ = 1, np.arange(n)
+    while True:
+        leads = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rank[order[open_]] = open_[leads]
+        open_ = open_[~(new & np.append(new[1:], True)[: len(new)])]
+        if step >= depth or not len(open_):
+            return order
+        at = order[open_]
+        after = np.where(words.left[at] > step, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + after
+        sort = np.argsort(key, kind="stable")
+        key = key[sort]
+        order[open_] = at[sort]
+        new = np.append(True, key[1:] != key[:-1])
+        step *= 2
+
+
+def common(words: Words, place: np.ndarray, tests: Words, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words, up to ``most``, the suffixes of the shard share with test suffixes; by halving on the hashes of runs."""
+    most = np.minimum(most, words.left[place])
+    lo, hi = np.zeros(len(place), np.int64), most.copy()
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_] + 1) >> 1
+        same = words.run(place[open_], mid) == tests.run(at[open_], mid)
+        lo[open_[same]] = mid[same]
+        hi[open_[~same]] = mid[~same] - 1
+    return lo
+
+
+def bound(words: Words, array: np.ndarray, tests: Words, at: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search for each test suffix of ``size`` words between ``lo`` and ``hi`` of the array: the first place of what isn't less, or with ``after`` of what is greater."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) >> 1
+        place, own, n = array[mid], at[open_], size[open_]
+        k = common(words, place, tests, own, n)
+        ended = k >= words.left[place]
+        less = ended | (words.hash[np.where(ended, 0, place + k)] < tests.hash[np.minimum(own + k, len(tests.hash) - 1)])
+        less = np.where(k == n, after, less)
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+    return lo
 
 
-def suffix_array(words: Words, tests: TestSuffixes) -> np.ndarray:
-    """Places of the shard's suffixes that can hold a window, in the order of their first ``window`` words (by hash; the end of a row comes first)."""
-    left, padded, found = words.left(), np.append(words.hash, np.zeros(tests.window, np.uint64)), []
-    for n, seeds in tests.seeds.items():
-        if len(seeds) and len(left):
-            at = np.flatnonzero(left >= n)
-            own = _seed(padded, at, n)
-            maybe = _filter(seeds)[(own >> np.uint64(44)).astype(np.int64)]
-            at, own = at[maybe], own[maybe]
-            place = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
-            found.append(at[seeds[place] == own])
-    at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return at[np.lexsort([_word_at(words, at, left, k) for k in reversed(range(tests.window))])] if len(at) else at
+def search(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shard's suffix array, and for each distinct window the range of the suffixes that begin with it."""
+    n, t = len(words.hash), tests.words
+    if not n or not len(tests.one):
+        return np.zeros(0, np.int64), np.zeros(len(tests.one), np.int64), np.zeros(len(tests.one), np.int64)
+    words.runs()
+    array = suffix_array(words, tests.longest)
+    at, size = tests.at[tests.one], tests.size[tests.one]
+    # suffixes that begin with one word stand together: a window is searched among those of its first
+    heads = words.hash[array]
+    lo, hi = np.searchsorted(heads, t.hash[at]), np.searchsorted(heads, t.hash[at], side="right")
+    low = bound(words, array, t, at, size, lo, hi, False)
+    near = np.flatnonzero(low < hi)
+    near = near[common(words, array[low[near]], t, at[near], size[near]) == size[near]]
+    high = low.copy()
+    high[near] = bound(words, array, t, at[near], size[near], low[near], hi[near], True)
+    return array, low, high
+
+
+def occurrences(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The array, and (window, place) of each verbatim occurrence of a distinct window; equal hashes are held against the texts."""
+    array, low, high = search(words, tests)
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    place = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if n.sum() else np.zeros(0, np.int64)
+    true = np.fromiter((words.text(p, int(tests.size[s])) == tests.window_text(s) for s, p in zip(tests.one[which].tolist(), place.tolist(), strict=True)), bool, len(place))
+    return array, which[true], place[true]
+
+
+def longest(words: Words, tests: TestSuffixes, array: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(test suffix, words, place) of the longest verbatim match of each distinct test suffix whose window is among ``found``: that of the array's neighbour which shares most."""
+    hit = np.zeros(len(tests.at), bool)
+    for w in np.unique(found).tolist():
+        hit[tests.members[tests.bounds[w] : tests.bounds[w + 1]]] = True
+    own = tests.whole[hit[tests.whole]]
+    at, t = tests.at[own], tests.words
+    n = t.left[at]
+    to = bound(words, array, t, at, n, np.zeros(len(own), np.int64), np.full(len(own), len(array)), False)
+    sides = [array[np.clip(to + d, 0, len(array) - 1)] for d in (-1, 0)]
+    shared = [common(words, p, t, at, n) for p in sides]
+    right = shared[1] >= shared[0]
+    return own, np.where(right, shared[1], shared[0]), np.where(right, sides[1], sides[0])
+
+
+def best_matches(words: Words, tests: TestSuffixes, which: np.ndarray, place: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """For each row hit its longest match: (place, words, test suffix). A place is looked up among the test suffixes, whose neighbour shares most with it."""
+    t, n = tests.words, tests.size[tests.one[which]]
+    spots, at = np.unique(place, return_inverse=True)
+    whole = np.zeros(len(spots), np.int64)
+    np.maximum.at(whole, at, n)  # the longest window at the place, a short item among them
+    left = words.left[spots]
+    to = bound(t, tests.array, words, spots, left, np.zeros(len(spots), np.int64), np.full(len(spots), len(tests.array)), False)
+    shared = np.maximum(*[common(t, tests.array[np.clip(to + d, 0, len(tests.array) - 1)], words, spots, left) for d in (-1, 0)])
+    size = np.where(shared >= tests.window, shared, whole)
+    order = np.lexsort((spots, -size, words.row[spots]))
+    lead = order[np.unique(words.row[spots][order], return_index=True)[1]]
+    windows = {}
+    for k, (i, w) in enumerate(zip(at.tolist(), which.tolist(), strict=True)):
+        if n[k] == min(size[i], tests.window):
+            windows[i] = w
+    out = {}
+    for i in lead.tolist():
+        own = tests.members[tests.bounds[windows[i]] : tests.bounds[windows[i] + 1]]
+        own = own[common(t, tests.at[own], words, np.full(len(own), spots[i]), np.full(len(own), left[i])) >= size[i]]
+        out[int(words.row[spots[i]])] = (int(spots[i]), int(size[i]), int(own[tests.rank[own].argmin()]))
+    return out
 
 
-def _word_at(words: Words, at: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
-    return np.where(left[at] > k, words.hash[np.minimum(at + k, len(words.hash) - 1)], np.uint64(0))
+def shard_hits(column: pa.LargeBinaryArray, tests: TestSuffixes) -> list[tuple[int, bytes | None, list[str | None], dict | None]]:
+    """For each row of a shard: words, a bit for each word that a window covers (null: none), the items with a window in it, and its longest match.
 
+    A row's longest match is the longest run of words, a window at least, that it shares with an item; of several, the first in
+    the row, then that with the first item by id (one without an id last), then the first in the item.
+    """
+    words = Words(column)
+    _, which, place = occurrences(words, tests)
+    step = np.zeros(len(words.hash) + 1, np.int64)
+    np.add.at(step, place, 1)
+    np.add.at(step, place + tests.size[tests.one[which]], -1)
+    hit = np.cumsum(step[:-1]) > 0
+    best = best_matches(words, tests, which, place) if len(place) else {}
+    pairs = np.unique(np.stack((words.row[place], which)), axis=1)
+    edges = np.searchsorted(pairs[0], np.arange(len(column) + 1))
+    out: list = []
+    for r in range(len(column)):
+        n, f, own = int(words.count[r]), int(words.first[r]), pairs[1, edges[r] : edges[r + 1]].tolist()
+        if not own:
+            out.append((n, None, [], None))
+            continue
+        items = {tests.ids[tests.item[s]] for w in own for s in tests.members[tests.bounds[w] : tests.bounds[w + 1]].tolist()}
+        p, size, s = best[r]
+        item = int(tests.item[s])
+        match = {"words": size, "word": p - f, "item": tests.ids[item], "item_word": int(tests.at[s] - tests.words.first[item])}
+        out.append((n, np.packbits(hit[f : f + n]).tobytes(), sorted(items, key=lambda x: (x is None, x or "")), match))
+    return out
 
-def search(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Binary-search all test suffixes in the shard's suffix array: the array, and for each test suffix the range that begins with its window."""
-    array, left = suffix_array(words, tests), words.left()
-    n = len(tests.at)
-    bounds = []
-    columns = np.stack([_word_at(words, array, left, k) for k in range(tests.window)], axis=1) if len(array) else np.zeros((0, tests.window), np.uint64)
-    for upper in (False, True):
-        lo, hi = np.zeros(n, np.int64), np.full(n, len(array))
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) >> 1
-            mine, theirs = tests.keys[open_], columns[mid]
-            unlike = (mine != theirs) & (np.arange(tests.window) < tests.size[open_, None])
-            k = unlike.argmax(axis=1)
-            rows = np.arange(len(open_))
-            less = np.where(unlike.any(axis=1), theirs[rows, k] < mine[rows, k], upper)
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-        bounds.append(lo)
-    return array, bounds[0], bounds[1]
-
-
-def occurrences(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(test suffix, place in the shard) of each verbatim occurrence of a window; equal hashes are held against the texts."""
-    array, lo, hi = search(words, tests)
-    n = hi - lo
-    suffix = np.repeat(np.arange(len(n)), n)
-    place = array[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if n.sum() else np.zeros(0, np.int64)
-    if not len(place):
-        return suffix, place
-    _, one, back = np.unique(np.stack((tests.same[suffix].astype(np.int64), place)), axis=1, return_index=True, return_inverse=True)
-    seen: dict[int, bytes] = {}
-    true = np.zeros(len(one), bool)
-    for k, o in enumerate(one):
-        s = int(suffix[o])
-        want = seen.get(s)
-        if want is None:
-            want = seen[s] = tests.words.text(int(tests.at[s]), int(tests.size[s]))
-        true[k] = words.text(int(place[o]), int(tests.size[s])) == want
-    ok = true[back.reshape(-1)]
-    return suffix[ok], place[ok]
-
-
-def longest(words: Words, tests: TestSuffixes) -> list[tuple[int, int, int, int]]:
-    """(test suffix, row, word in the row, words that match) of the longest verbatim match of each test suffix that holds a window and occurs."""
-    suffix, place = occurrences(words, tests)
-    left, test_left = words.left(), tests.words.left()
-    best: dict[int, tuple[int, int]] = {}
-    for s, p in zip(suffix.tolist(), place.tolist(), strict=True):
-        at, most = int(tests.at[s]), int(min(left[p], test_left[tests.at[s]]))
-        unlike = np.flatnonzero(words.hash[p : p + most] != tests.words.hash[at : at + most])
-        size = int(unlike[0]) if len(unlike) else most
-        if size > best.get(s, (0, 0))[0]:
-            best[s] = (size, p)
-    return [(s, int(words.row[p]), int(p - words.first[words.row[p]]), size) for s, (size, p) in best.items()]
-
-
-def blocks_of(benchmark: DataFrame, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[list[str], list[bytes]]]:
-    """The test items in blocks of at most ``most`` bytes, one longer item by itself; the driver holds one block at a time."""
-    ids, texts, size = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("i is not null").toLocalIterator():
-        body = row.t.encode()
-        if texts and size + len(body) > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row.i)
-        texts.append(body)
-        size += len(body)
-    if texts:
-        yield ids, texts
+
+def _block(rows: DataFrame) -> tuple[list[str | None], list[bytes]]:
+    got = rows.select("item", "text").collect()
+    return [r.item for r in got], [r.text.encode() for r in got]
+
+
+def blocks_of(benchmark: DataFrame, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[list[str | None], list[bytes]]]:
+    """The test items in blocks of about ``most`` bytes (an item that is longer ends its block); the driver fetches one after the other."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("size", (F.octet_length("text") + 1).cast("long"))
+    total = items.agg(F.sum("size")).first()[0]
+    if (total or 0) <= most:
+        yield _block(items)
+        return
+    dealt = stored(with_prefix(stored(items, "items"), [F.col("item"), F.xxhash64("text")], {"start": "size"}).withColumn("block", F.floor(F.col("start") / most)), "blocks")
+    for k in sorted(r.block for r in dealt.select("block").distinct().collect()):
+        yield _block(dealt.filter(F.col("block") == k))
+
+
+def _count(bits: list[bytes]) -> int:
+    """Words hit in any of a row's passes."""
+    return int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits])).sum()) if bits else 0
+
+
+def _scan(spark, block, text: str, window: int, hit_only: bool):
+    """A pass over rows (doc, row): (doc, n_words, n_hit, items, match) of each, or (row, hits, items, match) of those that are hit."""
+    shared = spark.sparkContext.broadcast(block)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = TestSuffixes(*shared.value, window)
+        for batch in batches:
+            column, got = blobs(batch.column(0).field(text)), []
+            for a, b in runs_of_rows(column, SHARD_BYTES):
+                got += shard_hits(column.slice(a, b - a), tests)
+            n, bits, items, match = ([g[k] for g in got] for k in range(4))
+            strings, matches = pa.list_(pa.string()), _MATCH
+            if hit_only:
+                keep = np.flatnonzero([x is not None for x in bits])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep)), pa.array([bits[i] for i in keep], pa.binary()), pa.array([items[i] for i in keep], strings), pa.array([match[i] for i in keep], matches)], names=["row", "hits", "items", "match"])
+            else:
+                hit = [_count([x]) if x is not None else 0 for x in bits]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, strings), pa.array(match, matches)], names=["doc", "n_words", "n_hit", "items", "match"])
+
+    return work, shared
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc (the columns of ``docs`` in a struct), n_words, hits (a bit for each word, set where a window covers it; null
-    where none is) and items (test items with a window in it, once each)."""
-    spark = docs.sparkSession
+    """doc (the columns of ``docs`` in a struct), n_words, n_hit (words that a window of a test item covers), items (the ids of the
+    items with a window in it, once each, null for those without one) and match (the longest, see ``shard_hits``) of every row.
 
-    def scan(ids, texts):
-        block = spark.sparkContext.broadcast((ids, texts))
+    Null and empty texts have no words and are never hit; without test items no row is. Equal rows are judged alike.
+    """
+    spark = docs.sparkSession
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    blocks = blocks_of(benchmark, "text", block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        schema = StructType([*packed.schema.fields, *StructType.fromDDL(f"n_words long, n_hit long, items array<string>, match {MATCH}").fields])
+        return packed.mapInArrow(_scan(spark, first, text, window, False)[0], schema)
+    rows = stored(packed.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = None
+    while first is not None:
+        work, shared = _scan(spark, first, text, window, True)
+        own = stored(rows.mapInArrow(work, f"row long, hits binary, items array<string>, match {MATCH}"), "hits")
+        shared.destroy()
+        found = own if found is None else found.union(own)
+        first, second = second, next(blocks, None)
+    # a row has at most one entry for each pass
+    longest_first = F.struct((-F.col("match.words")).alias("a"), F.col("match.word").alias("b"), F.col("match.item").isNull().alias("c"), F.col("match.item").alias("d"), F.col("match.item_word").alias("e"))
+    merged = found.groupBy("row").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.min_by("match", longest_first).alias("match"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_count(b) for b in batch.column(1).to_pylist()], pa.int64()), batch.column(2), batch.column(3)], names=["row", "n_hit", "items", "match"])
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = TestSuffixes(*block.value, window)
-            for batch in batches:
-                column = blobs(batch.column(0).field(text))
-                old_hits, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                counts, bits, items = [], [], []
-                for a, b in runs_of_rows(column, SHARD_BYTES):
-                    words = Words(column.slice(a, b - a))
-                    suffix, place = occurrences(words, tests)
-                    step = np.zeros(len(words.hash) + 1, np.int64)
-                    np.add.at(step, place, 1)
-                    np.add.at(step, place + tests.size[suffix], -1)
-                    hit = np.cumsum(step[:-1]) > 0
-                    by_row = np.unique(np.stack((words.row[place], tests.item[suffix])), axis=1)
-                    edges = np.searchsorted(by_row[0], np.arange(b - a + 1))
-                    counts += words.count.tolist()
-                    for r in range(b - a):
-                        f, n = int(words.first[r]), int(words.count[r])
-                        own = {tests.ids[i] for i in by_row[1, edges[r] : edges[r + 1]]}
-                        new, was = np.packbits(hit[f : f + n]) if own else None, old_hits[a + r]
-                        if new is not None and was is not None:
-                            new |= np.frombuffer(was, np.uint8)
-                        bits.append(new.tobytes() if new is not None else was)
-                        items.append(sorted(own | set(old_items[a + r])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc", "n_words", "hits", "items"])
-
-        return work
-
-    out = docs.select(F.struct(*docs.columns).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    passes = 0
-    for ids, texts in blocks_of(benchmark, "text", block_bytes):
-        out, passes = out.mapInArrow(scan(ids, texts), out.schema), passes + 1
-    return out if passes else out.mapInArrow(scan([], []), out.schema)
+    merged = stored(merged.mapInArrow(count, f"row long, n_hit long, items array<string>, match {MATCH}"), "merged")
+    n_words = F.coalesce(F.regexp_count(F.col("doc")[text], F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    in_order = F.array_sort(F.filter("items", lambda x: x.isNotNull()))
+    items = F.when(F.exists("items", lambda x: x.isNull()), F.array_append(in_order, F.lit(None).cast("string"))).otherwise(in_order)
+    return rows.join(merged, "row", "left").select("doc", n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"), "match")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest match (match_words, match_word, match_item,
+    match_item_word) of every row of ``docs``.
 
-    Null and empty texts have no words and no hit; test items without words or without an id match nothing; equal
-    items each count. Repeated rows are judged alike. Without test items nothing is hit. Other columns are ignored.
+    Null and empty texts have no words and no hit; test items without words match nothing. Items that share an id are one item,
+    and so are those without an id: they hit and count as one, but have no place in the list of ids. Repeated rows are judged
+    alike. Without test items nothing is hit. A text of any length is searched whole. Other columns are ignored.
     """
     got = with_hits(docs.select("doc_id", F.col(text).alias("text")), benchmark, window=window, block_bytes=block_bytes)
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).field("doc_id"), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "n_words", "n_hit", "items"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    counted = got.mapInArrow(bits, f"doc_id {id_type}, n_words long, n_hit long, items array<string>")
-    return counted.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    ids: Column = F.array_join(F.filter("items", lambda x: x.isNotNull()), ",")
+    return got.select(
+        "doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("match.words", F.lit(0).cast("long")).alias("match_words"), F.col("match.word").alias("match_word"), F.col("match.item").alias("match_item"), F.col("match.item_word").alias("match_item_word"),
     )
 
 
 def locations(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, word, item_id, item_word, n_words): for each row and test suffix that holds a window, the longest verbatim match."""
+    """(doc_id, word, item_id, item_word, n_words): for each row that is hit and each distinct test suffix whose window stands in it, the
+    longest verbatim match, found in the suffix array of the row. Equal suffixes of several items are given once, as the first's."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, word long, item_id string, item_word long, n_words long"
 
-    def scan(ids, texts):
-        block = spark.sparkContext.broadcast((ids, texts))
+    def scan(block):
+        shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = TestSuffixes(*block.value, window)
+            tests = TestSuffixes(*shared.value, window)
             for batch in batches:
                 column, rows = blobs(batch.column(1)), []
                 for r in range(len(column)):
-                    for s, _, word, size in longest(Words(column.slice(r, 1)), tests):
+                    words = Words(column.slice(r, 1))
+                    array, which, _ = occurrences(words, tests)
+                    for s, n, p in zip(*longest(words, tests, array, which), strict=True) if len(which) else ():
                         item = int(tests.item[s])
-                        rows.append((batch.column(0)[r].as_py(), word, tests.ids[item], int(tests.at[s] - tests.words.first[item]), size))
+                        rows.append((batch.column(0)[r].as_py(), int(p), tests.ids[item], int(tests.at[s] - tests.words.first[item]), int(n)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [batch.schema.types[0], pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "word", "item_id", "item_word", "n_words"])
 
-        return work
+        return work, shared
 
     out = None
-    for ids, texts in blocks_of(benchmark, "text", block_bytes):
-        one = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(scan(ids, texts), f"doc_id {id_type}, word long, item_id string, item_word long, n_words long")
+    for block in blocks_of(benchmark, "text", block_bytes):
+        work, shared = scan(block)
+        one = stored(docs.select("doc_id", F.col(text).alias("text")).mapInArrow(work, schema), "locations")
+        shared.destroy()
         out = one if out is None else out.union(one)
-    return out if out is not None else spark.createDataFrame([], f"doc_id {id_type}, word long, item_id string, item_word long, n_words long")
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs``, columns unchanged, without the rows that hold a window of a test item."""
-    return with_hits(docs, benchmark, text, window).filter(F.size("items") == 0).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    """``docs``, columns unchanged, without the rows that hold a window of a test item; null and empty texts, and ties of any kind, stay. An empty table stays empty."""
+    return with_hits(docs, benchmark, text, window).filter("n_hit = 0").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

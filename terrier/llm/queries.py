@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from terrier.llm import decontaminate, language, mixing, pii, quality, secrets, sharding, simhash, toxicity, urls
 
 
@@ -65,25 +64,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
 }
 
 _WORDS_OF = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_OF} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_OF} AS w FROM benchmark WHERE item_id IS NOT NULL),
-starts AS (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
-windows AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM starts),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS_OF} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS ir, CAST(item_id AS VARCHAR) AS item, {_WORDS_OF} AS w FROM benchmark),
+starts AS (SELECT ir, item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j FROM b WHERE len(w) > 0),
+windows AS MATERIALIZED (SELECT ir, item, k, j, array_to_string(w[j:j + k - 1], ' ') AS g FROM starts),
 sizes AS (SELECT DISTINCT k FROM windows),
 places AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= k),
-found AS (SELECT p.r, p.i, p.k, s.item FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM places) p JOIN windows s ON p.k = s.k AND p.g = s.g),
-hit AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS spot FROM found) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS listed FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+found AS MATERIALIZED (SELECT p.r, p.i, p.k, s.ir, s.item, s.j FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM places) p JOIN windows s ON p.k = s.k AND p.g = s.g),
+hit AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS spot FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS listed FROM (SELECT DISTINCT r, item FROM found) GROUP BY r),
+islands AS (SELECT r, ir, item, i, j, k, i - row_number() OVER (PARTITION BY r, ir, k, i - j ORDER BY i) AS island FROM found),
+runs AS (SELECT r, item, min(i) AS i, min(j) AS j, count(*) + k - 1 AS n FROM islands GROUP BY r, ir, item, k, i - j, island),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, i, item IS NULL, item COLLATE "C", j) = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n, 0) AS BIGINT) AS match_words, CAST(i - 1 AS BIGINT) AS match_word, item AS match_item, CAST(j - 1 AS BIGINT) AS match_item_word
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
 """,
 }
 
