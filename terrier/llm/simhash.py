@@ -1,17 +1,16 @@
 """SimHash near-duplicates by an inverted index over bytes at their positions, with count filtering.
 
-A fingerprint of 64 bits is eight bytes, each a token (position, value). Two
-fingerprints that differ in at most four bits differ in at most four bytes, so they
-share at least four of the eight tokens. The index therefore lists every fingerprint
-under each set of four of its tokens (70 sets): the lists of a set are what is left
-when the four single-token lists are intersected, so a pair that shares fewer tokens
-is never seen and a list stays short at any size. Within a list the shared bytes of
-each pair are tallied, pairs under the guaranteed minimum are dropped and the rest
-are verified bit by bit.
-
-A list gives a spanning star of each of its linked groups, never all pairs. A list that is longer than
-``LIST_LIMIT`` is indexed again, by sets of four of the eight half-bytes that its set
-left open; what shares such a set agrees in 48 bits, so there are at most 65,536 of it.
+A fingerprint of 64 bits is eight bytes, each a token (position, value). Two fingerprints that differ in at most four bits differ in
+at most four bytes, so they share at least four of the eight tokens. The index is made of posting lists: a fingerprint is posted
+under sets of three of its tokens, namely the 20 of ``POSTED`` (of any four positions, three are one of these, so no pair is missed).
+Within a list the positional bytes that each pair shares are tallied; pairs that don't reach the guaranteed minimum of four are
+dropped, and the rest are verified bit by bit. Lists of single bytes would hold 1/256 of all fingerprints each, whatever the
+corpus; lists of three tokens hold about one in 16 million.
+
+No list is compared that is longer than ``LIST_LIMIT``: lists are counted before they are dealt out, and the members of a longer one
+are posted again under finer sets instead, each with one more of its tokens (a pair that keeps its chance shares a fourth), and
+if that is still too long by four of the eight half-bytes that are left open. What shares such a set agrees in 48 bits, so there
+are at most 65,536 of it. A list gives a spanning star of each of its linked groups, never all pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +32,9 @@ MAX_BITS = 4
 #: Positional bytes that a pair within MAX_BITS shares at least.
 MIN_SHARED = 8 - MAX_BITS
 #: Longest list that is compared at once.
-LIST_LIMIT = 4096
+LIST_LIMIT = 1024
+#: Lists beyond the limit up to which their keys are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_LISTS = 500_000
 SLICE = 65_536
 
 
@@ -45,12 +46,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: Sets of four byte positions, as masks of 64 bits.
-SETS = [_mask(c, 8) for c in combinations(range(8), MIN_SHARED)]
+#: Three groups of positions. Sets of three are those within a group, and two of a group with one of the next: a set of any four
+#: positions holds one of these 20.
+_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+POSTED = [c for g in _GROUPS for c in combinations(g, 3)] + [(*c, x) for i, g in enumerate(_GROUPS) for c in combinations(g, 2) for x in _GROUPS[(i + 1) % 3]]
+SETS = [_mask(c, 8) for c in POSTED]
 
 
 def _finer(mask: int) -> list[int]:
-    """The sets of four half-bytes that ``mask`` leaves open, each joined to ``mask``."""
+    """The finer sets of a list that is too long: each with one more byte, or where four bytes agree with four of the eight half-bytes left."""
+    if mask.bit_count() == 24:
+        return [mask | _mask((u,), 8) for u in range(8) if not mask >> (8 * u) & 255]
     open_units = [u for u in range(16) if not mask >> (4 * u) & 15]
     return [mask | _mask(c, 4) for c in combinations(open_units, len(open_units) - MAX_BITS)]
 
@@ -89,96 +95,86 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE_
     return kept.mapInArrow(work, f"{types}, fp long")
 
 
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positional bytes that each pair of fingerprints shares."""
+    return ((a ^ b)[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest member known of each one's group) after the links i to j."""
+    while (unlike := np.flatnonzero(label[i] != label[j])).size:
+        i, j = i[unlike], j[unlike]
+        a, b = label[i], label[j]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while not np.array_equal(nearer := label[label], label):
+            label = nearer
+    return label
+
+
 def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Within each run of equal keys: a spanning star (member, smallest member) of each group that links make."""
-    n, at, lag, left, right = len(fps), np.arange(len(fps)), 1, [], []
+    """Within each run of equal keys: a spanning star (member, smallest member) of each group that links make. Links are merged as they are met, so memory is that of the members."""
+    n, at, lag, label = len(fps), np.arange(len(fps)), 1, np.arange(len(fps))
     while True:
         at = at[at + lag < n]
         at = at[keys[at] == keys[at + lag]]
         if not len(at):
             break
-        differ = fps[at] ^ fps[at + lag]
-        shared = (differ[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        ok = (shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)
-        left.append(at[ok])
-        right.append(at[ok] + lag)
+        kept = at[tallied(fps[at], fps[at + lag]) >= MIN_SHARED]
+        kept = kept[np.bitwise_count(fps[kept] ^ fps[kept + lag]) <= MAX_BITS]
+        label = _joined(label, kept, kept + lag)
         lag += 1
-    label = np.arange(n)
-    if left:
-        i, j = np.concatenate(left), np.concatenate(right)
-        while True:
-            low = np.minimum(label[i], label[j])
-            old = label.copy()
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-            label = label[label]
-            if (label == old).all():
-                break
     moved = np.flatnonzero(label != np.arange(n))
     return fps[moved], fps[label[moved]]
 
 
-def _scan_lists(limit: int | None):
-    """Over rows (mask, fp) sorted by list: edges (a, b, null), and the rows of lists beyond ``limit`` as (fp, null, mask)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, mask):
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)) if b is not None else pa.nulls(len(a), pa.int64()), pa.array(mask.view(np.int64)) if mask is not None else pa.nulls(len(a), pa.int64())], names=["a", "b", "mask"])
-
-        held_m, held_f, over = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None
-
-        def take(m, f, last):
-            """Rows of whole lists; what may go on is held, up to the limit."""
-            nonlocal held_m, held_f, over
-            m, f = np.concatenate((held_m, m)), np.concatenate((held_f, f))
-            keys = f & m
-            new = np.flatnonzero((m[1:] != m[:-1]) | (keys[1:] != keys[:-1])) + 1
-            bounds = np.concatenate(([0], new, [len(m)]))
-            sizes = np.diff(bounds)
-            long = np.zeros(len(sizes), bool) if limit is None else sizes > limit
-            if over is not None and len(m):
-                long[0] |= (int(m[0]), int(keys[0])) == over
-            keep_from = len(m) if last else bounds[-2]
-            over = None
-            if not last and long[-1]:
-                over, keep_from = (int(m[-1]), int(keys[-1])), len(m)
-            held_m, held_f = m[keep_from:], f[keep_from:]
-            rows_long = np.repeat(long, sizes)
-            done = np.arange(len(m)) < keep_from
-            if (rows_long & done).any():
-                yield out(f[rows_long & done], None, m[rows_long & done])
-            ids = np.repeat(np.arange(len(sizes)), sizes)
-            short = ~rows_long & done & np.repeat(sizes > 1, sizes)
-            a, b = _linked(ids[short], f[short])
-            if len(a):
-                yield out(a, b, None)
-
-        for batch in batches:
-            if batch.num_rows:
-                yield from take(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), False)
-        if len(held_m):
-            yield from take(np.zeros(0, np.uint64), np.zeros(0, np.uint64), True)
-
-    return work
+def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (mask, fp) sorted by list: edges (a, b). What is held are the rows of one batch and of the list it breaks off in."""
+    held_m, held_f = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
+    def done(m: np.ndarray, f: np.ndarray, last: bool):
+        keys = f & m
+        bounds = np.concatenate(([0], np.flatnonzero((m[1:] != m[:-1]) | (keys[1:] != keys[:-1])) + 1, [len(m)]))
+        upto = len(bounds) - 1 if last else len(bounds) - 2
+        sizes = np.diff(bounds[: upto + 1])
+        some = np.repeat(sizes > 1, sizes)
+        a, b = _linked(np.repeat(np.arange(len(sizes)), sizes)[some], f[: bounds[upto]][some])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), m[bounds[upto] :], f[bounds[upto] :]
 
-def _lists(rows: DataFrame, limit: int | None) -> DataFrame:
-    """Deal rows (mask, fp) out by list and scan the lists."""
-    key = F.col("fp").bitwiseAND(F.col("mask"))
-    return rows.withColumn("key", key).repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "fp").mapInArrow(_scan_lists(limit), "a long, b long, mask long")
+    for batch in batches:
+        if batch.num_rows:
+            m, f = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            out, held_m, held_f = done(np.concatenate((held_m, m)), np.concatenate((held_f, f)), False)
+            yield out
+    if len(held_m):
+        yield done(held_m, held_f, True)[0]
 
 
 def links(fps: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that join all that differ in up to four bits; stars, not all pairs."""
-    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in SETS]))
-    first = stored(_lists(fps.select(masks.alias("mask"), "fp"), limit), "lists")
-    edges = first.filter("b is not null").select("a", "b")
-    rest = first.filter("b is null").select(F.col("a").alias("fp"), "mask")
-    if not rest.isEmpty():
-        finer = F.create_map(*[x for m in SETS for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in _finer(m)]))])
-        deeper = rest.select(F.explode(finer[F.col("mask")]).alias("mask"), "fp")
-        edges = edges.union(_lists(deeper, None).select("a", "b"))
-    return edges.distinct()
+    """Edges (a, b) between distinct fingerprints ``fp`` that join all that differ in up to four bits; stars, not all pairs.
+
+    At each level the lists that are too long are known by their counts, which are summed before they are shuffled, and only
+    shorter ones are dealt out whole; so one set of bytes that very many fingerprints share never meets in one task.
+    """
+    rows, edges = fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in SETS])).alias("mask"), "fp"), None
+    masks, key = SETS, F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    while True:
+        posted = rows.select("mask", key, "fp")
+        final = masks[0].bit_count() == 48
+        long = None if final else stored(posted.groupBy("mask", "key").count().filter(F.col("count") > limit).select("mask", "key"), "long")
+        n_long = 0 if final else long.count()
+        if n_long:
+            long = F.broadcast(long) if n_long <= BROADCAST_LISTS else long
+            posted = posted.join(long, ["mask", "key"], "left_anti")
+        found = posted.repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "fp").mapInArrow(_scan_lists, "a long, b long")
+        edges = found if edges is None else edges.union(found)
+        if not n_long:
+            return edges.distinct()
+        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in _finer(m)]))])
+        rest = rows.select("mask", key, "fp").join(long, ["mask", "key"], "left_semi")
+        rows = stored(rest.select(F.explode(finer[F.col("mask")]).alias("mask"), "fp").distinct(), "posted")
+        masks = sorted({y for m in masks for y in _finer(m)})
 
 
 def components(edges: DataFrame) -> DataFrame:

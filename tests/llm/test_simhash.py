@@ -1,4 +1,7 @@
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -64,7 +67,7 @@ def test_lists_beyond_the_limit_lose_no_link(spark):
     ids = list(range(len(fps)))
     prints = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in zip(ids, fps, strict=True)], "doc_id long, fp long")
     want = dict(zip(ids, plain_components(ids, fps), strict=True))
-    for limit in (8, 64, 4096):
+    for limit in (4, 8, 64, 4096):
         assert {r.doc_id: r.component_id for r in simhash.grouped(prints, limit).collect()} == want
 
 
@@ -73,3 +76,41 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "x y"), (4, "x y"), (None, "lone text")], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).orderBy(F.col("doc_id").asc_nulls_last(), "component_id").collect()]
     assert got == [(4, 4), (None, None), (None, 4)]
+
+
+def test_any_four_positions_hold_a_posted_set():
+    assert len(simhash.SETS) == 20
+    for four in combinations(range(8), 4):
+        assert any(set(three) <= set(four) for three in simhash.POSTED)
+    # and of what is open after three or four bytes, a finer set
+    for mask in simhash.SETS:
+        assert len(simhash._finer(mask)) == 5 and all(m.bit_count() == 32 and len(simhash._finer(m)) == 70 for m in simhash._finer(mask))
+
+
+def test_the_tally_drops_pairs_and_the_bits_the_rest():
+    a = 0x1122334455667788
+    near, three_bytes, four_bytes = a ^ 0x0101010100000000, a ^ 0x1F1F1F1F1F000000, a ^ 0xFF00FF0300000000
+    fps = np.array([a, near, three_bytes, four_bytes], np.uint64)
+    assert simhash.tallied(np.repeat(fps[:1], 4), fps).tolist() == [8, 4, 3, 5]
+    left, right = simhash._linked(np.zeros(4, np.int64), fps)
+    assert (left.tolist(), right.tolist()) == ([near], [a])
+    # in lists of random fingerprints that share three bytes nearly every pair falls short of the tally
+    rng = np.random.default_rng(0)
+    own = (rng.integers(0, 1 << 62, 300).astype(np.uint64) << np.uint64(24)) | np.uint64(0x778899)
+    i, j = np.triu_indices(300, 1)
+    assert (simhash.tallied(own[i], own[j]) >= simhash.MIN_SHARED).mean() < 0.05
+
+
+def test_lists_broken_off_by_batches():
+    rng = np.random.default_rng(2)
+    centre, mask = np.uint64(0x0123456789ABCDEF), np.uint64(simhash.SETS[0])
+    fps = np.sort(np.unique(centre ^ (np.uint64(1) << rng.integers(24, 64, 40).astype(np.uint64))))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), mask).view(np.int64)), pa.array(fps.view(np.int64))], names=["mask", "fp"])
+    edges = lambda size: {(r["a"], r["b"]) for out in simhash._scan_lists(rows.slice(i, size) for i in range(0, len(fps), size)) for r in out.to_pylist()}
+    assert edges(3) == edges(len(fps)) and len(edges(3)) == len(fps) - 1
+
+
+def test_a_very_long_text_against_the_plain_fingerprint(spark):
+    text = " ".join(f"w{i % 977}" for i in range(200_000))
+    got = simhash.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.fingerprint == f"{plain_fingerprint(text):016x}"
