@@ -12,16 +12,40 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FOLDER = "spark.terrier.folder"
+
 
 def job_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The session's own folder in the shared one that the cluster names in ``spark.checkpoint.dir``. It is removed when the driver ends.
+
+    Where the setting is missing, a local master takes a temporary folder; a cluster, whose executors couldn't see that, gets an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get(_FOLDER, None)
+    if found:
+        return found
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    found = f"{shared.rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(found)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    spark.conf.set(_FOLDER, found)
     return found
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that operations of this session wrote; frames that read them can't be used any more."""
+    found = spark.conf.get(_FOLDER, None)
+    if found:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset(_FOLDER)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the job's folder and read it again: later stages restart from files, not from lineage."""
     spark = df.sparkSession
@@ -58,10 +82,10 @@ def flat(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_words(text) -> F.col:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; null has none."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; null has none, an empty text neither; all of a text counts, however long."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def fixed(parts: int | None, spark: SparkSession) -> int:
-    """Number of partitions: the caller's, or the session's."""
+    """Number of partitions: the caller's, or the session's ``spark.sql.shuffle.partitions``, which is to be set for the data's size."""
     return parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -97,9 +98,86 @@ def test_mix_meets_targets(spark, kind):
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()
-    assert sorted(map(tuple, got)) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 0.0, 0, None), (2, 0, 0, 0.0, 0, None)]
 
 
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 99).tolist()) == list(range(n))
+
+
+def plain_mix(rows, block, slots, group):
+    """taken and first_shard of (doc_id, text, source) rows by plain loops over draws in order."""
+    sizes = [len((t or "").split()) for _, t, _ in rows]
+    per = {}
+    for (_, _, s), n in zip(rows, sizes, strict=True):
+        per[s] = per.get(s, 0) + n
+    target, names = plain_targets(per), sorted(per, key=lambda s: (s is None, s or ""))
+    blocks = {i: -(-per[s] // block) for i, s in enumerate(names) if per[s]}
+    want = {}
+    for i, b in blocks.items():
+        n, t = per[names[i]], target[names[i]]
+        want[i] = int(t // n) * b + math.floor((t - (t // n) * n) * b / n + 0.5)
+    order, total = sorted(i for i in want if want[i]), sum(want.values())
+    dealt = []
+    for shard in range(-(-total // slots)):
+        parts = sorted({i // group for i in order})
+        members = [[i for i in order if i // group == p] for p in parts]
+        sums = [sum(want[i] for i in m) for m in members]
+        outer = np.random.default_rng([mixing.SEED, shard]).multinomial(min(slots, total - shard * slots), np.array(sums, float) / total)
+        for p, m, k in zip(parts, members, outer, strict=True):
+            if k:
+                w = np.array([want[i] for i in m], float)
+                inner = np.random.default_rng([mixing.SEED, shard, p]).multinomial(k, w / w.sum())
+                dealt += [(i, shard) for i, c in zip(m, inner, strict=True) for _ in range(c)]
+    dealt.sort()
+    number, final, spare = {i: 0 for i in blocks}, [], []
+    for i, shard in dealt:
+        if number[i] < want[i]:
+            final.append((i, number[i], shard))
+            number[i] += 1
+        else:
+            spare.append(shard)
+    for i in sorted(blocks):
+        while number[i] < want[i]:
+            final.append((i, number[i], spare.pop(0)))
+            number[i] += 1
+    assert not spare
+    laid = {i: [] for i in blocks}
+    for at in sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, sizes[r])):
+        if sizes[at]:
+            laid[names.index(rows[at][2])] += [at] * sizes[at]
+    taken, first = [0] * len(rows), [None] * len(rows)
+    for i, k, shard in final:
+        b = int(mixing.permuted(np.array([k % blocks[i]]), blocks[i], mixing._key(mixing.SEED, i, k // blocks[i]))[0])
+        for at in laid[i][b * block : (b + 1) * block]:
+            taken[at] += 1
+            first[at] = shard if first[at] is None else min(first[at], shard)
+    return sorted(((r[0], n, t, f) for r, n, t, f in zip(rows, sizes, taken, first, strict=True)), key=str)
+
+
+def test_taken_words_against_plain_loops_in_any_order(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    names = ["b", "a", "é", None, "B", "zz", "tiny"]
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(int(rng.integers(0, 40)))), names[int(rng.integers(0, 6))]) for i in range(90)]
+    rows += [(200, None, "a"), (201, "one two three", "tiny"), (None, "no id here", "a"), (3, "a second text with the id three", "a"), (300, "x " * 9000, "b")]
+    for group in (4096, 3):
+        monkeypatch.setattr(mixing, "SOURCE_GROUP", group)
+        want = plain_mix(rows, 4, 50, group)
+        for own in (rows, rows[::-1]):
+            docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+            got = mixing.mix(docs, block_words=4, n_slots=50).collect()
+            assert sorted(((r.doc_id, r.size, r.taken, r.first_shard) for r in got), key=str) == want
+    shares = mixing.shard_mix(docs, block_words=4, n_slots=50).groupBy("shard").agg(F.sum("blocks").alias("n")).orderBy("shard").collect()
+    assert {r.n for r in shares[:-1]} == {50} and [r.shard for r in shares] == list(range(len(shares))) and 0 < shares[-1].n <= 50
+    mixed = mixing.shard_mix(docs, block_words=4, n_slots=50).groupBy("shard").count()
+    assert mixed.filter("count > 1").count() > len(shares) // 2
+
+
+def test_texts_that_tie_take_the_same_in_any_order(spark):
+    rows = [(1, f"w{i} " * 8, "a") for i in range(11)] + [(1, "same " * 8, "a")] * 3 + [(2, f"v{i} " * 8, "b") for i in range(11)]
+    took = []
+    for own in (rows, rows[::-1]):
+        docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+        took.append(sorted((r.text, r.n) for r in mixing.mixed_documents(docs, block_words=5, n_slots=7).groupBy("text").agg(F.count("*").alias("n")).collect()))
+    assert took[0] == took[1]
