@@ -1,19 +1,20 @@
 """Secret scans: a character convolutional network over every candidate and what surrounds it.
 
-Base patterns find assignments, access keys and hexadecimal runs. Candidates are these and every long token
-that isn't all within one of them. The network reads windows of bytes: 24 before the candidate, then 40 from it, and for a longer one
-more windows that cover all of it; a candidate's score is that of its likeliest window. It is trained in numpy
-on labelled findings (a bounded sample), calibrated on a part that was held out, and its threshold is the
-largest that still recalls ``RECALL`` of that part's secrets. What it accepts is added to the base spans.
+Base patterns find assignments, access keys and hexadecimal runs. Candidates are these and every long token that isn't all within
+one of them. The network reads windows of bytes: 24 before the candidate, then 40 from it, and for a longer one more windows that
+cover all of it; a candidate's score is that of its likeliest window. It is trained in numpy on labelled findings. The tables label
+none, so findings are labelled by planting: into passages of a bounded sample of the documents go keys drawn at random (secrets) and
+look-alikes made of the documents' own words, numbers and dates (harmless), each in the ways people write them; what the scan
+finds of them has a label that owes nothing to the patterns. A quarter is held out; on it scores are calibrated, and each kind of
+candidate gets the largest threshold that still recalls ``RECALL`` of its secrets. What the network accepts is added to the base spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,8 @@ from terrier.llm.shared import blobs, flat, runs_of_rows, stored
 KINDS = ("assign", "access", "hex")
 #: Name of the spans that the network adds.
 FOUND = "network"
-#: Labelled findings of each label that the network is trained on at most; a hash of the first window decides which.
+#: Passages into which a secret and a look-alike are planted; a hash of the document decides which documents give one.
 SAMPLE = 2_000
-#: Of so many long tokens without a digit one is an example of a harmless token; a hash of its bytes decides which, wherever it stands.
-ONE_EXAMPLE_OF = 61
 RECALL = 0.98
 RUN_BYTES = 4 << 20
 BEFORE, INSIDE = 24, 40
@@ -45,8 +44,7 @@ def _class(spec: str) -> np.ndarray:
     return out
 
 
-_TOKEN, _HEX, _UPPER, _DIGIT = _class("[A-Za-z0-9+/_.=-]"), _class("[0-9a-f]"), _class("[A-Z0-9]"), _class("[0-9]")
-_LETTER, _LOWER, _CAPITAL = _class("[A-Za-z]"), _class("[a-z]"), _class("[A-Z]")
+_TOKEN, _HEX, _UPPER = _class("[A-Za-z0-9+/_.=-]"), _class("[0-9a-f]"), _class("[A-Z0-9]")
 
 
 def _runs(inside: np.ndarray, cuts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,30 +71,14 @@ def _windows(data: np.ndarray, lo: int, hi: int, start: int, end: int) -> bytes:
     return bytes(out)
 
 
-def scanned(column: pa.LargeBinaryArray) -> list[list[tuple[int, int, int, bytes, int]]]:
-    """For each row its findings (start, kind, end, windows, label), sorted: kind 0 to 2 base, 3 another candidate;
-    label 1 a secret, 0 harmless, -1 unknown. Places are code points."""
+def scanned(column: pa.LargeBinaryArray) -> list[list[tuple[int, int, int, bytes]]]:
+    """For each row its findings (start, kind, end, windows), sorted: kind 0 to 2 base, 3 another candidate. Places are code points."""
     data, offsets = flat(column)
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    digits, letters = np.concatenate(([0], np.cumsum(_DIGIT[data]))), np.concatenate(([0], np.cumsum(_LETTER[data])))
-    inner_capital = np.zeros(len(data), bool)
-    inner_capital[1:] = _CAPITAL[data[1:]] & _LETTER[data[:-1]]
-    lowers, capitals = np.concatenate(([0], np.cumsum(_LOWER[data]))), np.concatenate(([0], np.cumsum(inner_capital)))
     cuts, found = offsets[1:-1], [[] for _ in range(len(column))]
 
-    def note(row, start, kind, end, inner, example=False):
-        lo, hi = int(offsets[row]), int(offsets[row + 1])
-        a, b = inner
-        d, c = digits[b] - digits[a], letters[b] - letters[a]
-        # capitals within lower case: a random key, or only a name in code
-        mixed = d == 0 and lowers[b] > lowers[a] and capitals[b] > capitals[a + 1]
-        if kind < 3:
-            label = 1 if d > 0 and c > 0 else -1 if mixed else 0
-        else:
-            label = 0 if (data[max(a - 1, lo)] == 64 if d else example and not mixed) else -1
-        if kind == 2 and label == 1 and b - a < 32:
-            label = -1
-        found[row].append((int(start), int(end), kind, _windows(data, lo, hi, a, b), label))
+    def note(row, start, kind, end, inner):
+        found[row].append((int(start), int(end), kind, _windows(data, int(offsets[row]), int(offsets[row + 1]), *inner)))
 
     def rows_of(starts):
         return np.searchsorted(offsets, starts, side="right") - 1
@@ -124,11 +106,11 @@ def scanned(column: pa.LargeBinaryArray) -> list[list[tuple[int, int, int, bytes
     for row, a, b in zip(rows_of(starts), starts.tolist(), ends.tolist(), strict=True):
         within = bisect_right(base[row], (a, len(data))) - 1
         if within < 0 or reach[row][within] < b:
-            note(row, a, 3, b, (a, b), zlib.crc32(data[a:b]) % ONE_EXAMPLE_OF == 0)
+            note(row, a, 3, b, (a, b))
     out = []
     for row, own in enumerate(found):
         zero = points[offsets[row]]
-        out.append(sorted((int(points[s] - zero), k, int(points[e] - zero), w, y) for s, e, k, w, y in own))
+        out.append(sorted((int(points[s] - zero), k, int(points[e] - zero), w) for s, e, k, w in own))
     return out
 
 
@@ -136,16 +118,16 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and the findings of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("windows", pa.binary()), ("label", pa.int32())]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("windows", pa.binary())]))
         for batch in batches:
             texts, rows = blobs(batch.column(1)), []
             for lo, hi in runs_of_rows(texts, RUN_BYTES):
                 rows += scanned(texts.slice(lo, hi - lo))
-            found = [[dict(zip(("start", "kind", "end", "windows", "label"), f, strict=True)) for f in own] for own in rows]
+            found = [[dict(zip(("start", "kind", "end", "windows"), f, strict=True)) for f in own] for own in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "findings"])
 
     kept = docs.select("doc_id", F.col(text).alias("text"))
-    return kept.mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, findings array<struct<start:long,kind:int,end:long,windows:binary,label:int>>")
+    return kept.mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, findings array<struct<start:long,kind:int,end:long,windows:binary>>")
 
 
 class Network:
@@ -162,7 +144,7 @@ class Network:
         self.of[0], self.of[128:] = 0, 15
         k, v, f, w = self.CLASSES, self.VECTOR + 1, self.FILTERS, self.WIDTH
         self.p = {"e": rng.normal(0, 0.5, (k, v - 1)), "k": rng.normal(0, np.sqrt(2 / (v * w)), (v * w, f)), "kb": np.zeros(f), "o": rng.normal(0, 0.3, 2 * f), "ob": np.zeros(1)}
-        self.slope, self.shift, self.threshold = 1.0, 0.0, np.inf
+        self.slope, self.shift, self.thresholds, self.report = 1.0, 0.0, np.full(len(KINDS) + 1, np.inf), {}
 
     def _forward(self, x: np.ndarray, n: np.ndarray):
         at = np.arange(WINDOW)
@@ -215,56 +197,133 @@ class Network:
                     s += 0.01 * (grad**2 - s)
                     self.p[k] = self.p[k] - rate * (a / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt's sigmoid on held-out scores; the threshold is the largest that recalls ``recall`` of the secrets."""
+    def scores(self, windows: list[bytes]) -> np.ndarray:
+        """The uncalibrated score of each finding: that of its likeliest window."""
+        z = self.raw(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW + 1))
+        first = np.cumsum([0, *(len(w) // (WINDOW + 1) for w in windows)])[:-1]
+        return np.maximum.reduceat(z, first) if windows else z
+
+    def calibrate(self, z: np.ndarray, y: np.ndarray, kind: np.ndarray, recall: float = RECALL) -> None:
+        """Platt's sigmoid on held-out scores; for each kind the threshold is the largest that recalls ``recall`` of its secrets. A kind without any accepts nothing."""
         soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        a, b = 1.0, 0.0
+        a, b = 0.0, 0.0  # from here Newton's steps don't overshoot
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             w, e = p * (1 - p), p - soft
             hessian = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             a, b = (a, b) - np.linalg.solve(hessian, [(e * z).sum(), e.sum()])
         self.slope, self.shift = float(a), float(b)
-        held = np.sort(self.chance(z[y == 1]))
-        self.threshold = float(held[int(np.floor((1 - recall) * len(held)))])
+        for k in np.unique(kind[y == 1]):
+            held = np.sort(self.chance(z[(y == 1) & (kind == k)]))
+            self.thresholds[k] = held[int(np.floor((1 - recall) * len(held)))]
+            said = self.accepts(z[kind == k], kind[kind == k])
+            true = y[kind == k] == 1
+            self.report[(*KINDS, FOUND)[k]] = {"recall": float(said[true].mean()), "precision": float(true[said].mean()), "secrets": int(true.sum()), "harmless": int((~true).sum())}
+
+    def accepts(self, z: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return self.chance(z) >= self.thresholds[kind]
 
     def chance(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
-def without_digits(windows: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """Copies of the windows in whose candidate capitals stand within lower case, with a letter for each digit of the candidate and nothing around it:
-    a random key may have no digit, and nothing outside an assignment announces it."""
-    at = np.arange(WINDOW)
-    x = windows[:, 1:]
-    inside = (at >= BEFORE) & (at < BEFORE + windows[:, :1].astype(np.int64))
-    inner = inside[:, 1:] & inside[:, :-1] & _CAPITAL[x[:, 1:]] & _LETTER[x[:, :-1]]
-    mixed = inner.any(axis=1) & (inside & _LOWER[x]).any(axis=1)
-    out = windows[mixed].copy()
-    out[:, 1:][~inside[mixed]] = 0
-    digit = inside[mixed] & _DIGIT[out[:, 1:]]
-    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)
-    out[:, 1:][digit] = np.random.default_rng(seed).choice(letters, int(digit.sum()))
-    return out
-
-
-def trained(findings: DataFrame, sample: int = SAMPLE) -> Network:
-    """The network for rows (doc_id, start, windows, label); it accepts nothing where one of the labels is missing."""
-    net, x, y = Network(), [], []
-    for label in (0, 1):
-        rows = findings.filter(F.col("label") == label).select(F.substring("windows", 1, WINDOW + 1).alias("w")).groupBy("w").count().orderBy(F.xxhash64("w"), "w").limit(sample).collect()
-        x += [bytes(r.w) for r in rows]
-        y += [label] * len(rows)
-    x, y = np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW + 1), np.array(y)
-    held = np.arange(len(y)) % 4 == 0
-    if min((y[part] == label).sum() for part in (held, ~held) for label in (0, 1)) == 0:
+_BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_LETTERS, _LOWERS, _DIGITS, _HEXES = _BASE62[:52], _BASE62[26:52], _BASE62[52:], "0123456789abcdef"
+
+
+def _from(rng: np.random.Generator, letters: str, least: int, most: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(least, most + 1))))
+
+
+#: How keys look; each draws one.
+SECRETS: tuple[Callable, ...] = (
+    lambda r, w: _from(r, _BASE62, 16, 48),
+    lambda r, w: _from(r, _BASE62 + "+/", 22, 60) + "=" * int(r.integers(0, 3)),
+    lambda r, w: _from(r, _BASE62 + "-_", 20, 44),
+    lambda r, w: _from(r, _LOWERS + _DIGITS, 18, 40),
+    lambda r, w: _from(r, _LETTERS, 16, 32),
+    lambda r, w: _from(r, _HEXES, int(n := r.choice([32, 40, 64])), int(n)),
+    lambda r, w: "AKIA" + _from(r, _BASE62[:26] + _DIGITS, 16, 16),
+    lambda r, w: ".".join("eyJ"[: 3 * (i < 2)] + _from(r, _BASE62 + "-_", 20, 40) for i in range(3)),
+    lambda r, w: w(0)[:3] + "_" + _from(r, _BASE62, 20, 40),
+)
+#: How harmless long tokens look; w(i) is a word of the passage's document, in lower case.
+LOOK_ALIKES: tuple[Callable, ...] = (
+    lambda r, w: r.choice(["-", "_", ".", "/"]).join(w(i) for i in range(int(r.integers(3, 6)))),
+    lambda r, w: "/" + "/".join(w(i) for i in range(3)) + r.choice([".html", ".txt", ".py", ""]),
+    lambda r, w: w(0) + "".join(w(i).capitalize() for i in range(1, int(r.integers(3, 6)))),
+    lambda r, w: "".join(w(i).capitalize() for i in range(int(r.integers(3, 6)))),
+    lambda r, w: "_".join(w(i).upper() for i in range(int(r.integers(3, 5)))),
+    lambda r, w: "".join(w(i) for i in range(int(r.integers(3, 6)))),
+    lambda r, w: r.choice(["mail", "www", "host"]) + _from(r, _DIGITS, 0, 2) + "." + w(0) + w(1) + r.choice([".com", ".org", ".de", ".example.net"]),
+    lambda r, w: f"20{r.integers(10, 40)}-{r.integers(10, 13)}-{r.integers(10, 31)}-{_from(r, _DIGITS, 6, 10)}",
+    lambda r, w: f"v{r.integers(1, 20)}.{r.integers(0, 30)}.{r.integers(0, 90)}-{w(0)}.{r.integers(1, 9)}-{w(1)}",
+    lambda r, w: f"{w(0)}-{r.integers(1, 99)}-{w(1)}-{r.integers(1, 9999)}",
+    lambda r, w: f"{w(0)}_{w(1)}_{_from(r, _DIGITS, 3, 8)}{r.choice(['.jpeg', '.csv', '.pdf', ''])}",
+    lambda r, w: str(r.choice(list("=-_.ax0"))) * int(r.integers(16, 50)),
+    lambda r, w: _from(r, _DIGITS, 16, 20),
+    lambda r, w: "-".join(_from(r, _DIGITS, 4, 4) for _ in range(4)),
+)
+LEADS = ('password: {}', 'token = "{}"', "api_key={}", "secret: '{}'", 'Passwd={}', '"apikey": "{}"')
+
+
+def planted(passages: list[tuple[bytes, list[str]]], seed: int = SEED) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, label, kind and passage of the findings that what is planted into each passage (bytes before, words) gives; half of it after a keyword."""
+    texts, labels, inside, rng = [], [], [], np.random.default_rng(seed)
+    for i, (before, ws) in enumerate(passages):
+        own = [w.lower() for w in ws] or ["word"]
+        word = lambda k, own=own: own[k % len(own)]
+        for label, ways in ((1, SECRETS), (0, LOOK_ALIKES)):
+            token = ways[int(rng.integers(len(ways)))](rng, word)
+            while len(token) < 16:
+                token += "-" + own[len(token) % len(own)]
+            lead = LEADS[int(rng.integers(len(LEADS)))] if rng.random() < 0.4 else "{}" if rng.random() < 0.8 else "@{}"
+            head = before + b" " + lead.partition("{}")[0].encode()
+            texts.append(head + token.encode() + lead.partition("{}")[2].encode() + b" " + own[0].encode())
+            labels.append((label, i))
+            start = len(head.decode(errors="replace"))
+            inside.append((start, start + len(token)))
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for found, (label, i), (a, b) in zip(scanned(pa.array(texts, pa.large_binary())), labels, inside, strict=True):
+        for start, kind, end, windows in found:
+            if start < b and a < end:
+                for column, value in zip(out, (windows, label, kind, i), strict=True):
+                    column.append(value)
+    return out[0], np.array(out[1]), np.array(out[2]), np.array(out[3])
+
+
+def passages_of(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[tuple[bytes, list[str]]]:
+    """Up to ``sample`` passages (bytes before a word, and words of the document): of the documents of smallest hash, from a place that the hash decides."""
+    known = docs.filter(F.length(F.col(text)) > 0)
+    h = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 32))
+    # about twice as many as are wanted pass the hash; the rest is never cut into words
+    likely = known.select(F.col(text).alias("text"), h.alias("h")).filter(F.col("h") < min(1.0, (2 * sample + 100) / max(known.count(), 1)) * float(1 << 32))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, words = [], []
+            for body, key in zip(blobs(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spots = [m.start() for m in re.finditer(rb"[A-Za-z]{3,12}(?![A-Za-z])", body)]
+                at = key % len(spots) if spots else 0
+                here = spots[at] if spots else 0
+                before.append(body[max(0, here - 2 * BEFORE) : here].decode(errors="ignore").encode())
+                words.append([re.match(rb"[A-Za-z]{3,12}", body[s : s + 12])[0].decode() for s in (spots * 2)[at : at + 8]])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(before, pa.binary()), pa.array(words, pa.list_(pa.string()))], names=["h", "before", "words"])
+
+    rows = likely.mapInArrow(cut, "h long, before binary, words array<string>").orderBy("h", "before", "words").limit(sample).collect()
+    return [(bytes(r.before), list(r.words)) for r in rows]
+
+
+def trained(passages: list[tuple[bytes, list[str]]]) -> Network:
+    """The network for what is planted into the passages; every fourth is held out to calibrate it. Without passages it accepts nothing."""
+    net = Network()
+    windows, y, kind, passage = planted(passages)
+    held = passage % 4 == 0
+    if min((y[part] == label).sum() for part in (held, ~held) for label in (0, 1)) == 0 if len(y) else True:
         return net
-    parts = []
-    for part in (~held, held):
-        more = without_digits(x[part][y[part] == 1])
-        parts.append((np.concatenate((x[part], more)), np.concatenate((y[part], np.ones(len(more), y.dtype)))))
-    net.fit(*parts[0])
-    net.calibrate(net.raw(parts[1][0]), parts[1][1])
+    own = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW + 1) for w, h in zip(windows, held, strict=True) if not h]
+    net.fit(np.concatenate(own), np.repeat(y[~held], [len(w) for w in own]))
+    net.calibrate(net.scores([w for w, h in zip(windows, held, strict=True) if h]), y[held], kind[held])
     return net
 
 
@@ -276,23 +335,17 @@ def secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFr
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_confirmed (base spans the network accepts) of every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind; those the network adds are last by kind.
-    Labelled findings are the base spans, secrets if letters and digits mix in them, and as harmless ones long words and hosts behind an @; letters in mixed case are neither. Null and
-    empty texts have no span; repeated rows are judged alike; an empty table gives no row; other columns are ignored.
+    Null and empty texts have no span; repeated rows are judged alike; an empty table gives no row; other columns are ignored.
+    A text of very many candidates has all of them scored.
     """
+    net = trained(passages_of(docs, text, sample))
     rows = stored(found_in(docs, text), "found")
-    net = trained(rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.start", "f.windows", "f.label"), sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(1).to_pylist()
-            counts, windows = [], []
-            for fs in own:
-                for f in fs:
-                    counts.append(len(f["windows"]) // (WINDOW + 1))
-                    windows.append(f["windows"])
-            z = net.raw(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW + 1))
-            first = np.cumsum([0, *counts])[:-1]
-            accepted = (net.chance(np.maximum.reduceat(z, first)) >= net.threshold).tolist() if counts else []
+            every = [f for fs in own for f in fs]
+            accepted = net.accepts(net.scores([f["windows"] for f in every]), np.array([f["kind"] for f in every], np.int64)).tolist() if every else []
             out, at = [], 0
             for fs in own:
                 yes = accepted[at : at + len(fs)]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def test_rows(spark):
         want.append((i, *[sum(k == j for _, k, _ in b) for j in range(3)], hashlib.sha256(secrets.listed(b).encode()).hexdigest()))
     assert [r[:5] for r in got] == sorted(want, key=str)
     by_id = {r[0]: r for r in got}
-    assert sum("network" in by_id[400 + i][5] for i in range(20)) >= 15
+    assert sum("network" in by_id[400 + i][5] for i in range(20)) >= 15 and not any("network" in by_id[100 + i][5] for i in range(0, 200, 4))
     assert secrets.secrets(docs.limit(0)).count() == 0
 
 
@@ -66,46 +67,82 @@ def test_given_documents_keep_base_spans(spark):
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
+def windows(inner, rng, n):
+    """Findings of one window each, of bytes drawn from ``inner``."""
+    return [bytes([40, *rng.integers(97, 123, 24), *rng.choice(list(inner), 40)]) for _ in range(n)]
+
+
 def test_gradients_and_recall():
     rng = np.random.default_rng(0)
-    good = np.array([[40, *rng.integers(97, 123, 24), *rng.choice(list(b"0123456789abcdefXYZ"), 40)] for _ in range(120)], np.uint8)
-    bad = np.array([[30, *rng.integers(97, 123, 24), *rng.integers(97, 123, 40)] for _ in range(120)], np.uint8)
-    x, y = np.concatenate((good, bad)), np.repeat([1, 0], 120)
+    x, y = windows(b"0123456789abcdefXYZ", rng, 120) + windows(b"abcdefghijklmnopqrstuvwxyz", rng, 120), np.repeat([1, 0], 120)
     net = secrets.Network()
-    net.fit(x[::2], y[::2])
-    net.calibrate(net.raw(x[1::2]), y[1::2])
-    p = net.chance(net.raw(x[1::2]))
-    assert ((p >= net.threshold) == y[1::2]).mean() > 0.95
+    net.fit(np.frombuffer(b"".join(x[::2]), np.uint8).reshape(-1, secrets.WINDOW + 1), y[::2])
+    kind = np.full(120, 3)
+    net.calibrate(net.scores(x[1::2]), y[1::2], kind)
+    assert (net.accepts(net.scores(x[1::2]), kind) == y[1::2]).mean() > 0.95 and net.thresholds[0] == np.inf
 
 
-def test_every_long_token_is_scored(spark):
+def test_every_long_token_is_a_candidate():
     key = "qWzXvBnMkLpOiUyTrEwQ"
     text = f"see {key} and 0123456789abcdef_{key} or password={key} of unquestionablynesses"
     got = secrets.scanned(pa.array([text.encode()], pa.large_binary()))[0]
-    spans = [(text[a:b], k) for a, k, b, _, _ in got]
+    spans = [(text[a:b], k) for a, k, b, _ in got]
     assert spans == [(key, 3), ("0123456789abcdef", 2), (f"0123456789abcdef_{key}", 3), (f"password={key}", 0), ("unquestionablynesses", 3)]
-    assert [y for _, k, _, _, y in got if k == 0] == [-1] and got[0][4] == -1
-    rng = random.Random(6)
-    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    rows = [(i, f"a password: {pick(both + '0123456789', 24)} here, token = {pick('0123456789abcdef', 40)}") for i in range(150)]
-    rows += [(1000 + i, f"of {pick('abcdefghijklmnopqrstuvwxyz', 20)} words {pick('abcdefghijklmnopqrstuvwxyz', 9)}-{pick('abcdefghijklmnopqrstuvwxyz', 9)}") for i in range(8000)]
-    rows += [(10000 + i, f"key {pick(both, 24)} given") for i in range(20)]
-    found = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum("network:4:28" in found[10000 + i] for i in range(20)) >= 15
 
 
-def test_examples_do_not_depend_on_neighbouring_rows():
+def test_findings_do_not_depend_on_neighbouring_rows():
     rng = random.Random(9)
     texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(16)) for _ in range(3)).encode() for _ in range(400)]
-    together = secrets.scanned(pa.array(texts, pa.large_binary()))
-    assert together == [secrets.scanned(pa.array([t], pa.large_binary()))[0] for t in texts]
-    assert 5 <= sum(f[4] == 0 for own in together for f in own) <= 50
+    assert secrets.scanned(pa.array(texts, pa.large_binary())) == [secrets.scanned(pa.array([t], pa.large_binary()))[0] for t in texts]
 
 
-def test_threshold_recalls_even_where_scores_overlap():
+def test_thresholds_recall_even_where_scores_overlap():
     rng = np.random.default_rng(1)
-    z, y = np.concatenate((rng.normal(0.3, 1, 500), rng.normal(0, 1, 500))), np.repeat([1, 0], 500)
+    z, y, kind = np.concatenate((rng.normal(0.3, 1, 1000), rng.normal(0, 1, 1000))), np.repeat([1, 0], 1000), np.tile([0, 3], 1000)
+    z[kind == 3] += 2.0
     net = secrets.Network()
-    net.calibrate(z, y)
-    assert (net.chance(z[y == 1]) >= net.threshold).mean() >= secrets.RECALL
+    net.calibrate(z, y, kind)
+    for k in (0, 3):
+        own = (y == 1) & (kind == k)
+        assert net.accepts(z[own], kind[own]).mean() >= secrets.RECALL
+    assert net.thresholds[3] > net.thresholds[0]
+
+
+def test_labels_come_from_planting_and_held_out_findings_are_told_apart(spark):
+    docs = spark.read.parquet(f"{DIR.replace('0.001', '0.01')}/documents.parquet")
+    passages = secrets.passages_of(docs, sample=800)
+    assert passages == secrets.passages_of(docs.repartition(5), sample=800)
+    windows, y, kind, _ = secrets.planted(passages)
+    assert set(kind[y == 1]) == set(kind[y == 0]) | {1} == {0, 1, 2, 3} and len(windows) == len(y)
+    net = secrets.trained(passages)
+    assert all(r["recall"] >= secrets.RECALL for r in net.report.values()) and net.report["network"]["precision"] > 0.9
+
+
+def test_planted_keys_are_found_and_clean_documents_left_alone(spark):
+    rng = random.Random(21)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = [r.text for r in spark.read.parquet(f"{DIR.replace('0.001', '0.01')}/documents.parquet").collect() if r.text]
+    rows, places = [], {}
+    for i, t in enumerate(texts):
+        if i % 3 == 0:
+            words = t.split(" ")
+            at = rng.randrange(len(words) + 1)
+            key = [pick(base62, 24), pick(base62 + "-_", 30), "sk_" + pick(base62, 28)][i % 9 // 3]
+            before = " ".join([*words[:at], ""])
+            places[i] = f"network:{len(before)}:{len(before) + len(key)}"
+            t = before + key + " " + " ".join(words[at:])
+        rows.append((i, t))
+    found = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(p in found[i].split(",") for i, p in places.items())
+    wrong = sum(s.startswith("network") for i, f in found.items() if i not in places for s in f.split(","))
+    assert hit >= 0.95 * len(places), (hit, len(places))
+    assert wrong <= 0.01 * len(rows), wrong
+
+
+def test_a_text_of_very_many_candidates():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdef0123456789") for _ in range(20)) + " " + "".join(rng.choice("ABCxyz019") for _ in range(18)) for _ in range(50_000)).encode()
+    began = time.time()
+    assert len(secrets.scanned(pa.array([text], pa.large_binary()))[0]) >= 100_000
+    assert time.time() - began < 20
