@@ -1,29 +1,31 @@
 """Personal data by weak supervision: labelers vote on spans, EM weighs the labelers, a classifier is trained on the outcome.
 
-The base patterns find spans of four kinds. Looser patterns propose more candidates; six labelers (strict pattern,
-checksum, gazetteer, context words, grouping, surroundings) vote for, against or not at all on every candidate of
-every document. Votes are counted by kind and pattern of votes over the whole corpus, which is small whatever the
-corpus, and expectation-maximisation estimates from the counts how far each labeler is to be trusted. A logistic span
-classifier is trained on a bounded sample of candidates with the posteriors as labels; what it accepts is added
-to the base spans, unless it overlaps one.
+The base patterns find spans of four kinds. Looser patterns propose more candidates: spelled-out addresses, numbers grouped like
+phones and cards. Six labelers (strict pattern, checksum, gazetteer, context words, grouping, surroundings) vote for, against or
+not at all on every candidate of every document. Votes are counted by kind and pattern of votes over the whole corpus, which is
+small whatever the corpus, and expectation-maximisation estimates from the counts how far each labeler is to be trusted; a labeler
+that doesn't vote says nothing. A logistic span classifier is trained on a bounded sample of candidates of each sort with the
+posteriors as labels; what it accepts is added to the base spans, unless it overlaps one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrier.llm.shared import blobs, flat, runs_of_rows, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the classifier is trained on at most; a hash of place and document decides which.
-SAMPLE = 20_000
+#: Candidates of each kind, strict or loose, that the classifier is trained on at most; a hash of place and document decides which.
+SAMPLE = 1_000
 ACCEPT = 0.5
 RUN_BYTES = 8 << 20
 
@@ -79,6 +81,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The base spans, and looser spans that overlap none."""
     found = list(base)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for pattern, kind in ((_LOOSE_MAIL, 0), (_LOOSE_NUMBER, None)):
         if kind == 0 and "dot" not in t:
             continue
@@ -87,7 +90,8 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
             own = kind if kind is not None else (1 if m[0].count(".") == 3 and re.fullmatch(r"[0-9.]+", m[0]) else 2 if 12 <= n <= 19 else 3)
             if own in (2, 3) and not 7 <= n <= 19:
                 continue
-            if not any(m.start() < b and a < m.end() for a, _, b in base):
+            before = bisect_left(starts, m.end())  # base spans that start before the end; the furthest of them may reach in
+            if not before or reach[before - 1] <= m.start():
                 found.append((m.start(), own, m.end()))
     return sorted(found)
 
@@ -117,13 +121,14 @@ def described(t: str, span: tuple[int, int, int], base: set) -> tuple[list[int],
     else:
         grouped = 0
     glued = (before[-1:].isalnum() or before[-1:] in "._-/" and bool(before)) or after[:1].isalnum()
-    votes = [1 if strict else -1, check, listed, context, grouped, -1 if glued else 0]
+    votes = [1 if strict else 0, check, listed, context, grouped, -1 if glued else 0]
     seps = sum(not c.isalnum() for c in s)
-    features = [*(float(kind == k) for k in range(4)), *(float(kind == k and strict) for k in range(4)), len(d) / 20, (b - a) / 40, seps / 10, len(groups) / 5, float("+" in s), float("(" in s), float(check > 0), float(check < 0), float(listed), float(context), float(grouped), float(glued), len(set(d)) / 10]
+    said = [float(v == sign) for v in votes[1:5] for sign in (1, -1)]
+    features = [*(float(kind == k and strict is sort) for k in range(4) for sort in (False, True)), len(d) / 20, (b - a) / 40, seps / 10, len(groups) / 5, float("+" in s), float("(" in s), *said, float(glued), len(set(d)) / 10]
     return votes, features
 
 
-N_LABELERS, N_FEATURES = 6, 21
+N_LABELERS, N_FEATURES = 6, 24
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -148,9 +153,9 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
                         continue
                     t = body.decode(errors="replace")
                     base = base_spans(t)
-                    own = []
+                    strict, own = set(base), []
                     for span in candidates(t, base):
-                        votes, features = described(t, span, set(base))
+                        votes, features = described(t, span, strict)
                         own.append({"start": span[0], "kind": span[1], "end": span[2], "votes": "".join("-0+"[v + 1] for v in votes), "features": features})
                     n = [sum(k == j for _, k, _ in base) for j in range(4)]
                     rows.append((*n, [{"start": a, "kind": k, "end": b} for a, k, b in base], own))
@@ -165,25 +170,26 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
 def expectation_maximisation(counts: list[tuple[int, str, int]], rounds: int = 60) -> dict[tuple[int, str], float]:
     """From (kind, votes, how many) the probability of each (kind, votes) to be personal data.
 
-    For each kind a prior, and for each labeler and truth the chances of its three votes; labelers are taken as
-    independent given the truth. Starts from the majority; of the two classes the one that strict patterns favour is the true one.
+    For each kind a prior for strict candidates and one for loose ones, and for each labeler its chance to say yes, if it votes, of what is
+    personal data and of what isn't; labelers are taken as independent given the truth, and one that doesn't vote is left out.
+    Starts from the majority; of the two classes the one that the labelers rather say yes to is the true one.
     """
     out = {}
     for kind in {k for k, _, _ in counts}:
-        patterns = [(v, n) for k, v, n in counts if k == kind]
-        votes = np.array([["-0+".index(c) for c in v] for v, _ in patterns])
+        patterns = sorted((v, n) for k, v, n in counts if k == kind)
+        votes = np.array([["-0+".index(c) - 1 for c in v] for v, _ in patterns])
         n = np.array([c for _, c in patterns], float)
-        lean = (votes - 1).sum(axis=1)
-        p = 1 / (1 + np.exp(-lean.astype(float)))
-        onehot = votes[:, :, None] == np.arange(3)
+        up, down, strict = votes == 1, votes == -1, votes[:, 0] == 1
+        p = 1 / (1 + np.exp(-votes.sum(axis=1).astype(float)))
         for _ in range(rounds):
-            prior = (n @ p + 1) / (n.sum() + 2)
-            yes = np.einsum("i,ijv->jv", n * p, onehot) + 0.5
-            no = np.einsum("i,ijv->jv", n * (1 - p), onehot) + 0.5
-            yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
-            score = np.log(prior / (1 - prior)) + np.einsum("ijv,jv->i", onehot, np.log(yes / no))
+            prior = np.where(strict, (n @ (p * strict) + 1) / (n @ strict + 2), (n @ (p * ~strict) + 1) / (n @ ~strict + 2))
+            rates = []
+            for weight in (n * p, n * (1 - p)):
+                rates.append((weight @ up + 0.5) / (weight @ (up | down) + 1))
+            yes, no = rates
+            score = np.log(prior / (1 - prior)) + up @ np.log(yes / no) + down @ np.log((1 - yes) / (1 - no))
             p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if yes[0, 2] < no[0, 2]:
+        if (up | down).sum(axis=0) @ (yes - no) < 0:
             p = 1 - p
         out |= {(kind, v): float(x) for (v, _), x in zip(patterns, p, strict=True)}
     return out
@@ -200,33 +206,51 @@ def fitted(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, rounds: int = 25)
     return w
 
 
+def trained(each: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The classifier's weights for candidates (doc_id, start, kind, end, votes, features) of a written table; all 0, and nothing accepted, without any.
+
+    How many there are of each sort says below which hash twice the sample is to be expected, so few more than are wanted are ranked.
+    """
+    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # 4 x 3^6 rows at most
+    truth = expectation_maximisation(counts)
+    h, sort, share = F.pmod(F.xxhash64("doc_id", "start", "kind"), F.lit(1 << 32)), F.struct("kind", F.startswith("votes", F.lit("+"))), F.lit(1.0)
+    for kind in range(len(KINDS)):
+        for strict in (False, True):
+            n = sum(c for k, v, c in counts if k == kind and (v[0] == "+") is strict)
+            share = F.when((F.col("kind") == kind) & (F.startswith("votes", F.lit("+")) == strict), min(1.0, (2 * sample + 100) / max(n, 1))).otherwise(share)
+    likely = each.filter(h < share * float(1 << 32)).withColumns({"_h": h, "_sort": sort})
+    ranked = likely.withColumn("_n", F.row_number().over(Window.partitionBy("_sort").orderBy("_h", "doc_id", "start", "end", "votes")))
+    taken = ranked.filter(F.col("_n") <= sample).select("kind", "votes", "features").toArrow().to_pydict()
+    if not taken["kind"]:
+        return np.zeros(N_FEATURES + 1)
+    x, p = np.array(taken["features"]), np.array([truth[k] for k in zip(taken["kind"], taken["votes"], strict=True)])
+    order = np.lexsort((p, *x.T))  # rows come in any order
+    return fitted(x[order], p[order])
+
+
 def personal_data(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added (spans that the classifier added) of every row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind. Null and empty texts have none. Where a text
     has no candidate nothing is added; without any candidate in the table there is no classifier. Repeated rows are
     judged alike and vote each; an empty table gives no row; other columns are ignored.
     """
     rows = stored(found_in(docs, text), "found")
-    each = rows.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
-    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # 4 x 3^6 rows at most
-    truth = expectation_maximisation(counts)
-    order = F.xxhash64("doc_id", "start", "kind")
-    taken = each.orderBy(order, "doc_id", "start", "end").limit(sample).select("kind", "votes", "features").collect()
-    weights = fitted(np.array([r.features for r in taken]), np.array([truth[r.kind, r.votes] for r in taken])) if taken else np.zeros(N_FEATURES + 1)
+    weights = trained(rows.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*"), sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, spans = [], []
+            digests, spans, added = [], [], []
             for base, own in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 stay = [(s["start"], s["kind"], s["end"]) for s in base]
                 held, more = set(stay), []
                 for c in own:
                     span = (c["start"], c["kind"], c["end"])
-                    if span not in held and 1 / (1 + np.exp(-(weights[:-1] @ c["features"] + weights[-1]))) >= ACCEPT:
+                    if span not in held and 1 / (1 + np.exp(-(weights[:-1] @ c["features"] + weights[-1]))) > ACCEPT:
                         more.append(span)
                 digests.append(hashlib.sha256(listed(stay).encode()).hexdigest())
                 spans.append(listed(sorted(stay + more)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[*batch.schema.names[:5], "base_sha256", "spans"])
+                added.append(len(more))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=[*batch.schema.names[:5], "base_sha256", "spans", "n_added"])
 
-    return rows.mapInArrow(judge, f"doc_id {rows.dtypes[0][1]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(judge, f"doc_id {rows.dtypes[0][1]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

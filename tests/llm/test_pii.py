@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from terrier.llm import pii
 
@@ -71,3 +72,52 @@ def test_em_learns_whom_to_trust_and_the_classifier_adds_spans(spark):
     plain = [(10 + i, f"contact phone +1 (0{i % 90 + 10}) 555-{1000 + i} or mail j{i}@mail.com ok", "x") for i in range(60)]
     found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(spelled + plain, "doc_id long, text string, kind string")).collect()}
     assert all(found[10 + i].count("email") == 1 and found[10 + i].count("phone") == 1 for i in range(60))
+    for i, text, _ in spelled:
+        assert found[i] == f"email:{text.index('joe')}:{text.index(' today')}"
+
+
+def planted(rng, text):
+    """``text`` with something put between two of its words, what kind it is (None: harmless), and its place."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = "".join(rng.choice("abcdefghij") for _ in range(6))
+    sort = rng.randrange(8)
+    if sort < 2:
+        lead, body, kind = rng.choice(["mail ", "contact ", "write "]), f"{name}{d(2)} (at) {name} (dot) {rng.choice(['com', 'org', 'de'])}", "email"
+    elif sort < 4:
+        lead, body, kind = rng.choice(["call ", "phone ", "tel: ", "mobile "]), f"{'23456789'[rng.randrange(8)]}{d(2)}-{d(3)}-{d(4)}", "phone"
+    else:
+        lead, body, kind = rng.choice(["order ", "invoice ", "serial ", "total "]), rng.choice([d(8), d(10), f"9{d(15)}", f"{d(4)}.{d(4)}"]), None
+    words = text.split(" ")
+    at = rng.randrange(len(words) + 1)
+    before = " ".join([*words[:at], ""]) + lead if at else lead
+    return before + body + " " + " ".join(words[at:]), kind, len(before), len(before) + len(body)
+
+
+def test_planted_spans_that_no_base_pattern_finds(spark):
+    rng = random.Random(12)
+    texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if r.text]
+    made = [planted(rng, t) for t in texts for _ in range(3)]
+    docs = spark.createDataFrame([(i, m[0]) for i, m in enumerate(made)], "doc_id long, text string")
+    found = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.personal_data(docs).collect()}
+    right = {"email": [0, 0], "phone": [0, 0]}
+    wrong = 0
+    for i, (text, kind, a, b) in enumerate(made):
+        base = set(filter(None, pii.listed(pii.base_spans(text)).split(",")))
+        added = found[i] - base
+        assert base <= found[i]
+        if kind:
+            right[kind][0] += f"{kind}:{a}:{b}" in found[i]
+            right[kind][1] += 1
+        wrong += len(added - ({f"{kind}:{a}:{b}"} if kind else set()))
+    assert all(hit / n >= 0.9 for hit, n in right.values()), right
+    assert wrong <= 0.05 * sum(hit for hit, _ in right.values()), wrong
+
+
+def test_a_text_of_very_many_candidates():
+    t = " ".join(f"u{i}@h{i}.com call 555-{i % 900 + 100}-{i % 9000 + 1000} ip 10.0.{i % 256}.7 and" for i in range(34_000))
+    began = time.time()
+    base = pii.base_spans(t)
+    found = pii.candidates(t, base)
+    strict = set(base)
+    assert len(found) >= 100_000 and len({pii.described(t, s, strict)[0][0] for s in found}) == 2
+    assert time.time() - began < 20
