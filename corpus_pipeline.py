@@ -17,7 +17,7 @@ BROADCAST_IDS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter, or like none of the languages, go."""
+    """Documents in a language that can be told; those without a letter (null and empty texts too), or like none of the languages, go. Equal rows share their fate."""
     ship(spark)
     got = language.predicted(docs, language.model_of(docs))
     told = (F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS_PER_BYTE) & (F.col("score") >= LEAST_SCORE)
@@ -25,32 +25,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the row of smallest doc_id (of rows that share it, the first)."""
+    """One document of each group of near-duplicates: the row of smallest doc_id (null last; of rows that share it, the first). An empty table stays empty."""
     ship(spark)
-    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    prints = stored(simhash.with_fingerprints(placed, keep=("doc_id", "row")), "prints")
+    # numbered and written once, so that the rows dropped are those that were compared
+    packed = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    prints = stored(simhash.with_fingerprints(packed.select("doc.doc_id", "doc.text", "row"), keep=("doc_id", "row")), "prints")
     keyed = prints.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row").alias("doc_id"), "fp")
     drop = stored(simhash.grouped(keyed).filter("doc_id.row != component_id.row").select(F.col("doc_id.row").alias("row")), "dropped")
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     few = drop.count() <= BROADCAST_IDS
     kept = packed.join(F.broadcast(drop) if few else drop, "row", "left_anti")
     return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; all, where that is empty."""
     ship(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix draws them: a row for each epoch that takes words of a document."""
+    """The documents as the mix draws them: a row for each epoch that takes words of a document. Null sources are a source."""
     ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and slot."""
+    """Every row's shard and slot, rows with null ids and equal rows too."""
     return sharding.shards(docs)
 
 
