@@ -31,6 +31,8 @@ ORDER = 4
 SAMPLE_ROWS = 400
 #: Rows of all languages together: with more languages than ten, each has fewer, but ``LEAST_ROWS`` or what it has.
 SAMPLE_TOTAL, LEAST_ROWS = 4_000, 20
+#: Bytes of text after which no more rows of a language are taken; its trees can't outgrow them by more than one text.
+SAMPLE_BYTES = 4 << 20
 #: Languages whose trees are merged into one table, and groups that a worker holds at once.
 GROUP, HELD_GROUPS = 8, 4
 #: Sampled ids up to which they are broadcast; beyond, they are joined by a shuffle.
@@ -215,7 +217,7 @@ class Models:
 
 
 def sampled(docs: DataFrame, text: str, lang: str, rows: int) -> DataFrame:
-    """Up to ``rows`` labelled rows of each language, those of smallest hash; ids first, then the texts of these ids.
+    """Up to ``rows`` labelled rows and about ``SAMPLE_BYTES`` of each language, those of smallest hash; ids first, then the texts of these ids.
 
     A language's count says below which hash twice ``rows`` are to be expected, so few more than are wanted are ranked
     in one place, however many the language has.
@@ -232,7 +234,9 @@ def sampled(docs: DataFrame, text: str, lang: str, rows: int) -> DataFrame:
     few = rows * n_languages <= BROADCAST_IDS
     found = labelled.join(F.broadcast(picked) if few else picked, ["doc_id", "lang"], "left_semi").filter("text is not null")
     # an id that many rows share counts once
-    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    one = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return one.withColumn("before", F.sum(F.octet_length("text")).over(before)).filter(F.coalesce("before", F.lit(0)) < SAMPLE_BYTES).drop("before")
 
 
 def trained(labelled: DataFrame, order: int = ORDER) -> Models:
@@ -271,7 +275,8 @@ def trained(labelled: DataFrame, order: int = ORDER) -> Models:
 
 
 def has_letter(body: bytes) -> bool:
-    return bool(_LETTER.search(body.decode(errors="replace")))
+    """Whether a character of the Unicode categories of letters is in the text; other numerals than digits (², ½, Ⅷ) are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(body.decode(errors="replace")))
 
 
 def predicted(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:

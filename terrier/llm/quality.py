@@ -1,8 +1,8 @@
 """Quality rules by the divergence of a document's histograms from those of its language. DataFrame functions only.
 
 Two histograms of a document, of character classes and of common words, are held against the sums of the same
-histograms over all documents of its language, by Jensen-Shannon distance. A document with too few words for a
-histogram to tell isn't judged by it.
+histograms over all documents of its language that pass the base rules, by Jensen-Shannon distance; so junk that fails
+them anyhow doesn't shift what its language looks like. A document with too few words for a histogram to tell isn't judged by it.
 """
 
 from __future__ import annotations
@@ -136,16 +136,16 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the two distances.
 
     A null or empty text has no words and fails the base rules. Documents without a language are one language. A language
-    without words has distance 0 everywhere. Repeated rows are judged alike and count each in the references; an
-    empty table gives no row; other columns are ignored.
+    of which no document passes the base rules has distance 0 everywhere. Repeated rows are judged alike and count each in the
+    references; an empty table gives no row; other columns are ignored.
     """
     rows = stored(measured(docs, text, lang), "measured")
-    sums = rows.groupBy("lang").agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(N_CLASSES)]).alias("all_classes"), F.array(*[F.sum(F.col("commons")[i]) for i in range(N_WORDS)]).alias("all_commons"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    sums = rows.filter(~failed).groupBy("lang").agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(N_CLASSES)]).alias("all_classes"), F.array(*[F.sum(F.col("commons")[i]) for i in range(N_WORDS)]).alias("all_commons"))
     references = sums.select(F.col("lang").alias("_lang"), _shares(F.col("all_classes")).alias("class_ref"), _shares(F.col("all_commons")).alias("word_ref"))
-    near = rows.join(references, rows["lang"].eqNullSafe(references["_lang"]))
+    near = rows.join(references, rows["lang"].eqNullSafe(references["_lang"]), "left")
     near = near.withColumns({"class_shares": _shares(F.col("classes")), "word_shares": _shares(F.col("commons"))})
-    near = near.withColumns({"class_distance": js_distance(F.col("class_shares"), F.col("class_ref")), "word_distance": js_distance(F.col("word_shares"), F.col("word_ref"))})
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    near = near.withColumns({f"{k}_distance": F.coalesce(js_distance(F.col(f"{k}_shares"), F.col(f"{k}_ref")), F.lit(0.0)) for k in ("class", "word")})
     far = ((F.col("n_words") >= LEAST_WORDS_FOR_CLASSES) & (F.col("class_distance") > MOST_CLASS_DISTANCE)) | ((F.col("n_words") >= LEAST_WORDS_FOR_WORDS) & (F.col("word_distance") > MOST_WORD_DISTANCE))
     return near.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance")

@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS_OF = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+#: Windows by list slices; runs of windows on a diagonal, as gaps and islands, are the longest matches.
 ORACLES: dict[str, str] = {
     "op3_decontaminate": f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS_OF} AS w FROM documents),
@@ -115,11 +116,12 @@ listed AS (SELECT r, doc_id, lang, w, CASE lang {lists} ELSE {q.OTHER_WORDS!r} E
 counted AS (SELECT r, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, [{', '.join(f'CAST({c} AS DOUBLE)' for c in classes)}] AS c,
   list_transform(k, lambda x: CAST(len(list_filter(w, lambda y: y = x)) AS DOUBLE)) AS o FROM listed),
 commons AS (SELECT *, list_append(o, n_words - list_sum(o)) AS m FROM counted),
-refs AS (SELECT lang AS ref_lang, [{', '.join(f'sum(c[{i}])' for i in range(1, q.N_CLASSES + 1))}] AS rc, [{', '.join(f'sum(m[{i}])' for i in range(1, q.N_WORDS + 1))}] AS rm FROM commons GROUP BY lang),
-judged AS (SELECT doc_id, n_words, word_chars, CAST(c[{q.SYMBOLS_AT + 1}] AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
-  {distance('c', 'rc', q.N_CLASSES)} AS cd, {distance('m', 'rm', q.N_WORDS)} AS wd
-  FROM commons JOIN refs ON lang IS NOT DISTINCT FROM ref_lang JOIN lined USING (r) LEFT JOIN repeats USING (r)),
-failed AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM judged)
+based AS (SELECT commons.*, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * coalesce(repeats.n, 0) > {q.MOST_REPEATED} * n_words AS base_failed
+  FROM commons JOIN lined USING (r) LEFT JOIN repeats USING (r)),
+refs AS (SELECT lang AS ref_lang, [{', '.join(f'sum(c[{i}])' for i in range(1, q.N_CLASSES + 1))}] AS rc, [{', '.join(f'sum(m[{i}])' for i in range(1, q.N_WORDS + 1))}] AS rm FROM based WHERE NOT base_failed GROUP BY lang),
+failed AS (SELECT doc_id, n_words, word_chars, CAST(c[{q.SYMBOLS_AT + 1}] AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN rc IS NULL THEN 0.0 ELSE {distance('c', 'rc', q.N_CLASSES)} END AS cd, CASE WHEN rm IS NULL THEN 0.0 ELSE {distance('m', 'rm', q.N_WORDS)} END AS wd
+  FROM based LEFT JOIN refs ON lang IS NOT DISTINCT FROM ref_lang)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_words >= {q.LEAST_WORDS_FOR_CLASSES} AND cd > {q.MOST_CLASS_DISTANCE}) AND NOT (n_words >= {q.LEAST_WORDS_FOR_WORDS} AND wd > {q.MOST_WORD_DISTANCE}) AS kept,
   round(cd, 4) AS class_distance, round(wd, 4) AS word_distance
@@ -131,8 +133,8 @@ ORACLES["op10_quality"] = _quality_sql()
 
 
 def _urls_sql() -> str:
-    """The URL filters in DuckDB: the same edges, the rounds unrolled."""
-    u = urls
+    """The URL filters in DuckDB: the same edges, ``rounds`` rounds unrolled. The given pages' links are all relative, so ranks are settled after the first."""
+    u, rounds_unrolled = urls, 12
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
     def parts(url: str) -> tuple[str, str]:
@@ -149,7 +151,7 @@ def _urls_sql() -> str:
     rounds = "".join(
         f""", r{i} AS MATERIALIZED (SELECT s.kind, s.host, {u.DAMPING} * coalesce(g.got, 0) + {round(1 - u.DAMPING, 10)} * s.start AS rank FROM s LEFT JOIN
         (SELECT r.kind, w.dst AS host, sum(r.rank * w.share) AS got FROM {f'r{i - 1}' if i > 1 else '(SELECT kind, host, start AS rank FROM s)'} r JOIN w ON r.kind = w.kind AND r.host = w.src GROUP BY ALL) g ON s.kind = g.kind AND s.host = g.host)"""
-        for i in range(1, u.ROUNDS + 1)
+        for i in range(1, rounds_unrolled + 1)
     )
     return rf"""
 WITH p AS MATERIALIZED (SELECT page_id, {host} AS host, {path} AS path, html FROM pages),
@@ -157,14 +159,13 @@ d AS MATERIALIZED (SELECT page_id, host, path, {rule} AS rule, {verdict} AS rule
 found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z]+:)?(//[^\s"''<>]+)', 1)) AS link FROM p),
 linked AS (SELECT src, {link_host} AS dst FROM found),
 hosts AS (SELECT DISTINCT host FROM p WHERE host <> ''),
-family AS (SELECT c.host AS child, h.host AS host FROM hosts c JOIN hosts h ON instr(c.host, '.') > 0 AND substring(c.host, instr(c.host, '.') + 1) = h.host),
-e AS MATERIALIZED (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, 1 AS n FROM linked WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT child, host, 1 FROM family UNION ALL SELECT host, child, 1 FROM family) GROUP BY ALL),
+e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM linked WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 nodes AS (SELECT host FROM hosts UNION SELECT src FROM e UNION SELECT dst FROM e),
 seeds AS (SELECT 'trust' AS kind, host, (SELECT count(*) FROM d WHERE d.host = nodes.host AND ruled = 'allow') AS seed FROM nodes UNION ALL SELECT 'distrust', host, (SELECT count(*) FROM d WHERE d.host = nodes.host AND ruled = 'block') FROM nodes),
 s AS MATERIALIZED (SELECT kind, host, CAST(seed AS DOUBLE) / greatest(sum(seed) OVER (PARTITION BY kind), 1) AS start FROM seeds),
 ways AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
 w AS MATERIALIZED (SELECT kind, src, dst, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY kind, src) AS share FROM ways){rounds},
-scaled AS (SELECT kind, host, rank / CASE WHEN sum(rank) OVER (PARTITION BY kind) = 0 THEN 1.0 ELSE sum(rank) OVER (PARTITION BY kind) END * (SELECT count(*) FROM nodes) AS rank FROM r{u.ROUNDS}),
+scaled AS (SELECT kind, host, rank / CASE WHEN sum(rank) OVER (PARTITION BY kind) = 0 THEN 1.0 ELSE sum(rank) OVER (PARTITION BY kind) END * (SELECT count(*) FROM nodes) AS rank FROM r{rounds_unrolled}),
 scores AS (SELECT host, round(sum(rank) FILTER (WHERE kind = 'trust'), 6) AS trust, round(sum(rank) FILTER (WHERE kind = 'distrust'), 6) AS distrust FROM scaled GROUP BY host)
 SELECT page_id, d.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust > {u.LEAST_DISTRUST} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
 FROM d LEFT JOIN scores ON d.host = scores.host

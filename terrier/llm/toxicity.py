@@ -3,8 +3,9 @@
 Features of a text are how often it holds certain runs of six bytes, and of five at the start of a word (lower case,
 all but letters as one space), as log(1 + count). Which runs, counts over the labelled sample decide: those whose
 share among toxic texts differs most from that among others. Each model also gets the probabilities of the categories
-before it. In training these are out-of-fold predictions, so a model sees how sure the ones before are about texts that
-they don't know. A text is toxic if the last category's probability reaches the threshold with the best F1 out of fold.
+before it. In training these are out-of-fold predictions, by models whose runs were chosen without the fold too, so a model sees
+how sure the ones before are about texts that they don't know. A text is toxic if the last category's probability reaches the
+threshold with the best F1 out of fold.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from terrier.llm.shared import blobs, runs_of_rows, stored
 
 #: Labelled rows of each label that the chain is trained on at most; a hash of doc_id decides which.
 SAMPLE_ROWS = 1_500
+#: Byte runs that a model reads, and texts of the sample that a run must stand in to be one of them. Neither bounds the rows.
 FEATURES = 400
 LEAST_ROWS = 5
 FOLDS = 4
@@ -87,16 +89,19 @@ def chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Chain:
     """The features' keys, a model for each category, and the threshold for the last."""
 
-    def __init__(self, keys: np.ndarray, x: np.ndarray, ys: np.ndarray, fold: np.ndarray, weight: np.ndarray, categories=CATEGORIES):
-        """x: features of the sample, ys: a column for each category, weight: how many labelled rows a row stands for."""
-        self.categories, self.keys, self.models, self.threshold = categories, keys, [], np.inf
+    def __init__(self, keys: np.ndarray, x: np.ndarray, ys: np.ndarray, fold: np.ndarray, weight: np.ndarray, chosen: dict[int | None, np.ndarray], categories=CATEGORIES):
+        """x: features (columns ``keys``) of the sample, ys: a column for each category, weight: how many labelled rows a row stands for,
+        chosen: the columns that were chosen without each fold, and under None from all rows."""
+        self.categories, self.keys, self.models, self.threshold = categories, keys[chosen[None]], [], np.inf
+        before = np.zeros((len(x), 0))
         for c in range(len(categories)):
             y, out = ys[:, c], np.zeros(len(x))
             for f in np.unique(fold):
-                rest = fold != f
-                out[~rest] = chance(x[~rest], fitted(x[rest], y[rest])) if 0 < y[rest].sum() < rest.sum() else y[rest].mean() if rest.any() else 0.0
-            self.models.append(fitted(x, y) if 0 < y.sum() < len(y) else None)
-            x = np.column_stack((x, out))
+                rest, own = fold != f, np.column_stack((x[:, chosen[int(f)]], before))
+                out[~rest] = chance(own[~rest], fitted(own[rest], y[rest])) if 0 < y[rest].sum() < rest.sum() else y[rest].mean() if rest.any() else 0.0
+            self.models.append(fitted(np.column_stack((x[:, chosen[None]], before)), y) if 0 < y.sum() < len(y) else None)
+            before = np.column_stack((before, out))
+        self.out_of_fold = before
         if len(x) and self.models[-1] is not None:
             order = np.argsort(-out, kind="stable")
             true, wrong = np.cumsum((y * weight)[order]), np.cumsum(((1 - y) * weight)[order])
@@ -118,31 +123,39 @@ class Chain:
 
 
 def trained(sample: DataFrame, ratio: tuple[int, int], features: int = FEATURES) -> Chain:
-    """The chain for a written sample; ``ratio``: how many rows are labelled 0 and 1 in all. Runs are counted in tasks; the driver gets the best ``features`` and the sample's counts of them."""
+    """The chain for a written sample; ``ratio``: how many rows are labelled 0 and 1 in all. Runs are counted in tasks; the driver gets the best ``features`` without each fold and of all, and the sample's counts of them."""
     names = sample.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = blobs(batch.column(0)), batch.column(4).to_numpy()
+            texts, folds, toxic = blobs(batch.column(0)), batch.column(1).to_numpy(), batch.column(4).to_numpy()
             for a, b in runs_of_rows(texts, RUN_BYTES):
-                data, starts = seen(texts.slice(a, b - a))
-                keys, row = _runs(data, starts)
+                keys, row = _runs(*seen(texts.slice(a, b - a)))
                 order = np.lexsort((row, keys))
                 keys, row = keys[order], row[order]
                 first = np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])) if len(keys) else np.zeros(0, bool)
-                keys, yes = keys[first], toxic[a:b][row[first]]
-                own, at = np.unique(keys, return_index=True)
+                keys, row = keys[first], row[first]
+                fold, yes = folds[a:b][row], toxic[a:b][row]
+                order = np.lexsort((fold, keys))
+                keys, fold, yes = keys[order], fold[order], yes[order]
+                at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (fold[1:] != fold[:-1]))) if len(keys) else np.zeros(0, np.int64)
                 n = np.diff(np.append(at, len(keys)))
                 n1 = np.add.reduceat(yes.astype(np.int64), at) if len(at) else n
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1)], names=["key", "n", "n1"])
-
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
-    n, n1 = float(total.n), float(total.n1)
-    sums = sample.mapInArrow(count, "key long, n long, n1 long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= LEAST_ROWS)
-    share = F.col("n") / F.lit(n or 1.0)
-    gap = F.abs(F.col("n1") / F.lit(n1 or 1.0) - (F.col("n") - F.col("n1")) / F.lit(max(n - n1, 1.0)))
-    best = sums.withColumn("score", gap / F.sqrt(share * (1 - share) + 1e-6)).orderBy(F.desc("score"), "key").limit(features)
-    keys = np.sort(np.array([r.key for r in best.select("key").collect()], np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(fold[at].astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["key", "fold", "n", "n1"])
+
+    rows_in = {r.fold: (r.n, r.n1) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).collect()}
+    counts = sample.mapInArrow(count, "key long, fold int, n long, n1 long").groupBy("key").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(FOLDS) for c in ("n", "n1")])
+    counts = stored(counts, "runs")
+    chosen = {}
+    for without in (None, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != without]
+        n, n1 = (float(sum(rows_in.get(f, (0, 0))[k] for f in folds)) for k in (0, 1))
+        sums = counts.select("key", sum((F.col(f"n_{f}") for f in folds), F.lit(0)).alias("n"), sum((F.col(f"n1_{f}") for f in folds), F.lit(0)).alias("n1")).filter(F.col("n") >= LEAST_ROWS)
+        share = F.col("n") / F.lit(n or 1.0)
+        gap = F.abs(F.col("n1") / F.lit(n1 or 1.0) - (F.col("n") - F.col("n1")) / F.lit(max(n - n1, 1.0)))
+        best = sums.withColumn("score", gap / F.sqrt(share * (1 - share) + 1e-6)).orderBy(F.desc("score"), "key").limit(features)
+        chosen[without] = np.sort(np.array([r.key for r in best.select("key").collect()], np.int64).view(np.uint64))
+    keys = np.unique(np.concatenate(list(chosen.values())))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(keys)
@@ -159,7 +172,7 @@ def trained(sample: DataFrame, ratio: tuple[int, int], features: int = FEATURES)
     ys = np.array([[r[c] for c in CATEGORIES] for r in rows], float).reshape(len(rows), len(CATEGORIES))
     toxic = ys[:, -1] == 1
     weight = np.where(toxic, ratio[1] / max(toxic.sum(), 1), ratio[0] / max((~toxic).sum(), 1))
-    return Chain(keys, x, ys, np.array([r.fold for r in rows]), weight)
+    return Chain(keys, x, ys, np.array([r.fold for r in rows]), weight, {f: np.searchsorted(keys, own) for f, own in chosen.items()})
 
 
 def chain_of(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Chain:

@@ -5,8 +5,8 @@ PageRank against the links from the hosts of pages that a rule blocks, since who
 A host is blocked where its share of distrust exceeds its share of trust and a threshold; it holds for its pages that
 no rule decides.
 
-Edges are the distinct (host, host) pairs of the pages' links, each with its number of links, and an edge both
-ways between a host and its parent host where both have pages, so ``m.x.org`` and ``x.org`` share what they earn.
+Edges are the distinct (host, host) pairs of the pages' links, each with its number of links. Ranks are iterated until they move by less
+than a tolerance, however long the ways are on which they spread.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ RULES = (
     ("org", "/es/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: How far (summed over all hosts, of shares that sum to 1) the ranks of a kind may still move when they are taken as settled.
+TOLERANCE = 1e-7
 #: A host's distrust must exceed this many times an even share, and its trust, for the host to be blocked.
 LEAST_DISTRUST = 1.0
-#: Rounds after which the ranks are written, so that no plan or lineage grows with the rounds.
+#: Rounds after which the ranks are written and held against those before, so that no plan or lineage grows with the rounds.
 ROUNDS_A_TABLE = 4
 
 
@@ -58,20 +59,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n) between hosts of ``pages`` (host, html): links, and parents where both have pages; none to itself."""
+    """(src, dst, n) between hosts of ``pages`` (host, html): links from one to another, none to itself. Null html has none."""
     links = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?(?:[a-z]+:)?(//[^\s\"'<>]+)"), 1))
     linked = pages.select(F.col("host").alias("src"), links.alias("url")).select("src", host_of(F.concat(F.lit(":"), F.col("url"))).alias("dst"))
-    out = linked.filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    hosts = pages.select("host").filter("host != ''").distinct()
-    child = hosts.select(F.col("host").alias("child"), F.expr("substring(host, locate('.', host) + 1)").alias("host")).filter("instr(child, '.') > 0")
-    family = child.join(hosts, "host").select("child", "host")
-    both = family.select(F.col("child").alias("src"), F.col("host").alias("dst")).union(family.select("host", "child"))
-    return out.union(both.withColumn("n", F.lit(1).cast("long"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    return linked.filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, rank): for each kind, ``rounds`` rounds of PageRank over ``links`` (kind, src, dst, n) that starts and
-    restarts at the hosts of ``seeds`` (kind, host, seed) in proportion to seed. A kind without seeds has rank 0.
+def personalised(seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, rank): for each kind, PageRank over ``links`` (kind, src, dst, n) that starts and restarts at the hosts of
+    ``seeds`` (kind, host, seed) in proportion to seed, until no kind's ranks move by more than ``tolerance`` in ``ROUNDS_A_TABLE``
+    rounds; as a round shrinks what moves by ``damping``, that is reached. A kind without seeds has rank 0.
 
     What hosts without links hold is lost in each round and made up for at the end, when the ranks of a kind are scaled
     to sum to 1: that is the fixed point which gives it back to the seeds.
@@ -88,16 +85,20 @@ def personalised(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, dampi
     shares = stored(links.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
     base = stored(seeds.select("kind", "host", scaled("seed", totals).alias("start")), "seeds")
     rank = base.select("kind", "host", F.col("start").alias("rank"))
-    for i in range(rounds):
-        sent = rank.filter("rank > 0").join(shares, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = base.join(sent, ["kind", "host"], "left").select("kind", "host", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("start")).alias("rank"))
-        if (i + 1) % ROUNDS_A_TABLE == 0 or i + 1 == rounds:
-            rank = stored(rank, "ranks")
+    before, moves = base.select("kind", "host", F.lit(0.0).alias("was")), True
+    while moves:
+        for _ in range(ROUNDS_A_TABLE):
+            sent = rank.filter("rank > 0").join(shares, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            rank = base.join(sent, ["kind", "host"], "left").select("kind", "host", (damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("start")).alias("rank"))
+        rank = stored(rank, "ranks")
+        moved = rank.join(before, ["kind", "host"]).groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("by")).collect()  # one row a kind
+        moves = any(r.by > tolerance for r in moved)
+        before = rank.select("kind", "host", F.col("rank").alias("was"))
     sums = {r.kind: r.total for r in rank.groupBy("kind").agg(F.sum("rank").alias("total")).collect()}
     return rank.select("kind", "host", scaled("rank", sums).alias("rank"))
 
 
-def filtered(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def filtered(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of ``pages`` (page_id, url, html).
 
     trust and distrust are the host's ranks in multiples of an even share, rounded to 6 places. Null urls and html are
@@ -115,7 +116,7 @@ def filtered(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     trust, distrust = F.lit("trust").alias("kind"), F.lit("distrust").alias("kind")
     seeds = nodes.select(trust, "host", F.col("good").alias("seed")).union(nodes.select(distrust, "host", "bad"))
     ways = links.select(trust, "src", "dst", "n").union(links.select(distrust, "dst", "src", "n"))
-    ranks = personalised(seeds, ways, rounds)
+    ranks = personalised(seeds, ways, tolerance)
     n = nodes.count()
     scored = ranks.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("rank") * n).otherwise(0.0)), 6).alias(k) for k in ("trust", "distrust")])
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") > LEAST_DISTRUST)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terrier.llm import language
 
@@ -78,11 +79,11 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string, score string"
-    rows = [(1, "the cat", "en", "x"), (2, "le chat", "fr", "x"), (3, None, "en", "x"), (4, "12 34", "en", "x"), (None, "the", None, "x"), (1, "the cat", "en", "x"), (6, "", None, "x"), (7, "Ж", None, "x"), (8, "the " * 50000, None, "x")]
+    rows = [(1, "the cat", "en", "x"), (2, "le chat", "fr", "x"), (3, None, "en", "x"), (4, "12 34", "en", "x"), (None, "the", None, "x"), (1, "the cat", "en", "x"), (6, "", None, "x"), (7, "Ж", None, "x"), (8, "the " * 50000, None, "x"), (9, "² ½ Ⅷ ①", None, "x"), (10, "½ ñ", None, "x")]
     got = language.languages(spark.createDataFrame(rows, schema))
     found = sorted(((r.doc_id, r.lang_pred) for r in got.collect()), key=str)
     assert len(found) == len(rows)
-    assert {i for i, x in found if x == "und"} == {3, 4, 6}
+    assert {i for i, x in found if x == "und"} == {3, 4, 6, 9}
     assert dict(found)[8] == "en"
     assert language.languages(spark.createDataFrame([], schema)).count() == 0
     unlabelled = language.languages(spark.createDataFrame([(1, "the cat", None, "")], schema)).collect()
@@ -106,3 +107,10 @@ def test_every_language_is_learned(spark):
     bits, (best, least, score) = model.code_lengths(data, starts), model.best(data, starts)
     assert len(model.languages) == bits.shape[1] == 210 and list(best) == list(bits.argmin(axis=1)) and list(least) == list(bits.min(axis=1))
     assert list(score) == pytest.approx([1 / sum(2 ** max(min(b) - x, -1000) for x in b) for b in bits.tolist()])
+
+
+def test_a_language_is_sampled_by_bytes_too(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "word " * 60, "en") for i in range(40)] + [(100, "mot " * 9000, "fr")], "doc_id long, text string, lang string")
+    got = {r.lang: r.n for r in language.sampled(docs, "text", "lang", 400).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert got == {"en": 4, "fr": 1}  # 300 bytes each; the one long text of a language is taken whole

@@ -106,8 +106,8 @@ def test_permutation():
         assert sorted(mixing.permuted(np.arange(n), n, 99).tolist()) == list(range(n))
 
 
-def plain_mix(rows, block, slots, group):
-    """taken and first_shard of (doc_id, text, source) rows by plain loops over draws in order."""
+def plain_draws(rows, block, slots, group):
+    """Sizes of (doc_id, text, source) rows, and for each word that the mix takes (row, place of the word, epoch, shard), by plain loops over draws in order."""
     sizes = [len((t or "").split()) for _, t, _ in rows]
     per = {}
     for (_, _, s), n in zip(rows, sizes, strict=True):
@@ -146,13 +146,22 @@ def plain_mix(rows, block, slots, group):
     laid = {i: [] for i in blocks}
     for at in sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, sizes[r])):
         if sizes[at]:
-            laid[names.index(rows[at][2])] += [at] * sizes[at]
-    taken, first = [0] * len(rows), [None] * len(rows)
+            laid[names.index(rows[at][2])] += [(at, k) for k in range(sizes[at])]
+    words = []
     for i, k, shard in final:
-        b = int(mixing.permuted(np.array([k % blocks[i]]), blocks[i], mixing._key(mixing.SEED, i, k // blocks[i]))[0])
-        for at in laid[i][b * block : (b + 1) * block]:
-            taken[at] += 1
-            first[at] = shard if first[at] is None else min(first[at], shard)
+        epoch = k // blocks[i]
+        b = int(mixing.permuted(np.array([k % blocks[i]]), blocks[i], mixing._key(mixing.SEED, i, epoch))[0])
+        words += [(at, place, epoch, shard) for at, place in laid[i][b * block : (b + 1) * block]]
+    return sizes, words
+
+
+def plain_mix(rows, block, slots, group):
+    """(doc_id, size, taken, first_shard) of the rows."""
+    sizes, words = plain_draws(rows, block, slots, group)
+    taken, first = [0] * len(rows), [None] * len(rows)
+    for at, _, _, shard in words:
+        taken[at] += 1
+        first[at] = shard if first[at] is None else min(first[at], shard)
     return sorted(((r[0], n, t, f) for r, n, t, f in zip(rows, sizes, taken, first, strict=True)), key=str)
 
 
@@ -161,13 +170,11 @@ def test_taken_words_against_plain_loops_in_any_order(spark, monkeypatch):
     names = ["b", "a", "é", None, "B", "zz", "tiny"]
     rows = [(i, " ".join(f"w{i}_{k}" for k in range(int(rng.integers(0, 40)))), names[int(rng.integers(0, 6))]) for i in range(90)]
     rows += [(200, None, "a"), (201, "one two three", "tiny"), (None, "no id here", "a"), (3, "a second text with the id three", "a"), (300, "x " * 9000, "b")]
-    for group in (4096, 3):
+    for group, own in ((4096, rows), (3, rows[::-1])):
         monkeypatch.setattr(mixing, "SOURCE_GROUP", group)
-        want = plain_mix(rows, 4, 50, group)
-        for own in (rows, rows[::-1]):
-            docs = spark.createDataFrame(own, "doc_id long, text string, source string")
-            got = mixing.mix(docs, block_words=4, n_slots=50).collect()
-            assert sorted(((r.doc_id, r.size, r.taken, r.first_shard) for r in got), key=str) == want
+        docs = spark.createDataFrame(own, "doc_id long, text string, source string")
+        got = mixing.mix(docs, block_words=4, n_slots=50).collect()
+        assert sorted(((r.doc_id, r.size, r.taken, r.first_shard) for r in got), key=str) == plain_mix(rows, 4, 50, group)
     shares = mixing.shard_mix(docs, block_words=4, n_slots=50).groupBy("shard").agg(F.sum("blocks").alias("n")).orderBy("shard").collect()
     assert {r.n for r in shares[:-1]} == {50} and [r.shard for r in shares] == list(range(len(shares))) and 0 < shares[-1].n <= 50
     mixed = mixing.shard_mix(docs, block_words=4, n_slots=50).groupBy("shard").count()
