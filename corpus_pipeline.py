@@ -62,7 +62,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: SQL can express neither the language models nor the mix's permutations; tests hold each stage against a plain version.
+#: SQL can express neither the language models nor the mix's permutations; a test holds run() against plain versions of all stages.
 ORACLE_SQL = None
 
 
