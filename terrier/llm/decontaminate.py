@@ -28,7 +28,7 @@ from terrier.llm.shared import blobs, flat, runs_of_rows, stored
 WINDOW = 10
 #: Bytes of test text that one pass broadcasts.
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 #: What is a word byte: all but \x00-\x2F, \x3A-\x60 and \x7B-\x7F after A-Z are lower-cased; other bytes belong to letters.
 _LOWER = np.arange(256, dtype=np.uint8)

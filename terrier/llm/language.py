@@ -37,9 +37,9 @@ SAMPLE_BYTES = 4 << 20
 GROUP, HELD_GROUPS = 8, 4
 #: Sampled ids up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 500_000
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Code lengths (bytes times languages) that are held at once.
-STEP_CELLS = 8 << 20
+STEP_CELLS = 2 << 20
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
