@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terrier.llm.prefix import with_prefix
-from terrier.llm.shared import blobs, flat, runs_of_rows, stored
+from terrier.llm.shared import blobs, flat, release, runs_of_rows, stored
 
 WINDOW = 10
 #: Bytes of test text that one pass broadcasts.
@@ -329,6 +329,7 @@ def _scan(spark, block, text: str, window: int, hit_only: bool):
             else:
                 hit = [_count([x]) if x is not None else 0 for x in bits]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, strings), pa.array(match, matches)], names=["doc", "n_words", "n_hit", "items", "match"])
+        release()
 
     return work, shared
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrier.llm.shared import blobs, flat, runs_of_rows, stored
+from terrier.llm.shared import blobs, flat, release, runs_of_rows, stored
 
 #: Bytes of context.
 ORDER = 4
@@ -301,6 +301,7 @@ def predicted(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
                 scores.append(np.where(ok, score, 0.0))
                 rates.append(np.where(ok, rate, 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [[]])), pa.array(np.concatenate(rates or [[]]))], names=["doc", "lang_pred", "score", "bits_per_byte"])
+        release()
 
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     schema = StructType(list(packed.schema.fields)).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")

@@ -122,6 +122,8 @@ def drawn(want: DataFrame, n_slots: int = SHARD_SLOTS, seed: int = SEED) -> Data
                 yield pd.DataFrame({"shard": shard, "src": src[own], "n": counts[own]})
 
     shards = spark.range(-(-total // n_slots)).repartition(fixed(None, spark)).mapInPandas(outer, "shard long, part long, slots long")
+    # dealt out again, so that the two steps don't share a task: each holds Python workers of its own
+    shards = shards.repartition(fixed(None, spark), "shard", "part")
     held = F.broadcast(members.select("part", "members")) if len(totals) <= BROADCAST_GROUPS else members.select("part", "members")
     return shards.join(held, "part").select("shard", "part", "slots", "members").mapInPandas(inner, "shard long, src long, n long")
 

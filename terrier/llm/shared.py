@@ -72,6 +72,11 @@ def runs_of_rows(column: pa.LargeBinaryArray, most: int) -> Iterator[tuple[int,
         at = to
 
 
+def release() -> None:
+    """Give what Arrow no longer uses back to the machine; Spark keeps a worker, and its memory, for the next stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def flat(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows in one array, and where each row starts (one more entry: the end)."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.shared import blobs, runs_of_rows, stored
+from terrier.llm.shared import blobs, release, runs_of_rows, stored
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -89,6 +89,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE_
             for a, b in runs_of_rows(texts, 8 << 20):
                 found += [fingerprint(x, words) for x in texts.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.array(found, np.uint64).view(np.int64))], names=[*keep, "fp"])
+        release()
 
     kept = docs.select(*keep, F.col(text).alias("_text"))
     types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
