@@ -19,12 +19,11 @@ def _amount(text: Column, words: list[str]) -> Column:
     return to_number(F.coalesce(*found), "double")
 
 
-def _factor(state: Column, unit: str) -> Column:
-    out = F.lit(UNIT_SQUARE_METRES["default"].get(unit, 1.0))
-    for name, table in UNIT_SQUARE_METRES.items():
-        if name != "default":
-            out = F.when(state == name, F.lit(table.get(unit, 1.0))).otherwise(out)
-    return out
+def _factors(state: Column) -> Column:
+    """Square metres of each unit in a state's table, in the order of UNIT_WORDS; 1 for a unit that the table lacks."""
+    rows = {name: "array(" + ", ".join(f"{float(table.get(u, 1.0))!r}D" for u in UNIT_WORDS) + ")" for name, table in UNIT_SQUARE_METRES.items()}
+    of_states = F.expr("map(" + ", ".join(f"'{name}', {row}" for name, row in rows.items() if name != "default") + ")")
+    return F.coalesce(F.try_element_at(of_states, state), F.expr(rows["default"]))
 
 
 def parse_area(text: Column, state: Column) -> Column:
@@ -40,12 +39,12 @@ def parse_area(text: Column, state: Column) -> Column:
     def read(low: Column) -> Column:
         amounts = F.array(*[_amount(low, words) for words in UNIT_WORDS.values()])
         bare = to_number(unless_empty(F.regexp_extract(low, _NUMBER, 1)), "double")
-        return let(F.struct(amounts.alias("of"), bare.alias("bare"), strip(text).alias("raw"), key.alias("key")), told)
+        return let(F.struct(amounts.alias("of"), bare.alias("bare"), strip(text).alias("raw"), _factors(key).alias("factors")), told)
 
     def told(x: Column) -> Column:
         amounts = {u: x["of"][i] for i, u in enumerate(UNIT_WORDS)}
         unit = F.coalesce(*[F.when(a.isNotNull(), u) for u, a in amounts.items()], F.when(x["bare"].isNotNull(), "Unspecified Unit").otherwise("Unspecified"))
-        total = reduce(lambda s, t: s + t, [F.coalesce(a * _factor(x["key"], u), F.lit(0.0)) for u, a in amounts.items()])
+        total = reduce(lambda s, t: s + t, [F.coalesce(a * x["factors"][i], F.lit(0.0)) for i, a in enumerate(amounts.values())])
         metres = let(total, lambda t: F.when(t > 0, F.round(t, 2)))
         return F.struct(x["raw"].alias("raw_text"), F.coalesce(*amounts.values(), x["bare"]).alias("value"), unit.alias("unit"), metres.alias("sq_meters"))
 

@@ -10,6 +10,8 @@ from terrier.functions.values import DAY_SUFFIXES, MONTHS
 
 _NUMERIC = r"(\p{Nd}{1,2})[/\-.](\p{Nd}{1,2})[/\-.](\p{Nd}{4})"
 _YEARS = r"(?U)\b((?:18|19|20)\p{Nd}{2})\b"
+#: A year by itself, or four digits behind the last letter of a name: without one of them no date with a month's name has a year.
+_DATED = rf"{_YEARS}|[\p{{L}}\p{{M}}]\s*\p{{Nd}}{{4}}"
 _SHORT_CODES = [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
 
 
@@ -55,7 +57,7 @@ def parse_date(text: Column) -> Column:
     none = F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("iso"))
 
     def read(x: Column) -> Column:
-        iso = F.when(x["norm"].rlike(r"\p{Nd}"), F.coalesce(_numeric(x["norm"]), _named(x["norm"])))
+        iso = F.when(x["norm"].rlike(r"\p{Nd}"), F.coalesce(_numeric(x["norm"]), F.when(x["norm"].rlike(_DATED), _named(x["norm"]))))
         return F.when(F.coalesce(x["raw"], F.lit("")) != "", F.struct(x["raw"].alias("raw"), iso.alias("iso"))).otherwise(none)
 
     return let(strip(text), lambda raw: let(F.struct(raw.alias("raw"), fold_numerals(raw).alias("norm")), read))
