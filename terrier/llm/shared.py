@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_C = ctypes.CDLL(None)
 _FOLDER = "spark.terrier.folder"
 
 
@@ -73,8 +75,10 @@ def runs_of_rows(column: pa.LargeBinaryArray, most: int) -> Iterator[tuple[int,
 
 
 def release() -> None:
-    """Give what Arrow no longer uses back to the machine; Spark keeps a worker, and its memory, for the next stage."""
+    """Give what Arrow and numpy no longer use back to the machine; Spark keeps a worker, and its memory, for the next stage."""
     pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):  # of glibc
+        _C.malloc_trim(0)
 
 
 def flat(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
