@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terrier.llm.prefix import with_prefix
-from terrier.llm.shared import blobs, flat, release, runs_of_rows, stored
+from terrier.llm.shared import blobs, flat, in_batches, release, runs_of_rows, stored
 
 WINDOW = 10
 #: Bytes of test text that one pass broadcasts.
@@ -346,12 +346,12 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
     first, second = next(blocks), next(blocks, None)
     if second is None:
         schema = StructType([*packed.schema.fields, *StructType.fromDDL(f"n_words long, n_hit long, items array<string>, match {MATCH}").fields])
-        return packed.mapInArrow(_scan(spark, first, text, window, False)[0], schema)
+        return in_batches(packed).mapInArrow(_scan(spark, first, text, window, False)[0], schema)
     rows = stored(packed.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = None
     while first is not None:
         work, shared = _scan(spark, first, text, window, True)
-        own = stored(rows.mapInArrow(work, f"row long, hits binary, items array<string>, match {MATCH}"), "hits")
+        own = stored(in_batches(rows).mapInArrow(work, f"row long, hits binary, items array<string>, match {MATCH}"), "hits")
         shared.destroy()
         found = own if found is None else found.union(own)
         first, second = second, next(blocks, None)
@@ -412,7 +412,7 @@ def locations(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
     out = None
     for block in blocks_of(benchmark, "text", block_bytes):
         work, shared = scan(block)
-        one = stored(docs.select("doc_id", F.col(text).alias("text")).mapInArrow(work, schema), "locations")
+        one = stored(in_batches(docs.select("doc_id", F.col(text).alias("text"))).mapInArrow(work, schema), "locations")
         shared.destroy()
         out = one if out is None else out.union(one)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrier.llm.shared import blobs, flat, release, runs_of_rows, stored
+from terrier.llm.shared import blobs, flat, in_batches, release, runs_of_rows, stored
 
 #: Bytes of context.
 ORDER = 4
@@ -256,7 +256,7 @@ def trained(labelled: DataFrame, order: int = ORDER) -> Models:
                         keys, n = np.unique(grams(data, starts, k + 1)[0], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "run", "n"])
 
-    summed = labelled.select("text", "lang").mapInArrow(count, "lang int, k int, run long, n long").groupBy("lang", "k", "run").agg(F.sum("n").alias("n"))
+    summed = in_batches(labelled.select("text", "lang")).mapInArrow(count, "lang int, k int, run long, n long").groupBy("lang", "k", "run").agg(F.sum("n").alias("n"))
     if len(languages) > GROUP:
         summed = stored(summed, "runs")
     groups = []
@@ -305,7 +305,7 @@ def predicted(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
 
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
     schema = StructType(list(packed.schema.fields)).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return packed.mapInArrow(work, schema)
+    return in_batches(packed).mapInArrow(work, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrier.llm.shared import blobs, flat, runs_of_rows, stored
+from terrier.llm.shared import blobs, flat, in_batches, runs_of_rows, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates of each kind, strict or loose, that the classifier is trained on at most; a hash of place and document decides which.
@@ -164,7 +164,7 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", *[f"n_{k}" for k in KINDS], "base", "candidates"])
 
     kept = docs.select("doc_id", F.col(text).alias("text"))
-    return kept.mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,kind:int,end:long,votes:string,features:array<double>>>")
+    return in_batches(kept).mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,kind:int,end:long,votes:string,features:array<double>>>")
 
 
 def expectation_maximisation(counts: list[tuple[int, str, int]], rounds: int = 60) -> dict[tuple[int, str], float]:
@@ -253,4 +253,4 @@ def personal_data(docs: DataFrame, text: str = "text", sample: int = SAMPLE) ->
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=[*batch.schema.names[:5], "base_sha256", "spans", "n_added"])
 
-    return rows.mapInArrow(judge, f"doc_id {rows.dtypes[0][1]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return in_batches(rows).mapInArrow(judge, f"doc_id {rows.dtypes[0][1]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.shared import blobs, flat, runs_of_rows, stored
+from terrier.llm.shared import blobs, flat, in_batches, runs_of_rows, stored
 
 KINDS = ("assign", "access", "hex")
 #: Name of the spans that the network adds.
@@ -127,7 +127,7 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "findings"])
 
     kept = docs.select("doc_id", F.col(text).alias("text"))
-    return kept.mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, findings array<struct<start:long,kind:int,end:long,windows:binary>>")
+    return in_batches(kept).mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, findings array<struct<start:long,kind:int,end:long,windows:binary>>")
 
 
 class Network:
@@ -310,7 +310,7 @@ def passages_of(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> li
                 words.append([re.match(rb"[A-Za-z]{3,12}", body[s : s + 12])[0].decode() for s in (spots * 2)[at : at + 8]])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(before, pa.binary()), pa.array(words, pa.list_(pa.string()))], names=["h", "before", "words"])
 
-    rows = likely.mapInArrow(cut, "h long, before binary, words array<string>").orderBy("h", "before", "words").limit(sample).collect()
+    rows = in_batches(likely).mapInArrow(cut, "h long, before binary, words array<string>").orderBy("h", "before", "words").limit(sample).collect()
     return [(bytes(r.before), list(r.words)) for r in rows]
 
 
@@ -358,4 +358,4 @@ def secrets(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFr
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
 
-    return rows.mapInArrow(judge, f"doc_id {rows.dtypes[0][1]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return in_batches(rows).mapInArrow(judge, f"doc_id {rows.dtypes[0][1]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 _C = ctypes.CDLL(None)
 _FOLDER = "spark.terrier.folder"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of texts where the session doesn't say; Spark's own bound lets a task hold several times 64 MB.
+BATCH_BYTES = 8 << 20
 
 
 def job_folder(spark: SparkSession) -> str:
@@ -56,6 +59,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(texts: DataFrame) -> DataFrame:
+    """``texts`` as they are, in a session that hands them to Python in batches of about ``BATCH_BYTES``, unless it has a bound of its own. A longer text is a batch by itself."""
+    conf = texts.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return texts
+
+
 def blobs(column: pa.Array | pa.ChunkedArray) -> pa.LargeBinaryArray:
     """UTF-8 bytes of a text column, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.shared import blobs, release, runs_of_rows, stored
+from terrier.llm.shared import blobs, in_batches, release, runs_of_rows, stored
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -93,7 +93,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE_
 
     kept = docs.select(*keep, F.col(text).alias("_text"))
     types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
-    return kept.mapInArrow(work, f"{types}, fp long")
+    return in_batches(kept).mapInArrow(work, f"{types}, fp long")
 
 
 def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrier.llm.language import Table, grams, seen
-from terrier.llm.shared import blobs, runs_of_rows, stored
+from terrier.llm.shared import blobs, in_batches, runs_of_rows, stored
 
 #: Labelled rows of each label that the chain is trained on at most; a hash of doc_id decides which.
 SAMPLE_ROWS = 1_500
@@ -144,7 +144,7 @@ def trained(sample: DataFrame, ratio: tuple[int, int], features: int = FEATURES)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(fold[at].astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["key", "fold", "n", "n1"])
 
     rows_in = {r.fold: (r.n, r.n1) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).collect()}
-    counts = sample.mapInArrow(count, "key long, fold int, n long, n1 long").groupBy("key").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(FOLDS) for c in ("n", "n1")])
+    counts = in_batches(sample).mapInArrow(count, "key long, fold int, n long, n1 long").groupBy("key").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for f in range(FOLDS) for c in ("n", "n1")])
     counts = stored(counts, "runs")
     chosen = {}
     for without in (None, *range(FOLDS)):
@@ -166,7 +166,7 @@ def trained(sample: DataFrame, ratio: tuple[int, int], features: int = FEATURES)
                 out[a + row, feature] = value
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(out), pa.list_(pa.float64()))], names=[*names[1:], "x"])
 
-    rows = sample.mapInArrow(describe, "fold int, insult int, contempt int, toxic int, x array<double>").collect()
+    rows = in_batches(sample).mapInArrow(describe, "fold int, insult int, contempt int, toxic int, x array<double>").collect()
     rows.sort(key=lambda r: (r.fold, r.toxic, tuple(r.x)))
     x = np.array([r.x for r in rows]).reshape(len(rows), len(keys))
     ys = np.array([[r[c] for c in CATEGORIES] for r in rows], float).reshape(len(rows), len(CATEGORIES))
@@ -204,4 +204,4 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = S
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.round(p[:, c], 6)) for c in range(p.shape[1])], pa.array(p[:, -1] >= chain.threshold)], names=["doc_id", *[f"p_{c}" for c in chain.categories], "toxic"])
 
     kept = docs.select("doc_id", F.col(text).alias("text"))
-    return kept.mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, p_insult double, p_contempt double, p_toxic double, toxic boolean")
+    return in_batches(kept).mapInArrow(work, f"doc_id {kept.dtypes[0][1]}, p_insult double, p_contempt double, p_toxic double, toxic boolean")

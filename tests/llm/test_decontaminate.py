@@ -5,8 +5,9 @@ import time
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from terrier.llm import decontaminate, queries
+from terrier.llm import decontaminate, queries, shared
 
 DIR = "/root/testdata/sf0.001"
 
@@ -111,3 +112,19 @@ def test_items_with_a_common_preamble_and_a_very_long_text(spark):
     assert time.time() - began < 30
     assert (got[1].n_hit, got[1].n_items, got[1].match_words, got[1].match_word, got[1].match_item) == (24_000, 800, 12, 0, "0")
     assert not got[2].contaminated and (got[3].match_words, got[3].match_item, got[3].n_hit) == (17, "77", 17)
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    conf, key = spark.conf, shared._BATCH
+    had = conf.get(key, None)
+    try:
+        conf.unset(key)
+        docs = spark.range(40).repartition(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
+        size = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+        rows = [r.n for r in shared.in_batches(docs).mapInArrow(size, "n long").collect()]
+        assert sum(rows) == 40 and max(rows) <= shared.BATCH_BYTES // 1_000_000 + 1
+        conf.set(key, "2m")
+        shared.in_batches(docs)
+        assert conf.get(key) == "2m"  # the session's own bound stays
+    finally:
+        conf.unset(key) if had is None else conf.set(key, had)
