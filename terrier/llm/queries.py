@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrier.llm import decontaminate, language, mixing, pii, quality, secrets, sharding, simhash, toxicity, urls
+from terrier.llm import decontaminate, language, mixing, periods, pii, quality, secrets, sharding, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic(periods.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op12_periods": op12_periods,
 }
 
 _WORDS_OF = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -173,9 +178,10 @@ FROM d LEFT JOIN scores ON d.host = scores.host
 
 
 #: CRC-32 byte by byte from its table, which DuckDB builds from the polynomial.
+_CRC_TABLE = """RECURSIVE steps AS (SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8)"""
 _SHARDS_SQL = f"""
-WITH RECURSIVE steps AS (SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
-crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+WITH {_CRC_TABLE},
 body AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
 hexes AS (SELECT r, doc_id, octet_length(x) + 1 AS size, list_transform(regexp_extract_all(hex(x), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs FROM body),
 sums AS (SELECT doc_id, size, xor(list_reduce(bs, lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295) AS text_crc32 FROM hexes, crc),
@@ -185,3 +191,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 """
 
 ORACLES |= {"op4_urls": _urls_sql(), "op8_sharding": _SHARDS_SQL}
+
+
+def _crc_sql(value: str) -> str:
+    """The checksum of a number in decimal, beside the table ``crc``."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST({value} AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+
+
+#: On each diagonal the islands of equal 5-grams are the stretches that agree; of the periods of one stretch the smallest counts.
+_PERIODS_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_crc_sql('doc_id')}, 1) AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o FROM documents, crc),
+laid AS (SELECT *, len(o) AS n, h // 10 AS g, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM d),
+dealt AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM laid),
+t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE o END AS w FROM dealt),
+grams AS (SELECT r, n, i, array_to_string(w[i + 1:i + 5], ' ') AS x FROM (SELECT r, n, w, unnest(range(0, n - 4)) AS i FROM t WHERE n >= 6)),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND b.i - a.i <= a.n // 4),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + 4 + q AS n FROM islands GROUP BY r, q, island),
+runs AS MATERIALIZED (SELECT r, s, n, min(q) AS q FROM stretches WHERE n >= greatest(6, 4 * q) GROUP BY r, s, n),
+told AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n / q::DOUBLE DESC, s, q) = 1),
+gone AS (SELECT r, list(DISTINCT i) AS i FROM (SELECT r, unnest(range(s + q, s + n)) AS i FROM runs) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(best.n AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * best.n // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone.i IS NULL THEN w ELSE list_transform(list_filter(range(0, t.n), lambda k: NOT list_contains(gone.i, k)), lambda k: w[k + 1]) END, ' ')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)
+"""
+
+ORACLES["op12_periods"] = _PERIODS_SQL
