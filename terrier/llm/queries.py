@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrier.llm import decontaminate, language, mixing, periods, pii, quality, secrets, sharding, simhash, toxicity, urls
+from terrier.llm import decontaminate, language, mixing, periods, pii, quality, secrets, sharding, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic(periods.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_substrings": op11_substrings,
     "op12_periods": op12_periods,
 }
 
@@ -218,4 +225,15 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(b
 FROM t LEFT JOIN told USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)
 """
 
-ORACLES["op12_periods"] = _PERIODS_SQL
+#: The smallest id of every window, then the places that windows of a smaller one cover. A null id ranks last.
+_SUBSTRINGS_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT r, id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT r, id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(id) AS least FROM windows GROUP BY g),
+gone AS (SELECT r, list(DISTINCT k) AS ks FROM (SELECT r, unnest(range(i, i + 50)) AS k FROM windows JOIN firsts USING (g) WHERE least < id) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+ORACLES |= {"op11_substrings": _SUBSTRINGS_SQL, "op12_periods": _PERIODS_SQL}
