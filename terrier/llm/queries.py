@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrier.llm import decontaminate, language, mixing, periods, pii, quality, secrets, sharding, simhash, substrings, toxicity, urls
+from terrier.llm import decontaminate, language, mixing, periods, pii, quality, secrets, sharding, simhash, substrings, toxicity, trie, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic(periods.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(_table(spark, sf_dir, "conversations"))).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_substrings": op11_substrings,
     "op12_periods": op12_periods,
+    "op13_trie": op13_trie,
 }
 
 _WORDS_OF = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -236,4 +241,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS B
 FROM d LEFT JOIN gone USING (r)
 """
 
-ORACLES |= {"op11_substrings": _SUBSTRINGS_SQL, "op12_periods": _PERIODS_SQL}
+#: A node is the string of its turns' digests; each node is put under all its prefixes for what subtrees hold.
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM said),
+words AS (SELECT id, any_value(words) AS words FROM turns GROUP BY id),
+own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids FROM turns GROUP BY conv_id),
+dealt AS (SELECT own.*, {_crc_sql('conv_id')} % 4 AS h FROM own, crc),
+rebuilt AS MATERIALIZED (SELECT d.conv_id, coalesce(list_slice(b.ids, 1, CAST(h AS INT)), CAST([] AS VARCHAR[])) || list_slice(d.ids, CAST(h AS INT) + 1, len(d.ids)) AS ids FROM dealt d LEFT JOIN own b ON b.conv_id = d.conv_id - d.conv_id % 20),
+prefixes AS (SELECT conv_id, d AS depth, array_to_string(list_slice(ids, 1, d), '') AS key, CASE WHEN d > 0 THEN array_to_string(list_slice(ids, 1, d - 1), '') END AS parent, CASE WHEN d > 0 THEN ids[d] END AS last FROM (SELECT conv_id, ids, unnest(range(0, len(ids) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (SELECT key, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(last) AS last FROM prefixes GROUP BY key),
+below AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+each AS (SELECT nodes.*, coalesce(below.n, 0) AS n_children, (n_convs - 1) * coalesce(words, 0) AS saved FROM nodes LEFT JOIN below ON below.parent = nodes.key LEFT JOIN words ON words.id = last),
+sums AS (SELECT left(key, 64 * d) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM each) GROUP BY ALL),
+ends AS (SELECT array_to_string(ids, '') AS key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS listed FROM rebuilt GROUP BY ALL)
+SELECT each.conv_id, each.depth, up.conv_id AS parent_conv_id, each.n_convs, n_children, n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(listed, '')) AS ends_sha256
+FROM each JOIN sums USING (key) LEFT JOIN nodes up ON up.key = each.parent LEFT JOIN ends ON ends.key = each.key
+"""
+
+ORACLES |= {"op13_trie": _TRIE_SQL, "op11_substrings": _SUBSTRINGS_SQL, "op12_periods": _PERIODS_SQL}
