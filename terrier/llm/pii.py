@@ -1,11 +1,12 @@
 """Personal data by weak supervision: labelers vote on spans, EM weighs the labelers, a classifier is trained on the outcome.
 
 The base patterns find spans of four kinds. Looser patterns propose more candidates: spelled-out addresses, numbers grouped like
-phones and cards. Six labelers (strict pattern, checksum, gazetteer, context words, grouping, surroundings) vote for, against or
-not at all on every candidate of every document. Votes are counted by kind and pattern of votes over the whole corpus, which is
+phones and cards. Seven labelers (strict pattern, checksum, gazetteer, context words, grouping, surroundings, shape: a number that
+reads as a date, a time, years, a count or a decimal) vote for, against or not at all on every candidate of every document. Votes are counted by kind and pattern of votes over the whole corpus, which is
 small whatever the corpus, and expectation-maximisation estimates from the counts how far each labeler is to be trusted; a labeler
 that doesn't vote says nothing. A logistic span classifier is trained on a bounded sample of candidates of each sort with the
-posteriors as labels; what it accepts is added to the base spans, unless it overlaps one.
+posteriors as labels; what it accepts is added to the base spans, unless it overlaps one, if context or gazetteer vouch for it and
+neither checksum nor shape say no.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Candidates of each kind, strict or loose, that the classifier is trained on at most; a hash of place and document decides which.
 SAMPLE = 1_000
 ACCEPT = 0.5
+#: Shares between which the priors of EM are kept, so that votes decide in any mix, also where few of very many candidates are true.
+PRIORS = (0.1, 0.9)
 RUN_BYTES = 8 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,7 +39,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_NUMBER = re.compile(r"(?<![0-9(])[(]?[0-9][0-9() .-]{5,30}[0-9]")
-_LOOSE_MAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]{1,63}(?: ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z]{2,24}\b")
+_LOOSE_MAIL = re.compile(r"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]{1,63}(?: ?\[dot\] ?| ?\(dot\) ?| dot )[A-Za-z]{2,24}\b")
+
+# what a number can be that is nobody's: dates, times and years, each alone or as parts of a list or a range; numbers with thousands grouped or a decimal point
+_DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:1[0-9]|20|21)[0-9]{2}"
+_MOMENT = re.compile(rf"{_YEAR}([ .-]){_MONTH}\1{_DAY}|{_DAY}([ .-]){_MONTH}\2{_YEAR}|{_MONTH}([ .-]){_DAY}\3{_YEAR}|{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])|(?:[01]?[0-9]|2[0-3])\.[0-5][0-9]|{_YEAR}")
+_BETWEEN = re.compile(r" *- *| +")
+_COUNT = re.compile(r"[1-9][0-9]{0,2}(?:[ .][0-9]{3})+|[0-9]+\.[0-9]+(?:(?: *- *| +)[0-9]+\.[0-9]+)*")
 
 # Top-level domains, calling codes, issuer prefixes and context words.
 DOMAINS = frozenset("com org net edu gov info io co uk de fr es it nl eu us ca au ch at be".split())
@@ -83,11 +92,11 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     found = list(base)
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for pattern, kind in ((_LOOSE_MAIL, 0), (_LOOSE_NUMBER, None)):
-        if kind == 0 and "dot" not in t:
+        if kind == 0 and "dot" not in t.lower():
             continue
         for m in pattern.finditer(t):
             n = len(_digits(m[0]))
-            own = kind if kind is not None else (1 if m[0].count(".") == 3 and re.fullmatch(r"[0-9.]+", m[0]) else 2 if 12 <= n <= 19 else 3)
+            own = kind if kind is not None else (1 if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", m[0]) else 2 if 12 <= n <= 19 else 3)
             if own in (2, 3) and not 7 <= n <= 19:
                 continue
             before = bisect_left(starts, m.end())  # base spans that start before the end; the furthest of them may reach in
@@ -96,13 +105,29 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return sorted(found)
 
 
+def harmless(s: str) -> bool:
+    """Whether a number reads as dates, times, years, a grouped count or decimal numbers."""
+    s = s.strip("() ")
+    if _COUNT.fullmatch(s) or _MOMENT.fullmatch(s):
+        return True
+    ends = {0}  # of the parts that have been read: a moment, then what stands between two
+    for at in range(len(s)):
+        if at in ends:
+            for m in (_MOMENT.fullmatch(s, at, to) for to in range(at + 4, min(len(s), at + 10) + 1)):
+                if m and m.end() == len(s):
+                    return True
+                if m and (gap := _BETWEEN.match(s, m.end())) and gap.end() > m.end():
+                    ends.add(gap.end())
+    return False
+
+
 def described(t: str, span: tuple[int, int, int], base: set) -> tuple[list[int], list[float]]:
     """The labelers' votes (1, 0 or -1) and the classifier's features of a candidate."""
     a, kind, b = span
     s, d = t[a:b], _digits(t[a:b])
     before, after = t[max(0, a - 40) : a], t[b : b + 20]
     strict = span in base
-    check = 0 if kind != 2 else 1 if luhn(d) else -1
+    check = 0 if kind in (0, 3) else 1 if (luhn(d) if kind == 2 else all(int(x) <= 255 for x in s.split("."))) else -1
     if kind == 0:
         listed = 1 if re.split(r"\W+", s.lower())[-1] in DOMAINS else 0
     elif kind == 1:
@@ -121,14 +146,23 @@ def described(t: str, span: tuple[int, int, int], base: set) -> tuple[list[int],
     else:
         grouped = 0
     glued = (before[-1:].isalnum() or before[-1:] in "._-/" and bool(before)) or after[:1].isalnum()
-    votes = [1 if strict else 0, check, listed, context, grouped, -1 if glued else 0]
+    shape = 0 if kind < 2 else -1 if not strict and harmless(s) else 1
+    votes = [1 if strict else 0, check, listed, context, grouped, -1 if glued else 1, shape]
     seps = sum(not c.isalnum() for c in s)
     said = [float(v == sign) for v in votes[1:5] for sign in (1, -1)]
-    features = [*(float(kind == k and strict is sort) for k in range(4) for sort in (False, True)), len(d) / 20, (b - a) / 40, seps / 10, len(groups) / 5, float("+" in s), float("(" in s), *said, float(glued), len(set(d)) / 10]
+    features = [*(float(kind == k and strict is sort) for k in range(4) for sort in (False, True)), len(d) / 20, (b - a) / 40, seps / 10, len(groups) / 5, float("+" in s), float("(" in s), *said, float(glued), float(shape < 0), len(set(d)) / 10]
     return votes, features
 
 
-N_LABELERS, N_FEATURES = 6, 24
+N_LABELERS, N_FEATURES = 7, 25
+
+
+def vouched(votes: str) -> bool:
+    """Whether a loose candidate may be added at all: context or gazetteer vouch for it, and neither the checksum nor its shape says no.
+
+    Votes without this are left to nobody: a classifier that has seen few candidates of a kind would go by what they happen to share.
+    """
+    return "+" in (votes[2], votes[3]) and "-" not in (votes[1], votes[6])
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -148,7 +182,7 @@ def found_in(docs: DataFrame, text: str = "text") -> DataFrame:
                 spell = np.diff(may) > 0
                 for i in range(hi - lo):
                     body = run[i].as_py()
-                    if not spell[i] and b"dot" not in body:
+                    if not spell[i] and b"dot" not in body.lower():
                         rows.append((0, 0, 0, 0, [], []))
                         continue
                     t = body.decode(errors="replace")
@@ -182,7 +216,7 @@ def expectation_maximisation(counts: list[tuple[int, str, int]], rounds: int = 6
         up, down, strict = votes == 1, votes == -1, votes[:, 0] == 1
         p = 1 / (1 + np.exp(-votes.sum(axis=1).astype(float)))
         for _ in range(rounds):
-            prior = np.where(strict, (n @ (p * strict) + 1) / (n @ strict + 2), (n @ (p * ~strict) + 1) / (n @ ~strict + 2))
+            prior = np.where(strict, (n @ (p * strict) + 1) / (n @ strict + 2), (n @ (p * ~strict) + 1) / (n @ ~strict + 2)).clip(*PRIORS)
             rates = []
             for weight in (n * p, n * (1 - p)):
                 rates.append((weight @ up + 0.5) / (weight @ (up | down) + 1))
@@ -196,13 +230,14 @@ def expectation_maximisation(counts: list[tuple[int, str, int]], rounds: int = 6
 
 
 def fitted(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights (the intercept last) of a logistic regression on soft labels, by Newton's method."""
+    """Weights (the intercept last) of a logistic regression on soft labels, by Newton's method; true ones weigh as much on the whole as false ones, if they are fewer."""
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
+    yes, no = p * max(1.0, (1 - p).sum() / max(p.sum(), 1.0)), 1 - p
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (q * (1 - q))[:, None]).T @ x + penalty * np.eye(len(w))
-        w -= np.linalg.solve(hessian, x.T @ (q - p) + penalty * w)
+        hessian = (x * ((yes + no) * q * (1 - q))[:, None]).T @ x + penalty * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ ((yes + no) * q - yes) + penalty * w)
     return w
 
 
@@ -211,7 +246,7 @@ def trained(each: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     How many there are of each sort says below which hash twice the sample is to be expected, so few more than are wanted are ranked.
     """
-    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # 4 x 3^6 rows at most
+    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # 4 x 3^7 rows at most
     truth = expectation_maximisation(counts)
     h, sort, share = F.pmod(F.xxhash64("doc_id", "start", "kind"), F.lit(1 << 32)), F.struct("kind", F.startswith("votes", F.lit("+"))), F.lit(1.0)
     for kind in range(len(KINDS)):
@@ -246,7 +281,7 @@ def personal_data(docs: DataFrame, text: str = "text", sample: int = SAMPLE) ->
                 held, more = set(stay), []
                 for c in own:
                     span = (c["start"], c["kind"], c["end"])
-                    if span not in held and 1 / (1 + np.exp(-(weights[:-1] @ c["features"] + weights[-1]))) > ACCEPT:
+                    if span not in held and vouched(c["votes"]) and 1 / (1 + np.exp(-(weights[:-1] @ c["features"] + weights[-1]))) > ACCEPT:
                         more.append(span)
                 digests.append(hashlib.sha256(listed(stay).encode()).hexdigest())
                 spans.append(listed(sorted(stay + more)))

@@ -3,7 +3,10 @@ import random
 import re
 import time
 
+import pytest
+
 from terrier.llm import pii
+from tests.llm import lookalikes
 
 DIR = "/root/testdata/sf0.001"
 
@@ -121,3 +124,29 @@ def test_a_text_of_very_many_candidates():
     strict = set(base)
     assert len(found) >= 100_000 and len({pii.described(t, s, strict)[0][0] for s in found}) == 2
     assert time.time() - began < 20
+
+
+MIXES = [dict.fromkeys([*lookalikes.PERSONAL, *lookalikes.HARMLESS], 40), dict.fromkeys(lookalikes.PERSONAL, 10) | dict.fromkeys(lookalikes.HARMLESS, 150), dict.fromkeys(lookalikes.PERSONAL, 300) | dict.fromkeys(lookalikes.HARMLESS, 50), dict.fromkeys(lookalikes.PERSONAL, 30)]
+MIXES += [dict.fromkeys(lookalikes.HARMLESS, 60), *({"phone": 40, "mail": 40, k: 250} for k in ("date", "years", "count", "failed card"))]
+
+
+@pytest.mark.parametrize("mix", MIXES, ids=range(len(MIXES)))
+def test_lookalikes_are_left_alone_in_any_mix(spark, mix):
+    rng = random.Random(len(mix) + sum(mix.values()))
+    texts = [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if r.text]
+    kinds = [k for k, n in mix.items() for _ in range(n)]
+    made = [(i, k, *lookalikes.planted(rng, texts[i % len(texts)], k)) for i, k in enumerate(kinds)]
+    found = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.personal_data(spark.createDataFrame([(i, t) for i, _, t, _ in made], "doc_id long, text string")).collect()}
+    told = dict.fromkeys(mix, 0)
+    for i, kind, text, span in made:
+        added = found[i] - set(pii.listed(pii.base_spans(text)).split(","))
+        told[kind] += (f"{'email' if kind == 'mail' else 'phone'}:{span[0]}:{span[1]}" in added) if span else bool(added)
+    for kind, n in mix.items():
+        assert told[kind] >= 0.9 * n if kind in lookalikes.PERSONAL else told[kind] <= 0.02 * n, told
+
+
+def test_shapes_that_are_nobodys():
+    for s in ("2017-11-19", "19.11.2017", "20171119", "1904-1994", "687 476 812", "12.345.678", "10.30 - 11.45", "2017-11-19 10.30", "48.85341 2.34880", "3.14159265", "1999 2001 2010", "(1 234 567)"):
+        assert pii.harmless(s), s
+    for s in ("735-843-1203", "(735) 843-1203", "735.843.1203", "06 12 34 56 78", "020 7946 0958", "555-1203", "4111 1111 1111 1111"):
+        assert not pii.harmless(s), s
