@@ -2,9 +2,11 @@
 
 Every shard of training text (a bounded run of rows inside a task) gets a suffix array over all its words, made by prefix
 doubling: suffixes in the order of their words, told apart to the length of the longest test item. The windows of the test
-items are binary-searched in it, each distinct one once: the range of suffixes that begin with a window is every place where it
-stands word for word. A test suffix whose window stands in the shard is then searched at its full length; the neighbours of
-the place where it belongs share most words with it, which gives its longest verbatim match and where that is.
+items are binary-searched in it, each distinct one once and only if its first words stand in the shard at all, which each place of the
+shard looks up in a table: the work goes with the training text, whatever the tests. The range of suffixes that begin with a window
+is every place where it stands word for word. A test suffix whose window stands in a row is then searched at its full length
+in the row's part of the array; the neighbours of the place where it belongs share most words with it, which gives its longest
+verbatim match and where that is.
 
 A row goes to its shard once and brings back its hits, so the training side is never shuffled. The test side is dealt into
 blocks of at most ``BLOCK_BYTES`` by a global prefix sum of sizes; a block is broadcast for one pass. One block, the usual case,
@@ -14,6 +16,7 @@ ever holds two blocks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,11 @@ from pyspark.sql.types import StructType
 
 from terrier.llm.prefix import with_prefix
 from terrier.llm.shared import blobs, flat, in_batches, release, runs_of_rows, stored
+from terrier.llm.tokens import Stretches, hashes, mixed
 
 WINDOW = 10
+#: Words at the beginning of a window that are looked up before it is searched, and window texts that a worker keeps.
+HEAD, MOST_TEXTS = 5, 1 << 16
 #: Bytes of test text that one pass broadcasts.
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
@@ -36,26 +42,14 @@ _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
 _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+_P = 0x9E3779B97F4A7C15
+_SIZE = np.uint64(0xA24BAED4963EE407)
 
 #: A row's longest match: words, the place in the row, the item and the place in the item; null where nothing is hit.
 MATCH = "struct<words:long,word:long,item:string,item_word:long>"
 _MATCH = pa.struct([("words", pa.int64()), ("word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(32))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
-
-
 class Words:
     """The words of a run of texts: lower-cased bytes, starts, ends, the row of each, a 64-bit hash of each and of any run of them."""
 
@@ -77,68 +71,96 @@ class Words:
         self.count = np.diff(np.append(self.first, len(self.starts)))
         #: Words from each word to the end of its row.
         self.left = (self.first + self.count)[self.row] - np.arange(len(self.row))
-        sizes = self.ends - self.starts
-        self.hash = np.zeros(len(sizes), np.uint64)
-        if len(sizes):
-            with np.errstate(over="ignore"):
-                at = np.arange(len(data)) - np.repeat(np.append(0, self.starts), np.diff(np.concatenate(([0], self.starts, [len(data)]))))
-                at[~inside[:-1]] = 0
-                part = (self.data.astype(np.uint64) + np.uint64(1)) * _powers(_P, int(sizes.max()) + 1)[1:][at]
-                part[~inside[:-1]] = 0
-                self.hash = _mixed(np.add.reduceat(part, self.starts))
+        self.hash = hashes(self.data, self.starts, self.ends)
 
     def runs(self) -> None:
         """Sums from which the hash of any run of words follows; made when the first search asks for it."""
-        if not hasattr(self, "sums"):
-            with np.errstate(over="ignore"):
-                self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hash * _powers(_P, len(self.hash))[:-1])))
-                self.back = _powers(_P_INVERSE, len(self.hash))
+        if not hasattr(self, "stretches"):
+            self.stretches = Stretches(self.hash, _P)
+
+    def run(self, at: np.ndarray, n) -> np.ndarray:
+        return self.stretches.of(at, n)
 
-    def run(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[at + n] - self.sums[at]) * self.back[at]
+    def named(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A number for each run of words that tells its length too."""
+        return mixed(self.run(at, n) + n.astype(np.uint64) * _SIZE)
 
     def text(self, at: int, n: int) -> bytes:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[at : at + n], self.ends[at : at + n], strict=True))
 
 
 class TestSuffixes:
-    """The suffixes of a block of test items, as a search needs them."""
+    """The suffixes of a block of test items, as a search needs them: in arrays, some 25 bytes for each byte of text."""
 
     def __init__(self, ids: list[str | None], texts: list[bytes], window: int = WINDOW):
-        self.ids = ids
+        self.ids, self.window = ids, window
         self.words = w = Words(pa.array(texts, pa.large_binary()))
         w.runs()
         whole = w.count[w.row] < window
         #: Only a suffix that holds a window is searched: of an item shorter than a window, the item itself.
         self.at = np.flatnonzero(np.where(whole, w.left == w.count[w.row], w.left >= window))
-        self.size = np.minimum(w.left[self.at], window)
-        self.item = w.row[self.at]
+        left = w.left[self.at]
+        self.size, self.item = np.minimum(left, window), w.row[self.at]
+        self.longest = int(left.max()) if len(self.at) else 0
         #: Equal windows are searched once: ``one`` is a suffix for each, ``members`` by ``bounds`` the suffixes that begin with it.
-        keys = np.stack((w.run(self.at, self.size), self.size.astype(np.uint64)), axis=1)
-        _, self.one, same = np.unique(keys, axis=0, return_index=True, return_inverse=True)
-        same = same.reshape(-1)
+        _, self.one, same = np.unique(w.named(self.at, self.size), return_index=True, return_inverse=True)
         self.members = np.argsort(same, kind="stable")
         self.bounds = np.searchsorted(same[self.members], np.arange(len(self.one) + 1))
-        #: Equal suffixes stand for each other; the first by item and place is searched.
-        ends = np.stack((w.run(self.at, w.left[self.at]), w.left[self.at].astype(np.uint64)), axis=1)
-        self.whole = np.sort(np.unique(ends, axis=0, return_index=True)[1])
-        self.longest = int(w.left[self.at].max()) if len(self.at) else 0
-        self.window = window
-        #: The suffixes in the order of their words, and which of them is preferred: by item (one without an id last), then by place.
-        array = suffix_array(w, self.longest + 1)
-        self.array = array[np.isin(array, self.at)]
-        by_id = sorted(range(len(self.at)), key=lambda s: (ids[self.item[s]] is None, ids[self.item[s]] or "", self.at[s] - w.first[self.item[s]]))
+        #: Which suffix is preferred: by item (one without an id last), then by place.
+        by_id = np.empty(len(ids), np.int64)
+        by_id[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or ""))] = np.arange(len(ids))
         self.rank = np.empty(len(self.at), np.int64)
-        self.rank[by_id] = np.arange(len(self.at))
+        self.rank[np.lexsort((self.at, by_id[self.item]))] = np.arange(len(self.at))
+        #: Equal suffixes stand for each other: ``like`` says which of ``whole`` a suffix equals, the preferred one of its like.
+        in_order = np.argsort(self.rank)
+        _, lead, like = np.unique(w.named(self.at, left)[in_order], return_index=True, return_inverse=True)
+        self.whole = in_order[lead]
+        self.like = np.empty(len(self.at), np.int64)
+        self.like[in_order] = like
+        #: The first words of each distinct window, by how many they are: names in order, the windows they begin, and a filter of bits.
+        self.heads = {}
+        head = np.minimum(self.size[self.one], HEAD)
+        for n in np.unique(head).tolist():
+            own = np.flatnonzero(head == n)
+            names = w.named(self.at[self.one[own]], np.full(len(own), n))
+            order = np.argsort(names)
+            bits = max(10, int(16 * len(own)).bit_length())
+            may = np.zeros(1 << bits, bool)
+            may[names >> np.uint64(64 - bits)] = True
+            self.heads[n] = names[order], own[order], np.uint64(64 - bits), may
         self._texts: dict[int, bytes] = {}
 
+    def begun(self, words: Words) -> np.ndarray:
+        """The distinct windows whose first words stand in a shard; no other can. Each place of the shard is looked up, so the work goes with the shard."""
+        out = [np.zeros(0, np.int64)]
+        for n, (names, own, shift, may) in self.heads.items():
+            at = np.flatnonzero(words.left >= n)
+            there = words.named(at, np.full(len(at), n))
+            there = np.unique(there[may[there >> shift]])
+            lo, hi = np.searchsorted(names, there), np.searchsorted(names, there, side="right")
+            k = hi - lo
+            out.append(own[np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)] if k.sum() else out[0])
+        return np.sort(np.concatenate(out))
+
     def window_text(self, suffix: int) -> bytes:
         if suffix not in self._texts:
+            if len(self._texts) >= MOST_TEXTS:
+                self._texts.clear()
             self._texts[suffix] = self.words.text(int(self.at[suffix]), int(self.size[suffix]))
         return self._texts[suffix]
 
 
+#: The last block's suffixes; a worker that runs several tasks makes them once.
+_READY: dict[str, TestSuffixes] = {}
+
+
+def _tests(name: str, block: tuple[list[str | None], list[bytes]], window: int) -> TestSuffixes:
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = TestSuffixes(*block, window)
+    return _READY[name]
+
+
 def suffix_array(words: Words, depth: int) -> np.ndarray:
     """Places of all suffixes of a shard in the order of their first ``depth`` words (by hash; the end of a row comes first).
 
@@ -192,72 +214,75 @@ def bound(words: Words, array: np.ndarray, tests: Words, at: np.ndarray, size: n
     return lo
 
 
-def search(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shard's suffix array, and for each distinct window the range of the suffixes that begin with it."""
-    n, t = len(words.hash), tests.words
-    if not n or not len(tests.one):
-        return np.zeros(0, np.int64), np.zeros(len(tests.one), np.int64), np.zeros(len(tests.one), np.int64)
+def search(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shard's suffix array, and (distinct window, range of the suffixes that begin with it) for those that stand in the shard."""
+    none = np.zeros(0, np.int64)
+    if not len(words.hash) or not len(tests.one):
+        return none, none, none, none
+    t = tests.words
     words.runs()
     array = suffix_array(words, tests.longest)
-    at, size = tests.at[tests.one], tests.size[tests.one]
+    which = tests.begun(words)
+    at, size = tests.at[tests.one[which]], tests.size[tests.one[which]]
     # suffixes that begin with one word stand together: a window is searched among those of its first
     heads = words.hash[array]
     lo, hi = np.searchsorted(heads, t.hash[at]), np.searchsorted(heads, t.hash[at], side="right")
     low = bound(words, array, t, at, size, lo, hi, False)
     near = np.flatnonzero(low < hi)
     near = near[common(words, array[low[near]], t, at[near], size[near]) == size[near]]
-    high = low.copy()
-    high[near] = bound(words, array, t, at[near], size[near], low[near], hi[near], True)
-    return array, low, high
+    high = bound(words, array, t, at[near], size[near], low[near], hi[near], True)
+    return array, which[near], low[near], high
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, number in it) of every number of the ranges."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(which))
 
 
 def occurrences(words: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The array, and (window, place) of each verbatim occurrence of a distinct window; equal hashes are held against the texts."""
-    array, low, high = search(words, tests)
-    n = high - low
-    which = np.repeat(np.arange(len(n)), n)
-    place = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if n.sum() else np.zeros(0, np.int64)
+    array, windows, low, high = search(words, tests)
+    which, at = _spread(low, high)
+    which, place = windows[which], array[at]
     true = np.fromiter((words.text(p, int(tests.size[s])) == tests.window_text(s) for s, p in zip(tests.one[which].tolist(), place.tolist(), strict=True)), bool, len(place))
     return array, which[true], place[true]
 
 
-def longest(words: Words, tests: TestSuffixes, array: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(test suffix, words, place) of the longest verbatim match of each distinct test suffix whose window is among ``found``: that of the array's neighbour which shares most."""
-    hit = np.zeros(len(tests.at), bool)
-    for w in np.unique(found).tolist():
-        hit[tests.members[tests.bounds[w] : tests.bounds[w + 1]]] = True
-    own = tests.whole[hit[tests.whole]]
+def longest(words: Words, tests: TestSuffixes, array: np.ndarray, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, test suffix, words, first and last but one of their places in the array by rows) of the longest verbatim match of each distinct test suffix in each row that has its window, and that array.
+
+    The suffix array is parted by rows, those that are hit, in each in its order. A test suffix is binary-searched at full
+    length in the part of the row; the neighbours of where it belongs share most words with it, and as many are shared by the whole range round them.
+    """
+    hit = np.zeros(len(words.count), bool)
+    hit[words.row[place]] = True
+    parted = array[hit[words.row[array]]]
+    parted = parted[np.argsort(words.row[parted], kind="stable")]
+    pairs = np.unique(words.row[place] * len(tests.one) + which)
+    row, w = pairs // len(tests.one), pairs % len(tests.one)
+    k, member = _spread(tests.bounds[w], tests.bounds[w + 1])
+    pairs = np.unique(row[k] * len(tests.whole) + tests.like[tests.members[member]])
+    row, own = pairs // len(tests.whole), tests.whole[pairs % len(tests.whole)]
     at, t = tests.at[own], tests.words
-    n = t.left[at]
-    to = bound(words, array, t, at, n, np.zeros(len(own), np.int64), np.full(len(own), len(array)), False)
-    sides = [array[np.clip(to + d, 0, len(array) - 1)] for d in (-1, 0)]
-    shared = [common(words, p, t, at, n) for p in sides]
-    right = shared[1] >= shared[0]
-    return own, np.where(right, shared[1], shared[0]), np.where(right, sides[1], sides[0])
-
-
-def best_matches(words: Words, tests: TestSuffixes, which: np.ndarray, place: np.ndarray) -> dict[int, tuple[int, int, int]]:
-    """For each row hit its longest match: (place, words, test suffix). A place is looked up among the test suffixes, whose neighbour shares most with it."""
-    t, n = tests.words, tests.size[tests.one[which]]
-    spots, at = np.unique(place, return_inverse=True)
-    whole = np.zeros(len(spots), np.int64)
-    np.maximum.at(whole, at, n)  # the longest window at the place, a short item among them
-    left = words.left[spots]
-    to = bound(t, tests.array, words, spots, left, np.zeros(len(spots), np.int64), np.full(len(spots), len(tests.array)), False)
-    shared = np.maximum(*[common(t, tests.array[np.clip(to + d, 0, len(tests.array) - 1)], words, spots, left) for d in (-1, 0)])
-    size = np.where(shared >= tests.window, shared, whole)
-    order = np.lexsort((spots, -size, words.row[spots]))
-    lead = order[np.unique(words.row[spots][order], return_index=True)[1]]
-    windows = {}
-    for k, (i, w) in enumerate(zip(at.tolist(), which.tolist(), strict=True)):
-        if n[k] == min(size[i], tests.window):
-            windows[i] = w
-    out = {}
-    for i in lead.tolist():
-        own = tests.members[tests.bounds[windows[i]] : tests.bounds[windows[i] + 1]]
-        own = own[common(t, tests.at[own], words, np.full(len(own), spots[i]), np.full(len(own), left[i])) >= size[i]]
-        out[int(words.row[spots[i]])] = (int(spots[i]), int(size[i]), int(own[tests.rank[own].argmin()]))
-    return out
+    lo, hi = np.searchsorted(words.row[parted], row), np.searchsorted(words.row[parted], row, side="right")
+    to = bound(words, parted, t, at, t.left[at], lo, hi, False)
+    shared = np.maximum(*[common(words, parted[np.clip(to + d, lo, hi - 1)], t, at, t.left[at]) for d in (-1, 0)])
+    low = bound(words, parted, t, at, shared, lo, hi, False)
+    return row, own, shared, low, bound(words, parted, t, at, shared, low, hi, True), parted
+
+
+def best_matches(words: Words, tests: TestSuffixes, array: np.ndarray, which: np.ndarray, place: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """For each row hit its longest match: (place, words, test suffix); of several the first place, then the preferred suffix."""
+    row, own, shared, low, high, parted = longest(words, tests, array, which, place)
+    most = np.zeros(len(words.count), np.int64)
+    np.maximum.at(most, row, shared)
+    top = np.flatnonzero(shared == most[row])
+    first = np.minimum.reduceat(parted[_spread(low[top], high[top])[1]], np.cumsum(high[top] - low[top]) - (high[top] - low[top]))
+    order = np.lexsort((tests.rank[own[top]], first, row[top]))
+    lead = order[np.unique(row[top][order], return_index=True)[1]]
+    return {int(row[top[i]]): (int(first[i]), int(shared[top[i]]), int(own[top[i]])) for i in lead.tolist()}
 
 
 def shard_hits(column: pa.LargeBinaryArray, tests: TestSuffixes) -> list[tuple[int, bytes | None, list[str | None], dict | None]]:
@@ -267,12 +292,12 @@ def shard_hits(column: pa.LargeBinaryArray, tests: TestSuffixes) -> list[tuple[i
     the row, then that with the first item by id (one without an id last), then the first in the item.
     """
     words = Words(column)
-    _, which, place = occurrences(words, tests)
+    array, which, place = occurrences(words, tests)
     step = np.zeros(len(words.hash) + 1, np.int64)
     np.add.at(step, place, 1)
     np.add.at(step, place + tests.size[tests.one[which]], -1)
     hit = np.cumsum(step[:-1]) > 0
-    best = best_matches(words, tests, which, place) if len(place) else {}
+    best = best_matches(words, tests, array, which, place) if len(place) else {}
     pairs = np.unique(np.stack((words.row[place], which)), axis=1)
     edges = np.searchsorted(pairs[0], np.arange(len(column) + 1))
     out: list = []
@@ -313,10 +338,10 @@ def _count(bits: list[bytes]) -> int:
 
 def _scan(spark, block, text: str, window: int, hit_only: bool):
     """A pass over rows (doc, row): (doc, n_words, n_hit, items, match) of each, or (row, hits, items, match) of those that are hit."""
-    shared = spark.sparkContext.broadcast(block)
+    shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSuffixes(*shared.value, window)
+        tests = _tests(name, shared.value, window)
         for batch in batches:
             column, got = blobs(batch.column(0).field(text)), []
             for a, b in runs_of_rows(column, SHARD_BYTES):
@@ -388,23 +413,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
 def locations(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, word, item_id, item_word, n_words): for each row that is hit and each distinct test suffix whose window stands in it, the
-    longest verbatim match, found in the suffix array of the row. Equal suffixes of several items are given once, as the first's."""
+    longest verbatim match, found in the shard's suffix array, and where it stands first. Equal suffixes of several items are given once, as the preferred one's."""
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, word long, item_id string, item_word long, n_words long"
 
     def scan(block):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = TestSuffixes(*shared.value, window)
+            tests = _tests(name, shared.value, window)
             for batch in batches:
                 column, rows = blobs(batch.column(1)), []
-                for r in range(len(column)):
-                    words = Words(column.slice(r, 1))
-                    array, which, _ = occurrences(words, tests)
-                    for s, n, p in zip(*longest(words, tests, array, which), strict=True) if len(which) else ():
+                for lo, hi in runs_of_rows(column, SHARD_BYTES):
+                    words = Words(column.slice(lo, hi - lo))
+                    array, which, place = occurrences(words, tests)
+                    if not len(which):
+                        continue
+                    *found, parted = longest(words, tests, array, which, place)
+                    for r, s, n, a, z in zip(*(x.tolist() for x in found), strict=True):
                         item = int(tests.item[s])
-                        rows.append((batch.column(0)[r].as_py(), int(p), tests.ids[item], int(tests.at[s] - tests.words.first[item]), int(n)))
+                        rows.append((batch.column(0)[lo + r].as_py(), int(parted[a:z].min() - words.first[r]), tests.ids[item], int(tests.at[s] - tests.words.first[item]), int(n)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [batch.schema.types[0], pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "word", "item_id", "item_word", "n_words"])
 
         return work, shared

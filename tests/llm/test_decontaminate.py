@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -128,3 +129,27 @@ def test_texts_reach_python_in_bounded_batches(spark):
         assert conf.get(key) == "2m"  # the session's own bound stays
     finally:
         conf.unset(key) if had is None else conf.set(key, had)
+
+
+def test_a_benchmark_of_megabytes_costs_the_texts_not_the_items():
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [" ".join(draw(120)) for _ in range(6000)]
+    tests = decontaminate.TestSuffixes([str(i) for i in range(len(items))], [t.encode() for t in items])
+    assert sum(map(len, items)) > 3_000_000
+    docs = [" ".join([*draw(150), *(items[i * 7].split()[5 : 5 + 9 + i % 5] if i % 3 == 0 else []), *draw(150)]) for i in range(600)]
+    began = time.process_time()
+    got = decontaminate.shard_hits(pa.array([d.encode() for d in docs], pa.large_binary()), tests)
+    assert time.process_time() - began < 5
+    windows = {}
+    for i, t in enumerate(items):
+        w = t.split()
+        for j in range(len(w) - 9):
+            windows.setdefault(tuple(w[j : j + 10]), set()).add(str(i))
+    for d, (n, bits, found, match) in zip(docs, got, strict=True):
+        w = d.split()
+        hit = [windows.get(tuple(w[j : j + 10])) for j in range(len(w) - 9)]
+        assert n == len(w) and set(found) == set().union(*filter(None, hit)) and (bits is None) == (not any(hit))
+        if match:
+            assert match["words"] == max(sum(1 for _ in run) for k, run in itertools.groupby(hit, bool) if k) + 9
