@@ -105,7 +105,7 @@ def started(docs: DataFrame, keys: DataFrame | None = None, auto_process: bool =
     if not auto_process:
         return docs
     if keys is None:
-        return docs.withColumn("status", F.lit("PROCESSING"))
+        return docs.withColumns({"status": F.lit("PROCESSING")} | ({"updated_at": F.current_timestamp()} if "updated_at" in docs.columns else {}))
     marked = docs.join(keys.select("id").distinct().withColumn("_start", F.lit(True)), "id", "left")
     new = {"status": F.when(F.col("_start"), "PROCESSING").otherwise(F.col("status"))}
     if "updated_at" in docs.columns:
@@ -115,7 +115,7 @@ def started(docs: DataFrame, keys: DataFrame | None = None, auto_process: bool =
 
 def written_back(docs: DataFrame, results: DataFrame, order: str = "at") -> DataFrame:
     """``docs`` with the six result columns of ``results`` (id, ..., error): DIGITIZED if there is text, else and on an error FAILED; rows
-    without a result stay. Of several results of a row the last counts, as with patches."""
+    without a result stay, the others have a new updated_at. Of several results of a row the last counts, as with patches."""
     columns = ("processed_file_path", "detected_language", "detected_script", "raw_text", "ocr_confidence", "extracted_data")
     named = [c for c in columns if c in docs.columns and c in results.columns]
     error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
@@ -124,7 +124,10 @@ def written_back(docs: DataFrame, results: DataFrame, order: str = "at") -> Data
     ok = F.col("_done").isNotNull() & F.col("_error").isNull()
     text = F.col("_new_raw_text") if "raw_text" in named else F.lit(None).cast("string")
     status = F.when(ok & (F.length(text) > 0), "DIGITIZED").when(F.col("_done").isNotNull(), "FAILED").otherwise(F.col("status"))
-    return docs.join(r, "id", "left").withColumns({"status": status, **{c: F.when(ok, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in named}}).select(*docs.columns)
+    new = {"status": status, **{c: F.when(ok, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in named}}
+    if "updated_at" in docs.columns:
+        new["updated_at"] = F.when(F.col("_done"), F.current_timestamp()).otherwise(F.col("updated_at"))
+    return docs.join(r, "id", "left").withColumns(new).select(*docs.columns)
 
 
 def served_path(processed: Column) -> Column:
@@ -176,5 +179,14 @@ def issue_label(issued: Column, created_at: Column) -> Column:
     return F.coalesce(F.nullif(issued, F.lit("")), F.date_format(created_at, "yyyy-MM-dd"))
 
 
+def number_label(value: Column) -> Column:
+    """A double as a browser shows it: no decimals where there are none, plain digits from a millionth up to 1e21, beyond that a small e."""
+    v = value.cast("double")
+    plain = F.regexp_replace(v.cast("string").cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(v.cast("string"), r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    return F.when(F.abs(v).between(1e-6, 1e20), plain).when(v == 0, "0").otherwise(short)
+
+
 def area_label(value: Column, unit: Column) -> Column:
-    return F.when(value != 0, F.concat_ws(" ", value.cast("string"), unit)).otherwise(DASH)
+    """An area and its unit; one that isn't named is square units. No value, none and not a number have a dash."""
+    return F.when((value != 0) & ~F.isnan(value), F.concat(number_label(value), F.lit(" "), F.coalesce(F.nullif(unit, F.lit("")), F.lit("sq. units")))).otherwise(DASH)

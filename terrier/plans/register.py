@@ -74,9 +74,12 @@ def doc_patch(spark, sf_dir):
     return catalog.patched(r, p).select("id", "title", "status", "district", "state", (F.col("updated_at") > F.col("created_at")).alias("touched"))
 
 
-@query(f"WITH {REGISTER} SELECT id, CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'PROCESSING' ELSE status END AS status FROM r")
+@query(f"WITH {REGISTER} SELECT id, CASE WHEN id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'PROCESSING' ELSE status END AS status, id IN (SELECT doc_id FROM labels WHERE quality = 1) AS touched FROM r UNION ALL SELECT -id - 1, 'PROCESSING', true FROM r")
 def doc_start(spark, sf_dir):
-    return catalog.started(register(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))).select("id", "status")
+    """Some rows started, and, under negative ids, all of them."""
+    r, told = register(spark, sf_dir).withColumn("updated_at", F.col("created_at")), (F.col("updated_at") > F.col("created_at")).alias("touched")
+    some = catalog.started(r, table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))).select("id", "status", told)
+    return some.union(catalog.started(r).select(-F.col("id") - 1, "status", told))
 
 
 @query(f"WITH {REGISTER} SELECT id, title FROM r WHERE coalesce(title, original_filename, parcel_identifier, district, raw_text) IS NOT NULL")
@@ -109,11 +112,12 @@ def doc_delete(spark, sf_dir):
 
 
 @query(f"""WITH {REGISTER}, p AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
-SELECT id, CASE WHEN quality IS NULL THEN status WHEN toxic = 1 OR quality = 0 THEN 'FAILED' ELSE 'DIGITIZED' END AS status, CASE WHEN toxic = 0 AND quality = 0 THEN 0 WHEN toxic = 0 THEN 4 ELSE length(raw_text) END AS n FROM r LEFT JOIN p ON id = doc_id""")
+SELECT id, CASE WHEN quality IS NULL THEN status WHEN toxic = 1 OR quality = 0 THEN 'FAILED' ELSE 'DIGITIZED' END AS status, CASE WHEN toxic = 0 AND quality = 0 THEN 0 WHEN toxic = 0 THEN 4 ELSE length(raw_text) END AS n, quality IS NOT NULL AS touched FROM r LEFT JOIN p ON id = doc_id""")
 def doc_write_back(spark, sf_dir):
     first = F.col("at") == 1
     p = _labelled(spark, sf_dir).select("id", "at", F.when(first | (F.col("toxic") == 1), "no text").alias("error"), F.when(first, "too early").when(F.col("quality") == 1, "read").otherwise("").alias("raw_text"))
-    return catalog.written_back(register(spark, sf_dir), p).select("id", "status", F.length("raw_text").cast("long").alias("n"))
+    r = register(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    return catalog.written_back(r, p).select("id", "status", F.length("raw_text").cast("long").alias("n"), (F.col("updated_at") > F.col("created_at")).alias("touched"))
 
 
 @query(f"WITH {REGISTER} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'DIGITIZED') AS digitized, count(*) FILTER (WHERE status = 'PENDING') AS pending FROM r")
@@ -133,9 +137,12 @@ def confidence_bucket(spark, sf_dir):
 
 @query(f"""WITH {REGISTER} SELECT id, coalesce(parcel_identifier, CASE WHEN id % 2 = 0 THEN '7/' || id END, '—') AS list_parcel, coalesce(CASE WHEN id % 2 = 0 THEN '7/' || id END, parcel_identifier, '—') AS shown_parcel,
 CASE WHEN district IS NULL OR district = '' THEN '—' WHEN state IS NULL THEN district ELSE district || ', ' || state END AS place, upper(replace(document_type, '_', ' ')) AS type_label, CASE WHEN status = 'DIGITIZED' THEN 'VERIFIED' ELSE 'PENDING REVIEW' END AS verification,
-CASE WHEN ocr_confidence = 0 THEN '—' ELSE printf('%.1f acre', ocr_confidence) END AS area, CASE WHEN processed_file_path IS NOT NULL THEN processed_file_path ELSE file_path END AS path, strftime(TIMESTAMP '2024-01-01' + to_hours(hour), '%Y-%m-%d') AS issued, printf('%.2f', length(raw_text) * 1000 / 1048576.0::DOUBLE) AS size FROM r""")
+CASE id % 6 WHEN 0 THEN '—' WHEN 1 THEN id || ' acre' WHEN 2 THEN id * 12345678 || ' sq. units' WHEN 3 THEN CAST(id + 0.5::DOUBLE AS VARCHAR) || ' sq. units' WHEN 4 THEN CAST(id + 0.125::DOUBLE AS VARCHAR) || ' bigha' ELSE '0.00001' || lpad(CAST(id % 100 AS VARCHAR), 2, '0') || '5 acre' END AS area, CASE WHEN processed_file_path IS NOT NULL THEN processed_file_path ELSE file_path END AS path, strftime(TIMESTAMP '2024-01-01' + to_hours(hour), '%Y-%m-%d') AS issued, printf('%.2f', length(raw_text) * 1000 / 1048576.0::DOUBLE) AS size FROM r""")
 def row_labels(spark, sf_dir):
     r, survey = register(spark, sf_dir), F.when(F.col("id") % 2 == 0, F.concat(F.lit("7/"), F.col("id"))).otherwise("")
+    i = F.col("id").cast("double")
+    extent = F.when(F.col("id") % 6 == 1, i).when(F.col("id") % 6 == 2, i * 12345678).when(F.col("id") % 6 == 3, i + 0.5).when(F.col("id") % 6 == 4, i + 0.125).when(F.col("id") % 12 == 0, 0.0).when(F.col("id") % 6 == 5, F.concat(F.lit("0.00001"), F.lpad((F.col("id") % 100).cast("string"), 2, "0"), F.lit("5")).cast("double"))
+    unit = F.when(F.col("id") % 6 == 2, "").when(F.col("id") % 6 == 4, "bigha").when(F.col("id") % 6 != 3, "acre")
     return r.select(
         "id",
         catalog.parcel_label(F.col("parcel_identifier"), survey).alias("list_parcel"),
@@ -143,7 +150,7 @@ def row_labels(spark, sf_dir):
         catalog.place_label(F.col("district"), F.col("state")).alias("place"),
         type_label(F.col("document_type")).alias("type_label"),
         catalog.verification_label(F.lit(None).cast("string"), F.col("status")).alias("verification"),
-        catalog.area_label(F.col("ocr_confidence"), F.lit("acre")).alias("area"),
+        catalog.area_label(extent, unit).alias("area"),
         catalog.served_path(F.lit(True)).alias("path"),
         catalog.issue_label(F.lit(""), F.col("created_at")).alias("issued"),
         megabytes(F.length("raw_text") * 1000).alias("size"),

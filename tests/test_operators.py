@@ -199,3 +199,21 @@ def test_entities_of_an_empty_text_are_left_out(spark):
     ents = "array(named_struct('text', 'Asha', 'label', 'PER', 'confidence', 0.9D))"
     df = spark.createDataFrame([(1, ""), (2, None)], "id int, raw_text string").withColumn("ents", F.expr(ents))
     assert all(r.certificate.owners == [] for r in certificates(df, "id", entities="ents").collect())
+
+
+def test_areas_are_shown_as_a_browser_shows_them(spark):
+    values = [2.0, 12345678.0, 2.5, 0.125, 1e-4, 1e-6, 1.5e-7, 1e21, 123456789012345680.0, -3.0, 0.0, None, float("nan"), 0.1, 1e20]
+    units = ["acre", None, "", *["bigha"] * 12]
+    rows = [(i, v, u) for i, (v, u) in enumerate(zip(values, units, strict=True))]
+    got = [r.x for r in spark.createDataFrame(rows, "i int, v double, u string").orderBy("i").select(catalog.area_label(F.col("v"), F.col("u")).alias("x")).collect()]
+    want = ["2 acre", "12345678 sq. units", "2.5 sq. units", "0.125 bigha", "0.0001 bigha", "0.000001 bigha", "1.5e-7 bigha", "1e+21 bigha", "123456789012345680 bigha", "-3 bigha", "—", "—", "—", "0.1 bigha", "100000000000000000000 bigha"]
+    assert got == want
+
+
+def test_every_change_is_dated(spark):
+    docs = spark.createDataFrame([(i, "PENDING", "old") for i in range(3)], "id long, status string, raw_text string").withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
+    result = spark.createDataFrame([(1, "text", None, 1), (2, "", None, 1)], "id long, raw_text string, error string, at int")
+    dated = lambda d: {r.id for r in d.filter("updated_at > '2020-01-02'").collect()}
+    assert dated(catalog.written_back(docs, result)) == {1, 2}
+    assert dated(catalog.started(docs)) == {0, 1, 2}
+    assert dated(catalog.started(docs, docs.filter("id = 1"))) == {1}
