@@ -20,6 +20,8 @@ PAPER = 255
 STAMP_INKS = ((0, 15, 50, 40), (165, 180, 50, 40), (130, 165, 40, 40), (90, 130, 40, 40), (35, 85, 40, 40))
 CLOSING, LEAST_STAMP = 7, 300
 BACKGROUND = 41
+TILES, CLIP = 8, 2.0
+SKEW_STRIP, LEAST_BLOCK, LEAST_SKEW = (35, 3), 200, 0.2
 LINE_SHARE, LINE_WIDTH_SHARE, LEAST_LINE_HEIGHT, LINE_PADDING = 0.05, 0.15, 15, 5
 HEADER_SHARE = (0.15, 0.35)
 GUTTER_SHARE, GUTTER_DEPTH, LEAST_GUTTER_LEFT, GUTTER_REACH, GUTTER_SIGMA = (0.35, 0.65), 0.65, 50, 15, 10
@@ -135,6 +137,50 @@ def illuminated(runs: DataFrame, sizes: DataFrame, reach: int = BACKGROUND // 2,
     return lines.select(*key, "y", "width", F.zip_with("was", "v", lambda x, g: F.least(F.bround(x * PAPER / F.greatest(g, F.lit(1))), F.lit(255)).cast("int")).alias("v"))
 
 
+def _mirrored(i: Column, n: Column) -> Column:
+    """The place of ``i`` in a row of ``n`` that goes to and fro, its ends not doubled."""
+    m = F.pmod(i, F.greatest(2 * n - 2, F.lit(1)))
+    return F.when(m < n, m).otherwise(2 * n - 2 - m)
+
+
+def contrasted(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, y, width, v): the rows of pixels of every page with its contrast evened out locally.
+
+    A page is cut into 8 by 8 tiles (mirrored to the right and below, on both sides if either size isn't a multiple of 8). Of each
+    tile's histogram what exceeds the clip limit is dealt to all bins, the rest of the division to every so many; its running sum
+    says what a grey becomes in the tile. A pixel is blended from the four tiles round it. Computed in doubles, rounded half to even.
+    """
+    w, h = F.col("width"), F.col("height")
+    even = (w % TILES == 0) & (h % TILES == 0)
+    whole = sizes.withColumns({"_w": F.when(even, w).otherwise(w + TILES - w % TILES), "_h": F.when(even, h).otherwise(h + TILES - h % TILES)}).withColumns({"_tw": F.expr(f"_w div {TILES}").cast("int"), "_th": F.expr(f"_h div {TILES}").cast("int")})
+    lines = scanlines(runs, sizes, key).drop("width").join(whole, [*key])
+    beyond = F.when(F.col("_h") > h, F.sequence(h, F.col("_h") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.filter(F.concat(F.array("y"), beyond), lambda i: _mirrored(i, h) == F.col("y"))
+    wide = F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda x: F.get("v", _mirrored(x, w)))
+    cells = lines.select(*key, "_tw", "_th", wide.alias("v"), F.explode(places).alias("y")).select(*key, F.expr("y div _th").cast("int").alias("ty"), "_tw", F.posexplode("v").alias("x", "grey"))
+    bins = cells.groupBy(*key, "ty", F.expr("x div _tw").cast("int").alias("tx"), "grey").agg(F.count("*").alias("n"))
+    greys = bins.groupBy(*key).agg(F.array_sort(F.collect_set("grey")).alias("greys"))
+    tiles = bins.groupBy(*key, "ty", "tx").agg(F.collect_list(F.struct("grey", "n")).alias("bins")).join(greys, [*key]).join(whole.select(*key, (F.col("_tw") * F.col("_th")).cast("long").alias("total")), [*key])
+    limit, zero = F.greatest(F.floor(F.col("total") * (CLIP / 256)), F.lit(1)).cast("long"), F.lit(0).cast("long")
+    tiles = tiles.withColumn("limit", limit).withColumn("over", F.reduce("bins", zero, lambda t, b: t + F.greatest(b["n"] - F.col("limit"), zero)))
+    rest = F.col("over") % 256
+    dealt = lambda g: F.expr("over div 256") * (g + 1) + F.when(rest > 0, F.least(rest, F.floor(g / F.expr("greatest(256 div greatest(over % 256, 1), 1)")) + 1)).otherwise(0)
+    upto = lambda g: F.reduce("bins", zero, lambda t, b: t + F.when(b["grey"] <= g, F.least(b["n"], F.col("limit"))).otherwise(zero))
+    becomes = F.transform("greys", lambda g: F.least(F.bround((upto(g) + dealt(g)) * 255 / F.col("total")), F.lit(255.0)))
+    rows = tiles.select(*key, "ty", "tx", becomes.alias("to")).groupBy(*key, "ty").agg(F.transform(F.array_sort(F.collect_list(F.struct("tx", "to"))), lambda t: t["to"]).alias("to"))
+    at_y = F.col("y") / F.col("_th") - 0.5
+    lines = lines.join(greys, [*key]).withColumns({"_v": F.transform("v", lambda x: F.array_position("greys", x).cast("int") - 1), "_fy": at_y - F.floor(at_y), "_a": F.greatest(F.floor(at_y), F.lit(0)).cast("int"), "_b": F.least(F.floor(at_y) + 1, F.lit(TILES - 1)).cast("int")})
+    lines = lines.join(rows.select(*key, F.col("ty").alias("_a"), F.col("to").alias("_up")), [*key, "_a"]).join(rows.select(*key, F.col("ty").alias("_b"), F.col("to").alias("_low")), [*key, "_b"])
+
+    def blended(v: Column, x: Column) -> Column:
+        at = x / F.col("_tw") - 0.5
+        f, a, b = at - F.floor(at), F.greatest(F.floor(at), F.lit(0)).cast("int"), F.least(F.floor(at) + 1, F.lit(TILES - 1)).cast("int")
+        across = lambda side: F.get(F.get(side, a), v) * (1 - f) + F.get(F.get(side, b), v) * f
+        return F.bround(across("_up") * (1 - F.col("_fy")) + across("_low") * F.col("_fy")).cast("int")
+
+    return lines.select(*key, "y", "width", F.transform("_v", blended).alias("v"))
+
+
 def merged(runs: DataFrame, line: tuple[str, ...]) -> DataFrame:
     """Disjoint runs (line, x0, x1) that cover what ``runs`` do on each line; runs that touch are one. ``line`` names the columns that tell a line of pixels, or a band of equal ones."""
     along = Window.partitionBy(*line).orderBy("x0", "x1")
@@ -177,15 +223,20 @@ def stacked(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return rows.withColumn("_stack", F.col("y") - F.row_number().over(same)).groupBy(*key, "x0", "x1", "_stack").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).drop("_stack")
 
 
+def linked(nodes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, node, component) of rectangles that don't touch inside a row: two that touch never share a row, so one begins where the other ends."""
+    above, below = (nodes.select(*key, F.col(edge).alias("_y"), *[F.col(c).alias(f"{c}_{edge}") for c in ("x0", "x1", "node")]) for edge in ("y1", "y0"))
+    touch = above.join(below, [*key, "_y"]).filter("x0_y1 <= x1_y0 and x0_y0 <= x1_y1")
+    return components(nodes.select(*key, "node"), touch.select(*key, F.col("node_y1").alias("a"), F.col("node_y0").alias("b")), list(key))
+
+
 def regions(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """(key, region, x, y, width, height, pixels) of the connected regions of disjoint runs that don't touch inside a row; runs that touch at a corner are connected, and a region is named by its first run.
 
-    Equal runs on top of each other are one node. Two nodes that touch never share a row, so one begins where the other ends.
+    Equal runs on top of each other are one node.
     """
     nodes = settled(stacked(rows, key).withColumn("node", F.col("y0").cast("long") * (1 << 20) + F.col("x0")))
-    above, below = (nodes.select(*key, F.col(edge).alias("_y"), *[F.col(c).alias(f"{c}_{edge}") for c in ("x0", "x1", "node")]) for edge in ("y1", "y0"))
-    touch = above.join(below, [*key, "_y"]).filter("x0_y1 <= x1_y0 and x0_y0 <= x1_y1")
-    named = components(nodes.select(*key, "node"), touch.select(*key, F.col("node_y1").alias("a"), F.col("node_y0").alias("b")), list(key))
+    named = linked(nodes, key)
     return nodes.join(named, [*key, "node"]).groupBy(*key, F.col("component").alias("region")).agg(
         F.min("x0").alias("x"), F.min("y0").alias("y"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("pixels")
     )
@@ -218,6 +269,56 @@ def text_lines(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) ->
     return b.select(*key, line, x.alias("x"), y.alias("y"), F.least(F.col("width") - x, F.col("w") + 2 * LINE_PADDING).alias("width"), F.least(F.col("height") - y, F.col("h") + 2 * LINE_PADDING).alias("height"))
 
 
+def hulls(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, region, pixels, hull) of the connected regions of disjoint runs: the corners of the convex hull of their pixels' centres, once round.
+
+    The outermost pixels of each row are folded into a left and a right chain: a new point takes the place of those behind which the chain would turn outward.
+    """
+    nodes = settled(stacked(rows, key).withColumn("node", F.col("y0").cast("long") * (1 << 20) + F.col("x0")))
+    lines = rows_of(nodes.join(linked(nodes, key), [*key, "node"])).groupBy(*key, F.col("component").alias("region"), "y").agg(F.min("x0").alias("a"), (F.max("x1") - 1).alias("b"), F.sum(F.col("x1") - F.col("x0")).alias("n"))
+    shape = lines.groupBy(*key, "region").agg(F.sum("n").alias("pixels"), F.array_sort(F.collect_list(F.struct("y", "a", "b"))).alias("rows"))
+
+    def chain(side: str, sign: int) -> Column:
+        points = F.transform("rows", lambda r: F.struct(r[side].cast("long").alias("x"), r["y"].cast("long").alias("y")))
+        turn = lambda o, p, r: ((p["x"] - o["x"]) * (r["y"] - o["y"]) - (p["y"] - o["y"]) * (r["x"] - o["x"])) * sign
+        start = F.slice(points, 1, 0)
+        return F.reduce(points, start, lambda s, r: F.array_append(F.filter(s, lambda p, i: (i == 0) | (turn(F.get(s, i - 1), p, r) < 0)), r))
+
+    return shape.select(*key, "region", "pixels", F.array_distinct(F.concat(chain("a", 1), F.reverse(chain("b", -1)))).alias("hull"))
+
+
+def smallest_rectangles(shapes: DataFrame) -> DataFrame:
+    """``shapes`` with the angle of the smallest rectangle round ``hull``: of its longer side, in degrees over 0 up to 180, clockwise from the right as rows go down.
+
+    The smallest has a side along one of the hull's; of several it is that of the smallest angle. A single point has none.
+    """
+    n = F.size("hull")
+    way = F.transform("hull", lambda p, i: F.struct((F.get("hull", F.pmod(i + 1, n))["x"] - p["x"]).alias("x"), (F.get("hull", F.pmod(i + 1, n))["y"] - p["y"]).alias("y")))
+    # turned by right angles until it points right and down, not straight right
+    turned = F.transform(F.filter(way, lambda d: (d["x"] != 0) | (d["y"] != 0)), lambda d: F.when((d["x"] >= 0) & (d["y"] > 0), d).when((d["y"] <= 0) & (d["x"] > 0), F.struct((-d["y"]).alias("x"), d["x"].alias("y"))).when((d["x"] <= 0) & (d["y"] < 0), F.struct((-d["x"]).alias("x"), (-d["y"]).alias("y"))).otherwise(F.struct(d["y"].alias("x"), (-d["x"]).alias("y"))))
+    along = lambda d: F.transform("hull", lambda p: p["x"] * d["x"] + p["y"] * d["y"])
+    over = lambda d: F.transform("hull", lambda p: p["y"] * d["x"] - p["x"] * d["y"])
+    extent = lambda a: F.array_max(a) - F.array_min(a)
+    boxes = F.transform(F.array_distinct(turned), lambda d: F.struct(extent(along(d)).alias("w"), extent(over(d)).alias("h"), d["x"].alias("dx"), d["y"].alias("dy")))
+    ranked = F.transform(boxes, lambda b: F.struct((b["w"].cast("double") * b["h"] / (b["dx"] * b["dx"] + b["dy"] * b["dy"])).alias("area"), F.degrees(F.atan2(b["dy"].cast("double"), b["dx"].cast("double"))).alias("angle"), (b["w"] < b["h"]).alias("tall")))
+    best = F.array_min(ranked)
+    return shapes.withColumn("angle", best["angle"] + F.when(best["tall"], 90.0).otherwise(0.0))
+
+
+def skew_angles(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, angle): how far every page is turned, the median over its blocks of writing; 0 without any, and below a fifth of a degree.
+
+    Blocks are regions of over 200 pixels of what is darker than the page's threshold, after widening by a strip, twice; of a block the
+    longer side of its smallest rectangle counts. Angles over 45 degrees have 180 taken off, as the deeds' service does: 60 becomes
+    -120, and only what it reads as under 45 is a turn that can be undone. Holes in a block aren't blocks.
+    """
+    black = runs.join(otsu(run_histogram(runs, sizes, key), key), [*key]).filter("grey <= threshold").select(*key, "y0", "y1", "x0", "x1")
+    blocks = hulls(dilated(black, sizes, SKEW_STRIP[0], SKEW_STRIP[1], 2, key), key).filter(F.col("pixels") > LEAST_BLOCK)
+    turned = smallest_rectangles(blocks).withColumn("angle", F.when(F.col("angle") > 45, F.col("angle") - 180).otherwise(F.col("angle")))
+    middle = turned.groupBy(*key).agg(F.median("angle").alias("angle"))
+    return sizes.select(*key).join(middle, [*key], "left").select(*key, F.when(F.abs("angle") >= LEAST_SKEW, F.col("angle")).otherwise(0.0).alias("angle"))
+
+
 def header_ends(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """(key, header_end): the row with least ink between 15 and 35 per cent of the height, the first of several."""
     ink = rows_of(runs).groupBy(*key, "y").agg(F.sum((PAPER - F.col("grey")) * (F.col("x1") - F.col("x0"))).alias("ink"))

@@ -9,7 +9,7 @@ from terrier.operators.images import MOST_SIDE
 from terrier.plans.registry import query, spread, table
 
 #: Columns of text, rows of pixels that are inked of each line of text, and from one line to the next; the gap between two columns of odd documents.
-FINE, LINES, COLUMNS = (96, 1, 2, 0), (96, 12, 20, 0), (180, 2, 3, 14)
+FINE, LINES, COLUMNS, SPACED = (96, 1, 2, 0), (96, 12, 20, 0), (180, 2, 3, 14), (96, 3, 14, 0)
 
 
 def drawn(spark, sf_dir, columns, band, pitch, gap):
@@ -125,3 +125,50 @@ UNION ALL SELECT doc_id, sheet, 'column', 2, gutter, top, width - gutter, height
 @query(_layout_sql())
 def page_layout(spark, sf_dir):
     return pages.layout(*drawn(spark, sf_dir, *COLUMNS))
+
+
+@query(f"""WITH {_drawn_sql(*FINE)}, {_DENSE},
+whole AS (SELECT *, CASE WHEN even THEN width ELSE width + 8 - width % 8 END AS w2, CASE WHEN even THEN height ELSE height + 8 - height % 8 END AS h2 FROM (SELECT *, width % 8 = 0 AND height % 8 = 0 AS even FROM page)),
+tiled AS (SELECT *, w2 // 8 AS tw, h2 // 8 AS th, 2 * width - 2 AS pw, greatest(2 * height - 2, 1) AS ph FROM whole),
+grid AS (SELECT doc_id, sheet, y, width, height, tw, th, pw, ph, unnest(range(0, w2)) AS x FROM (SELECT *, unnest(range(0, h2)) AS y FROM tiled)),
+cells AS (SELECT g.doc_id, g.sheet, g.y // th AS ty, g.x // tw AS tx, v FROM grid g JOIN dense d ON g.doc_id = d.doc_id AND g.sheet = d.sheet AND d.y = CASE WHEN g.y % ph < height THEN g.y % ph ELSE ph - g.y % ph END AND d.x = CASE WHEN g.x % pw < width THEN g.x % pw ELSE pw - g.x % pw END),
+bins AS MATERIALIZED (SELECT doc_id, sheet, ty, tx, v, count(*) AS n FROM cells GROUP BY ALL),
+greys AS (SELECT DISTINCT doc_id, sheet, v AS g FROM bins),
+limits AS (SELECT *, tw * th AS total, greatest(tw * th * 2 // 256, 1) AS most FROM tiled),
+over AS (SELECT doc_id, sheet, ty, tx, any_value(total) AS total, sum(greatest(n - most, 0)) AS excess FROM bins JOIN limits USING (doc_id, sheet) GROUP BY ALL),
+upto AS (SELECT o.doc_id, o.sheet, o.ty, o.tx, g, any_value(total) AS total, any_value(excess) AS excess, sum(CASE WHEN b.v <= g THEN least(b.n, most) ELSE 0 END) AS c FROM over o JOIN greys USING (doc_id, sheet) JOIN bins b ON b.doc_id = o.doc_id AND b.sheet = o.sheet AND b.ty = o.ty AND b.tx = o.tx JOIN (SELECT doc_id, sheet, most FROM limits) m ON m.doc_id = o.doc_id AND m.sheet = o.sheet GROUP BY ALL),
+becomes AS MATERIALIZED (SELECT doc_id, sheet, ty, tx, g, least(round_even((c + excess // 256 * (g + 1) + CASE WHEN excess % 256 > 0 THEN least(excess % 256, g // greatest(256 // (excess % 256), 1) + 1) ELSE 0 END) * 255 / total::DOUBLE, 0), 255) AS t FROM upto),
+placed AS (SELECT d.doc_id, d.sheet, d.y, d.x, d.v, d.y / th::DOUBLE - 0.5 AS fy, d.x / tw::DOUBLE - 0.5 AS fx FROM dense d JOIN tiled USING (doc_id, sheet)),
+round_ AS (SELECT *, CAST(greatest(floor(fy), 0) AS INT) AS y1, CAST(least(floor(fy) + 1, 7) AS INT) AS y2, CAST(greatest(floor(fx), 0) AS INT) AS x1, CAST(least(floor(fx) + 1, 7) AS INT) AS x2, fy - floor(fy) AS b, fx - floor(fx) AS a FROM placed),
+blended AS (SELECT p.doc_id, p.sheet, p.y, p.x, round_even((t11.t * (1 - a) + t12.t * a) * (1 - b) + (t21.t * (1 - a) + t22.t * a) * b, 0) AS v FROM round_ p
+  JOIN becomes t11 ON t11.doc_id = p.doc_id AND t11.sheet = p.sheet AND t11.ty = y1 AND t11.tx = x1 AND t11.g = p.v JOIN becomes t12 ON t12.doc_id = p.doc_id AND t12.sheet = p.sheet AND t12.ty = y1 AND t12.tx = x2 AND t12.g = p.v
+  JOIN becomes t21 ON t21.doc_id = p.doc_id AND t21.sheet = p.sheet AND t21.ty = y2 AND t21.tx = x1 AND t21.g = p.v JOIN becomes t22 ON t22.doc_id = p.doc_id AND t22.sheet = p.sheet AND t22.ty = y2 AND t22.tx = x2 AND t22.g = p.v)
+SELECT doc_id, sheet, y, string_agg(CAST(CAST(v AS INT) AS VARCHAR), ',' ORDER BY x) AS greys FROM blended GROUP BY doc_id, sheet, y""")
+def page_contrast(spark, sf_dir):
+    """Rows of pixels after local equalisation; a row's greys as one text."""
+    return pages.contrasted(*drawn(spark, sf_dir, *FINE)).select("doc_id", "sheet", "y", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("greys"))
+
+
+def _skew_sql():
+    chain = lambda of, sign: f"list_reduce({of}, lambda s, r: list_concat(list_transform(list_filter(range(1, len(s) + 1), lambda i: i = 1 OR {sign} * ((s[i].x - s[i - 1].x) * (r[1].y - s[i - 1].y) - (s[i].y - s[i - 1].y) * (r[1].x - s[i - 1].x)) < 0), lambda i: s[i]), r))"
+    return f"""WITH RECURSIVE {_drawn_sql(*SPACED)}, areas AS (SELECT doc_id, sheet, v FROM ink UNION ALL SELECT doc_id, sheet, 255 FROM (SELECT doc_id, sheet, unnest(range(0, width * height - n)) FROM page JOIN (SELECT doc_id, sheet, count(*) AS n FROM ink GROUP BY ALL) USING (doc_id, sheet))),
+{_OTSU.format(of='areas')},
+black AS (SELECT DISTINCT doc_id, sheet, y, x FROM ink JOIN cut USING (doc_id, sheet) WHERE v <= threshold),
+narrow AS ({_RUNS.format(of='black')}),
+grown AS (SELECT doc_id, sheet, greatest(x0 - 34, 0) AS x0, least(x1 + 34, width) AS x1, unnest(range(greatest(y - 2, 0), least(y + 3, height))) AS y FROM narrow JOIN page USING (doc_id, sheet)),
+marked AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY doc_id, sheet, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM grown),
+runs AS (SELECT doc_id, sheet, y, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, sheet, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS island FROM marked) GROUP BY doc_id, sheet, y, island), {_REGIONS},
+edges AS (SELECT doc_id, sheet, label, y, min(x0) AS a, max(x1) - 1 AS b, sum(x1 - x0) AS n FROM nodes JOIN named USING (run) GROUP BY ALL),
+sides AS (SELECT doc_id, sheet, label, sum(n) AS pixels, list([{{'x': a, 'y': y}}] ORDER BY y) AS ls, list([{{'x': b, 'y': y}}] ORDER BY y) AS rs FROM edges GROUP BY ALL),
+shapes AS (SELECT doc_id, sheet, label, list_concat({chain('ls', 1)}, list_reverse({chain('rs', -1)})) AS hull FROM sides WHERE pixels > 200),
+dirs AS (SELECT DISTINCT doc_id, sheet, label, hull, hull[i % len(hull) + 1].x - hull[i].x AS x, hull[i % len(hull) + 1].y - hull[i].y AS y FROM (SELECT *, unnest(range(1, len(hull) + 1)) AS i FROM shapes)),
+turned AS (SELECT doc_id, sheet, label, hull, CASE WHEN x >= 0 AND y > 0 THEN x WHEN y <= 0 AND x > 0 THEN -y WHEN x <= 0 AND y < 0 THEN -x ELSE y END AS dx, CASE WHEN x >= 0 AND y > 0 THEN y WHEN y <= 0 AND x > 0 THEN x WHEN x <= 0 AND y < 0 THEN -y ELSE -x END AS dy FROM dirs WHERE x <> 0 OR y <> 0),
+boxes AS (SELECT *, list_max(list_transform(hull, lambda p: p.x * dx + p.y * dy)) - list_min(list_transform(hull, lambda p: p.x * dx + p.y * dy)) AS w, list_max(list_transform(hull, lambda p: p.y * dx - p.x * dy)) - list_min(list_transform(hull, lambda p: p.y * dx - p.x * dy)) AS h FROM turned),
+best AS (SELECT *, degrees(atan2(dy, dx)) + CASE WHEN w < h THEN 90 ELSE 0 END AS angle FROM boxes QUALIFY row_number() OVER (PARTITION BY doc_id, sheet, label ORDER BY w::DOUBLE * h / (dx * dx + dy * dy), atan2(dy, dx)) = 1),
+middle AS (SELECT doc_id, sheet, median(CASE WHEN angle > 45 THEN angle - 180 ELSE angle END) AS angle FROM best GROUP BY doc_id, sheet)
+SELECT doc_id, sheet, round(CASE WHEN abs(angle) >= 0.2 THEN angle ELSE 0 END, 6) AS angle FROM page LEFT JOIN middle USING (doc_id, sheet)"""
+
+
+@query(_skew_sql())
+def page_skew(spark, sf_dir):
+    return pages.skew_angles(*drawn(spark, sf_dir, *SPACED)).withColumn("angle", F.round("angle", 6))

@@ -172,3 +172,98 @@ def test_empty_tables(spark):
     none = sizes.limit(0)
     assert pages.illuminated(runs, none).count() == 0 and pages.layout(runs, none).count() == 0
     assert [tuple(r) for r in pages.stamps(runs.selectExpr("*", "1 hue", "1 sat", "1 val"), sizes).collect()] == [(0, 0, 0)]
+
+
+def plain_contrast(page):
+    h, w = page.shape
+    even = w % 8 == 0 and h % 8 == 0
+    eh, ew = (h, w) if even else (h + 8 - h % 8, w + 8 - w % 8)
+    back = lambda i, n: 0 if n == 1 else (i % (2 * n - 2) if i % (2 * n - 2) < n else 2 * n - 2 - i % (2 * n - 2))
+    wide = np.array([[page[back(y, h), back(x, w)] for x in range(ew)] for y in range(eh)])
+    th, tw = eh // 8, ew // 8
+    most = max(int(2.0 * th * tw / 256), 1)
+    to = np.zeros((8, 8, 256))
+    for i in range(8):
+        for j in range(8):
+            bins = np.bincount(wide[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            over = int(np.maximum(bins - most, 0).sum())
+            bins = np.minimum(bins, most) + over // 256
+            left = over % 256
+            if left:
+                for k in range(0, 256, max(256 // left, 1)):
+                    if left:
+                        bins[k] += 1
+                        left -= 1
+            to[i, j] = np.minimum(np.round(np.cumsum(bins) * 255 / (th * tw)), 255)
+    out = np.zeros(page.shape, int)
+    for y in range(h):
+        for x in range(w):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            y1, x1, v = int(np.floor(fy)), int(np.floor(fx)), page[y, x]
+            a, b = fx - x1, fy - y1
+            t = lambda i, j, v=v: to[min(max(i, 0), 7), min(max(j, 0), 7), v]
+            out[y, x] = np.round((t(y1, x1) * (1 - a) + t(y1, x1 + 1) * a) * (1 - b) + (t(y1 + 1, x1) * (1 - a) + t(y1 + 1, x1 + 1) * a) * b)
+    return out
+
+
+def test_contrast(spark):
+    made = [*some_pages(random.Random(8), 4), np.random.default_rng(3).integers(0, 256, (24, 32)), np.random.default_rng(4).integers(90, 130, (50, 40))]
+    got = {(r.doc_id, r.y): r.v for r in pages.contrasted(*framed(spark, made)).collect()}
+    for i, page in enumerate(made):
+        want = plain_contrast(page)
+        assert all(got[i, y] == want[y].tolist() for y in range(page.shape[0])), i
+    assert len(got) == sum(len(p) for p in made)
+
+
+def plain_angle(points):
+    """The smallest rectangle's longer side, of rectangles along any two points."""
+    best = None
+    for i, (x, y) in enumerate(points):
+        for u, v in points[i + 1 :]:
+            dx, dy = u - x, v - y
+            while not (dx >= 0 and dy > 0):
+                dx, dy = -dy, dx
+            along, over = [p * dx + q * dy for p, q in points], [q * dx - p * dy for p, q in points]
+            w, h = max(along) - min(along), max(over) - min(over)
+            angle = float(np.degrees(np.arctan2(dy, dx)))
+            found = (w * h / (dx * dx + dy * dy), angle, w < h)
+            best = found if best is None or found[:2] < best[:2] else best
+    return best and best[1] + 90 * best[2], best and best[0]
+
+
+def test_smallest_rectangles(spark):
+    rng, made = random.Random(6), []
+    for _ in range(12):
+        page = np.full((30, 30), 255)
+        x, y = rng.randint(3, 26), 0
+        for _ in range(60):
+            page[y, x] = 0
+            x, y = min(29, max(0, x + rng.choice([-1, 0, 1]))), min(29, y + rng.choice([0, 0, 1]))
+        made.append(page)
+    made.append(np.where(np.eye(30, dtype=bool), 0, 255))
+    runs, _ = framed(spark, made)
+    found = pages.smallest_rectangles(pages.hulls(pages.merged(pages.rows_of(runs), ("doc_id", "sheet", "y")))).collect()
+    assert len(found) == len(made)
+    for r in found:
+        points = [(int(x), int(y)) for y, x in zip(*np.nonzero(made[r.doc_id] == 0), strict=True)]
+        assert r.pixels == len(points) and {(p.x, p.y) for p in r.hull} <= set(points)
+        angle, _ = plain_angle(points)
+        assert abs(r.angle - angle) < 1e-9, (r.doc_id, r.angle, angle)
+
+
+def test_skew(spark):
+    made = []
+    for slope in (0.0, 0.05, -0.08):
+        page = np.full((260, 260), 255)
+        for line in range(3):
+            for t in range(150):
+                y = 40 + 70 * line + round(slope * t)
+                page[y : y + 4, 20 + t : 24 + t] = 0
+        made.append(page)
+    made.append(np.full((260, 260), 255))
+    made[3][40:190, 60:64] = made[3][40:190, 180:184] = 0
+    made.append(np.full((20, 20), 255))
+    got = {r.doc_id: r.angle for r in pages.skew_angles(*framed(spark, made)).collect()}
+    assert got[0] == 0.0 and got[4] == 0.0
+    assert 1.0 < got[1] < 3.5 and -5.5 < got[2] < -2.0
+    assert got[3] == -90.0  # upright blocks: over 45 degrees, 180 are taken off
