@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrier.functions.text import chunks, decompose, lines, megabytes, title_from_filename, type_label
 from terrier.operators import catalog
+from terrier.operators.components import shared_folder
 from terrier.plans.registry import query, table
+from terrier.sources import changes
 from terrier.sources.uploads import accepted_type, stored_name, table_schema
 
 TYPES = ["sale_deed", "patta", "mutation", "encumbrance", "gift_deed", "lease", "survey_map", "other"]
@@ -205,3 +209,30 @@ def text_chunks_500(spark, sf_dir):
 def text_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", lines(F.col("text")).alias("ls"))
     return d.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.get("ls", 0).alias("first_line"), F.array_join("ls", "|").alias("all_lines"))
+
+
+@query(f"""WITH {REGISTER}, p AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT id, CASE WHEN toxic = 1 THEN 'again' WHEN quality = 1 THEN 'T' || id ELSE title END AS title, CASE WHEN toxic = 1 THEN 'PENDING' WHEN quality = 0 THEN 'DIGITIZED' ELSE status END AS status, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'D' || id ELSE district END AS district,
+CASE WHEN toxic = 1 OR quality = 1 THEN NULL ELSE state END AS state, CASE WHEN toxic = 1 THEN NULL WHEN quality = 0 THEN 4 ELSE length(raw_text) END AS n,
+CASE WHEN toxic = 1 THEN '2025-03-01' WHEN quality = 1 THEN '2025-01-01' WHEN quality = 0 THEN '2025-01-02' ELSE strftime(TIMESTAMP '2024-01-01' + to_hours(hour), '%Y-%m-%d') END AS updated
+FROM r LEFT JOIN p ON id = doc_id WHERE NOT coalesce(toxic = 1 AND quality = 0, false)""")
+def doc_change_log(spark, sf_dir):
+    """Documents inserted and compacted; then patched (one patch comes late), read, deleted and inserted again, some of it twice, with a compaction between."""
+    log = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good, bad, toxic = p.filter("quality = 1"), p.filter("quality = 0"), p.filter("toxic = 1")
+    when = lambda d, t, n: d.withColumns({"at": F.lit(t).cast("timestamp"), "number": F.lit(n)})
+    fields = lambda *names: F.array(*map(F.lit, names))
+    add = lambda c: changes.append(log, c, 8)
+    add(changes.change(register(spark, sf_dir).withColumns({"at": F.col("created_at"), "number": F.lit(0)}), "insert"))
+    changes.compact(spark, log)
+    told = when(good, "2025-01-01", 1).select("id", "at", "number", fields("title", "state").alias("set_fields"), F.concat(F.lit("T"), "id").alias("title"))
+    read = when(bad, "2025-01-02", 2).select("id", "at", "number", F.lit("read").alias("raw_text"))
+    for _ in range(2):
+        add(changes.change(told, "patch").unionByName(changes.change(read, "result")))
+    add(changes.change(when(toxic, "2025-02-01", 3), "delete"))
+    changes.compact(spark, log)
+    late = when(good, "2024-12-01", 9).select("id", "at", "number", fields("title", "district").alias("set_fields"), F.lit("late").alias("title"), F.concat(F.lit("D"), "id").alias("district"))
+    again = when(toxic.filter("quality = 1"), "2025-03-01", 4).select("id", "at", "number", F.lit("again").alias("title"))
+    add(changes.change(late, "patch").unionByName(changes.change(again, "insert")))
+    return changes.replayed(spark, log).select("id", "title", "status", "district", "state", F.length("raw_text").alias("n"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
