@@ -30,4 +30,4 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-from terrier.plans import deeds, pages, register, scans  # noqa: E402, F401  they fill the two tables
+from terrier.plans import deeds, pages, register, runs, scans  # noqa: E402, F401  they fill the two tables
