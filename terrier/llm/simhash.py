@@ -130,6 +130,32 @@ def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[label[moved]]
 
 
+#: Every way in which up to ``MAX_BITS`` of 16 bits differ, the fewest first.
+_NEAR = np.array(sorted((sum(1 << i for i in c) for n in range(1, MAX_BITS + 1) for c in combinations(range(16), n)), key=int.bit_count), np.uint16)
+
+
+def _linked_by_table(mask: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one list of distinct fingerprints that differ in 16 bits only: each looks its neighbours up by their bits, so the work goes with the members and not with their pairs.
+
+    What differs in up to four bits shares four bytes at least, so no link falls to the count filter.
+    """
+    value = np.zeros(len(fps), np.uint16)
+    for k, u in enumerate(u for u in range(16) if not mask >> (4 * u) & 15):
+        value |= ((fps >> np.uint64(4 * u)) & np.uint64(15)).astype(np.uint16) << np.uint16(4 * k)
+    own = np.arange(len(fps))
+    place = np.full(1 << 16, -1, np.int64)
+    place[value] = own
+    label = own.copy()
+    for way in _NEAR:
+        other = place[value ^ way]
+        kept = np.flatnonzero(other > own)
+        label = _joined(label, kept, other[kept])
+        if not label.any():  # all are one group
+            break
+    moved = np.flatnonzero(label != own)
+    return fps[moved], fps[label[moved]]
+
+
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (mask, fp) sorted by list: edges (a, b). What is held are the rows of one batch and of the list it breaks off in."""
     held_m, held_f = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -139,8 +165,12 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.concatenate(([0], np.flatnonzero((m[1:] != m[:-1]) | (keys[1:] != keys[:-1])) + 1, [len(m)]))
         upto = len(bounds) - 1 if last else len(bounds) - 2
         sizes = np.diff(bounds[: upto + 1])
-        some = np.repeat(sizes > 1, sizes)
-        a, b = _linked(np.repeat(np.arange(len(sizes)), sizes)[some], f[: bounds[upto]][some])
+        large = [k for k in np.flatnonzero(sizes > LIST_LIMIT).tolist() if int(m[bounds[k]]).bit_count() == 48]
+        pairs = sizes > 1
+        pairs[large] = False
+        some = np.repeat(pairs, sizes)
+        found = [_linked(np.repeat(np.arange(len(sizes)), sizes)[some], f[: bounds[upto]][some]), *(_linked_by_table(int(m[bounds[k]]), f[bounds[k] : bounds[k + 1]]) for k in large)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]), m[bounds[upto] :], f[bounds[upto] :]
 
     for batch in batches:

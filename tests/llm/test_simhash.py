@@ -1,3 +1,5 @@
+import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -114,3 +116,37 @@ def test_a_very_long_text_against_the_plain_fingerprint(spark):
     text = " ".join(f"w{i % 977}" for i in range(200_000))
     got = simhash.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.fingerprint == f"{plain_fingerprint(text):016x}"
+
+
+def test_a_list_of_the_last_level_takes_work_by_members_not_pairs():
+    mask = next(m for m in range(1, 1 << 16) if m.bit_count() == 12)
+    mask = sum(15 << (4 * u) for u in range(16) if mask >> u & 1)
+    open_units = [u for u in range(16) if not mask >> (4 * u) & 15]
+    spread = lambda v: sum((v >> (4 * k) & 15) << (4 * u) for k, u in enumerate(open_units)) | (0x123456789ABCDEF & mask)
+    rng = random.Random(3)
+    for n in (2, 40, 300):
+        fps = np.array([spread(v) for v in rng.sample(range(1 << 16), n)], np.uint64)
+        group = lambda pair: simhash._joined(np.arange(len(fps)), np.searchsorted(np.sort(fps), pair[0]), np.searchsorted(np.sort(fps), pair[1])).tolist()
+        assert group(simhash._linked_by_table(mask, fps)) == group(simhash._linked(np.zeros(len(fps), np.int64), fps))
+    # codes that are five bits apart at least: many groups of one
+    code = []
+    for v in range(1 << 16):
+        if all((v ^ c).bit_count() > 4 for c in code):
+            code.append(v)
+    assert len(simhash._linked_by_table(mask, np.array([spread(v) for v in code], np.uint64))[0]) == 0
+    fps = np.array([spread(v) for v in range(1 << 16)], np.uint64)
+    began = time.process_time()
+    a, b = simhash._linked_by_table(mask, fps)
+    assert time.process_time() - began < 2 and len(a) == (1 << 16) - 1 and set(b.tolist()) == {int(fps[0])}
+    # the worst: half of all values, so that few labels are alike until late
+    some = fps[np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)) % 2 == 0]
+    began = time.process_time()
+    assert len(simhash._linked_by_table(mask, some)[0]) == (1 << 15) - 1 and time.process_time() - began < 2
+
+
+def test_long_lists_of_the_last_level_are_scanned_by_table(spark):
+    base = 0x0F1E2D3C4B5A6978
+    fps = [base ^ v for v in range(4096)]
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    star = {r.node for r in simhash.components(simhash.links(frame, 8)).collect()}
+    assert len(star) == 4095
