@@ -19,7 +19,7 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "nicht", "dem", "ein", "eine", "als"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "no", "su", "una", "para", "es", "al", "lo"],
 }
-#: The list for other languages in the SQL, which knows no list from the documents.
+#: A mix of these lists, whose length is that of the lists that other languages get.
 OTHER_WORDS = list(dict.fromkeys(w for k in range(8) for ws in COMMON_WORDS.values() for w in ws[k : k + 1]))[:20]
 
 SPACES = " \t\n\x0b\x0c\r"

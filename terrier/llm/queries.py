@@ -129,10 +129,12 @@ lined AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_match
 spots AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d),
 grams AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM spots),
 repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE n > 1) GROUP BY r),
-listed AS (SELECT r, doc_id, lang, w, CASE lang {lists} ELSE {q.OTHER_WORDS!r} END AS k FROM d),
+words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d WHERE coalesce(lang NOT IN ({', '.join(repr(k) for k in q.COMMON_WORDS)}), true)) GROUP BY ALL),
+learned AS (SELECT lang AS own, list(word ORDER BY i) AS learned FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS i FROM words) WHERE i < {q.N_WORDS} GROUP BY lang),
+listed AS (SELECT r, doc_id, lang, w, CASE lang {lists} ELSE coalesce(learned, CAST([] AS VARCHAR[])) END AS k FROM d LEFT JOIN learned ON lang IS NOT DISTINCT FROM own),
 counted AS (SELECT r, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, [{', '.join(f'CAST({c} AS DOUBLE)' for c in classes)}] AS c,
   list_transform(k, lambda x: CAST(len(list_filter(w, lambda y: y = x)) AS DOUBLE)) AS o FROM listed),
-commons AS (SELECT *, list_append(o, n_words - list_sum(o)) AS m FROM counted),
+commons AS (SELECT *, list_append(list_resize(o, {q.N_WORDS - 1}, 0.0), n_words - coalesce(list_sum(o), 0)) AS m FROM counted),
 based AS (SELECT commons.*, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * coalesce(repeats.n, 0) > {q.MOST_REPEATED} * n_words AS base_failed
   FROM commons JOIN lined USING (r) LEFT JOIN repeats USING (r)),
 refs AS (SELECT lang AS ref_lang, [{', '.join(f'sum(c[{i}])' for i in range(1, q.N_CLASSES + 1))}] AS rc, [{', '.join(f'sum(m[{i}])' for i in range(1, q.N_WORDS + 1))}] AS rm FROM based WHERE NOT base_failed GROUP BY lang),

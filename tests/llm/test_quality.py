@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from terrier.llm import quality as q
@@ -87,6 +88,10 @@ def test_other_languages_have_their_own_words(spark):
     assert len(got) == len(rows)
     assert {i for i, r in got.items() if not r.kept} == {901, 902, 903, 904}
     assert min(got[i].word_distance for i in (901, 902)) > q.MOST_WORD_DISTANCE
+    con = duckdb.connect()
+    con.register("documents", pa.table(dict(zip(("doc_id", "text", "lang"), map(list, zip(*rows, strict=True)), strict=True))))
+    told = con.sql(queries.ORACLES["op10_quality"])
+    assert sorted(told.select(*q.quality(docs).columns).fetchall()) == sorted(map(tuple, got.values()))
     assert not got[901].base_failed and got[903].word_distance == got[904].word_distance == 0
     for k, lang in ((901, "ru"), (902, None)):
         own = [t.split() for _, t, x in rows if x == lang]
