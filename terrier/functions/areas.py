@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from terrier.functions.text import decomposed, fold_numerals, let, strip, to_number, unless_empty
+from terrier.functions.text import applied, array_sql, decomposed, first_of_sql, fold_numerals_sql, let_sql, quoted, strip_sql, to_number_sql
 from terrier.functions.values import UNIT_SQUARE_METRES, UNIT_WORDS
 
+KIND = "struct<raw_text:string,value:double,unit:string,sq_meters:double>"
 _NUMBER = r"(\p{Nd}+(?:\.\p{Nd}+)?)"
 
 
-def _amount(text: Column, words: list[str]) -> Column:
+def _amount(low: str, words: list[str]) -> str:
     """The first number before the first of ``words`` that has one before it."""
-    found = [F.when(F.contains(text, F.lit(w)), unless_empty(F.regexp_extract(text, rf"(?U){_NUMBER}\s*\Q{w}\E", 1))) for w in map(decomposed, words)]
-    return to_number(F.coalesce(*found), "double")
+    before = f"get(regexp_extract_all({low}, concat({quoted(f'(?U){_NUMBER}')}, {quoted(r'\s*\Q')}, word, {quoted(r'\E')}), 1), 0)"
+    found = first_of_sql(array_sql([*map(decomposed, words)]), "string", "word", f"CASE WHEN contains({low}, word) THEN {before} END")
+    return to_number_sql(found, "double")
 
 
-def _factors(state: Column) -> Column:
+def _factors(key: str) -> str:
     """Square metres of each unit in a state's table, in the order of UNIT_WORDS; 1 for a unit that the table lacks."""
     rows = {name: "array(" + ", ".join(f"{float(table.get(u, 1.0))!r}D" for u in UNIT_WORDS) + ")" for name, table in UNIT_SQUARE_METRES.items()}
-    of_states = F.expr("map(" + ", ".join(f"'{name}', {row}" for name, row in rows.items() if name != "default") + ")")
-    return F.coalesce(F.try_element_at(of_states, state), F.expr(rows["default"]))
+    of_states = ", ".join(f"{quoted(name)}, {row}" for name, row in rows.items() if name != "default")
+    return f"coalesce(try_element_at(map({of_states}), {key}), {rows['default']})"
+
+
+def area_sql(text: str, state: str) -> str:
+    """:func:`parse_area` as SQL text over two names."""
+    amounts = {u: f"area.amounts[{i}]" for i, u in enumerate(UNIT_WORDS)}
+    unit = ", ".join(f"CASE WHEN {a} IS NOT NULL THEN '{u}' END" for u, a in amounts.items())
+    total = " + ".join(f"coalesce({a} * area.factors[{i}], 0D)" for i, a in enumerate(amounts.values()))
+    metres = let_sql(total, "total", "CASE WHEN total > 0 THEN round(total, 2) END")
+    told = f"""named_struct('raw_text', area.raw, 'value', coalesce({', '.join(amounts.values())}, area.bare),
+        'unit', coalesce({unit}, CASE WHEN area.bare IS NOT NULL THEN 'Unspecified Unit' ELSE 'Unspecified' END), 'sq_meters', {metres})"""
+    parts = f"""named_struct('amounts', array({', '.join(_amount('low', words) for words in UNIT_WORDS.values())}), 'bare', {to_number_sql(f"get(regexp_extract_all(low, {quoted(_NUMBER)}, 1), 0)", 'double')},
+        'raw', {strip_sql(text)}, 'factors', {_factors(f"lower({strip_sql(f"coalesce({state}, '')")})")})"""
+    lowered = let_sql(f"lower({strip_sql(text)})", "whole", let_sql(fold_numerals_sql("whole"), "low", let_sql(parts, "area", told)))
+    return f"CASE WHEN coalesce({text}, '') != '' THEN {lowered} END"
 
 
 def parse_area(text: Column, state: Column) -> Column:
@@ -33,20 +46,4 @@ def parse_area(text: Column, state: Column) -> Column:
     state's table (others': the default's), rounded to 2 places, null if nothing or 0. A number without a unit has none. A null or
     empty text gives null.
     """
-    none = F.lit(None).cast("struct<raw_text:string,value:double,unit:string,sq_meters:double>")
-    key = F.lower(strip(F.coalesce(state, F.lit(""))))
-
-    def read(low: Column) -> Column:
-        amounts = F.array(*[_amount(low, words) for words in UNIT_WORDS.values()])
-        bare = to_number(unless_empty(F.regexp_extract(low, _NUMBER, 1)), "double")
-        return let(F.struct(amounts.alias("of"), bare.alias("bare"), strip(text).alias("raw"), _factors(key).alias("factors")), told)
-
-    def told(x: Column) -> Column:
-        amounts = {u: x["of"][i] for i, u in enumerate(UNIT_WORDS)}
-        unit = F.coalesce(*[F.when(a.isNotNull(), u) for u, a in amounts.items()], F.when(x["bare"].isNotNull(), "Unspecified Unit").otherwise("Unspecified"))
-        total = reduce(lambda s, t: s + t, [F.coalesce(a * x["factors"][i], F.lit(0.0)) for i, a in enumerate(amounts.values())])
-        metres = let(total, lambda t: F.when(t > 0, F.round(t, 2)))
-        return F.struct(x["raw"].alias("raw_text"), F.coalesce(*amounts.values(), x["bare"]).alias("value"), unit.alias("unit"), metres.alias("sq_meters"))
-
-    found = F.when(F.coalesce(text, F.lit("")) != "", let(F.lower(strip(text)), lambda low: let(fold_numerals(low), read))).otherwise(none)
-    return found
+    return applied(area_sql("given.text", "given.state"), text=text, state=state)

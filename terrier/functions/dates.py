@@ -3,50 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from terrier.functions.text import decomposed, first_of, fold_numerals, let, strip, to_number
+from terrier.functions.text import applied, decomposed, first_of_sql, fold_numerals_sql, let_sql, quoted, strip_sql, to_number_sql
 from terrier.functions.values import DAY_SUFFIXES, MONTHS
 
+KIND = "struct<raw:string,iso:string>"
 _NUMERIC = r"(\p{Nd}{1,2})[/\-.](\p{Nd}{1,2})[/\-.](\p{Nd}{4})"
 _YEARS = r"(?U)\b((?:18|19|20)\p{Nd}{2})\b"
 #: A year by itself, or four digits behind the last letter of a name: without one of them no date with a month's name has a year.
 _DATED = rf"{_YEARS}|[\p{{L}}\p{{M}}]\s*\p{{Nd}}{{4}}"
+#: What a text must match to hold a date.
+MAYBE_DATE = rf"{_NUMERIC}|{_DATED}"
 _SHORT_CODES = [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), lambda x: F.when(x["d"].between(1, 31) & x["m"].between(1, 12) & x["y"].between(1800, 2100), F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"])))
+_NAMES = [(decomposed(name), code) for language, names in MONTHS.items() for name, code in zip(names, _SHORT_CODES if language == "short" else range(1, 13), strict=True)]
 
 
-def _numeric(text: Column) -> Column:
-    d, m, y = (to_number(F.regexp_extract(text, _NUMERIC, i), "int") for i in (1, 2, 3))
-    return F.when(text.rlike(_NUMERIC), _iso(y, m, d))
+def _iso(year: str, month: str, day: str) -> str:
+    return let_sql(f"named_struct('y', {year}, 'm', {month}, 'd', {day})", "ymd", "CASE WHEN ymd.d BETWEEN 1 AND 31 AND ymd.m BETWEEN 1 AND 12 AND ymd.y BETWEEN 1800 AND 2100 THEN format_string('%04d-%02d-%02d', ymd.y, ymd.m, ymd.d) END")
 
 
-_NAMES = [(decomposed(name), code) for language, names in MONTHS.items() for name, code in zip(names, _SHORT_CODES if language == "short" else range(1, 13), strict=True)]
+def _numeric(text: str) -> str:
+    d, m, y = (to_number_sql(f"regexp_extract({text}, {quoted(_NUMERIC)}, {i})", "int") for i in (1, 2, 3))
+    return f"CASE WHEN regexp_like({text}, {quoted(_NUMERIC)}) THEN {_iso(y, m, d)} END"
 
 
-def _named(text: Column) -> Column:
+def _named(text: str) -> str:
     """The first month, in the order of MONTHS, that stands in the text with a day before it and a year.
 
-    Only months that stand in the text are read, so their patterns may be columns.
+    Only months that stand in the text are read, so their patterns may be computed.
     """
     suffix = "|".join(DAY_SUFFIXES)
-    months = F.expr("array(" + ", ".join(f"named_struct('name', '{name}', 'code', {code})" for name, code in _NAMES) + ")")
-    broad = to_number(F.try_element_at(F.regexp_extract_all(text, F.lit(_YEARS), 1), F.lit(-1)), "int")
+    months = "array(" + ", ".join(f"named_struct('name', {quoted(name)}, 'code', {code})" for name, code in _NAMES) + ")"
+    broad = to_number_sql(f"try_element_at(regexp_extract_all({text}, {quoted(_YEARS)}, 1), -1)", "int")
+
+    def number(before: str, after: str) -> str:
+        pattern = f"concat({quoted(before)}, {quoted(chr(92) + 'Q')}, named.name, {quoted(chr(92) + 'E' + after)})"
+        return to_number_sql(f"regexp_extract({text}, {pattern}, 1)", "int")
 
-    def number(before: str, name: Column, after: str) -> Column:
-        return to_number(F.call_function("regexp_extract", text, F.concat(F.lit(before + r"\Q"), name, F.lit(r"\E" + after)), F.lit(1)), "int")
+    day = number(rf"(?iuU)(\p{{Nd}}{{1,2}})\s*(?:{suffix})?\s*", "")
+    year = let_sql(number("(?iuU)", r"\s*(\p{Nd}{4})"), "near", f"CASE WHEN near != 0 THEN near ELSE {broad} END")
+    there = let_sql(f"lower({text})", "lowered", f"filter({months}, named -> contains(lowered, named.name))")
+    return first_of_sql(there, "string", "named", _iso(year, "named.code", day))
 
-    def read(m: Column) -> Column:
-        day = number(rf"(?iuU)(\p{{Nd}}{{1,2}})\s*(?:{suffix})?\s*", m["name"], "")
-        near = number("(?iuU)", m["name"], r"\s*(\p{Nd}{4})")
-        year = let(near, lambda n: F.when(n != 0, n).otherwise(broad))
-        return _iso(year, m["code"], day)
 
-    there = let(F.lower(text), lambda low: F.filter(months, lambda m: F.contains(low, m["name"])))
-    return first_of(there, "string", read)
+def date_sql(text: str) -> str:
+    """:func:`parse_date` as SQL text over a name."""
+    named = f"CASE WHEN regexp_like(said.norm, {quoted(_DATED)}) THEN {_named('said.norm')} END"
+    iso = f"CASE WHEN regexp_like(said.norm, {quoted(r'\p{Nd}')}) THEN coalesce({_numeric('said.norm')}, {named}) END"
+    told = f"CASE WHEN coalesce(said.raw, '') != '' THEN named_struct('raw', said.raw, 'iso', {iso}) ELSE named_struct('raw', cast(null AS string), 'iso', cast(null AS string)) END"
+    return let_sql(strip_sql(text), "stripped", let_sql(f"named_struct('raw', stripped, 'norm', {fold_numerals_sql('stripped')})", "said", told))
 
 
 def parse_date(text: Column) -> Column:
@@ -54,10 +61,4 @@ def parse_date(text: Column) -> Column:
 
     The first run of numerals like a date is tried; if it is out of range or there is none, months by name. Blank text gives nulls.
     """
-    none = F.struct(F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("iso"))
-
-    def read(x: Column) -> Column:
-        iso = F.when(x["norm"].rlike(r"\p{Nd}"), F.coalesce(_numeric(x["norm"]), F.when(x["norm"].rlike(_DATED), _named(x["norm"]))))
-        return F.when(F.coalesce(x["raw"], F.lit("")) != "", F.struct(x["raw"].alias("raw"), iso.alias("iso"))).otherwise(none)
-
-    return let(strip(text), lambda raw: let(F.struct(raw.alias("raw"), fold_numerals(raw).alias("norm")), read))
+    return applied(date_sql("given.text"), text=text)

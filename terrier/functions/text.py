@@ -27,10 +27,14 @@ _DOTTED = [(chr(c), two) for c in range(0x0900, 0x0E00) if len(two := unicodedat
 INDIC = ["bn", "hi", "mr", "ta", "te", "kn", "gu", "pa", "or", "ml"]
 
 
-def literal_list(values: list[str]) -> Column:
-    """A list of texts as one literal expression."""
-    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"array({quoted})")
+def quoted(value: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def array_sql(values: list[str]) -> str:
+    """A list of texts as a SQL literal."""
+    return f"array({', '.join(map(quoted, values))})"
 
 
 def _beyond_ascii(text: Column) -> Column:
@@ -51,33 +55,60 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.expr("cast(array() as array<int>)"), value, lambda x, _: x, body)
 
 
-def first_of(items: Column, kind: str, read: Callable[[Column], Column]) -> Column:
-    """What ``read`` (of type ``kind``) gives for the first item that gives something; those after it aren't read."""
-    return F.aggregate(items, F.lit(None).cast(kind), lambda found, x: F.coalesce(found, read(x)))
+def let_sql(value: str, name: str, body: str) -> str:
+    """:func:`let` as SQL text: ``body`` calls the value ``name``."""
+    return f"aggregate(cast(array() AS array<int>), {value}, (a, b) -> a, {name} -> {body})"
+
+
+def first_of_sql(items: str, kind: str, name: str, read: str) -> str:
+    """What ``read`` (of type ``kind``) gives for the first item, called ``name``, that gives something; those after it aren't read."""
+    return f"aggregate({items}, cast(null AS {kind}), (found, {name}) -> coalesce(found, {read}))"
+
+
+def applied(body: str, **given: Column) -> Column:
+    """SQL text over columns, which it calls ``given.name``.
+
+    A rule of some hundred expressions is one call as text; built of columns it takes thousands of calls from Python to the JVM.
+    """
+    value = F.struct(*[c.alias(name) for name, c in given.items()])
+    return F.call_function("aggregate", F.expr("cast(array() AS array<int>)"), value, F.expr("(a, b) -> a"), F.expr(f"given -> {body}"))
 
 
 def folded(term: str) -> str:
     return term.translate(str.maketrans(_FROM, _TO))
 
 
-def to_number(digits: Column, kind: str) -> Column:
+def fold_numerals_sql(text: str) -> str:
+    return f"CASE WHEN octet_length({text}) > length({text}) THEN translate({text}, {quoted(_FROM)}, {quoted(_TO)}) ELSE coalesce({text}, '') END"
+
+
+def to_number_sql(digits: str, kind: str) -> str:
     """Digits of any script as a number; null if they aren't one."""
-    return let(digits, lambda d: F.when(_beyond_ascii(d), F.translate(d, _ALL_FROM, _ALL_TO)).otherwise(d).try_cast(kind))
+    return f"try_cast(translate({digits}, {quoted(_ALL_FROM)}, {quoted(_ALL_TO)}) AS {kind})"
 
 
-def unless_empty(value: Column) -> Column:
+def unless_empty_sql(value: str) -> str:
     """The text, or null for an empty one."""
-    return let(value, lambda v: F.when(v != "", v))
+    return let_sql(value, "filled", "CASE WHEN filled != '' THEN filled END")
 
 
-def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.btrim(text, F.lit(WHITE))
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {quoted(WHITE)})"
 
 
-def strip_edges(text: Column) -> Column:
+def strip_edges_sql(text: str) -> str:
     """Without the marks that stand between an anchor and its value."""
-    return F.btrim(text, F.lit(EDGES))
+    return f"btrim({text}, {quoted(EDGES)})"
+
+
+def lines_sql(text: str) -> str:
+    """The stripped lines of a text, blank ones dropped."""
+    return f"filter(transform(split({text}, {quoted(LINE_END)}), l -> {strip_sql('l')}), l -> l != '')"
+
+
+def strip(text: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def lines(text: Column) -> Column:
@@ -87,9 +118,8 @@ def lines(text: Column) -> Column:
 
 def decompose(text: Column) -> Column:
     """Letters with a dot below as two code points, as anchors and months are stored."""
-    for one, two in _DOTTED:
-        text = F.replace(text, F.lit(one), F.lit(two))
-    return text
+    pairs = F.expr("array(" + ", ".join(f"struct({quoted(one)} AS one, {quoted(two)} AS two)" for one, two in _DOTTED) + ")")
+    return F.aggregate(pairs, text, lambda t, p: F.replace(t, p["one"], p["two"]))
 
 
 def decomposed(term: str) -> str:

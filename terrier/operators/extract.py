@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.functions.areas import parse_area
-from terrier.functions.dates import parse_date
-from terrier.functions.text import WHITE, decomposed, first_of, fold_numerals, folded, let, lines, literal_list, normalise_indic, strip_edges, unless_empty
+from terrier.functions.areas import KIND as AREA, area_sql
+from terrier.functions.dates import KIND as DATE, MAYBE_DATE, date_sql
+from terrier.functions.text import WHITE, array_sql, decomposed, first_of_sql, fold_numerals, fold_numerals_sql, folded, let_sql, lines, normalise_indic, quoted, strip_edges_sql, unless_empty_sql
 from terrier.functions.values import ANCHORS, AREA_HINTS, GUARDIANS, NOT_NUMBERS
 
 ENGINE = "terrier_rules"
@@ -30,13 +30,12 @@ def terms(field: str, lang: str, lexicon: dict = ANCHORS) -> list[str]:
     return sorted((decomposed(t) for t in dict.fromkeys(own)), key=len, reverse=True)
 
 
-def terms_column(field: str, lang: Column, lexicon: dict = ANCHORS) -> Column:
+def terms_sql(field: str, lang: str, lexicon: dict = ANCHORS) -> str:
     """The anchors as a list, lower-cased with numerals folded, by the document's language."""
-    lists = {k: literal_list([folded(t).lower() for t in terms(field, k, lexicon)]) for k in [*lexicon[field], ""]}
-    out = lists.pop("")
-    for k, v in lists.items():
-        out = F.when(lang == k, v).otherwise(out)
-    return out
+    listed = {k: array_sql([folded(t).lower() for t in terms(field, k, lexicon)]) for k in [*lexicon[field], ""]}
+    other = listed.pop("")
+    by_lang = ", ".join(f"{quoted(k)}, {v}" for k, v in listed.items())
+    return f"coalesce(try_element_at(map({by_lang}), {lang}), {other})" if by_lang else other
 
 
 def prepared(lines: Column) -> Column:
@@ -44,50 +43,48 @@ def prepared(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(fold_numerals(x)).alias("low")))
 
 
-def value_after(x: Column, anchors: Column) -> Column:
+def value_after_sql(x: str, anchors: str) -> str:
     """The value behind the first of ``anchors`` (longest first) that stands anywhere in the line and leaves one; null if none does.
 
     An alternation of all anchors would take the leftmost instead. The value ends before ``|`` and ``;``.
     """
+    rest = strip_edges_sql(f"substring({x}.line, instr({x}.low, anchor) + length(anchor), length({x}.line))")
+    rest = f"trim(LEADING {quoted(':|-—=ঃ' + WHITE)} FROM {rest})"
+    for end in "|\n;":
+        rest = f"substring_index({rest}, {quoted(end)}, 1)"
+    return first_of_sql(anchors, "string", "anchor", f"CASE WHEN contains({x}.low, anchor) THEN {unless_empty_sql(strip_edges_sql(rest))} END")
 
-    def behind(t: Column) -> Column:
-        rest = strip_edges(F.substring(x["line"], F.instr(x["low"], t) + F.length(t), F.length(x["line"])))
-        rest = F.ltrim(rest, F.lit(":|-—=ঃ" + WHITE))
-        for end in "|\n;":
-            rest = F.substring_index(rest, end, 1)
-        return strip_edges(rest)
 
-    return first_of(anchors, "string", lambda t: F.when(F.contains(x["low"], t), unless_empty(behind(t))))
-
-
-def _number(value: Column, pattern: str) -> Column:
+def _number(value: str, pattern: str) -> str:
     """The first number in an anchored value, the whole value if it has none; null where the value can't be one."""
     bad = "|".join(map(decomposed, NOT_NUMBERS))
-    found = let(fold_numerals(value), lambda norm: F.coalesce(unless_empty(F.regexp_extract(norm, pattern, 1)), norm))
-    return let(found, lambda x: F.when(value.isNotNull() & ~F.lower(x).rlike(bad), F.struct(x.alias("value"), value.alias("raw"))))
+    found = let_sql(fold_numerals_sql(value), "norm", f"coalesce(get(regexp_extract_all(norm, {quoted(pattern)}, 1), 0), norm)")
+    return let_sql(found, "number", f"CASE WHEN {value} IS NOT NULL AND NOT regexp_like(lower(number), {quoted(bad)}) THEN named_struct('value', number, 'raw', {value}) END")
+
+
+def _owner(value: str) -> str:
+    """Name and guardian, parted by the first of GUARDIANS that stands in the value."""
 
+    def part(i: int, other: str) -> str:
+        cases = ""
+        for g in map(decomposed, GUARDIANS):
+            parts = f"split({value}, {quoted(f'(?iu){chr(92)}Q{g}{chr(92)}E')})"
+            cases += f" WHEN contains(lower({value}), {quoted(g)}) AND size({parts}) > 1 THEN {strip_edges_sql(f'get({parts}, {i})')}"
+        return f"CASE{cases} ELSE {other} END"
 
-def _owner(value: Column) -> Column:
-    name, guardian = value, F.lit(None).cast("string")
-    for g in reversed(GUARDIANS):
-        g = decomposed(g)
-        parts = F.split(value, rf"(?iu)\Q{g}\E")
-        has = F.contains(F.lower(value), F.lit(g)) & (F.size(parts) > 1)
-        name = F.when(has, strip_edges(F.get(parts, 0))).otherwise(name)
-        guardian = F.when(has, strip_edges(F.get(parts, 1))).otherwise(guardian)
-    return F.when(value.isNotNull(), F.struct(name.alias("name"), guardian.alias("guardian")))
+    return f"CASE WHEN {value} IS NOT NULL THEN named_struct('name', {part(0, value)}, 'guardian', {part(1, 'cast(null AS string)')}) END"
 
 
-def _area(line: Column, value: Column, state: Column) -> Column:
+def _area(line: str, value: str, state: str) -> str:
     """An anchored area, or the whole line read as one if it has no anchor but a unit's word."""
-    hinted = F.lower(line).rlike("|".join(map(decomposed, AREA_HINTS)))
-    text = F.when(value.isNotNull(), value).when(hinted, line)
-    base = F.when(value.isNotNull(), AREA_CONFIDENCE).otherwise(HINTED_AREA_CONFIDENCE)
-    return let(parse_area(text, state), lambda p: F.when(p["value"].isNotNull(), F.struct(p.alias("area"), base.alias("base"))))
+    hinted = f"regexp_like(lower({line}), {quoted('|'.join(map(decomposed, AREA_HINTS)))})"
+    text = f"coalesce({value}, CASE WHEN {hinted} THEN {line} END)"
+    base = f"CASE WHEN {value} IS NOT NULL THEN {AREA_CONFIDENCE}D ELSE {HINTED_AREA_CONFIDENCE}D END"
+    return let_sql(text, "extent", let_sql(area_sql("extent", state), "read", f"CASE WHEN read.value IS NOT NULL THEN named_struct('area', read, 'base', {base}) END"))
 
 
-def _dated(text: Column) -> Column:
-    return let(parse_date(text), lambda p: F.when(p["iso"].isNotNull(), p))
+def _dated(text: str) -> str:
+    return let_sql(text, "dated", let_sql(date_sql("dated"), "read", "CASE WHEN read.iso IS NOT NULL THEN read END"))
 
 
 SURVEY = r"(\p{Nd}+(?:[/-]\p{Nd}+)*[a-zA-Z]?)"
@@ -99,52 +96,53 @@ KINDS = {
     "survey": "struct<value:string,raw:string>",
     "khata": "struct<value:string,raw:string>",
     "owner": "struct<name:string,guardian:string>",
-    "area": "struct<area:struct<raw_text:string,value:double,unit:string,sq_meters:double>,base:double>",
-    "registered": "struct<raw:string,iso:string>",
-    "issued": "struct<raw:string,iso:string>",
+    "area": f"struct<area:{AREA},base:double>",
+    "registered": DATE,
+    "issued": DATE,
     "village": "string",
 }
 
 
-def readers(state: Column) -> dict:
-    """For each field, what a line and its anchors yield; null if nothing."""
-    after = lambda read: lambda x, t: let(value_after(x, t), read)
+def readers(x: str, state: str) -> dict:
+    """For each field, SQL text of what the line ``x`` yields by a list of anchors; null if nothing."""
+    after = lambda read: lambda t: let_sql(value_after_sql(x, t), "value", read("value"))
     return {
         "survey": after(lambda v: _number(v, SURVEY)),
         "khata": after(lambda v: _number(v, KHATA)),
         "owner": after(_owner),
-        "area": lambda x, t: let(value_after(x, t), lambda v: _area(x["line"], v, state)),
-        "registered": lambda x, t: _dated(F.coalesce(value_after(x, t), x["line"])),
+        "area": after(lambda v: _area(f"{x}.line", v, state)),
+        "registered": after(lambda v: _dated(f"coalesce({v}, {x}.line)")),
         "issued": after(_dated),
-        "village": value_after,
+        "village": lambda t: value_after_sql(x, t),
     }
 
 
-def _with(read, anchors: Column):
-    return lambda line: read(line, anchors)
+def _likely(field: str) -> str | None:
+    """What a line must match to yield the field: a digit for areas, a year for dates."""
+    return {"area": r"\p{Nd}", "registered": MAYBE_DATE, "issued": MAYBE_DATE}.get(field)
 
 
 def first_in_lines(df: DataFrame, state: Column, lexicon: dict = ANCHORS) -> DataFrame:
-    """``df`` (lang, lines) with a column for each field: what its first yielding line yields.
-
-    For dates and areas, lines without a digit are left out before the reading.
-    """
-    anchors = {f: f"_t_{f}" for f in lexicon}
-    df = df.withColumns({"_lines": prepared(F.col("lines")), **{c: terms_column(f, F.col("lang"), lexicon) for f, c in anchors.items()}})
-    df = df.withColumn("_counted", F.filter("_lines", lambda x: x["low"].rlike(r"\p{Nd}")))
-    fields = {}
-    for field, read in readers(state).items():
-        likely = "_counted" if field in ("area", "registered", "issued") else "_lines"
-        fields[field] = first_of(F.col(likely), KINDS[field], _with(read, F.col(anchors[field])))
-    return df.withColumns(fields).drop("_lines", "_counted", *anchors.values())
+    """``df`` (lang, lines) with a column for each field: what its first yielding line yields. Unlikely lines are left out before they are read."""
+    df = df.withColumns({"_lines": prepared(F.col("lines")), "_state": state, **{f"_t_{f}": F.expr(terms_sql(f, "lang", lexicon)) for f in lexicon}})
+    likely = {p: f"_likely_{i}" for i, p in enumerate(sorted({*map(_likely, lexicon)} - {None}))}
+    df = df.withColumns({c: F.expr(f"filter(_lines, x -> regexp_like(x.low, {quoted(p)}))") for p, c in likely.items()})
+    read = readers("x", "_state")
+    fields = {f: F.expr(first_of_sql(likely.get(_likely(f), "_lines"), KINDS[f], "x", read[f](f"_t_{f}"))) for f in lexicon}
+    return df.withColumns(fields).drop("_lines", "_state", *likely.values(), *[f"_t_{f}" for f in lexicon])
 
 
 def first_by_explode(df: DataFrame, key: str, state: str, lexicon: dict = ANCHORS) -> DataFrame:
-    """(key, a column for each field): the same as an aggregation over (key, line), with one shuffle on the key."""
+    """(key, a column for each field): the same as an aggregation over (key, line), with one shuffle on the key.
+
+    A line is told likely before it is read.
+    """
     each = df.select(key, "lang", F.col(state).alias("_state"), F.posexplode(prepared(F.col("lines"))).alias("pos", "line"))
-    each = each.withColumns({f"_t_{f}": terms_column(f, F.col("lang"), lexicon) for f in lexicon})
-    read = each.select(key, "pos", *[r(F.col("line"), F.col(f"_t_{f}")).alias(f) for f, r in readers(F.col("_state")).items()])
-    return read.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("pos"))).alias(f) for f in lexicon])
+    each = each.withColumns({f"_t_{f}": F.expr(terms_sql(f, "lang", lexicon)) for f in lexicon})
+    read = readers("line", "_state")
+    gated = lambda f: f"CASE WHEN regexp_like(line.low, {quoted(_likely(f))}) THEN {read[f](f'_t_{f}')} END" if _likely(f) else read[f](f"_t_{f}")
+    found = each.select(key, "pos", *[F.expr(gated(f)).alias(f) for f in lexicon])
+    return found.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("pos"))).alias(f) for f in lexicon])
 
 
 def certificates(df: DataFrame, key: str, text: str = "raw_text", lang: Column | None = None, script: Column | None = None, state: Column | None = None, district: Column | None = None, document_type: Column | None = None, ocr_confidence: Column | None = None, entities: str | None = None, lexicon: dict = ANCHORS) -> DataFrame:
