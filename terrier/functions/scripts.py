@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.functions.text import let, strip
+from terrier.functions.text import let, let_sql, quoted, strip
 from terrier.functions.values import SCRIPTS, STATES
 
 _KIND = "struct<code:string,name:string,script:string,tess:string>"
@@ -49,6 +49,22 @@ def with_script(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     return df.withColumns({f"{prefix}script": script, f"{prefix}lang": lang, f"{prefix}script_confidence": confidence}).drop(*names.values())
 
 
+def script_sql(text: str) -> str:
+    """What :func:`with_script` tells of a text as SQL text: (script, lang, confidence)."""
+    indic = {s: v for s, v in SCRIPTS.items() if s != "Latin"}
+    counts = ", ".join(f"regexp_count(beyond, '[\\\\x{{{lo:04x}}}-\\\\x{{{hi:04x}}}]')" for lo, hi, _, _ in indic.values())
+    latin = f"length(coalesce({text}, '')) - length(regexp_replace(coalesce({text}, ''), '[A-Za-z]+', ''))"
+    listed = lambda values: "array(" + ", ".join(map(quoted, values)) + ")"
+    pick = lambda values, other: f"CASE WHEN share.total > 0 AND array_contains(share.n, share.best) THEN get({listed(values)}, cast(array_position(share.n, share.best) AS int) - 1) ELSE '{other}' END"
+    told = f"named_struct('script', {pick(indic, 'Latin')}, 'lang', {pick([v[2] for v in indic.values()], 'en')}, 'confidence', CASE WHEN share.total > 0 THEN round(share.best / greatest(share.total, 1), 3) ELSE 1D END)"
+    strong = f"counted.total > 0 AND (array_max(counted.n) >= {MEANT} OR array_max(counted.n) / greatest(counted.total, 1) >= {SHARE}D)"
+    best = f"CASE WHEN {strong} THEN array_max(counted.n) ELSE greatest(array_max(counted.n), counted.latin) END"
+    shared = let_sql(f"named_struct('n', counted.n, 'total', counted.total, 'best', {best})", "share", told)
+    summed = let_sql("named_struct('n', letters.n, 'latin', letters.latin, 'total', aggregate(letters.n, 0, (s, k) -> s + k) + letters.latin)", "counted", shared)
+    beyond = f"regexp_replace(coalesce({text}, ''), '[\\\\x00-\\\\x7F]+', '')"
+    return let_sql(beyond, "beyond", let_sql(f"named_struct('n', array({counts}), 'latin', {latin})", "letters", summed))
+
+
 def state_language(state: Column) -> Column:
     """(code, name, script, tess) of the first state in the order of STATES whose name holds the text or is held by it; null for null and empty text.
 

@@ -134,6 +134,12 @@ def normalise_indic(text: Column, lang: Column) -> Column:
     return F.when(lang.isin(INDIC), dotted).otherwise(text)
 
 
+def normalise_indic_sql(text: str, lang: str) -> str:
+    pairs = ", ".join(f"struct({quoted(one)} AS one, {quoted(two)} AS two)" for one, two in _DOTTED)
+    own = ", ".join(map(quoted, INDIC))
+    return f"CASE WHEN {lang} IN ({own}) THEN aggregate(array({pairs}), {text}, (dotted, p) -> replace(dotted, p.one, p.two)) ELSE {text} END"
+
+
 def chunks(text: Column, size: int = 500) -> Column:
     """The text cut after every ``size`` code points, as entity models take it; an empty text gives none."""
     n = F.length(text)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrier.functions.areas import KIND as AREA, area_sql
 from terrier.functions.dates import KIND as DATE, MAYBE_DATE, date_sql
-from terrier.functions.text import WHITE, array_sql, decomposed, first_of_sql, fold_numerals, fold_numerals_sql, folded, let_sql, lines, normalise_indic, quoted, strip_edges_sql, unless_empty_sql
+from terrier.functions.text import WHITE, array_sql, decomposed, first_of_sql, fold_numerals, fold_numerals_sql, folded, let_sql, lines, lines_sql, normalise_indic, normalise_indic_sql, quoted, strip_edges_sql, unless_empty_sql
 from terrier.functions.values import ANCHORS, AREA_HINTS, GUARDIANS, NOT_NUMBERS
 
 ENGINE = "terrier_rules"
@@ -132,6 +132,17 @@ def first_in_lines(df: DataFrame, state: Column, lexicon: dict = ANCHORS) -> Dat
     return df.withColumns(fields).drop("_lines", "_state", *likely.values(), *[f"_t_{f}" for f in lexicon])
 
 
+def fields_sql(text: str, lang: str, state: str, lexicon: dict = ANCHORS) -> str:
+    """The fields of a text as SQL text over three names."""
+    split = lines_sql(normalise_indic_sql(f"coalesce({text}, '')", lang))
+    of_lines = f"transform({split}, l -> named_struct('line', l, 'low', lower({fold_numerals_sql('l')})))"
+    read, fields = readers("x", state), []
+    for f in lexicon:
+        likely = f"filter(deed, x -> regexp_like(x.low, {quoted(_likely(f))}))" if _likely(f) else "deed"
+        fields.append(f"'{f}', " + let_sql(terms_sql(f, lang, lexicon), "anchors", first_of_sql(likely, KINDS[f], "x", read[f]("anchors"))))
+    return let_sql(of_lines, "deed", f"named_struct({', '.join(fields)})")
+
+
 def first_by_explode(df: DataFrame, key: str, state: str, lexicon: dict = ANCHORS) -> DataFrame:
     """(key, a column for each field): the same as an aggregation over (key, line), with one shuffle on the key.
 

@@ -22,7 +22,7 @@ def in_bengali(text):
 def deeds(spark, sf_dir):
     """Line items as deeds, with an OCR confidence of 50 plus the quantity."""
     body = F.concat(F.lit("Survey No: "), F.col("l_orderkey"), F.lit("/"), F.col("l_linenumber"), F.lit("\nArea: "), F.col("l_quantity").cast("int"), F.lit(" acre\nDated: "), F.date_format("l_shipdate", "dd/MM/yyyy"))
-    return spread(table(spark, sf_dir, "lineitem")).select(F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.monotonically_increasing_id().alias("at")).alias("row"), body.alias("raw_text"), (F.col("l_quantity") + 50).alias("ocr"))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select(F.struct("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.monotonically_increasing_id().alias("at")).alias("row"), body.alias("raw_text"), (F.col("l_quantity") + 50).alias("ocr"))
 
 
 #: The confidences of a deed, and their mean, as DuckDB computes them.
@@ -61,13 +61,13 @@ def overall_confidence(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, 'দাগ নং ' || l_orderkey || '/' || l_linenumber AS folded FROM lineitem")
 def numerals_fold(spark, sf_dir):
     text = F.concat(F.lit("দাগ নং "), in_bengali(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))))
-    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", fold_numerals(text).alias("folded"))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", fold_numerals(text).alias("folded"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
 def date_parse_numeric(spark, sf_dir):
     text = F.concat(F.lit("  "), F.when(F.col("o_orderkey") % 2 == 0, in_bengali(F.date_format("o_orderdate", "d/M/yyyy"))).otherwise(F.date_format("o_orderdate", "dd-MM-yyyy")))
-    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", parse_date(text)["iso"].alias("iso"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", parse_date(text)["iso"].alias("iso"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
@@ -75,7 +75,7 @@ def date_parse_month_name(spark, sf_dir):
     d, m, y = F.date_format("o_orderdate", "d"), F.date_format("o_orderdate", "MMMM"), F.date_format("o_orderdate", "yyyy")
     long = F.concat(F.lit("the "), d, F.lit("th "), m, F.lit(", "), y)
     short = F.concat(d, F.lit(" "), F.upper(F.substring(m, 1, 3)), F.lit(" "), y)
-    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", parse_date(F.when(F.col("o_orderkey") % 2 == 0, long).otherwise(short))["iso"].alias("iso"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", parse_date(F.when(F.col("o_orderkey") % 2 == 0, long).otherwise(short))["iso"].alias("iso"))
 
 
 def area_columns(df):
@@ -87,19 +87,19 @@ def area_columns(df):
 def area_parse_simple(spark, sf_dir):
     text = F.concat(in_bengali(F.col("l_quantity").cast("int").cast("string")), F.lit(" বিঘা"))
     area = parse_area(text, F.when(F.col("l_linenumber") % 2 == 0, " West Bengal "))
-    return area_columns(spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", area.alias("area")))
+    return area_columns(spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", area.alias("area")))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS area_value, 'acre' AS area_unit, round(CAST(l_quantity AS INT) * CAST(4046.86 AS DOUBLE) + l_linenumber * CAST(101.17 AS DOUBLE) + 7 * CAST(40.47 AS DOUBLE), 2) AS sq_meters FROM lineitem")
 def area_parse_compound(spark, sf_dir):
     text = F.concat(F.col("l_linenumber"), F.lit(" Guntha 7 cent and "), F.col("l_quantity").cast("int"), F.lit(" acres"))
     area = parse_area(text, F.lit("Karnataka"))
-    return area_columns(spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", area.alias("area")))
+    return area_columns(spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", area.alias("area")))
 
 
 @query("SELECT o_orderkey, o_orderkey || '/' || o_custkey || 'B' AS survey, CAST(o_custkey AS VARCHAR) || '-' || o_orderkey AS khata FROM orders")
 def anchor_survey_khata(spark, sf_dir):
-    o = spread(table(spark, sf_dir, "orders"))
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     text = F.concat(F.lit("Deed of "), F.col("o_orderpriority"), F.lit("\r\n  KHASRA NUMBER :- "), in_bengali(F.col("o_orderkey").cast("string")), F.lit("/"), F.col("o_custkey"), F.lit("B | plot\n\nখতিয়ান নং — "), in_bengali(F.col("o_custkey").cast("string")), F.lit("-"), F.col("o_orderkey"), F.lit("; end"))
     c = certificates(o.select("o_orderkey", text.alias("raw_text")), "o_orderkey", lang=F.lit("bn"))
     return c.select("o_orderkey", F.col("certificate.survey_number.value").alias("survey"), F.col("certificate.khata_number.value").alias("khata"))
@@ -179,7 +179,7 @@ def _script_sql(text: str) -> str:
 
 @query(f"WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_script_sql('t')} SELECT doc_id, script, lang AS told_lang, script_confidence FROM told")
 def script_detect(spark, sf_dir):
-    d = with_script(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
+    d = with_script(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text")
     return d.select("doc_id", "script", F.col("lang").alias("told_lang"), "script_confidence")
 
 

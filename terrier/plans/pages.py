@@ -15,7 +15,7 @@ FINE, LINES, COLUMNS, SPACED = (96, 1, 2, 0), (96, 12, 20, 0), (180, 2, 3, 14),
 def drawn(spark, sf_dir, columns, band, pitch, gap):
     """(rectangles, sizes) of the pages; a text that is longer than a page goes on on the next. A line's colour is that of its first letter, red to violet for one in three."""
     per, half = MOST_SIDE // pitch, columns // 2
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     rows = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{columns}}}"), F.lit(0))).alias("r", "line"))
     letter, first = lambda c: F.ascii(c), F.ascii("line")
     grey = F.transform(F.split("line", ""), lambda c: F.when((letter(c) <= 32) | (letter(c) == 160), pages.PAPER).otherwise(24 + F.floor(letter(c) / 16).cast("int") % 16 * 12))

@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer splits than there are cores; a table of many splits is left as it is."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by its keys, where its files give fewer splits than there are cores; a table of many splits is left as it is.
+
+    By keys rather than in turn, which would sort the rows first.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-from terrier.plans import deeds, pages, register, runs, scans  # noqa: E402, F401  they fill the two tables
+from terrier.plans import deeds, functions, pages, register, runs, scans  # noqa: E402, F401  they fill the two tables

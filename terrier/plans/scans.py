@@ -18,7 +18,7 @@ b AS (SELECT doc_id, section, text, CASE WHEN text = '' THEN 0.0 ELSE confidence
 
 
 def recognised(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     i = F.col("doc_id")
     section = F.when(i % 3 == 0, "single").when(i % 3 == 1, "left").otherwise("right")
     e = d.select("doc_id", section.alias("section"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("  ")), " ")).alias("at", "text"))
