@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrier.functions.areas import parse_area
@@ -9,8 +11,10 @@ from terrier.functions.dates import parse_date
 from terrier.functions.scripts import handwriting_language, ocr_pack, state_language, with_language, with_script, with_state_language_by_join
 from terrier.functions.text import fold_numerals
 from terrier.functions.values import SCRIPTS, ZEROS
+from terrier.operators.components import shared_folder
 from terrier.operators.extract import certificates, first_by_explode
 from terrier.plans.registry import query, spread, table
+from terrier.sources.certificates import read_certificates, write_certificates
 
 BENGALI = "".join(chr(ZEROS["Bengali"] + d) for d in range(10))
 
@@ -53,6 +57,16 @@ def verify_status_counts(spark, sf_dir):
     return d.rollup("verification_status", "l_returnflag").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {DEED_SQL} SELECT verdict AS verification_status, l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS INT)) AS DOUBLE) AS area, strftime(min(l_shipdate), '%Y-%m-%d') AS earliest, 0 AS owned FROM judged GROUP BY verdict, l_returnflag")
+def certificate_variants(spark, sf_dir):
+    """Certificates stored as variants, read by path and rolled up."""
+    folder = f"{shared_folder(spark)}/certificates-{uuid.uuid4().hex}"
+    write_certificates(read_deeds(spark, sf_dir).select("row.l_returnflag", "certificate"), folder)
+    paths = {"verification_status": ("$.verification_status", "string"), "area": ("$.area_extent.value", "double"), "registered": ("$.registration_date.value", "string"), "owner": ("$.owners[0].name", "string")}
+    read = read_certificates(spark, folder, paths)
+    return read.groupBy("verification_status", "l_returnflag").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.min("registered").alias("earliest"), F.count("owner").cast("int").alias("owned"))
+
+
 @query(f"WITH {DEED_SQL} SELECT overall AS overall_confidence, count(*) AS n FROM judged GROUP BY overall")
 def overall_confidence(spark, sf_dir):
     return read_deeds(spark, sf_dir).groupBy(F.col("certificate.overall_confidence").alias("overall_confidence")).agg(F.count("*").alias("n"))
