@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from terrier.functions.text import chunks, decompose, lines, megabytes, title_from_filename, type_label
-from terrier.operators import catalog
+from terrier.operators import catalog, postings
 from terrier.operators.components import shared_folder
 from terrier.plans.registry import query, table
 from terrier.sources import changes
@@ -48,6 +48,14 @@ def doc_search_ilike(spark, sf_dir):
     return catalog.search(register(spark, sf_dir), text="  Under the%License ").select("id", "title", "district")
 
 
+@query(f"WITH {REGISTER} SELECT id, title, district FROM r WHERE title ILIKE '%under the%license%' OR original_filename ILIKE '%under the%license%' OR parcel_identifier ILIKE '%under the%license%' OR district ILIKE '%under the%license%' OR raw_text ILIKE '%under the%license%'")
+def doc_search_indexed(spark, sf_dir):
+    """The same search by an index, which is written first."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    postings.write_index(register(spark, sf_dir), folder)
+    return postings.search_index(spark, folder, "  Under the%License ").select("id", "title", "district")
+
+
 @query(f"WITH {REGISTER} SELECT id, document_type, status FROM r WHERE document_type = 'patta' AND status = 'PROCESSING'")
 def doc_filter_type_status(spark, sf_dir):
     return catalog.search(register(spark, sf_dir), document_type="PATTA", status="processing").select("id", "document_type", "status")
