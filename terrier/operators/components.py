@@ -1,11 +1,10 @@
-"""Connected components of many small graphs at once, by joins."""
+"""The folder that driver and executors share, and tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,22 +22,3 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed and written to the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
-
-
-def components(nodes: DataFrame, links: DataFrame, group: list[str]) -> DataFrame:
-    """(group, node, component) of every node of ``nodes`` (group, node): the smallest node that ``links`` (group, a, b) lead to, inside its group.
-
-    A round gives each node the smallest name among its own and its neighbours', then the name of that one; names settle in about as many
-    rounds as the logarithm of the longest way. A node without links is its own component.
-    """
-    both = settled(links.select(*group, "a", "b").union(links.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    named = settled(nodes.select(*group, "node", F.col("node").alias("component")).distinct())
-    while True:
-        near = both.join(named.withColumnRenamed("node", "b"), [*group, "b"]).groupBy(*group, F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        least = named.join(near, [*group, "node"], "left").select(*group, "node", F.col("component").alias("_was"), F.least("component", F.coalesce("_near", "component")).alias("component"))
-        via = least.select(*group, F.col("node").alias("component"), F.col("component").alias("_via"))
-        after = settled(least.join(via, [*group, "component"], "left").select(*group, "node", "_was", F.least("component", "_via").alias("component")))
-        changed = after.filter("_was != component").limit(1).count()
-        named = after.select(*group, "node", "component")
-        if not changed:
-            return named

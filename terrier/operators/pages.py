@@ -2,29 +2,37 @@
 
 A page is a set of rectangles of ink (the key's columns, y0, y1, x0, x1, grey; ends exclusive): a run of one grey along a row of pixels, or
 along a band of equal rows. What no rectangle covers is paper (255). ``sizes`` has width and height of every page. Pages are
-bounded (``MOST_SIDE`` a side), so a row of pixels fits an array, and the rows of a page fit a partition; no page meets another.
+bounded (``MOST_SIDE`` a side), so the rectangles of a page, a number each, meet in one row; no page meets another. What goes over
+pixels is done by the helpers in ``raster``, a page at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from terrier.operators.components import components, settled
+from terrier.operators import raster
+from terrier.operators.raster import PAPER
 
 KEY = ("doc_id", "sheet")
-PAPER = 255
 #: Hue (0 to 180), least saturation and least value of stamp inks: red (two), purple, blue, green.
 STAMP_INKS = ((0, 15, 50, 40), (165, 180, 50, 40), (130, 165, 40, 40), (90, 130, 40, 40), (35, 85, 40, 40))
 CLOSING, LEAST_STAMP = 7, 300
 BACKGROUND = 41
-TILES, CLIP = 8, 2.0
 SKEW_STRIP, LEAST_BLOCK, LEAST_SKEW = (35, 3), 200, 0.2
 LINE_SHARE, LINE_WIDTH_SHARE, LEAST_LINE_HEIGHT, LINE_PADDING = 0.05, 0.15, 15, 5
 HEADER_SHARE = (0.15, 0.35)
 GUTTER_SHARE, GUTTER_DEPTH, LEAST_GUTTER_LEFT, GUTTER_REACH, GUTTER_SIGMA = (0.35, 0.65), 0.65, 50, 15, 10
+#: Where the parts of a rectangle stand in its number; sides are under 4,096.
+BITS = (("y0", 44), ("y1", 32), ("x0", 20), ("x1", 8), ("grey", 0))
+#: Numbers that a task holds of finished pages before it hands them on.
+HELD = 1 << 20
 
 
 def rows_of(runs: DataFrame) -> DataFrame:
@@ -32,115 +40,69 @@ def rows_of(runs: DataFrame) -> DataFrame:
     return runs.select("*", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y")).drop("y0", "y1")
 
 
-def scanlines(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Every row of pixels of every page (key, y) as an array ``v`` of greys, blank rows too. Where rectangles overlap, which a page's never do, the array is too long."""
-    drawn = rows_of(runs).groupBy(*key, "y").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "grey"))).alias("r"))
-    every = sizes.select(*key, "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    blank = F.array_repeat(F.lit(PAPER), F.col("width"))
-    before = F.transform("r", lambda r, i: F.array_repeat(F.lit(PAPER), r["x0"] - F.when(i > 0, F.get("r", i - 1)["x1"]).otherwise(0)))
-    ink = F.transform("r", lambda r: F.array_repeat(r["grey"], r["x1"] - r["x0"]))
-    parts = F.flatten(F.zip_with(before, ink, lambda a, b: F.concat(a, b)))
-    painted = F.concat(parts, F.array_repeat(F.lit(PAPER), F.col("width") - F.element_at("r", -1)["x1"]))
-    return every.join(drawn, [*key, "y"], "left").select(*key, "y", "width", F.when(F.col("r").isNull(), blank).otherwise(painted).alias("v"))
+def paged(runs: DataFrame, sizes: DataFrame, work: Callable[[int, int, np.ndarray], list], columns: str, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, columns) of every page of ``sizes``: the rows that ``work`` (width, height, rectangles) makes of it, a list of arrays.
 
-
-def blurred(lines: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """``lines`` after a 3 by 3 binomial filter, rounded half up; at an edge the pixel before it is that after it."""
-    v, n = F.col("v"), F.col("width")
-    across = F.transform("v", lambda x, i: F.when(n == 1, x * 4).otherwise(F.coalesce(F.when(i > 0, F.get(v, i - 1)), F.get(v, F.lit(1))) + x * 2 + F.coalesce(F.get(v, i + 1), F.get(v, n - 2))))
-    page = Window.partitionBy(*key).orderBy("y")
-    lines = lines.withColumn("v", across)
-    above, below = F.lag("v").over(page), F.lead("v").over(page)
-    lines = lines.withColumns({"_a": F.coalesce(above, below, v), "_b": F.coalesce(below, above, v)})
-    down = F.zip_with(F.zip_with("_a", "_b", lambda a, b: a + b), "v", lambda s, x: F.shiftright(s + x * 2 + 8, 4))
-    return lines.withColumn("v", down).drop("_a", "_b")
-
-
-def histogram(lines: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, grey, n): how many pixels of every page have each grey that occurs."""
-    return lines.select(*key, F.explode("v").alias("grey")).groupBy(*key, "grey").agg(F.count("*").alias("n"))
-
-
-def run_histogram(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """The same from the areas of rectangles; what they leave of a page is paper."""
-    area = (F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))
-    ink = runs.select(*key, "grey", area.alias("n"))
-    bare = sizes.join(ink.groupBy(*key).agg(F.sum("n").alias("_ink")), [*key], "left").select(*key, F.lit(PAPER).alias("grey"), (F.col("width").cast("long") * F.col("height") - F.coalesce("_ink", F.lit(0))).alias("n"))
-    return ink.union(bare).groupBy(*key, "grey").agg(F.sum("n").alias("n")).filter("n > 0")
-
-
-def otsu(bins: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, threshold) of every page: the grey that parts its histogram with the largest variance between the two classes, the first of several."""
-    page = Window.partitionBy(*key)
-    upto = page.orderBy("grey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = bins.withColumns({"n1": F.sum("n").over(upto), "s1": F.sum(F.col("n") * F.col("grey")).over(upto), "all_n": F.sum("n").over(page), "all_s": F.sum(F.col("n") * F.col("grey")).over(page)})
-    n1, n, s1, s = (F.col(c).cast("double") for c in ("n1", "all_n", "s1", "all_s"))
-    apart = F.when(n > n1, (n * s1 - n1 * s) * ((n * s1 - n1 * s) / (n1 * (n - n1)))).otherwise(0.0)
-    return sums.groupBy(*key).agg(F.max_by("grey", F.struct(apart.alias("a"), (-F.col("grey")).alias("b"))).alias("threshold"))
-
-
-def _stretches(flags: Column) -> Column:
-    """The stretches (x0, x1) of true entries of an array."""
-    n = F.size(flags)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(flags, i) & ~F.coalesce(F.when(i > 0, F.get(flags, i - 1)), F.lit(False)))
-    ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(flags, i) & ~F.coalesce(F.get(flags, i + 1), F.lit(False)))
-    return F.arrays_zip(starts.alias("x0"), F.transform(ends, lambda i: i + 1).alias("x1"))
+    ``rectangles`` is an array of five rows: y0, y1, x0, x1, grey. To travel, a rectangle is one number (``BITS``); ``runs`` may bring many as such in an array ``rects``.
+    """
+    parts = F.flatten(F.collect_list("rects")) if "rects" in runs.columns else F.collect_list(reduce(lambda a, b: a + b, (F.shiftleft(F.col(c).cast("long"), n) for c, n in BITS)))
+    whole = sizes.select(*key, "width", "height").join(runs.groupBy(*key).agg(parts.alias("_r")), [*key], "left")
+    made = StructType.fromDDL(columns)
+    types = [pa.list_(pa.int32()) if f.dataType.typeName() == "array" else pa.int64() if f.dataType.typeName() == "long" else pa.int32() for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = [batch.column(k) for k in key], batch.column(len(key) + 2)
+            wide, high = (batch.column(len(key) + i).to_numpy() for i in (0, 1))
+            n = lists.value_lengths().fill_null(0).to_numpy()
+            numbers, ends = lists.flatten().to_numpy(), np.cumsum(n)
+            done, at, held = [], [], 0
+            for i in range(len(n)):
+                r = numbers[ends[i] - n[i] : ends[i]]
+                got = work(int(wide[i]), int(high[i]), np.stack([r >> 44, *(r >> s & 4095 for s in (32, 20, 8)), r & 255]))
+                done.append([c if isinstance(c, pa.Array) else pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(got, types, strict=True)])
+                at.append(np.full(len(done[-1][0]), i))
+                held += sum(c.nbytes for c in done[-1]) // 4
+                if held >= HELD or i + 1 == len(n):
+                    rows = pa.array(np.concatenate(at))
+                    yield pa.RecordBatch.from_arrays([*(k.take(rows) for k in keys), *map(pa.concat_arrays, zip(*done, strict=True))], [*key, *made.names])
+                    done, at, held = [], [], 0
+
+    return whole.mapInArrow(run, StructType([whole.schema[k] for k in key] + made.fields))
+
+
+def _lines_of(page: np.ndarray) -> list:
+    """A page as columns y, width and v, a row of it each."""
+    h, w = page.shape
+    return [np.arange(h), np.full(h, w), pa.ListArray.from_arrays(pa.array(np.arange(h + 1, dtype=np.int32) * w), pa.array(page.astype(np.int32).ravel()))]
 
 
 def binarised(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, y, x0, x1, threshold): the black runs of every page after smoothing, at the threshold of its own histogram."""
-    lines = blurred(scanlines(runs, sizes, key), key)
-    black = lines.join(otsu(histogram(lines, key), key), [*key]).select(*key, "y", "threshold", F.transform("v", lambda x: x <= F.col("threshold")).alias("black"))
-    return black.select(*key, "y", "threshold", F.inline(_stretches(F.col("black"))))
-
-
-def _doublings(reach: int) -> list[int]:
-    """By how many places to shift, time after time, so that an entry and the ``reach`` after it are taken in."""
-    steps, span = [], 1
-    while 2 * span <= reach + 1:
-        steps.append(span)
-        span *= 2
-    return steps + [reach + 1 - span] * (span < reach + 1)
-
-
-def _either(f, a: Column, b: Column) -> Column:
-    """``f``, of two numbers, of the entries of two arrays; where there is only one, that."""
-    return F.when(b.isNull(), a).otherwise(F.zip_with(a, b, lambda x, y: f(x, y)))
-
-
-def _across(lines: DataFrame, f, reach: int) -> DataFrame:
-    """``f`` over the entries of a row of pixels up to ``reach`` away. Each step is a column of its own, so that none is computed twice."""
-    lines = lines.withColumns({"_after": F.col("v"), "_before": F.reverse("v")})
-    for k in _doublings(reach):
-        lines = lines.withColumns({c: F.zip_with(c, F.slice(c, k + 1, F.size(c)), lambda x, y: f(x, y)) for c in ("_after", "_before")})
-    return lines.withColumn("v", _either(f, F.col("_after"), F.reverse("_before"))).drop("_after", "_before")
+    """(key, y, threshold, x0, x1): the black runs of every page after smoothing, at the threshold of its own histogram."""
 
+    def work(width, height, r):
+        page = raster.blurred(raster.raster(width, height, r))
+        t = raster.threshold(np.bincount(page.ravel(), minlength=256))
+        y, x0, x1 = raster.runs_in(page <= t)
+        return [y, np.full(len(y), t), x0, x1]
 
-def _down(lines: DataFrame, f, reach: int, key: tuple[str, ...]) -> DataFrame:
-    """``f`` over the entries of a column of pixels up to ``reach`` away; all steps go over the rows of a page on one sort."""
-    page = Window.partitionBy(*key).orderBy("y")
-    lines = lines.withColumns({"_after": F.col("v"), "_before": F.col("v")})
-    for k in _doublings(reach):
-        lines = lines.withColumns({"_a": F.lead("_after", k).over(page), "_b": F.lag("_before", k).over(page)})
-        lines = lines.withColumns({"_after": _either(f, F.col("_after"), F.col("_a")), "_before": _either(f, F.col("_before"), F.col("_b"))}).drop("_a", "_b")
-    return lines.withColumn("v", _either(f, F.col("_after"), F.col("_before"))).drop("_after", "_before")
+    return paged(runs, sizes, work, "y int, threshold int, x0 int, x1 int", key)
 
 
 def illuminated(runs: DataFrame, sizes: DataFrame, reach: int = BACKGROUND // 2, key: tuple[str, ...] = KEY) -> DataFrame:
     """(key, y, width, v): the rows of pixels of every page divided by its background, the paper as a closing leaves it: the sliding maximum, then minimum, over a square.
 
-    The square is cut at the page's edges. Maxima and minima go along rows, inside the array, and down the columns, by rows before
-    and after; windows of double the length are made of two, so a square of any size costs its logarithm.
+    The square is cut at the page's edges. Windows of double the length are made of two, so a square of any size costs its logarithm.
     """
-    lines = _across(scanlines(runs, sizes, key).withColumn("was", F.col("v")), F.greatest, reach)
-    lines = _across(_down(_down(lines, F.greatest, reach, key), F.least, reach, key), F.least, reach)
-    return lines.select(*key, "y", "width", F.zip_with("was", "v", lambda x, g: F.least(F.bround(x * PAPER / F.greatest(g, F.lit(1))), F.lit(255)).cast("int")).alias("v"))
 
+    def work(width, height, r):
+        page = raster.raster(width, height, r)
+        ground = page
+        for f in (np.maximum, np.minimum):
+            ground = raster.slid(raster.slid(ground, f, reach, 1), f, reach, 0)
+        return _lines_of(np.minimum(np.rint(page * float(PAPER) / np.maximum(ground, 1)), 255))
 
-def _mirrored(i: Column, n: Column) -> Column:
-    """The place of ``i`` in a row of ``n`` that goes to and fro, its ends not doubled."""
-    m = F.pmod(i, F.greatest(2 * n - 2, F.lit(1)))
-    return F.when(m < n, m).otherwise(2 * n - 2 - m)
+    return paged(runs, sizes, work, "y int, width int, v array<int>", key)
 
 
 def contrasted(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -150,35 +112,7 @@ def contrasted(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) ->
     tile's histogram what exceeds the clip limit is dealt to all bins, the rest of the division to every so many; its running sum
     says what a grey becomes in the tile. A pixel is blended from the four tiles round it. Computed in doubles, rounded half to even.
     """
-    w, h = F.col("width"), F.col("height")
-    even = (w % TILES == 0) & (h % TILES == 0)
-    whole = sizes.withColumns({"_w": F.when(even, w).otherwise(w + TILES - w % TILES), "_h": F.when(even, h).otherwise(h + TILES - h % TILES)}).withColumns({"_tw": F.expr(f"_w div {TILES}").cast("int"), "_th": F.expr(f"_h div {TILES}").cast("int")})
-    lines = scanlines(runs, sizes, key).drop("width").join(whole, [*key])
-    beyond = F.when(F.col("_h") > h, F.sequence(h, F.col("_h") - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.filter(F.concat(F.array("y"), beyond), lambda i: _mirrored(i, h) == F.col("y"))
-    wide = F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda x: F.get("v", _mirrored(x, w)))
-    cells = lines.select(*key, "_tw", "_th", wide.alias("v"), F.explode(places).alias("y")).select(*key, F.expr("y div _th").cast("int").alias("ty"), "_tw", F.posexplode("v").alias("x", "grey"))
-    bins = cells.groupBy(*key, "ty", F.expr("x div _tw").cast("int").alias("tx"), "grey").agg(F.count("*").alias("n"))
-    greys = bins.groupBy(*key).agg(F.array_sort(F.collect_set("grey")).alias("greys"))
-    tiles = bins.groupBy(*key, "ty", "tx").agg(F.collect_list(F.struct("grey", "n")).alias("bins")).join(greys, [*key]).join(whole.select(*key, (F.col("_tw") * F.col("_th")).cast("long").alias("total")), [*key])
-    limit, zero = F.greatest(F.floor(F.col("total") * (CLIP / 256)), F.lit(1)).cast("long"), F.lit(0).cast("long")
-    tiles = tiles.withColumn("limit", limit).withColumn("over", F.reduce("bins", zero, lambda t, b: t + F.greatest(b["n"] - F.col("limit"), zero)))
-    rest = F.col("over") % 256
-    dealt = lambda g: F.expr("over div 256") * (g + 1) + F.when(rest > 0, F.least(rest, F.floor(g / F.expr("greatest(256 div greatest(over % 256, 1), 1)")) + 1)).otherwise(0)
-    upto = lambda g: F.reduce("bins", zero, lambda t, b: t + F.when(b["grey"] <= g, F.least(b["n"], F.col("limit"))).otherwise(zero))
-    becomes = F.transform("greys", lambda g: F.least(F.bround((upto(g) + dealt(g)) * 255 / F.col("total")), F.lit(255.0)))
-    rows = tiles.select(*key, "ty", "tx", becomes.alias("to")).groupBy(*key, "ty").agg(F.transform(F.array_sort(F.collect_list(F.struct("tx", "to"))), lambda t: t["to"]).alias("to"))
-    at_y = F.col("y") / F.col("_th") - 0.5
-    lines = lines.join(greys, [*key]).withColumns({"_v": F.transform("v", lambda x: F.array_position("greys", x).cast("int") - 1), "_fy": at_y - F.floor(at_y), "_a": F.greatest(F.floor(at_y), F.lit(0)).cast("int"), "_b": F.least(F.floor(at_y) + 1, F.lit(TILES - 1)).cast("int")})
-    lines = lines.join(rows.select(*key, F.col("ty").alias("_a"), F.col("to").alias("_up")), [*key, "_a"]).join(rows.select(*key, F.col("ty").alias("_b"), F.col("to").alias("_low")), [*key, "_b"])
-
-    def blended(v: Column, x: Column) -> Column:
-        at = x / F.col("_tw") - 0.5
-        f, a, b = at - F.floor(at), F.greatest(F.floor(at), F.lit(0)).cast("int"), F.least(F.floor(at) + 1, F.lit(TILES - 1)).cast("int")
-        across = lambda side: F.get(F.get(side, a), v) * (1 - f) + F.get(F.get(side, b), v) * f
-        return F.bround(across("_up") * (1 - F.col("_fy")) + across("_low") * F.col("_fy")).cast("int")
-
-    return lines.select(*key, "y", "width", F.transform("_v", blended).alias("v"))
+    return paged(runs, sizes, lambda width, height, r: _lines_of(raster.contrast(raster.raster(width, height, r))), "y int, width int, v array<int>", key)
 
 
 def merged(runs: DataFrame, line: tuple[str, ...]) -> DataFrame:
@@ -217,29 +151,19 @@ def eroded(rows: DataFrame, sizes: DataFrame, wide: int, high: int, key: tuple[s
     return covered.filter("rows = need").select(*key, "y", "x0", "x1")
 
 
-def stacked(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Equal runs of neighbouring rows as rectangles (key, y0, y1, x0, x1)."""
-    same = Window.partitionBy(*key, "x0", "x1").orderBy("y")
-    return rows.withColumn("_stack", F.col("y") - F.row_number().over(same)).groupBy(*key, "x0", "x1", "_stack").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).drop("_stack")
+def _labelled(rows: DataFrame, work: Callable, columns: str, key: tuple[str, ...]) -> DataFrame:
+    """What ``work`` makes of the disjoint runs of each page, in order."""
+    runs = rows.select(*key, F.col("y").alias("y0"), (F.col("y") + 1).alias("y1"), "x0", "x1", F.lit(0).alias("grey"))
+    sizes = rows.groupBy(*key).agg(F.max("x1").alias("width"), (F.max("y") + 1).alias("height"))
+    return paged(runs, sizes, lambda width, height, r: work(*r[[0, 2, 3]][:, np.lexsort((r[2], r[0]))]), columns, key)
 
 
-def linked(nodes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, node, component) of rectangles that don't touch inside a row: two that touch never share a row, so one begins where the other ends."""
-    above, below = (nodes.select(*key, F.col(edge).alias("_y"), *[F.col(c).alias(f"{c}_{edge}") for c in ("x0", "x1", "node")]) for edge in ("y1", "y0"))
-    touch = above.join(below, [*key, "_y"]).filter("x0_y1 <= x1_y0 and x0_y0 <= x1_y1")
-    return components(nodes.select(*key, "node"), touch.select(*key, F.col("node_y1").alias("a"), F.col("node_y0").alias("b")), list(key))
+REGION, ROW = "region long, x int, y int, width int, height int, pixels long", "region long, y int, a int, b int, n long"
 
 
 def regions(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, region, x, y, width, height, pixels) of the connected regions of disjoint runs that don't touch inside a row; runs that touch at a corner are connected, and a region is named by its first run.
-
-    Equal runs on top of each other are one node.
-    """
-    nodes = settled(stacked(rows, key).withColumn("node", F.col("y0").cast("long") * (1 << 20) + F.col("x0")))
-    named = linked(nodes, key)
-    return nodes.join(named, [*key, "node"]).groupBy(*key, F.col("component").alias("region")).agg(
-        F.min("x0").alias("x"), F.min("y0").alias("y"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"), F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("pixels")
-    )
+    """(key, region, x, y, width, height, pixels) of the connected regions of disjoint runs that don't touch inside a row; runs that touch at a corner are connected, and a region is named by its first run's number."""
+    return _labelled(rows, raster.boxes, REGION, key)
 
 
 def stamped(runs: DataFrame, hue: str = "hue", saturation: str = "sat", value: str = "val") -> DataFrame:
@@ -250,9 +174,19 @@ def stamped(runs: DataFrame, hue: str = "hue", saturation: str = "sat", value: s
 
 def stamps(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """(key, stamps): for every page how many regions of stamp ink, joined over gaps of less than seven pixels, have over 300 pixels."""
-    closed = eroded(dilated(stamped(runs), sizes, CLOSING, CLOSING, 1, key), sizes, CLOSING, CLOSING, key)
-    found = regions(closed, key).filter(F.col("pixels") > LEAST_STAMP).groupBy(*key).agg(F.count("*").alias("stamps"))
-    return sizes.select(*key).join(found, [*key], "left").select(*key, F.coalesce("stamps", F.lit(0)).cast("long").alias("stamps"))
+
+    def work(width, height, r):
+        mask = raster.covered(width, height, raster.widened(r, CLOSING, CLOSING))
+        for axis in (0, 1):
+            mask = raster.slid(mask.astype(np.uint8), np.minimum, CLOSING // 2, axis)
+        return [np.array([(raster.boxes(*raster.runs_in(mask))[-1] > LEAST_STAMP).sum()])]
+
+    return paged(stamped(runs), sizes, work, "stamps long", key)
+
+
+def _dark(width: int, height: int, r: np.ndarray) -> np.ndarray:
+    """The rectangles that are no lighter than their page's own threshold."""
+    return r[:, r[4] <= raster.threshold(raster.areas(width, height, r))]
 
 
 def text_lines(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -260,22 +194,29 @@ def text_lines(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) ->
 
     Lines of the same top go from the left.
     """
-    strip = F.floor(F.col("width") * LINE_SHARE)
-    black = runs.join(otsu(run_histogram(runs, sizes, key), key), [*key]).filter("grey <= threshold")
-    found = regions(dilated(black.select(*key, "y0", "y1", "x0", "x1"), sizes, strip, 3, 2, key), key).withColumnsRenamed({"width": "w", "height": "h"})
-    b = found.join(sizes, [*key]).filter((F.col("w") > F.col("width") * LINE_WIDTH_SHARE) & (F.col("h") > LEAST_LINE_HEIGHT))
-    line = F.row_number().over(Window.partitionBy(*key).orderBy("y", "x")).alias("line")
-    x, y = F.greatest(F.col("x") - LINE_PADDING, F.lit(0)), F.greatest(F.col("y") - LINE_PADDING, F.lit(0))
-    return b.select(*key, line, x.alias("x"), y.alias("y"), F.least(F.col("width") - x, F.col("w") + 2 * LINE_PADDING).alias("width"), F.least(F.col("height") - y, F.col("h") + 2 * LINE_PADDING).alias("height"))
+
+    def work(width, height, r):
+        mask, at = raster.strips(width, height, raster.widened(_dark(width, height, r), int(width * LINE_SHARE), 3, 2))
+        _, x, top, w, deep, _ = raster.boxes(*raster.runs_in(mask))
+        y, h = at[top], at[top + deep] - at[top]
+        kept = np.flatnonzero((w > width * LINE_WIDTH_SHARE) & (h > LEAST_LINE_HEIGHT))
+        kept = kept[np.lexsort((x[kept], y[kept]))]
+        left, top = (np.maximum(c[kept] - LINE_PADDING, 0) for c in (x, y))
+        return [np.arange(1, len(kept) + 1), left, top, np.minimum(width - left, w[kept] + 2 * LINE_PADDING), np.minimum(height - top, h[kept] + 2 * LINE_PADDING)]
+
+    return paged(runs, sizes, work, "line int, x int, y int, width int, height int", key)
 
 
 def hulls(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, region, pixels, hull) of the connected regions of disjoint runs: the corners of the convex hull of their pixels' centres, once round.
+    """(key, region, pixels, hull) of the connected regions of disjoint runs: the corners of the convex hull of their pixels' centres, once round."""
+    return _hulls(_labelled(rows, raster.edges, ROW, key), key)
+
+
+def _hulls(lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The hulls of regions from their rows (key, region, y, a, b, n).
 
     The outermost pixels of each row are folded into a left and a right chain: a new point takes the place of those behind which the chain would turn outward.
     """
-    nodes = settled(stacked(rows, key).withColumn("node", F.col("y0").cast("long") * (1 << 20) + F.col("x0")))
-    lines = rows_of(nodes.join(linked(nodes, key), [*key, "node"])).groupBy(*key, F.col("component").alias("region"), "y").agg(F.min("x0").alias("a"), (F.max("x1") - 1).alias("b"), F.sum(F.col("x1") - F.col("x0")).alias("n"))
     shape = lines.groupBy(*key, "region").agg(F.sum("n").alias("pixels"), F.array_sort(F.collect_list(F.struct("y", "a", "b"))).alias("rows"))
 
     def chain(side: str, sign: int) -> Column:
@@ -312,45 +253,53 @@ def skew_angles(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -
     longer side of its smallest rectangle counts. Angles over 45 degrees have 180 taken off, as the deeds' service does: 60 becomes
     -120, and only what it reads as under 45 is a turn that can be undone. Holes in a block aren't blocks.
     """
-    black = runs.join(otsu(run_histogram(runs, sizes, key), key), [*key]).filter("grey <= threshold").select(*key, "y0", "y1", "x0", "x1")
-    blocks = hulls(dilated(black, sizes, SKEW_STRIP[0], SKEW_STRIP[1], 2, key), key).filter(F.col("pixels") > LEAST_BLOCK)
+
+    def work(width, height, r):
+        mask, at = raster.strips(width, height, raster.widened(_dark(width, height, r), *SKEW_STRIP, 2))
+        region, y, a, b, n = raster.edges(*raster.runs_in(mask))
+        # the first and last row of a strip of equal rows stand for all
+        high, more = at[y + 1] - at[y], at[y + 1] - at[y] > 1
+        return [np.concatenate(c) for c in ((region, region[more]), (at[y], at[y + 1][more] - 1), (a, a[more]), (b, b[more]), (n * high, 0 * n[more]))]
+
+    blocks = _hulls(paged(runs, sizes, work, ROW, key), key).filter(F.col("pixels") > LEAST_BLOCK)
     turned = smallest_rectangles(blocks).withColumn("angle", F.when(F.col("angle") > 45, F.col("angle") - 180).otherwise(F.col("angle")))
     middle = turned.groupBy(*key).agg(F.median("angle").alias("angle"))
     return sizes.select(*key).join(middle, [*key], "left").select(*key, F.when(F.abs("angle") >= LEAST_SKEW, F.col("angle")).otherwise(0.0).alias("angle"))
 
 
-def header_ends(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, header_end): the row with least ink between 15 and 35 per cent of the height, the first of several."""
-    ink = rows_of(runs).groupBy(*key, "y").agg(F.sum((PAPER - F.col("grey")) * (F.col("x1") - F.col("x0"))).alias("ink"))
-    a, b = (F.floor(F.col("height") * s).cast("int") for s in HEADER_SHARE)
-    band = sizes.select(*key, a.alias("a"), F.explode(F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array(a))).alias("y"))
-    return band.join(ink, [*key, "y"], "left").groupBy(*key).agg(F.min_by("y", F.struct(F.coalesce("ink", F.lit(0)).alias("i"), F.col("y").alias("y"))).cast("int").alias("header_end"))
-
-
-def gutters(runs: DataFrame, sizes: DataFrame, tops: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, gutter) of every page: below its header the column with least ink, smoothed, in the middle part, if that is under 65 per cent of the part's mean; else null."""
-    body = runs.join(tops, [*key]).filter(F.col("y1") > F.col("header_end"))
-    deep = F.col("y1") - F.greatest("y0", "header_end")
-    a, b = (F.floor(F.col("width") * s).cast("int") for s in GUTTER_SHARE)
-    ink = body.select(*key, ((PAPER - F.col("grey")) * deep).alias("ink"), F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x")).groupBy(*key, "x").agg(F.sum("ink").cast("double").alias("ink"))
-    part = sizes.filter(b - a >= LEAST_GUTTER_LEFT).select(*key, a.alias("a"), F.explode(F.sequence(a, b - 1)).alias("x"))
-    profile = part.join(ink, [*key, "x"], "left").groupBy(*key, "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.coalesce("ink", F.lit(0.0)).alias("ink")))), lambda s: s["ink"]).alias("p"))
+def parted(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(key, width, height, header_end, gutter) of every page: the row with least ink between 15 and 35 per cent of the height, the first of several, and below it the column with least ink, smoothed, in the middle part, if that is under 65 per cent of the part's mean; else -1."""
     raw = [2.718281828459045 ** (-0.5 * (k / GUTTER_SIGMA) ** 2) for k in range(-GUTTER_REACH, GUTTER_REACH + 1)]
-    n, last = F.size("p"), F.size("p") - 1
-    inside = lambda i: F.when(i < 0, -i).when(i > last, 2 * last - i).otherwise(i)  # noqa: E731  mirrored at the ends
-    smooth = F.transform(F.sequence(F.lit(0), last), lambda i: reduce(lambda s, k: s + F.get("p", inside(i + (k - GUTTER_REACH))) * F.lit(raw[k] / sum(raw)), range(1, len(raw)), F.get("p", inside(i - GUTTER_REACH)) * F.lit(raw[0] / sum(raw))))
-    told = profile.withColumn("s", smooth).withColumn("low", F.array_min("s")).withColumn("mean", F.reduce("s", F.lit(0.0), lambda t, x: t + x) / n)
-    return sizes.select(*key).join(told, [*key], "left").select(*key, F.when(F.col("low") < GUTTER_DEPTH * F.col("mean"), F.col("a") + F.array_position("s", F.col("low")).cast("int") - 1).alias("gutter"))
+    taps = [k / sum(raw) for k in raw]
+
+    def work(width, height, r):
+        y0, y1, x0, x1, grey = r
+        down, along = np.zeros(height + 1, np.int64), np.zeros(width + 1, np.int64)
+        for y, sign in ((y0, 1), (y1, -1)):
+            np.add.at(down, y, (PAPER - grey) * (x1 - x0) * sign)
+        a, b = (int(height * s) for s in HEADER_SHARE)
+        top, gutter = a + int(np.cumsum(down)[a : max(b, a + 1)].argmin()), -1
+        for x, sign in ((x0, 1), (x1, -1)):
+            np.add.at(along, x, (PAPER - grey) * np.maximum(y1 - np.maximum(y0, top), 0) * sign)
+        a, b = (int(width * s) for s in GUTTER_SHARE)
+        if b - a >= LEAST_GUTTER_LEFT:
+            p, smooth = np.pad(np.cumsum(along)[a:b].astype(float), GUTTER_REACH, mode="reflect"), 0.0
+            for k, tap in enumerate(taps):
+                smooth = smooth + p[k : k + b - a] * tap
+            at = int(smooth.argmin())
+            gutter = a + at if smooth[at] < GUTTER_DEPTH * (np.cumsum(smooth)[-1] / (b - a)) else -1
+        return [np.array([v]) for v in (width, height, top, gutter)]
+
+    return paged(runs, sizes, work, "width int, height int, header_end int, gutter int", key)
 
 
 def layout(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """(key, region_type, ord, x, y, width, height): the header of every page, then its column or its two, as ``images.regions`` has them."""
-    tops = header_ends(runs, sizes, key)
-    p = sizes.join(tops, [*key]).join(gutters(runs, sizes, tops, key), [*key])
+    p = parted(runs, sizes, key)
     i = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("int")
     box = lambda kind, o, x, y, w, h: F.struct(F.lit(kind).alias("region_type"), F.lit(o).alias("ord"), i(x).alias("x"), i(y).alias("y"), i(w).alias("width"), i(h).alias("height"))
     w, h, top, cut = F.col("width"), F.col("height"), F.col("header_end"), F.col("gutter")
     head = box("header", 0, 0, 0, w, top)
     one = F.array(head, box("column", 1, 0, top, w, h - top))
     two = F.array(head, box("column", 1, 0, top, cut, h - top), box("column", 2, cut, top, w - cut, h - top))
-    return p.select(*key, F.inline(F.when(cut.isNull(), one).otherwise(two)))
+    return p.select(*key, F.inline(F.when(cut < 0, one).otherwise(two)))

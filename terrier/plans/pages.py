@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from terrier.operators import pages
@@ -10,24 +13,63 @@ from terrier.plans.registry import query, spread, table
 
 #: Columns of text, rows of pixels that are inked of each line of text, and from one line to the next; the gap between two columns of odd documents.
 FINE, LINES, COLUMNS, SPACED = (96, 1, 2, 0), (96, 12, 20, 0), (180, 2, 3, 14), (96, 3, 14, 0)
+#: What is told of ink, beside its document: the page, and the colour of its first line.
+INK = ("sheet", "hue", "sat", "val")
 
 
-def drawn(spark, sf_dir, columns, band, pitch, gap):
-    """(rectangles, sizes) of the pages; a text that is longer than a page goes on on the next. A line's colour is that of its first letter, red to violet for one in three."""
+#: Bytes of text that are drawn at a time.
+DRAWN = 1 << 20
+
+
+def _inked(texts: list[str], columns: int):
+    """Of some texts' lines, cut to ``columns`` letters: (text, line in it, first letter) of each, and (line, start, end, grey) of each run of ink."""
+    cp = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32).astype(np.int32)
+    at, feed = np.arange(len(cp), dtype=np.int32), cp == 10
+    c = (at - np.maximum.accumulate(np.where(feed, at + 1, 0))) % columns
+    fresh = ~feed & (c == 0)
+    grey = np.where((cp <= 32) | (cp == 160), pages.PAPER, 24 + cp // 16 % 16 * 12)
+    ink = grey != pages.PAPER
+    starts = ink & (fresh | (c == columns // 2) | (grey != np.concatenate([[-1], grey[:-1]])))
+    ends = ink & np.append(~ink[1:] | starts[1:], True)[: len(cp)]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    lines = np.flatnonzero(fresh)
+    text = np.searchsorted(begins, lines, side="right") - 1
+    return text, np.arange(len(lines)) - np.searchsorted(lines, begins)[text], cp[lines], np.cumsum(fresh)[starts] - 1, c[starts], c[ends] + 1, grey[starts]
+
+
+def drawn(spark, sf_dir, columns, band, pitch, gap, coloured=False):
+    """(rectangles, sizes) of the pages, rectangles as numbers: an array of a page's, or (``coloured``) of a line's with its colour; a text that is longer than a page goes on on the next. A line's colour is that of its first letter, red to violet for one in three."""
     per, half = MOST_SIDE // pitch, columns // 2
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    rows = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{columns}}}"), F.lit(0))).alias("r", "line"))
-    letter, first = lambda c: F.ascii(c), F.ascii("line")
-    grey = F.transform(F.split("line", ""), lambda c: F.when((letter(c) <= 32) | (letter(c) == 160), pages.PAPER).otherwise(24 + F.floor(letter(c) / 16).cast("int") % 16 * 12))
-    rows = rows.select("doc_id", F.floor(F.col("r") / per).cast("int").alias("sheet"), (F.col("r") % per * pitch).alias("y0"), first.alias("first"), grey.alias("g"))
-    g, n = F.col("g"), F.size("g")
-    at = F.sequence(F.lit(0), n - 1)
-    starts = F.filter(at, lambda i: (F.get(g, i) != pages.PAPER) & ((i == 0) | (i == half) | (F.get(g, i) != F.get(g, i - 1))))
-    ends = F.filter(at, lambda i: (F.get(g, i) != pages.PAPER) & ((i == n - 1) | (i == half - 1) | (F.get(g, i) != F.get(g, i + 1))))
-    runs = rows.select("doc_id", "sheet", "y0", "first", F.inline(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b"), F.get(g, a).alias("grey")))))
-    over = F.when((F.col("doc_id") % 2 == 1) & (F.col("a") >= half), gap).otherwise(0)
-    ink = runs.select("doc_id", "sheet", "y0", (F.col("y0") + band).alias("y1"), (F.col("a") + over).alias("x0"), (F.col("b") + over).alias("x1"), "grey", (F.col("first") * 7 % 180).alias("hue"), F.when(F.col("first") % 3 == 0, 200).otherwise(20).alias("sat"), F.lit(200).alias("val"))
-    sizes = ink.groupBy("doc_id", "sheet").agg(F.max("y1").alias("height")).withColumn("width", F.lit(columns + gap))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null"), "doc_id")
+
+    def lines(batches):
+        for batch in batches:
+            size, at = pc.binary_length(batch.column(1)).to_numpy().cumsum(), 0
+            while at < len(size):
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + DRAWN)))
+                yield batch.column(0).slice(at, to - at), _inked(batch.column(1).slice(at, to - at).to_pylist(), columns)
+                at = to
+
+    def rectangles(batches):
+        for ids, (text, r, first, line, a, b, grey) in lines(batches):
+            odd, page = np.fmod(ids.fill_null(0).to_numpy()[text], 2)[line] == 1, np.stack([text[line], line if coloured else r[line] // per])
+            over, y0 = np.where(odd & (a >= half), gap, 0), r[line].astype(np.int64) % per * pitch
+            number = sum(v << n for v, (_, n) in zip((y0, y0 + band, a + over, b + over, grey), pages.BITS, strict=True))
+            starts = np.flatnonzero((np.diff(page, prepend=-1) != 0).any(axis=0))
+            of = line[starts]
+            made = (r[of] // per, first[of] * 7 % 180, np.where(first[of] % 3 == 0, 200, 20), np.full(len(of), 200))
+            rects = pa.ListArray.from_arrays(pa.array(np.append(starts, len(number)).astype(np.int32)), pa.array(number))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[of])), *(pa.array(m.astype(np.int32)) for m in made), rects], ["doc_id", *INK, "rects"])
+
+    def heights(batches):
+        for ids, (text, r, _, line, *_) in lines(batches):
+            text, r = text[line], r[line]
+            last = np.append((text[1:] != text[:-1]) | (r[1:] // per != r[:-1] // per), True)[: len(r)]
+            text, r = text[last], r[last]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), *(pa.array(m.astype(np.int32)) for m in (r // per, r % per * pitch + band))], ["doc_id", "sheet", "height"])
+
+    ink = d.mapInArrow(rectangles, "doc_id long, " + ", ".join(f"{c} int" for c in INK) + ", rects array<long>")
+    sizes = d.mapInArrow(heights, "doc_id long, sheet int, height int").groupBy("doc_id", "sheet").agg(F.max("height").alias("height")).withColumn("width", F.lit(columns + gap))
     return ink, sizes
 
 
@@ -74,7 +116,7 @@ d AS (SELECT * REPLACE (min(b) OVER (PARTITION BY doc_id, sheet, y ORDER BY x RO
 SELECT doc_id, sheet, y, string_agg(CAST(CAST(least(round_even(v * 255 / greatest(b, 1)::DOUBLE, 0), 255) AS INT) AS VARCHAR), ',' ORDER BY x) AS greys FROM d GROUP BY doc_id, sheet, y""")
 def page_illumination(spark, sf_dir):
     """Rows of pixels after the background is divided out; a row's greys as one text."""
-    return pages.illuminated(*drawn(spark, sf_dir, *FINE)).select("doc_id", "sheet", "y", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("greys"))
+    return pages.illuminated(*drawn(spark, sf_dir, *FINE)).select("doc_id", "sheet", "y", F.array_join(F.col("v").cast("array<string>"), ",").alias("greys"))
 
 
 @query(f"""WITH RECURSIVE {_drawn_sql(*FINE)},
@@ -86,7 +128,7 @@ closed AS (SELECT doc_id, sheet, y, x FROM (SELECT *, count(*) OVER (PARTITION B
 runs AS ({_RUNS.format(of='closed')}), {_REGIONS}
 SELECT doc_id, sheet, count(label) AS stamps FROM page LEFT JOIN (SELECT * FROM regions WHERE pixels > 300) r USING (doc_id, sheet) GROUP BY doc_id, sheet""")
 def page_stamps(spark, sf_dir):
-    return pages.stamps(*drawn(spark, sf_dir, *FINE))
+    return pages.stamps(*drawn(spark, sf_dir, *FINE, coloured=True))
 
 
 #: Bands stay apart after they are widened, so in SQL a line is an island along its band.
@@ -146,7 +188,7 @@ blended AS (SELECT p.doc_id, p.sheet, p.y, p.x, round_even((t11.t * (1 - a) + t1
 SELECT doc_id, sheet, y, string_agg(CAST(CAST(v AS INT) AS VARCHAR), ',' ORDER BY x) AS greys FROM blended GROUP BY doc_id, sheet, y""")
 def page_contrast(spark, sf_dir):
     """Rows of pixels after local equalisation; a row's greys as one text."""
-    return pages.contrasted(*drawn(spark, sf_dir, *FINE)).select("doc_id", "sheet", "y", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("greys"))
+    return pages.contrasted(*drawn(spark, sf_dir, *FINE)).select("doc_id", "sheet", "y", F.array_join(F.col("v").cast("array<string>"), ",").alias("greys"))
 
 
 def _skew_sql():
