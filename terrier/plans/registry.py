@@ -33,4 +33,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` parted by its keys, however large it is: rows made of its rows that are grouped by them need no other shuffle.
+
+    A split becomes sixteen parts, so that what is made of a part can be sorted in memory.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 16 * df.rdd.getNumPartitions()), *keys)
+
+
 from terrier.plans import deeds, functions, pages, register, runs, scans  # noqa: E402, F401  they fill the two tables

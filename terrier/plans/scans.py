@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrier.operators import words
-from terrier.plans.registry import query, spread, table
+from terrier.plans.registry import dealt, query, table
 
 #: Word i of document d in pass p has confidence (37 i + 11 d + 7 p) mod 101 - 1; line ends are blank words.
 WORDS = r"""t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'single' WHEN doc_id % 3 = 1 THEN 'left' ELSE 'right' END AS section, regexp_split_to_array(replace(text, chr(10), '  '), ' ') AS ws FROM documents),
@@ -18,7 +18,7 @@ b AS (SELECT doc_id, section, text, CASE WHEN text = '' THEN 0.0 ELSE confidence
 
 
 def recognised(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     i = F.col("doc_id")
     section = F.when(i % 3 == 0, "single").when(i % 3 == 1, "left").otherwise("right")
     e = d.select("doc_id", section.alias("section"), F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("  ")), " ")).alias("at", "text"))
@@ -54,8 +54,9 @@ def ocr_recognised(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 3 == 0, 1).otherwise(2).alias("columns"), F.when(i % 2 == 0, "Kerala").alias("state"))
     read = recognised(spark, sf_dir)
     # what another section or mode says of a page is not asked for
-    noise = read.select("doc_id", F.when(i % 3 == 0, "left").otherwise("single").alias("section"), F.lit(6).alias("psm"), "psm_ord", "i", "text", "conf")
-    return words.recognised(read.union(noise).drop("psm_ord"), pages)
+    rest = [F.col(c) for c in ("i", "text", "conf")]
+    both = F.array(F.struct("section", "psm", *rest), F.struct(F.when(i % 3 == 0, "left").otherwise("single").alias("section"), F.lit(6).alias("psm"), *rest))
+    return words.recognised(read.select("doc_id", F.inline(both)), pages)
 
 
 @query(f"""WITH turns AS (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'left' ELSE 'right' END AS section, string_agg(text, chr(10) ORDER BY turn, text) AS text, CAST(min(turn) * 10 + 5 AS DOUBLE) AS confidence FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
