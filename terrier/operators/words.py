@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrier.functions.scripts import with_language
@@ -20,15 +20,17 @@ def passes(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "section", "psm"
     In the order of i, a blank word ends a line; words of confidence 0 or less are left out but end none. Lines are joined by line
     feeds; confidence is the mean of what was kept, to 2 places, 0 if nothing was.
     """
-    order = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     clean = strip(F.coalesce("text", F.lit("")))
-    placed = words.select(*keys, "i", "conf", clean.alias("word")).withColumn("line", F.sum(F.when(F.col("word") == "", 1).otherwise(0)).over(order))
+    placed = words.select(*keys, "i", "conf", clean.alias("word"))
     kept = (F.col("word") != "") & (F.col("conf") > 0)
-    lines = placed.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(F.when(kept, F.struct("i", "word")))).alias("ws"), F.sum(F.when(kept, F.col("conf"))).alias("c"), F.count_if(kept).alias("n"))
-    joined = lines.select(*keys, "line", "c", "n", F.array_join(F.transform("ws", lambda w: w["word"]), " ").alias("t"))
-    texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("t") != "", F.struct("line", "t")))), lambda x: x["t"])
-    out = joined.groupBy(*keys).agg(texts.alias("ts"), F.sum("c").alias("c"), F.sum("n").alias("n"))
-    return out.select(*keys, F.array_join("ts", "\n").alias("text"), F.when(F.col("n") > 0, F.round(F.col("c") / F.col("n"), 2)).otherwise(0.0).alias("confidence"))
+    told = F.collect_list(F.when(kept | (F.col("word") == ""), F.struct("i", "word")))
+    out = placed.groupBy(*keys).agg(F.sort_array(told).alias("ws"), F.sum(F.when(kept, F.col("conf"))).alias("c"), F.count_if(kept).alias("n"))
+    ends = F.array_compact(F.transform("ws", lambda w, at: F.when(w["word"] == "", at + 1)))
+    cuts = F.concat(F.array(F.lit(0)), ends, F.array(F.size("ws") + 1))
+    line = lambda c, at: F.array_join(F.transform(F.slice("ws", c + 1, F.get("cuts", at + 1) - c - 1), lambda w: w["word"]), " ")
+    lines = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), line)
+    text = F.array_join(F.filter(lines, lambda t: t != ""), "\n")
+    return out.withColumn("cuts", cuts).select(*keys, text.alias("text"), F.when(F.col("n") > 0, F.round(F.col("c") / F.col("n"), 2)).otherwise(0.0).alias("confidence"))
 
 
 def best_passes(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "section")) -> DataFrame:
