@@ -31,6 +31,8 @@ HEADER_SHARE = (0.15, 0.35)
 GUTTER_SHARE, GUTTER_DEPTH, LEAST_GUTTER_LEFT, GUTTER_REACH, GUTTER_SIGMA = (0.35, 0.65), 0.65, 50, 15, 10
 #: Where the parts of a rectangle stand in its number; sides are under 4,096.
 BITS = (("y0", 44), ("y1", 32), ("x0", 20), ("x1", 8), ("grey", 0))
+#: What each grey (second index) becomes before a background (first).
+LIT = np.minimum(np.rint(np.arange(256) * float(PAPER) / np.maximum(np.arange(256), 1)[:, None]), 255).astype(np.int32)
 #: Numbers that a task holds of finished pages before it hands them on.
 HELD = 1 << 20
 
@@ -43,10 +45,18 @@ def rows_of(runs: DataFrame) -> DataFrame:
 def paged(runs: DataFrame, sizes: DataFrame, work: Callable[[int, int, np.ndarray], list], columns: str, key: tuple[str, ...] = KEY) -> DataFrame:
     """(key, columns) of every page of ``sizes``: the rows that ``work`` (width, height, rectangles) makes of it, a list of arrays.
 
-    ``rectangles`` is an array of five rows: y0, y1, x0, x1, grey. To travel, a rectangle is one number (``BITS``); ``runs`` may bring many as such in an array ``rects``.
+    ``rectangles`` is an array of five rows: y0, y1, x0, x1, grey. To travel, a rectangle is one number (``BITS``); ``runs`` may bring many as such in an array ``rects``,
+    and if they have width and height beside it, each row is a whole page and ``sizes`` isn't asked.
     """
+    if {"rects", "width", "height"} <= {*runs.columns}:
+        known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+        return _worked(runs.select(*key, "width", "height", F.when(known, F.col("rects")).alias("_r")), work, columns, key)
     parts = F.flatten(F.collect_list("rects")) if "rects" in runs.columns else F.collect_list(reduce(lambda a, b: a + b, (F.shiftleft(F.col(c).cast("long"), n) for c, n in BITS)))
-    whole = sizes.select(*key, "width", "height").join(runs.groupBy(*key).agg(parts.alias("_r")), [*key], "left")
+    return _worked(sizes.select(*key, "width", "height").join(runs.groupBy(*key).agg(parts.alias("_r")), [*key], "left"), work, columns, key)
+
+
+def _worked(whole: DataFrame, work: Callable[[int, int, np.ndarray], list], columns: str, key: tuple[str, ...]) -> DataFrame:
+    """What ``work`` makes of every row (key, width, height, rectangles as numbers)."""
     made = StructType.fromDDL(columns)
     types = [pa.list_(pa.int32()) if f.dataType.typeName() == "array" else pa.int64() if f.dataType.typeName() == "long" else pa.int32() for f in made]
 
@@ -97,10 +107,9 @@ def illuminated(runs: DataFrame, sizes: DataFrame, reach: int = BACKGROUND // 2,
 
     def work(width, height, r):
         page = raster.raster(width, height, r)
-        ground = page
-        for f in (np.maximum, np.minimum):
-            ground = raster.slid(raster.slid(ground, f, reach, 1), f, reach, 0)
-        return _lines_of(np.minimum(np.rint(page * float(PAPER) / np.maximum(ground, 1)), 255))
+        ground = raster.slid(raster.slid(page, np.maximum, reach, 1), np.maximum, reach, 0)
+        ground = raster.slid(raster.slid(ground, np.minimum, reach, 0), np.minimum, reach, 1)
+        return _lines_of(LIT[ground, page])
 
     return paged(runs, sizes, work, "y int, width int, v array<int>", key)
 
@@ -213,19 +222,24 @@ def hulls(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def _hulls(lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """The hulls of regions from their rows (key, region, y, a, b, n).
+    """The hulls of regions from their rows (key, region, y, a, b, n)."""
+    shape = lines.groupBy(*key, "region").agg(F.sum("n").alias("pixels"), F.array_sort(F.collect_list(F.struct("y", "a", "b"))).alias("rows"))
+    return shape.select(*key, "region", "pixels", _hull(F.col("rows")).alias("hull"))
+
+
+def _hull(rows: Column) -> Column:
+    """The hull of a region from its rows (y, a, b) in order.
 
     The outermost pixels of each row are folded into a left and a right chain: a new point takes the place of those behind which the chain would turn outward.
     """
-    shape = lines.groupBy(*key, "region").agg(F.sum("n").alias("pixels"), F.array_sort(F.collect_list(F.struct("y", "a", "b"))).alias("rows"))
 
     def chain(side: str, sign: int) -> Column:
-        points = F.transform("rows", lambda r: F.struct(r[side].cast("long").alias("x"), r["y"].cast("long").alias("y")))
+        points = F.transform(rows, lambda r: F.struct(r[side].cast("long").alias("x"), r["y"].cast("long").alias("y")))
         turn = lambda o, p, r: ((p["x"] - o["x"]) * (r["y"] - o["y"]) - (p["y"] - o["y"]) * (r["x"] - o["x"])) * sign
         start = F.slice(points, 1, 0)
         return F.reduce(points, start, lambda s, r: F.array_append(F.filter(s, lambda p, i: (i == 0) | (turn(F.get(s, i - 1), p, r) < 0)), r))
 
-    return shape.select(*key, "region", "pixels", F.array_distinct(F.concat(chain("a", 1), F.reverse(chain("b", -1)))).alias("hull"))
+    return F.array_distinct(F.concat(chain("a", 1), F.reverse(chain("b", -1))))
 
 
 def smallest_rectangles(shapes: DataFrame) -> DataFrame:
@@ -257,14 +271,24 @@ def skew_angles(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -
     def work(width, height, r):
         mask, at = raster.strips(width, height, raster.widened(_dark(width, height, r), *SKEW_STRIP, 2))
         region, y, a, b, n = raster.edges(*raster.runs_in(mask))
+        high = at[y + 1] - at[y]
+        first = np.flatnonzero(np.diff(region, prepend=-1))
+        pixels = np.add.reduceat(n * high, first) if len(first) else first
+        block, of = pixels > LEAST_BLOCK, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(region))))
         # the first and last row of a strip of equal rows stand for all
-        high, more = at[y + 1] - at[y], at[y + 1] - at[y] > 1
-        return [np.concatenate(c) for c in ((region, region[more]), (at[y], at[y + 1][more] - 1), (a, a[more]), (b, b[more]), (n * high, 0 * n[more]))]
-
-    blocks = _hulls(paged(runs, sizes, work, ROW, key), key).filter(F.col("pixels") > LEAST_BLOCK)
+        twice = np.repeat(np.flatnonzero(block[of]), 1 + (high > 1)[block[of]])
+        last = np.append(False, twice[1:] == twice[:-1])[: len(twice)]
+        ends = np.append(0, np.cumsum(np.bincount(of[twice], minlength=len(first))[block])).astype(np.int32)
+        if not len(ends[1:]):  # a page without blocks has a row too
+            ends = np.zeros(2, np.int32)
+        rows = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int32))) for c in (np.where(last, at[y[twice] + 1] - 1, at[y[twice]]), a[twice], b[twice])]
+        return [np.arange(len(ends) - 1), *rows]
+
+    found = paged(runs, sizes, work, "region long, ys array<int>, a array<int>, b array<int>", key)
+    blocks = found.select(*key, "region", _hull(F.arrays_zip(F.col("ys").alias("y"), "a", "b")).alias("hull"))
     turned = smallest_rectangles(blocks).withColumn("angle", F.when(F.col("angle") > 45, F.col("angle") - 180).otherwise(F.col("angle")))
-    middle = turned.groupBy(*key).agg(F.median("angle").alias("angle"))
-    return sizes.select(*key).join(middle, [*key], "left").select(*key, F.when(F.abs("angle") >= LEAST_SKEW, F.col("angle")).otherwise(0.0).alias("angle"))
+    middle = F.median("angle")
+    return turned.groupBy(*key).agg(F.when(F.abs(middle) >= LEAST_SKEW, middle).otherwise(0.0).alias("angle"))
 
 
 def parted(runs: DataFrame, sizes: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
