@@ -21,12 +21,13 @@ _NAMES = [(decomposed(name), code) for language, names in MONTHS.items() for nam
 
 
 def _iso(year: str, month: str, day: str) -> str:
-    return let_sql(f"named_struct('y', {year}, 'm', {month}, 'd', {day})", "ymd", "CASE WHEN ymd.d BETWEEN 1 AND 31 AND ymd.m BETWEEN 1 AND 12 AND ymd.y BETWEEN 1800 AND 2100 THEN format_string('%04d-%02d-%02d', ymd.y, ymd.m, ymd.d) END")
+    return let_sql(f"named_struct('y', {year}, 'm', {month}, 'd', {day})", "ymd", "CASE WHEN ymd.d BETWEEN 1 AND 31 AND ymd.m BETWEEN 1 AND 12 AND ymd.y BETWEEN 1800 AND 2100 THEN concat(ymd.y, '-', lpad(ymd.m, 2, '0'), '-', lpad(ymd.d, 2, '0')) END")
 
 
 def _numeric(text: str) -> str:
-    d, m, y = (to_number_sql(f"regexp_extract({text}, {quoted(_NUMERIC)}, {i})", "int") for i in (1, 2, 3))
-    return f"CASE WHEN regexp_like({text}, {quoted(_NUMERIC)}) THEN {_iso(y, m, d)} END"
+    d, m, y = (to_number_sql(f"parts[{i}]", "int") for i in range(3))
+    parted = let_sql(f"split(run, {quoted('[/.-]')})", "parts", _iso(y, m, d))
+    return let_sql(f"regexp_extract({text}, {quoted(_NUMERIC)}, 0)", "run", f"CASE WHEN run != '' THEN {parted} END")
 
 
 def _named(text: str) -> str:

@@ -12,7 +12,8 @@ from terrier.functions.values import NOT_FOLDED, ZEROS
 
 #: What Python calls white space.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+#: Between the two of \r\n is a blank line, which is dropped like others.
+LINE_END = "[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 EDGES = " :|-—=ঃ"
 
 _FOLDED = [(chr(zero + d), str(d)) for zero in ZEROS.values() for d in range(10) if zero + d not in NOT_FOLDED]
@@ -84,7 +85,8 @@ def fold_numerals_sql(text: str) -> str:
 
 def to_number_sql(digits: str, kind: str) -> str:
     """Digits of any script as a number; null if they aren't one."""
-    return f"try_cast(translate({digits}, {quoted(_ALL_FROM)}, {quoted(_ALL_TO)}) AS {kind})"
+    translated = f"try_cast(translate(digits, {quoted(_ALL_FROM)}, {quoted(_ALL_TO)}) AS {kind})"
+    return let_sql(digits, "digits", f"CASE WHEN octet_length(digits) > length(digits) THEN {translated} ELSE try_cast(digits AS {kind}) END")
 
 
 def unless_empty_sql(value: str) -> str:

@@ -43,6 +43,11 @@ def prepared(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(fold_numerals(x)).alias("low")))
 
 
+def standing_sql(anchors: str, low: str) -> str:
+    """Those of ``anchors`` that stand anywhere in a text; what lines are looked through for is mostly in none, so it is told once for all of them."""
+    return f"filter({anchors}, anchor -> contains({low}, anchor))"
+
+
 def value_after_sql(x: str, anchors: str) -> str:
     """The value behind the first of ``anchors`` (longest first) that stands anywhere in the line and leaves one; null if none does.
 
@@ -75,9 +80,9 @@ def _owner(value: str) -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN named_struct('name', {part(0, value)}, 'guardian', {part(1, 'cast(null AS string)')}) END"
 
 
-def _area(line: str, value: str, state: str) -> str:
+def _area(line: str, low: str, value: str, state: str) -> str:
     """An anchored area, or the whole line read as one if it has no anchor but a unit's word."""
-    hinted = f"regexp_like(lower({line}), {quoted('|'.join(map(decomposed, AREA_HINTS)))})"
+    hinted = f"regexp_like({low}, {quoted('|'.join(map(decomposed, AREA_HINTS)))})"
     text = f"coalesce({value}, CASE WHEN {hinted} THEN {line} END)"
     base = f"CASE WHEN {value} IS NOT NULL THEN {AREA_CONFIDENCE}D ELSE {HINTED_AREA_CONFIDENCE}D END"
     return let_sql(text, "extent", let_sql(area_sql("extent", state), "read", f"CASE WHEN read.value IS NOT NULL THEN named_struct('area', read, 'base', {base}) END"))
@@ -110,26 +115,43 @@ def readers(x: str, state: str) -> dict:
         "survey": after(lambda v: _number(v, SURVEY)),
         "khata": after(lambda v: _number(v, KHATA)),
         "owner": after(_owner),
-        "area": after(lambda v: _area(f"{x}.line", v, state)),
+        "area": after(lambda v: _area(f"{x}.line", f"{x}.low", v, state)),
         "registered": after(lambda v: _dated(f"coalesce({v}, {x}.line)")),
         "issued": after(_dated),
         "village": lambda t: value_after_sql(x, t),
     }
 
 
-def _likely(field: str) -> str | None:
-    """What a line must match to yield the field: a digit for areas, a year for dates."""
-    return {"area": r"\p{Nd}", "registered": MAYBE_DATE, "issued": MAYBE_DATE}.get(field)
+def _likely(field: str, low: str) -> str | None:
+    """What must hold of a line to yield the field: a digit for areas, a year for dates, whose four digits are looked for first."""
+    dated = f"regexp_like({low}, {quoted(r'\p{Nd}{4}')}) AND regexp_like({low}, {quoted(MAYBE_DATE)})"
+    return {"area": f"regexp_like({low}, {quoted(r'\p{Nd}')})", "registered": dated, "issued": dated}.get(field)
+
+
+#: Fields that are read behind an anchor only.
+ANCHORED = ("survey", "khata", "owner", "issued", "village")
+
+
+def _first(field: str, lines: str, anchors: str, read: str) -> str:
+    """What the first yielding line yields; without an anchor in any line, lines aren't read for a field that needs one."""
+    found = first_of_sql(lines, KINDS[field], "x", read)
+    return f"CASE WHEN size({anchors}) > 0 THEN {found} END" if field in ANCHORED else found
+
+
+def _low_sql(lines: str) -> str:
+    return f"array_join(transform({lines}, x -> x.low), '\\n')"
 
 
 def first_in_lines(df: DataFrame, state: Column, lexicon: dict = ANCHORS) -> DataFrame:
     """``df`` (lang, lines) with a column for each field: what its first yielding line yields. Unlikely lines are left out before they are read."""
-    df = df.withColumns({"_lines": prepared(F.col("lines")), "_state": state, **{f"_t_{f}": F.expr(terms_sql(f, "lang", lexicon)) for f in lexicon}})
-    likely = {p: f"_likely_{i}" for i, p in enumerate(sorted({*map(_likely, lexicon)} - {None}))}
-    df = df.withColumns({c: F.expr(f"filter(_lines, x -> regexp_like(x.low, {quoted(p)}))") for p, c in likely.items()})
+    df = df.withColumns({"_lines": prepared(F.col("lines")), "_state": state})
+    df = df.withColumn("_low", F.expr(_low_sql("_lines")))
+    df = df.withColumns({f"_t_{f}": F.expr(standing_sql(terms_sql(f, "lang", lexicon), "_low")) for f in lexicon})
+    likely = {p: f"_likely_{i}" for i, p in enumerate(sorted({_likely(f, "x.low") for f in lexicon} - {None}))}
+    df = df.withColumns({c: F.expr(f"filter(_lines, x -> {p})") for p, c in likely.items()})
     read = readers("x", "_state")
-    fields = {f: F.expr(first_of_sql(likely.get(_likely(f), "_lines"), KINDS[f], "x", read[f](f"_t_{f}"))) for f in lexicon}
-    return df.withColumns(fields).drop("_lines", "_state", *likely.values(), *[f"_t_{f}" for f in lexicon])
+    fields = {f: F.expr(_first(f, likely.get(_likely(f, "x.low"), "_lines"), f"_t_{f}", read[f](f"_t_{f}"))) for f in lexicon}
+    return df.withColumns(fields).drop("_lines", "_state", "_low", *likely.values(), *[f"_t_{f}" for f in lexicon])
 
 
 def fields_sql(text: str, lang: str, state: str, lexicon: dict = ANCHORS) -> str:
@@ -138,9 +160,9 @@ def fields_sql(text: str, lang: str, state: str, lexicon: dict = ANCHORS) -> str
     of_lines = f"transform({split}, l -> named_struct('line', l, 'low', lower({fold_numerals_sql('l')})))"
     read, fields = readers("x", state), []
     for f in lexicon:
-        likely = f"filter(deed, x -> regexp_like(x.low, {quoted(_likely(f))}))" if _likely(f) else "deed"
-        fields.append(f"'{f}', " + let_sql(terms_sql(f, lang, lexicon), "anchors", first_of_sql(likely, KINDS[f], "x", read[f]("anchors"))))
-    return let_sql(of_lines, "deed", f"named_struct({', '.join(fields)})")
+        likely = f"filter(deed, x -> {_likely(f, 'x.low')})" if _likely(f, "x.low") else "deed"
+        fields.append(f"'{f}', " + let_sql(standing_sql(terms_sql(f, lang, lexicon), "low"), "anchors", _first(f, likely, "anchors", read[f]("anchors"))))
+    return let_sql(of_lines, "deed", let_sql(_low_sql("deed"), "low", f"named_struct({', '.join(fields)})"))
 
 
 def first_by_explode(df: DataFrame, key: str, state: str, lexicon: dict = ANCHORS) -> DataFrame:
@@ -151,7 +173,7 @@ def first_by_explode(df: DataFrame, key: str, state: str, lexicon: dict = ANCHOR
     each = df.select(key, "lang", F.col(state).alias("_state"), F.posexplode(prepared(F.col("lines"))).alias("pos", "line"))
     each = each.withColumns({f"_t_{f}": F.expr(terms_sql(f, "lang", lexicon)) for f in lexicon})
     read = readers("line", "_state")
-    gated = lambda f: f"CASE WHEN regexp_like(line.low, {quoted(_likely(f))}) THEN {read[f](f'_t_{f}')} END" if _likely(f) else read[f](f"_t_{f}")
+    gated = lambda f: f"CASE WHEN {_likely(f, 'line.low')} THEN {read[f](f'_t_{f}')} END" if _likely(f, "line.low") else read[f](f"_t_{f}")
     found = each.select(key, "pos", *[F.expr(gated(f)).alias(f) for f in lexicon])
     return found.groupBy(key).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("pos"))).alias(f) for f in lexicon])
 
