@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from terrier.operators import catalog, postings
@@ -60,3 +61,26 @@ def test_few_files_are_read(spark, tmp_path):
     assert read <= total / 4
     total, read = files("rows", f"row_bucket = pmod(xxhash64(77L), {postings.BUCKETS})")
     assert (total, read) == (postings.BUCKETS, 1)
+
+
+def test_runs_are_stored_by_blocks_of_ids(spark, tmp_path):
+    """A batch's rows of a run are one row of the index, whatever their number."""
+    folder = f"file://{tmp_path}/i"
+    docs = spark.range(500).coalesce(1).selectExpr("nullif(id, 7) AS id", "concat('Deed ', id % 50) AS title", "concat('éabc', id % 50, 'xyz') AS raw_text", "'b\\0c' AS district")
+    postings.write_index(docs, folder, buckets=4)
+    text = lambda i: ("b\0c", f"deed {i % 50}", f"éabc{i % 50}xyz")
+    want = {(c[k : k + 3], None if i == 7 else i) for i in range(500) for c in text(i) for k in range(len(c) - 2) if c[k : k + 3].isascii()}
+    runs = sorted({r for r, _ in want})
+    got = [(r.run, r.id) for r in postings.postings(spark, folder, runs, buckets=4).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert spark.read.parquet(f"{folder}/runs").count() == len(runs)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 22])
+def test_runs_over_the_ends_of_rows_and_pieces(monkeypatch, piece):
+    monkeypatch.setattr(postings, "PIECE", piece)
+    texts = ["not read", "abcabcd", None, "", "ab", "c", "দাগ abc\u0080abx", "xabc"]
+    runs, rows = postings._runs(pa.array(texts).slice(1))
+    got = [(chr(c >> 14) + chr(c >> 7 & 127) + chr(c & 127), i) for c, i in zip(runs.tolist(), rows.tolist(), strict=True)]
+    assert got == sorted({(t[k : k + 3], i) for i, t in enumerate(texts[1:]) if t for k in range(len(t) - 2) if t[k : k + 3].isascii()})
+    assert [len(x) for x in postings._runs(pa.array([], pa.string()))] == [0, 0]
