@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 STATUS = {"upload": "PENDING", "start": "PROCESSING", "done": "DIGITIZED", "error": "FAILED"}
 LIMIT_SECONDS = 3600
+#: Documents whose ids differ in the last so many bits only share a row of the stream's state.
+SHARED_BITS = 5
 HISTORY = "id long, at timestamp, status string, was string, event_id long"
 
 
@@ -49,34 +51,32 @@ def history(events: DataFrame, until: datetime.datetime | None, limit: int = LIM
 
 def _follow(limit_us: int):
     def work(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, since, kept = state.get if state.exists else (None, None, "{}")
-        pending = {int(i): e for i, e in json.loads(kept).items()}
+        kept = json.loads(state.get[0]) if state.exists else []
+        docs = {i: (status, since, {number: (us, kind) for number, us, kind in waiting}) for i, status, since, waiting in kept}
         for frame in frames:
-            for number, kind, us in zip(frame["event_id"], frame["kind"], frame["us"], strict=True):
-                if int(number) not in pending or us < pending[int(number)][0]:
-                    pending[int(number)] = [int(us), kind]
-        now, out = state.getCurrentWatermarkMs() * 1000, []
-
-        def turn(us: int, to: str, number: int | None) -> None:
-            nonlocal status
-            if to != status:
-                out.append((key[0], us, to, status, number))
-                status = to
-
-        for number, (us, kind) in sorted(pending.items(), key=lambda e: (e[1][0], e[0])):
-            if us > now:
-                continue
-            del pending[number]
-            if status == "PROCESSING" and since + limit_us < us:
-                turn(since + limit_us, "FAILED", None)
-            to = STATUS[kind]
-            if to != "PENDING" or status is None:
-                since = us if to == "PROCESSING" else since
-                turn(us, to, number)
-        if status == "PROCESSING" and since + limit_us <= now:
-            turn(since + limit_us, "FAILED", None)
-        due = [us for us, _ in pending.values()] + ([since + limit_us] if status == "PROCESSING" else [])
-        state.update((status, since, json.dumps(pending)))
+            for i, number, kind, us in zip(*(frame[c].tolist() for c in ("id", "event_id", "kind", "us")), strict=True):
+                pending = docs.setdefault(i, (None, None, {}))[2]
+                if number not in pending or us < pending[number][0]:
+                    pending[number] = (us, kind)
+        now, out, kept, due = state.getCurrentWatermarkMs() * 1000, [], [], []
+        for i, (status, since, pending) in docs.items():
+            for us, number, kind in sorted((us, number, kind) for number, (us, kind) in pending.items() if us <= now):
+                del pending[number]
+                if status == "PROCESSING" and since + limit_us < us:
+                    out.append((i, since + limit_us, "FAILED", status, None))
+                    status = "FAILED"
+                to = STATUS[kind]
+                if to != "PENDING" or status is None:
+                    since = us if to == "PROCESSING" else since
+                    if to != status:
+                        out.append((i, us, to, status, number))
+                        status = to
+            if status == "PROCESSING" and since + limit_us <= now:
+                out.append((i, since + limit_us, "FAILED", status, None))
+                status = "FAILED"
+            kept.append((i, status, since, [(number, us, kind) for number, (us, kind) in pending.items()]))
+            due += [us for us, _ in pending.values()] + ([since + limit_us] if status == "PROCESSING" else [])
+        state.update((json.dumps(kept),))
         if due:  # in whole milliseconds, and never before the watermark
             state.setTimeoutTimestamp(max(-(-min(due) // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "us", "status", "was", "event_id"]).astype({"id": "int64", "us": "int64", "event_id": "Int64"})
@@ -87,11 +87,12 @@ def _follow(limit_us: int):
 def followed(events: DataFrame, late: str = "10 minutes", limit: int = LIMIT_SECONDS) -> DataFrame:
     """The same rows from a stream of events, each given out when the watermark has passed it: ``late`` after its time at the soonest.
 
-    A document's events wait in its state until then, so they count in their own order however they come; a timer wakes a document whose
-    run is overdue. Events that come later than that are dropped, and so is an event that has been counted. State is a row for each document and holds what came within
-    ``late``.
+    A document's events wait in the state until then, so they count in their own order however they come; a timer wakes documents of which
+    a run is overdue. Events that come later than that are dropped, and so is an event that has been counted. The state holds each document's status and what came within
+    ``late``; documents of neighbouring ids share a row of it, as calling Python for a row costs far more than a document's events do.
     """
     known = events.filter("id is not null and at is not null and event_id is not null").filter(F.col("kind").isin(list(STATUS)))
     rows = known.withWatermark("at", late).select(F.col("id").cast("long").alias("id"), "at", F.col("event_id").cast("long").alias("event_id"), "kind", F.unix_micros("at").alias("us"))
-    got = rows.groupBy("id").applyInPandasWithState(_follow(limit * 1_000_000), "id long, us long, status string, was string, event_id long", "status string, since long, pending string", "append", "EventTimeTimeout")
+    rows = rows.withColumn("shared", F.shiftright("id", SHARED_BITS))
+    got = rows.groupBy("shared").applyInPandasWithState(_follow(limit * 1_000_000), "id long, us long, status string, was string, event_id long", "docs string", "append", "EventTimeTimeout")
     return got.select("id", F.timestamp_micros("us").alias("at"), "status", "was", "event_id")

@@ -87,6 +87,25 @@ def test_a_crashed_run_is_told_by_the_clock_of_others(spark, tmp_path):
     assert told[2] == sorted(want, key=str)  # the error of minute 30 came too late
 
 
+def test_neighbours_share_a_row_of_the_state(spark, tmp_path):
+    rng = random.Random(8)
+    ids = [*range(-40, 300), -(1 << 62), (1 << 62) + 1]
+    events = [(k, ids[k % len(ids)], START + datetime.timedelta(minutes=rng.randrange(300)), rng.choice(["upload", "start", "done", "error"])) for k in range(900)]
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for part in (events[:500], events[500:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = runs.followed(spark.readStream.schema(SCHEMA).parquet(source), "6 hours", 3600)
+        done = stream.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(out)
+        done.awaitTermination()
+    spark.createDataFrame([(9999, 7, START + datetime.timedelta(days=1), "start")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    done = stream.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(out)
+    done.awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(stream.schema).parquet(out).collect()), key=str)
+    last = START + datetime.timedelta(hours=18)
+    assert got == plain(events, last, datetime.timedelta(hours=1))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress) <= 340 // 32 + 1 + 3
+
+
 def test_statuses_are_those_of_the_register(spark):
     assert list(runs.STATUS.values()) == ["PENDING", "PROCESSING", "DIGITIZED", "FAILED"]
     assert runs.followed(spark.createDataFrame([], SCHEMA)).filter(F.lit(False)).columns == ["id", "at", "status", "was", "event_id"]
