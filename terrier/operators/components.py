@@ -1,10 +1,10 @@
-"""The folder that driver and executors share, and tables that cut lineage."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,9 +16,3 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and written to the shared folder; its lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrier.operators.components import settled
 from terrier.sources.uploads import table_schema
 
 BUCKETS = 64
+#: Files of a bucket: its rows are dealt by id, so that no task sorts a whole bucket.
+PARTS = 8
 #: The columns that changes set; id is the key, and what dates a document follows from its changes.
 KEPT = ("id", "created_at", "updated_at")
 KINDS = ("insert", "patch", "start", "result", "delete")
@@ -67,9 +68,9 @@ def schema() -> StructType:
 
 
 def append(log: str, changes: DataFrame, buckets: int = BUCKETS) -> None:
-    """Add changes to the log as a batch of its own; nothing that is there is read or written. Changes without an id or a time are nobody's and left out."""
+    """Add changes to the log as a batch of its own, without a shuffle; nothing that is there is read or written. Changes without an id or a time are nobody's and left out."""
     kept = changes.filter("id is not null and stamp.at is not null").withColumns({"bucket": F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"), "batch": F.lit(uuid.uuid4().hex)})
-    kept.repartition("bucket").write.mode("append").partitionBy("batch", "bucket").parquet(f"{log}/changes")
+    kept.write.mode("append").partitionBy("batch").parquet(f"{log}/changes")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -83,10 +84,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 def folded(rows: DataFrame) -> DataFrame:
     """One row for each bucket and id: of every column the last value that was set, with its stamp. Every insert sets all columns, so no value is older than it.
 
-    One shuffle, on bucket and id, of the changes alone; partial folds are made before it.
+    One shuffle, of the rows as they are: their fold would carry every stamp twice. What comes out lies by bucket, in at most ``PARTS`` tasks of each.
     """
     marks = [F.max(c).alias(c) for c in ("stamp", "born", "died")]
-    return rows.groupBy("bucket", "id").agg(*marks, *[F.max_by(c, F.col(c)["stamp"]).alias(c) for c in columns()])
+    dealt = rows.withColumn("part", F.pmod(F.hash("id"), F.lit(PARTS))).repartition("bucket", "part")
+    return dealt.groupBy("bucket", "part", "id").agg(*marks, *[F.max_by(c, F.col(c)["stamp"]).alias(c) for c in columns()]).drop("part")
 
 
 def compact(spark: SparkSession, log: str) -> list[int]:
@@ -101,8 +103,8 @@ def compact(spark: SparkSession, log: str) -> list[int]:
     touched = sorted(r.bucket for r in changes.select("bucket").distinct().collect())
     old = _read(spark, f"{log}/rows")
     rows = changes.drop("batch") if old is None else changes.drop("batch").unionByName(old.drop("batch").filter(F.col("bucket").isin(touched)))
-    new = settled(folded(rows))
-    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{log}/rows")
+    # buckets are replaced when all tasks are done, so those that are read can be written
+    folded(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{log}/rows")
     for batch in batches:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/changes/batch={batch}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

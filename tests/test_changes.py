@@ -2,6 +2,7 @@ import datetime
 import os
 import random
 
+from terrier.operators.components import shared_folder
 from terrier.sources import changes
 
 DAY = datetime.datetime(2025, 1, 1)
@@ -94,6 +95,25 @@ def test_a_stop_between_writing_and_dropping_changes_nothing(spark, tmp_path):
     assert told(spark, log) == want
 
 
+def test_rows_are_shuffled_and_written_once(spark, tmp_path):
+    """An append deals nothing, a fold deals rows before it puts them together, a compaction keeps no second copy."""
+    log = f"file://{tmp_path}/log"
+    tables = lambda: {d for d, _, _ in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if "/rdd-" in d}
+    shared_folder(spark)
+    before = tables()
+    frame = spark.range(300).coalesce(1).selectExpr("id", "timestamp '2025-01-01' AS at", "id AS number", "concat('t', id) AS title")
+    changes.append(log, changes.change(frame, "insert"), 8)
+    batch = [f for d, _, fs in os.walk(tmp_path / "log" / "changes") for f in fs if f.endswith(".parquet")]
+    assert len(batch) == 1
+    assert changes.compact(spark, log) == list(range(8)) and tables() == before
+    written(spark, log, [(DAY, 900 + i, "patch", i, {"title": "new"}) for i in range(5)])
+    plan = changes.folded(changes._read(spark, f"{log}/changes").drop("batch"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Aggregate")
+    assert changes.compact(spark, log) and tables() == before
+    got = told(spark, log)
+    assert len(got) == 300 and {i: r["title"] for i, r in got.items()} == {i: "new" if i < 5 else f"t{i}" for i in range(300)}
+
+
 def test_odd_changes(spark, tmp_path):
     log = f"file://{tmp_path}/log"
     written(spark, log, [(DAY, 1, "patch", 5, {"title": "nobody"}), (DAY, 2, "delete", 6, {}), (None, 3, "insert", 7, {"title": "never"}), (DAY, 4, "insert", None, {"title": "no id"})])
